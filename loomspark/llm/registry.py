@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from loomspark.llm.mixing import op10_mix_sources
 from loomspark.llm.secrets import OP2_SQL, op2_secret_scan
+from loomspark.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op8_simhash": op8_simhash,
+        "op10_mix_sources": op10_mix_sources,
     }
 
 
