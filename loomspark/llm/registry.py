@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from loomspark.llm.language import op5_language
 from loomspark.llm.mixing import op10_mix_sources
+from loomspark.llm.quality import op3_quality
 from loomspark.llm.secrets import OP2_SQL, op2_secret_scan
 from loomspark.llm.simhash import op8_simhash
+from loomspark.llm.token_counts import op6_token_counts
+from loomspark.llm.tokens import op4_token_files
 
 
 def queries() -> dict:
     return {
         "op2_secret_scan": op2_secret_scan,
+        "op3_quality": op3_quality,
+        "op4_token_files": op4_token_files,
+        "op5_language": op5_language,
+        "op6_token_counts": op6_token_counts,
         "op8_simhash": op8_simhash,
         "op10_mix_sources": op10_mix_sources,
     }

@@ -105,8 +105,8 @@ class Counter:
         self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if known else None
         special = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
         self.special = re.compile("|".join(special)) if special else None
-        self.words, self.beyond = regex.compile(WORDS), re.compile("[^\0-ԯ]")
-        self.odd_space, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0  -     　]+")
+        self.words, self.beyond = regex.compile(WORDS), re.compile("[^\0-\u052f]")
+        self.odd_space, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
