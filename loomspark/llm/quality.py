@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,23 +107,21 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            words = (text.as_py() or "").split()
-            found, _ = features(words, np.array([len(words)]))
-            at, counts = np.unique(found, return_counts=True)
-            rows.append((np.append(at, 1 << BITS), np.append(counts * (SCALE / max(1, len(words))), 1.0), label))
-    if rows:
-        model = Ftrl((1 << BITS) + 1)
-        for _ in range(EPOCHS):
-            for row in rows:
-                model.learn(*row)
-        w = model.weights(slice(None))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([1.0])], ["at", "w"])
+def _train(rows: pd.DataFrame) -> pd.DataFrame:
+    """Weights (at, w) of a model of one group's rows, and a row at -1."""
+    found = []
+    for row in rows.sort_values(["key", "doc_id"]).itertuples():
+        words = (row.text or "").split()
+        grams, _ = features(words, np.array([len(words)]))
+        at, counts = np.unique(grams, return_counts=True)
+        found.append((np.append(at, 1 << BITS), np.append(counts * (SCALE / max(1, len(words))), 1.0), row.label))
+    model = Ftrl((1 << BITS) + 1)
+    for _ in range(EPOCHS):
+        for row in found:
+            model.learn(*row)
+    w = model.weights(slice(None))
+    at = np.flatnonzero(w)
+    return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], 1.0)})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
@@ -135,8 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> np.ndarray | None:
     """Weights by hash, the bias last; None without labelled documents."""
-    rows = training_rows(docs, labels, most).repartition(PARTS, F.pmod(F.xxhash64("doc_id"), F.lit(PARTS * 64)))
-    found = rows.sortWithinPartitions(F.xxhash64("doc_id")).select("text", "label").mapInArrow(_train, "at long, w double")
+    rows = training_rows(docs, labels, most).withColumn("key", F.xxhash64("doc_id"))
+    found = rows.groupBy(F.pmod("key", F.lit(PARTS)).alias("part")).applyInPandas(_train, "at long, w double")  # most / PARTS rows each
     table = found.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most 2^BITS + 2 rows
     models = table.w[table["at"] == -1].sum()
     if not models:
