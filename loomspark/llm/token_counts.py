@@ -132,8 +132,6 @@ class Counter:
         split = [self.words.findall(p) for p in plain]
         words = list({w for s in split for w in s})
         size = dict(zip(words, self.merges.counts([w.encode() for w in words]).tolist()))
-        if len(self.young) + len(unknown) > CACHE:
-            self.old, self.young = self.young, {}
         self.young.update((p, sum(map(size.__getitem__, s))) for p, s in zip(plain, split))
         self.young.update((p, self.library(p)) for p in unknown if self.beyond.search(p))
 
@@ -141,11 +139,13 @@ class Counter:
         if self.merges is None:
             return [self.library(t) for t in texts]
         cut = [self.pieces(t) for t in texts]
-        unknown = set().union(*(p for p, _ in cut)) - self.young.keys()
+        needed = set().union(*(p for p, _ in cut))
+        if len(self.young) + len(needed) > CACHE:
+            self.old, self.young = self.young, {}
+        unknown = needed - self.young.keys()
         again = unknown & self.old.keys()
-        kept = {p: self.old[p] for p in again}
+        self.young.update((p, self.old[p]) for p in again)
         self.learn(unknown - again)
-        self.young.update(kept)
         return [n + sum(map(self.young.__getitem__, p)) for p, n in cut]
 
 
