@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import text_queries
+from loomspark.plans import search_queries, text_queries
 
-PARTS = (text_queries,)
+PARTS = (text_queries, search_queries)
 
 
 def queries() -> dict:
