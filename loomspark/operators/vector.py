@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,10 +112,18 @@ def without_near_greedy(vectors: DataFrame, threshold: float = 0.95) -> DataFram
     return vectors.join(kept, "doc_id", "left_semi") if kept is not None else vectors.limit(0)
 
 
-def hash_embed(terms: str, dims: int = 64):
+def hash_embed(terms: str | Column, dims: int = 64) -> Column:
     """Deterministic embedding of an array of terms: signed feature hashing, of unit length."""
-    at = F.sequence(F.lit(0), F.lit(dims - 1))
-    value = lambda i: F.aggregate(F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)) == i), F.lit(0.0), lambda s, t: s + F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    raw = F.transform(at, value)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    def one(words) -> np.ndarray:
+        out = np.zeros(dims)
+        for w in words:
+            h = zlib.crc32(w.encode())
+            out[h % dims] += 1.0 if h >> 31 else -1.0
+        return (out / max(np.linalg.norm(out), TINY)).astype(np.float32)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield series.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "array<float>")(terms)

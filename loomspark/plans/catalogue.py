@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graph_queries, search_queries, text_queries
+from loomspark.plans import graph_queries, record_queries, search_queries, text_queries
 
-PARTS = (text_queries, search_queries, graph_queries)
+PARTS = (text_queries, search_queries, graph_queries, record_queries)
 
 
 def queries() -> dict:
