@@ -51,7 +51,7 @@ def chunk_text(docs: DataFrame, capacity: int = CAPACITY, headings: bool = False
         for pdf in batches:
             parts = [split_text(b or "", capacity, headings) for b in pdf.body]
             n = [len(p) for p in parts]
-            yield pd.DataFrame({"doc_id": pdf.doc_id.repeat(n).to_numpy(), "chunk_no": [i for k in n for i in range(k)], "body": [c for p in parts for c in p]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id.repeat(n).to_numpy(), "chunk_no": pd.Series([i for k in n for i in range(k)], dtype="int64"), "body": pd.Series([c for p in parts for c in p], dtype=object)})
 
     return docs.select("doc_id", "body").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_no long, body string")
 
