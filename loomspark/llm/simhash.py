@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.components import connected_components
+from loomspark.operators.components import connected_components
 from loomspark.session import materialize
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the probing and the table fingerprints of one block pair, as edges to the smallest of a group."""
     probes, table = pdf.fp[pdf.probing].unique(), pdf.fp[~pdf.probing].unique()
-    near = np.bitwise_count(probes[:, None] ^ table[None, :]) <= DISTANCE
+    near = np.bitwise_count((probes[:, None] ^ table[None, :]).view(np.uint64)) <= DISTANCE  # of signed numbers it would count the magnitude's bits
     top = np.iinfo(np.int64).max
     rows, cols = probes.copy(), table.copy()
     while len(rows) and len(cols):
@@ -124,11 +124,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of docs, one of each group: the smallest doc_id (nulls last), of its rows the smallest text hash."""
     grouped = simhash_groups(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = materialize(grouped.groupBy("root").agg(first, F.count("*").alias("rows")).select(F.col("first.doc_id").alias("k_doc"), F.col("first.text_hash").alias("k_hash")), "kept")
-    keyed = docs.withColumn("text_hash_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k_doc"]) & (keyed["text_hash_"] == kept["k_hash"]))
-    if rows.groupBy("k_doc", "k_hash").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["k_doc", "k_hash"])
+    kept = materialize(grouped.groupBy("root").agg(first, F.count("*").alias("rows")).select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash")), "kept")
+    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__own"] == kept["__hash"]))
+    if rows.groupBy("__doc", "__hash").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["__doc", "__hash"])
     return rows.select(*docs.columns)
 
 
