@@ -116,7 +116,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that the row's group reaches."""
     grouped = materialize(simhash_groups(docs), "simhash-groups")
-    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = materialize(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return grouped.join(smallest, "root").select("doc_id", "fp", "component_id")
 
 
