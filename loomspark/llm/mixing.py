@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.session import materialize
+from loomspark.session import fence, materialize
 
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -118,18 +118,19 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     The words keep the white space after them; n_chars, where there is such a column, is counted anew.
     """
     placed, pieces = mix(docs, seed)
-    taken = pieces.groupBy("rank", "off", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("taken"))
-    keys = placed.where("size > 0").select("rank", "off", F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("text_hash").alias("k_hash"), "size")
-    taken = taken.join(keys, ["rank", "off"]).drop("rank", "off")
-    texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    taken = pieces.groupBy("rank", "off", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__spans"), F.sum("words").alias("__taken"))
+    keys = placed.where("size > 0").select("rank", "off", F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"))
+    taken = taken.join(keys, ["rank", "off"]).drop("rank", "off", "epoch")
+    texts = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     repeated = placed.groupBy("doc_id", "source", "text_hash").count().where("count > 1").limit(1).count()
     if repeated:
-        texts = texts.dropDuplicates(["doc_id", "source", "text_hash"])
-    rows = texts.join(taken, texts["doc_id"].eqNullSafe(taken["k_doc"]) & texts["source"].eqNullSafe(taken["k_source"]) & (texts["text_hash"] == taken["k_hash"]))
+        texts = texts.dropDuplicates(["doc_id", "source", "__own"])
+    rows = texts.join(taken, texts["doc_id"].eqNullSafe(taken["__doc"]) & texts["source"].eqNullSafe(taken["__source"]) & (texts["__own"] == taken["__hash"]))
+    part = F.col("__taken") < F.col("__size")
     tokens = F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))
-    rows = rows.withColumn("tokens", F.when(F.col("taken") < F.col("size"), tokens))
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("tokens"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
-    rows = rows.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
+    rows = fence(rows, __tokens=F.when(part, tokens))
+    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__tokens"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), "")
+    rows = rows.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return rows.select(*docs.columns)
