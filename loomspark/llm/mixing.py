@@ -109,7 +109,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
     placed = materialize(place(sizes, targets), "mix-placed")
     partitions = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     drawn = slots(targets, partitions, seed, shard_slots)
-    return placed, drawn.join(block_pieces(placed, block_words), ["rank", "block"])
+    return placed, drawn.join(block_pieces(placed, block_words).hint("merge"), ["rank", "block"])  # neither side is small
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
