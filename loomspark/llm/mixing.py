@@ -28,7 +28,7 @@ MOST = 3
 CHUNK = 16384
 SEED = 20
 ROUNDS = 10
-DOCS_PER_BUCKET = 4096
+DOCS_PER_BUCKET = 512
 
 
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
     Sources rank by code point, null last; weights repeat in that order. The targets share all words by weight, none
     above MOST times its source: filling up to a common level per weight, capped sources first.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     order = W.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("rank", F.row_number().over(order))
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1))
@@ -69,9 +69,8 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
 
 def place(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Each document's first word (off) in its source's packed words: a prefix sum over hashed buckets, then within."""
-    buckets = sizes.count() // DOCS_PER_BUCKET + 16
-    rows = sizes.join(targets.select(F.col("source").alias("t_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
+    rows = sizes.join(targets.select(F.col("source").alias("t_source"), "rank", "docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.expr(f"1 + docs div {DOCS_PER_BUCKET}"))).drop("docs")
     sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     base = sums.select("rank", "bucket", F.coalesce(F.sum("words").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     within = W.partitionBy("rank", "bucket").orderBy("doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
