@@ -101,6 +101,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONT
         return F.transform(own, lambda j: F.struct(F.lit(n).alias("n"), (j * step).alias("at"), F.array_distinct(F.slice("shingles", j * step + 1, width)).alias("window")))
 
     cut = rows.select("doc_id", "text_hash", F.explode(F.concat(*map(windows_of, sizes))).alias("w")).select("doc_id", "text_hash", "w.*").distinct()
+    cut = cut.repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "at")  # few bytes, much work
     cut = fence(cut, keys=_signature(F.col("window"), bands))
     own = known.select("template", "n", F.explode(_signature(F.col("shingles"), bands)).alias("key"))
     exact = known.select("template", "license", F.array_distinct("shingles").alias("shingles"))
