@@ -17,6 +17,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SEQ_LEN = 1024
 ROWS = 1024
-CACHE = 300_000
+CACHE = 600_000
 #: The public pattern by which byte-level BPE splits text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -89,18 +90,30 @@ class Encoder:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.by_words = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         self.words, self.letters, self.model = regex.compile(WORDS), byte_letters(), self.tok.model
+        self.ascii_words = re.compile(WORDS.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("?A-Za-z+", "?[A-Za-z]+").replace("?0-9+", "?[0-9]+"), re.ASCII)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.beyond, self.awkward, self.between = re.compile("[^\0-ԯ]"), re.compile(r" \s|\s |^ | $"), re.compile(r"(?<=\S) (?=\S)")
-        self.word, self.first = Kept(self._word), Kept(self._pieces)
+        self.word, self.first = Kept(self._word, CACHE // 2), Kept(self._pieces, CACHE // 8)
         self.rest = Kept(lambda piece: self._pieces(" " + piece))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        if word.isascii() and word.isprintable():  # such bytes but the space stand for themselves
+            spelled = word.replace(" ", chr(self.letters[32]))
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _pieces(self, piece: str) -> bytes:
-        return self._whole(piece) if self.beyond.search(piece) else b"".join(map(self.word.__getitem__, self.words.findall(piece)))
+        if piece.isascii():
+            words = self.ascii_words.findall(piece)
+        elif self.beyond.search(piece):
+            return self._whole(piece)
+        else:
+            words = self.words.findall(piece)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.word.__getitem__, words))
 
     def __call__(self, text: str) -> bytes:
         if not self.by_words or (self.special and self.special.search(text)):
