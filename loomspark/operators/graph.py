@@ -143,6 +143,19 @@ def merge_angles(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "node").agg(F.max("score").alias("score"))
 
 
+def use_case_rerank(hits: DataFrame, vectors: DataFrame, use_case: DataFrame) -> DataFrame:
+    """Scores of hits (qid, node, score) x (0.5 + 0.5 x max(0, cosine)) to the query's use case (qid, uvec)."""
+    rows = hits.join(vectors.select("node", "vec"), "node", "left").join(use_case.select("qid", "uvec"), "qid")
+    near = F.when(F.col("vec").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), cosine("uvec", "vec")))
+    return rows.select("qid", "node", (F.col("score") * (0.5 + 0.5 * near)).alias("score"))
+
+
+def merge_neighbors(hits: DataFrame, neighbors_: DataFrame, share: float = 0.5) -> DataFrame:
+    """hits (qid, node, rrf) and the graph neighbours (qid, node, score) that are not among them, at share x score."""
+    fresh = neighbors_.groupBy("qid", "node").agg(F.max("score").alias("score")).join(hits.select("qid", "node"), ["qid", "node"], "left_anti")
+    return hits.select("qid", "node", "rrf").unionByName(fresh.select("qid", "node", (share * F.col("score")).alias("rrf")))
+
+
 def mmr(hits: DataFrame, vectors: DataFrame, trade: float = 0.7) -> DataFrame:
     """(qid, node, place): greedy order by trade x score - (1 - trade) x largest cosine to what is chosen.
 

@@ -30,19 +30,23 @@ def _partitions(df: DataFrame) -> int:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
     """(qid, doc_id, sim, rank) of each query's k most similar vectors, rank from 0; ties go to the smaller doc_id.
 
-    vectors has (doc_id, vec), queries (qid, qvec). Zero queries find nothing; null vectors take no part. Queries go to
+    vectors has (doc_id, vec), queries (qid, qvec); of several vectors of a document (its chunks) the nearest counts.
+    Zero queries find nothing; null vectors take no part. Queries go to
     every group of vectors in slabs of GROUP_ROWS, vectors to every slab; each pair of blocks keeps k per query.
     """
     vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null")
     groups, slabs = vectors.count() // GROUP_ROWS + _partitions(vectors), queries.count() // GROUP_ROWS + 1
+    q_kind, v_kind = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["doc_id"]
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": [], "doc_id": [], "sim": []}).astype({"qid": "int64", "doc_id": "int64", "sim": "float64"})]
+        out = [pd.DataFrame({"qid": q["qid"][:0] if "qid" in q else [], "doc_id": v["doc_id"][:0] if "doc_id" in v else [], "sim": np.zeros(0)})]
         if len(q) and len(v):
             v = v.sort_values("doc_id")
             ids, m, qm = v.doc_id.to_numpy(), _unit(v.vec), _unit(q.qvec)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids = ids[first]
             for i in range(0, len(q), 512):
-                sims = qm[i : i + 512] @ m.T
+                sims = np.maximum.reduceat(qm[i : i + 512] @ m.T, first, axis=1)
                 order = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, : k + skip_self]
                 best = np.take_along_axis(sims, order, 1)
                 own = q.qid.to_numpy()[i : i + 512]
@@ -54,9 +58,10 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                 out.append(pd.DataFrame({"qid": np.repeat(own, keep.sum(1)), "doc_id": ids[order][keep], "sim": best[keep]}))
         return pd.concat(out)
 
-    left = queries.select(F.col("qid").cast("long"), "qvec", F.pmod(F.xxhash64("qid"), F.lit(slabs)).alias("slab"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    right = vectors.select(F.col("doc_id").cast("long"), "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))).alias("slab"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"))
-    found = left.groupBy("group", "slab").cogroup(right.groupBy("group", "slab")).applyInPandas(search, "qid long, doc_id long, sim double")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(slabs)).alias("slab"), every(groups).alias("group"))
+    right = vectors.select("doc_id", "vec", every(slabs).alias("slab"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"))
+    found = left.groupBy("group", "slab").cogroup(right.groupBy("group", "slab")).applyInPandas(search, f"qid {q_kind}, doc_id {v_kind}, sim double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "doc_id")).cast("long") - 1)
     return ranked.where(F.col("rank") < k)
 
