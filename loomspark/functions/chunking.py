@@ -17,7 +17,7 @@ CAPACITY = 1024
 BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 HEADING = re.compile(r"\n(?=#{1,6} )")
 
-#: What begins a symbol, per language family: (kind, pattern after the indent; the name is the last group).
+#: What begins a symbol, per language family: (kind, pattern after the indent, with the name as its group) (fixed values).
 SYMBOLS = {
     "python": (("class", "class\\s+(\\w+)"), ("def", "(?:async\\s+)?def\\s+(\\w+)")),
     "rust": (("fn", "(?:pub\\s+)?(?:async\\s+)?fn\\s+(\\w+)"), ("struct", "(?:pub\\s+)?struct\\s+(\\w+)"), ("enum", "(?:pub\\s+)?enum\\s+(\\w+)"), ("trait", "(?:pub\\s+)?trait\\s+(\\w+)"), ("impl", "impl(?:<[^>]*>)?\\s+(\\w+(?:\\s+for\\s+\\w+)?)"), ("mod", "(?:pub\\s+)?mod\\s+(\\w+)")),

@@ -111,19 +111,28 @@ class Memory:
     def _asked(self, queries: DataFrame) -> DataFrame:
         return queries.select("qid", "text", self.embed(T.terms("text")).alias("qvec"))
 
-    def search(self, queries: DataFrame, agent: str = "default", as_of: Column | None = None, tags: list[str] | None = None) -> DataFrame:
-        """(qid, doc_id, rrf, embedding, bm25, rank, l0, tag) for queries (qid, text)."""
+    def search(self, queries: DataFrame, agent: str = "default", as_of: Column | None = None, tags: list[str] | None = None, expansion: DataFrame | None = None, expand_graph: bool = False) -> DataFrame:
+        """(qid, doc_id, rrf, embedding, bm25, rank, l0, tag) for queries (qid, text); expansion (qid, expansion) may
+        come from a language model. With expand_graph, near documents two hops around the best hits join them."""
         docs = self._own("documents")
         ranges = queries.select("qid", T.query_ranges("text").alias("ranges"))
         clean = materialize(fence(queries, n=T.negation("text")).select("qid", F.col("n.clean").alias("text"), F.col("n.excluded").alias("excluded")), "asked")
         asked = materialize(self._asked(clean), "queries")
-        hits = fusion.rrf(*fusion.signals(tokenised(docs), self._own("vectors"), asked, self.params))
+        cos, words, more = fusion.signals(tokenised(docs), self._own("vectors"), asked, self.params, expansion, self.embed)
+        hits = fusion.rrf(fusion.inject_periods(cos, self._own("edges"), ranges), words, more)
         hits = fusion.date_boost(hits, docs.select("doc_id", F.col("dates").alias("days")), ranges)
         access = records.access_counts(self.store.table("access")).where("level = 0")
         hits = fusion.usage_rerank(hits, access, agent, F.current_timestamp() if as_of is None else as_of)
         hits = fusion.negation_rerank(hits, docs, clean.select("qid", "excluded"))
         hits = hits.join(docs.select("doc_id", "l0", "tag"), "doc_id")
-        return fusion.best(hits if tags is None else hits.where(F.col("tag").isin(*tags)), self.params)
+        best = fusion.best(hits if tags is None else hits.where(F.col("tag").isin(*tags)), self.params)
+        if not expand_graph:
+            return best
+        best = materialize(best, "best")
+        vectors = self._own("vectors").where("chunk_no = 0").select(F.col("doc_id").alias("node"), "vec")
+        wide = graph.graph_expand(best.withColumnRenamed("doc_id", "node"), self._own("edges"), vectors, asked, keep=self.params.num_to_return)
+        found = wide.withColumnRenamed("node", "doc_id").join(best.select("qid", "doc_id", "embedding", "bm25"), ["qid", "doc_id"], "left")
+        return found.join(docs.select("doc_id", "l0", "tag"), "doc_id").select(*best.columns)
 
     def touch(self, docs: DataFrame, agent: str = "default", as_of: Column | None = None) -> None:
         """Record an access of docs (doc_id)."""

@@ -27,6 +27,9 @@ def test_memory_round_trip(spark, tmp_path):
     assert best == {1: tokens, 2: tokens, 3: gateway}
     assert {r["tag"] for r in memory.search(asked, as_of=now, tags=["auth"]).collect()} == {"auth"}
 
+    wide = memory.search(asked, as_of=now, expansion=spark.createDataFrame([(1, "oauth")], "qid long, expansion string"), expand_graph=True)
+    assert {r["doc_id"] for r in wide.where("qid = 1").collect()} >= {tokens, sso}
+
     edges = memory._own("edges")
     assert edges.where(F.col("edge_type") == "same_tag").count() == 2
     assert {r["to_id"] for r in edges.where(F.col("from_id") == gateway).collect()} >= {"month:2024-03", "quarter:2024-Q1", "year:2024"}
