@@ -100,3 +100,17 @@ def semantic_chunks(sentences: DataFrame, threshold: float = 0.5, joiner: str =
 def sentences(text: str | Column) -> Column:
     """Sentences of a text, cut after . ! ? before white space."""
     return F.filter(F.split(text, "(?<=[.!?])\\s+"), lambda s: F.trim(s) != "")
+
+
+def chunk_files(files: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(path, chunk_no, body) of files (path, body) by their extension: code by symbols, or as text of twice the
+    capacity where it has none; Markdown by headings; the rest as text."""
+    kind = F.when(language_of("path").isNotNull(), "code").when(F.lower("path").rlike("[.](md|markdown)$"), "markdown").otherwise("text")
+    rows = files.select("path", "body", kind.alias("kind"))
+    code = rows.where("kind = 'code'").select("path", "body")
+    symbols = symbol_chunks(code).where(F.trim("body") != "")
+    numbered = symbols.select("path", (F.row_number().over(W.partitionBy("path").orderBy("line_no")) - 1).cast("long").alias("chunk_no"), F.concat("header", F.lit("\n"), "body").alias("body"))
+    plain = lambda df, size, headings: chunk_text(df.select(F.col("path").alias("doc_id"), "body"), size, headings).withColumnRenamed("doc_id", "path")
+    bare = code.join(symbols.select("path").distinct(), "path", "left_anti")
+    parts = numbered.unionByName(plain(bare, 2 * capacity, False))
+    return parts.unionByName(plain(rows.where("kind = 'markdown'"), capacity, True)).unionByName(plain(rows.where("kind = 'text'"), capacity, False))

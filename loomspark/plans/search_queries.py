@@ -130,7 +130,7 @@ def negation_rerank(spark, sf):
 
 
 def date_rerank(spark, sf):
-    """Dated documents of each customer's first month ranked by closeness to the month's query."""
+    """Documents whose second date lies in a month, ranked by how close their dates come to the month's query."""
     rows = materialize(fence(X.dated(spark, sf), days=T.dates("body")), "dated")
     q = rows.select(F.expr("cast(year(days[0]) * 100 + month(days[0]) as bigint)").alias("qid"), F.trunc(F.get("days", F.lit(0)), "MM").alias("m")).distinct()
     ranges = q.select("qid", T.query_ranges(F.date_format("m", "MMMM yyyy")).alias("ranges"))

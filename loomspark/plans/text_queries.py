@@ -71,7 +71,7 @@ def negation_parse(spark, sf):
 
 
 def negation_penalty(spark, sf):
-    """Documents scored against terms that their own source's text and language commonly exclude."""
+    """Every document against three excluded terms that are common in its languages."""
     excluded = F.array(F.lit("the"), F.lit("tion"), F.lit("que"))
     return X.docs(spark, sf).select("doc_id", F.round(T.negation_penalty("body", excluded), 6).alias("penalty"))
 

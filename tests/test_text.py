@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.functions.chunking import chunk_text, semantic_chunks, split_text, symbol_chunks
+from loomspark.functions.chunking import chunk_files, chunk_text, semantic_chunks, split_text, symbol_chunks
 from loomspark.functions.stemming import stem
 
 
@@ -91,3 +91,11 @@ def test_semantic_chunks(spark):
     rows = [(1, 0, "a", [1.0, 0.0]), (1, 1, "b", [1.0, 0.1]), (1, 2, "c", [0.0, 1.0])]
     got = semantic_chunks(spark.createDataFrame(rows, "doc_id long, pos int, body string, vec array<double>")).orderBy("chunk_no").collect()
     assert [r["body"] for r in got] == ["a b", "c"]
+
+
+def test_files_are_chunked_by_kind(spark):
+    files = [("a.py", "def f():\n    pass\n\ndef g():\n    pass"), ("b.py", "x = 1\n" * 15), ("c.md", "# A\none\n# B\ntwo"), ("d.txt", "just text"), ("e.txt", None)]
+    got = {}
+    for r in chunk_files(spark.createDataFrame(files, "path string, body string"), 30).orderBy("path", "chunk_no").collect():
+        got.setdefault(r["path"], []).append(r["body"].split("\n")[0])
+    assert got == {"a.py": ["# def f (a.py:1)", "# def g (a.py:4)"], "b.py": ["x = 1", "x = 1"], "c.md": ["# A", "# B"], "d.txt": ["just text"]}
