@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.tokens import Kept
+from loomspark.llm.tokens import Kept, hold
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
 CHUNK_BYTES = 16 << 20
 GROUP_TOKENS = 1 << 18
+CACHE = 150_000
 WORD = re.compile(r"\w+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -87,7 +88,8 @@ class Benchmark:
     def ids(self, text: str) -> np.ndarray:
         """Token ids of a text, 0 for tokens that no item has."""
         if "cache" not in self.__dict__:
-            self.cache = Kept(lambda piece: np.array([self.vocabulary.get(w, 0) for w in tokens(piece)], np.int32).tobytes())
+            self.cache = Kept(lambda piece: np.array([self.vocabulary.get(w, 0) for w in tokens(piece)], np.int32).tobytes(), CACHE)
+            hold(self.cache)
         return np.frombuffer(b"".join(map(self.cache.__getitem__, text.split())), np.int32).astype(np.int64)
 
     def _hits(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.tokens import Kept
+from loomspark.llm.tokens import Kept, hold
 
 BITS = 18
 MAX_TRAIN = 8000
@@ -47,11 +47,15 @@ def word_code(word: str) -> int:
     return zlib.crc32(word.lower().encode()) << 32 | zlib.crc32(shape(word).encode())
 
 
-_codes = Kept(word_code, 200_000)
+_codes = Kept(word_code, 100_000)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SALTS = np.arange(8, dtype=np.uint64) * _ODD[1]
 
 
+def _alone() -> None:
+    hold(_codes)
+
+
 def features(words: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram indices of the words of several documents, and the number of each document's words.
 
@@ -154,6 +158,7 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(np.float32)
         bias = float(held.value[-1])
+        _alone()
         for batch in batches:
             sums = []
             words: list[str] = []

@@ -34,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SEQ_LEN = 1024
 ROWS = 1024
-CACHE = 600_000
+CACHE = 400_000
 #: The public pattern by which byte-level BPE splits text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,12 +45,16 @@ def tokenizer_path(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
+_caches: list[Kept] = []
+
+
 class Kept(dict):
     """Bounded cache in two generations: what is asked for again survives when the younger one is full."""
 
-    def __init__(self, make: Callable, most: int = CACHE):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
+        _caches.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -63,6 +67,15 @@ class Kept(dict):
         return value
 
 
+def hold(*caches: Kept) -> None:
+    """Empty all other caches of this worker: operators that follow each other in one don't add up."""
+    for cache in _caches:
+        if not any(cache is c for c in caches):
+            cache.clear()
+            cache.old = {}
+    _caches[:] = caches
+
+
 def byte_letters() -> dict[int, int]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -94,7 +107,7 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.beyond, self.awkward, self.between = re.compile("[^\0-ԯ]"), re.compile(r" \s|\s |^ | $"), re.compile(r"(?<=\S) (?=\S)")
         self.word, self.first = Kept(self._word, CACHE // 2), Kept(self._pieces, CACHE // 8)
-        self.rest = Kept(lambda piece: self._pieces(" " + piece))
+        self.rest = Kept(lambda piece: self._pieces(" " + piece), CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -128,7 +141,9 @@ _encoders: dict[str, Encoder] = {}
 def encoder(name: str) -> Encoder:
     if name not in _encoders:
         _encoders[name] = Encoder(name)
-    return _encoders[name]
+    found = _encoders[name]
+    hold(found.word, found.first, found.rest)
+    return found
 
 
 class ShardWriter:
