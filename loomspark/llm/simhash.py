@@ -12,7 +12,7 @@ group's smallest doc_id (null if the group has none); repeated rows each get the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped.join(smallest, "root").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
     """Rows of docs, one of each group: the smallest doc_id (nulls last), of its rows the smallest text hash."""
-    grouped = simhash_groups(docs)
+    grouped = groups(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = materialize(grouped.groupBy("root").agg(first, F.count("*").alias("rows")).select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash")), "kept")
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
