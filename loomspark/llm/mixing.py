@@ -1,8 +1,9 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's words, documents in a hashed order, are packed into blocks of BLOCK_WORDS words. The mix has as many
-slots as its targets fill; a source's slot k reads block perm(k mod blocks) under the permutation of (source, k div
-blocks). Output shards draw their source counts by a pseudorandom permutation of all slots: the multinomial draw
+slots as its targets fill: whole passes over the source's blocks, then part of one. Slot k of a source reads block
+perm(k mod blocks) under the permutation of (source, k div blocks); as a source's last block is shorter, the part of a
+pass takes it with the probability of any other word and counts it by its own words. Output shards draw their source counts by a pseudorandom permutation of all slots: the multinomial draw
 conditioned on the totals, so that every source comes within half a block of its target instead of a random distance.
 Permutations are swap-or-not shuffles, exact bijections of any range.
 
@@ -42,13 +43,27 @@ def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), x, step)
 
 
+def passes(per: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """Adds whole (passes over all blocks), extra (1 if the part of a pass after them has the last, short block) and slots.
+
+    The part is as many full blocks as come nearest to the words left, so that it misses them by half a block at most."""
+    full, last = F.col("blocks") - 1, F.col("source_size") - (F.col("blocks") - 1) * block_words
+    left, half = F.col("target") - F.col("whole") * F.col("source_size"), block_words / 2
+    luck = F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(1 << 20)) / float(1 << 20)
+    extra = (left > full * block_words + half) | ((left >= last - half) & (luck * F.col("source_size") < left))
+    nearest = F.floor((left - F.col("extra") * last) / block_words + 0.5)
+    per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0))
+    per = per.withColumn("extra", F.when((left > 0) & extra, 1).otherwise(0))
+    return per.withColumn("slots", F.col("whole") * F.col("blocks") + F.col("extra") + F.least(full, F.greatest(nearest, F.lit(0))) * (F.col("blocks") > 0).cast("long"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
 
 
-def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS) -> DataFrame:
-    """One row per source: rank, source_size, target, blocks, slots, first_slot.
+def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """One row per source: rank, source_size, target, blocks, whole, extra, slots, first_slot.
 
     Sources rank by code point, null last; weights repeat in that order. The targets share all words by weight, none
     above MOST times its source: filling up to a common level per weight, capped sources first.
@@ -62,7 +77,7 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS, weights: tu
     per = per.withColumn("level", (F.sum("source_size").over(all_rows) - MOST * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(onward))
     per = per.withColumn("level", F.max("level").over(all_rows))
     per = per.withColumn("target", F.least((F.lit(MOST) * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")))
-    per = per.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("slots", F.floor(F.col("target") / block_words + 0.5))
+    per = passes(per.withColumn("blocks", F.ceil(F.col("source_size") / block_words)), block_words, seed)
     first = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     return per.withColumn("first_slot", F.coalesce(F.sum("slots").over(first), F.lit(0))).withColumn("all_slots", F.sum("slots").over(all_rows))
 
@@ -80,14 +95,18 @@ def place(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def slots(targets: DataFrame, partitions: int, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: (rank, block, epoch, shard, slot)."""
-    rows = targets.where("slots > 0").select("rank", "blocks", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+    rows = targets.where("slots > 0").select("rank", "blocks", "whole", "extra", "slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
     rows = rows.repartition(partitions, "rank", "chunk")
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
-    rows = rows.select("rank", "blocks", "first_slot", "all_slots", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("k"))
-    rows = rows.select("rank", "blocks", "all_slots", F.expr("k div blocks").alias("epoch"), F.pmod("k", "blocks").alias("index"), (F.col("first_slot") + F.col("k")).alias("draw"))
+    rows = rows.select("rank", "blocks", "whole", "extra", "first_slot", "all_slots", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("k"))
+    rows = rows.select("rank", "blocks", "whole", "extra", "all_slots", F.expr("k div blocks").alias("epoch"), F.pmod("k", "blocks").alias("index"), (F.col("first_slot") + F.col("k")).alias("draw"))
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "rank", "epoch"))
     place_ = permuted(F.col("draw"), F.col("all_slots"), F.lit(seed))
-    rows = rows.select("rank", "epoch", permuted(F.col("index"), F.col("blocks"), F.col("key")).alias("block"), place_.alias("at"))
+    part = F.col("epoch") == F.col("whole")
+    own = F.col("index") - F.when(part, F.col("extra")).otherwise(0)  # -1: the last block, out of turn
+    among = F.when(part, F.greatest(F.col("blocks") - 1, F.lit(1))).otherwise(F.col("blocks"))
+    block = F.when(own < 0, F.col("blocks") - 1).otherwise(permuted(own, among, F.col("key")))
+    rows = rows.select("rank", "epoch", block.alias("block"), place_.alias("at"))
     return rows.select("rank", "block", "epoch", F.expr(f"at div {shard_slots}").alias("shard"), F.pmod("at", F.lit(shard_slots)).alias("slot"))
 
 
@@ -104,7 +123,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
     document of placed with size > 0."""
     spark = docs.sparkSession
     sizes = materialize(sized(docs), "mix-sizes")
-    targets = materialize(source_targets(sizes, block_words), "mix-targets")
+    targets = materialize(source_targets(sizes, block_words, seed=seed), "mix-targets")
     placed = materialize(place(sizes, targets), "mix-placed")
     partitions = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     drawn = slots(targets, partitions, seed, shard_slots)
@@ -136,7 +155,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """Words taken of each document, and their places in the output: (shard, slot, words), null if none is taken."""
     placed, pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = pieces.groupBy("rank", "off").agg(F.sum("words").alias("taken")).select(F.col("rank").alias("p_rank"), F.col("off").alias("p_off"), "taken")
+    taken = pieces.groupBy("rank", "off").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "slot", "words"))).alias("places")).select(F.col("rank").alias("p_rank"), F.col("off").alias("p_off"), "taken", "places")
     rows = placed.join(taken, (placed["rank"] == taken["p_rank"]) & (placed["off"] == taken["p_off"]) & (placed["size"] > 0), "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "places")
