@@ -219,7 +219,7 @@ def betweenness(spark, sf):
 
 
 def fiedler(spark, sf):
-    return A.fiedler(_edges(spark, sf), 10, ("derives_from", "related_to", "same_tag")).select("node", R6("value"))
+    return A.fiedler(_edges(spark, sf), types=A.DEFAULT_TYPES).select("node", R6("value"))
 
 
 def rmt_novel(spark, sf):
