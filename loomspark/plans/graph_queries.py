@@ -214,8 +214,8 @@ def session_components(spark, sf):
 
 
 def betweenness(spark, sf):
-    """Dependencies from every vector whose number divides by 100."""
-    return A.betweenness(_edges(spark, sf), _seeds(spark, sf).select("node"), ("derives_from", "related_to", "same_tag")).select("node", R6("betweenness"))
+    """Dependencies from every node, over all default types."""
+    return A.betweenness(_edges(spark, sf), types=A.DEFAULT_TYPES).select("node", R6("betweenness"))
 
 
 def fiedler(spark, sf):

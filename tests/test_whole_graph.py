@@ -58,3 +58,31 @@ def test_fiedler_equals_the_dense_eigenvector(spark):
     assert np.abs(mine - want).max() < 2e-6
     clear = np.abs(want) > 2e-6
     assert (np.sign(mine) == np.sign(want))[clear].all()
+
+
+def brute_betweenness(near):
+    out, n = dict.fromkeys(near, 0.0), len(near)
+    for s in near:
+        sigma, depth, order = defaultdict(float, {s: 1.0}), {s: 0}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    sigma[y] += sigma[x]
+        delta = defaultdict(float)
+        for y in reversed(order[1:]):
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    delta[x] += sigma[x] / sigma[y] * (1 + delta[y])
+            out[y] += delta[y]
+    return {x: v / ((n - 1) * (n - 2)) for x, v in out.items()}
+
+
+def test_betweenness_of_all_sources_and_types(spark, sf, monkeypatch):
+    want = brute_betweenness(largest(default_edges(spark, sf))[1])
+    monkeypatch.setattr(A.betweenness, "__defaults__", (None, None, 25_000))  # two slabs or more
+    got = {r["node"]: r["betweenness"] for r in Q.betweenness(spark, sf).collect()}
+    assert got.keys() == want.keys() and any(x.startswith("c") for x in got)
+    assert all(abs(got[x] - want[x]) < 1e-6 for x in want)
