@@ -12,7 +12,7 @@ from loomspark.plans import fixtures as X
 from loomspark.session import materialize, read_table
 
 AS_OF = "2024-06-01 00:00:00"
-PATH_DEPTH = 6
+PATH_DEPTH = 6  # of the SQL; the query takes the operator's depth of 10, and has more rows where paths are longer
 ROUNDS = 5
 R6 = lambda c: F.round(c, 6).alias(c)
 
@@ -166,7 +166,7 @@ def _path_pairs(spark, sf):
 
 
 def shortest_path(spark, sf):
-    paths = G.shortest_paths(_edges(spark, sf), _path_pairs(spark, sf), PATH_DEPTH, A.DEFAULT_TYPES)
+    paths = G.shortest_paths(_edges(spark, sf), _path_pairs(spark, sf), types=A.DEFAULT_TYPES)
     return paths.groupBy("pid").agg(F.max("step").alias("length"), F.count("*").alias("nodes"))
 
 

@@ -86,3 +86,13 @@ def test_betweenness_of_all_sources_and_types(spark, sf, monkeypatch):
     got = {r["node"]: r["betweenness"] for r in Q.betweenness(spark, sf).collect()}
     assert got.keys() == want.keys() and any(x.startswith("c") for x in got)
     assert all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def chain(spark, n):
+    return spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "related_to", "main", 1.0 + i / 7) for i in range(n)], "from_id string, to_id string, edge_type string, corpus string, weight double").selectExpr("*", "timestamp'2024-01-01' as valid_at", "cast(null as timestamp) as invalid_at")
+
+
+def test_shortest_path_reaches_ten_steps(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_edges", lambda spark, sf: chain(spark, 12))
+    monkeypatch.setattr(Q, "_path_pairs", lambda spark, sf: spark.createDataFrame([(1, "n00", "n08"), (2, "n00", "n10"), (3, "n00", "n11")], "pid long, a string, b string"))
+    assert sorted((r["pid"], r["length"]) for r in Q.shortest_path(spark, None).collect()) == [(1, 8), (2, 10)]
