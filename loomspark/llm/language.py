@@ -3,8 +3,9 @@
 A text's UTF-8 bytes are cut into windows of WINDOW bytes that overlap by the widest filter less one. Filters of
 several widths run over byte embeddings, each keeps its largest response in the window, and a softmax over those gives
 the window's languages; a document's are the mean over its windows by length. Convolutions are sums of table rows, one
-table per tap, as embedding and filter are both linear. Training takes at most PER_LANGUAGE documents of each of the
-MOST_LANGUAGES most frequent languages, WINDOWS_EACH windows from each, those with the smallest hash of doc_id.
+table per tap, as embedding and filter are both linear. Training takes every language, of each at most PER_LANGUAGE
+documents, fewer where languages are many: TRAIN_DOCS in all, but at least one of each. WINDOWS_EACH windows come from
+each document; those with the smallest hash of doc_id are taken.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is everything if nothing is labelled;
 null languages are not learned from; repeated rows each get their row; extra columns are ignored.
@@ -26,7 +27,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
+TRAIN_DOCS = 25_600
 WINDOWS_EACH = 3
 EPOCHS = 6
 BATCH = 64
@@ -91,7 +92,8 @@ class ByteNetwork:
                 tops = [y.argmax(1) for y in found]
                 pooled = np.concatenate([y.max(1) for y in found], 1) + self.p["shift"]
                 hidden, probs = np.maximum(pooled, 0), self._softmax(pooled - self.p["shift"])
-                d = (probs - np.eye(k)[own]) * weight[own, None] / len(own)
+                probs[np.arange(len(own)), own] -= 1
+                d = probs * weight[own, None] / len(own)
                 grad = {"out": hidden.T @ d, "bias": d.sum(0), "embed": np.zeros_like(self.p["embed"])}
                 dh = (d @ self.p["out"].T) * (pooled > 0)
                 grad["shift"] = dh.sum(0)
@@ -124,10 +126,11 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork | None:
     """A network for the languages of docs outside the held-out fold; None if nothing is labelled."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    rows = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).distinct().join(F.broadcast(common), "lang")  # MOST_LANGUAGES rows
+    number = known.select("lang").distinct().count()
+    per_language = max(1, min(per_language, TRAIN_DOCS // max(number, 1)))
+    rows = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).distinct()
     chosen = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= per_language)
-    chosen = chosen.select("doc_id", F.col("lang").alias("own"), "key")  # at most per_language x MOST_LANGUAGES rows
+    chosen = chosen.select("doc_id", F.col("lang").alias("own"), "key")  # at most TRAIN_DOCS rows, or one of each language
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("lang = own").groupBy("doc_id", "lang", "key").agg(F.min("text").alias("text"))
     sample = texts.select("text", "lang", "key").mapInArrow(_sample, "key long, lang string, bytes binary").toPandas()
     if sample.empty:
