@@ -96,3 +96,23 @@ def test_shortest_path_reaches_ten_steps(spark, monkeypatch):
     monkeypatch.setattr(Q, "_edges", lambda spark, sf: chain(spark, 12))
     monkeypatch.setattr(Q, "_path_pairs", lambda spark, sf: spark.createDataFrame([(1, "n00", "n08"), (2, "n00", "n10"), (3, "n00", "n11")], "pid long, a string, b string"))
     assert sorted((r["pid"], r["length"]) for r in Q.shortest_path(spark, None).collect()) == [(1, 8), (2, 10)]
+
+
+def test_full_analysis_has_gap_boundary_and_converged_ranks(spark, monkeypatch):
+    calls = {}
+    rank, between = A.pagerank, A.betweenness
+    monkeypatch.setattr(A, "pagerank", lambda edges, **options: calls.update(options) or rank(edges, rounds=3))
+    monkeypatch.setattr(A, "betweenness", lambda edges, starts, types: calls.update(starts=starts.count()) or between(edges, starts, types))
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "x"), ("x", "y"), ("y", "z"), ("x", "z")]
+    edges = spark.createDataFrame([(*p, "related_to", "main", 1.0) for p in pairs], "from_id string, to_id string, edge_type string, corpus string, weight double").selectExpr("*", "timestamp'2024-01-01' as valid_at", "cast(null as timestamp) as invalid_at")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, vec array<double>")
+    got = defaultdict(list)
+    for r in A.full_analysis(edges, vectors).orderBy("rank").collect():
+        got[r["section"]].append((r["id"], r["score"]))
+    m = np.zeros((6, 6))
+    for a, b in pairs:
+        m["abcxyz".index(a), "abcxyz".index(b)] = m["abcxyz".index(b), "abcxyz".index(a)] = 1
+    gap = np.linalg.eigvalsh(np.diag(m.sum(1)) - m)[1]
+    assert dict(got["structure"]) == {"components": 1.0, "spectral_gap": pytest.approx(gap, abs=1e-6)}
+    assert len(got["boundary"]) == 5 and {x for x, _ in got["boundary"][:2]} == {"c", "x"}
+    assert calls == {"starts": 6} and A.SOURCES == 200
