@@ -1,14 +1,15 @@
 """License scan by MinHash bands over overlapping text windows, in DataFrame functions only.
 
-A document's words give hashed shingles of five. For each template length the document is cut into overlapping windows
-(step: a quarter of the template's shingles) of which one holds any occurrence whole. Windows with no shingle of any
-template contain nothing and are skipped; of the others MinHash bands retrieve templates of that length, and exact
-shingle containment of the template in the window decides. The number of bands makes a window that contains
-CONTAINMENT of a template meet it with a probability of COLLISION or more.
+A document's words give hashed shingles of five. Templates fall into classes of lengths up to a power of two; for each
+class the document is cut into overlapping windows (step: a quarter of the class's length) of which one holds any
+occurrence whole. Windows with no shingle of any template of the class contain nothing and are skipped; of the others
+MinHash bands retrieve templates of the class, and exact shingle containment of the template in the window decides. The
+number of bands makes a window that contains CONTAINMENT of a template meet it with a probability of COLLISION or more.
+Long documents are cut into segments first, so that no row grows with its windows.
 
 Defined results: a null text has no words; repeated rows (same doc_id and text) count once; a null doc_id is a key of
-its own; extra columns are ignored; templates need five words or more and are known by (license, text); of windows with
-equal containment the first counts.
+its own; extra columns are ignored; an empty table gives an empty result; templates need five words or more and are
+known by (license, text); of windows with equal containment the first counts.
 """
 
 from __future__ import annotations
@@ -18,39 +19,20 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.license_texts import TEMPLATES
 from loomspark.session import fence, materialize
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-ROWS = 2
+ROWS = 1
 COLLISION = 0.999
-#: More template shingles than this are not written into the plan; every window is then hashed.
-LITERALS = 20_000
-#: Up to so many template shingles the templates are broadcast (8 bytes each); beyond, Spark joins by shuffle.
-BROADCAST = 500_000
-
-#: Common license notices (fixed values).
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-)
+#: Shingles of a segment, and of the longest class: a power of two, so that windows of all classes start alike in each segment.
+SEGMENT = 4096
 
 
 def bands_for(similarity: float, rows: int = ROWS, probability: float = COLLISION) -> int:
     """Bands of `rows` hashes with which sets of that Jaccard similarity collide with the given probability."""
-    return math.ceil(math.log(1 - probability) / math.log(1 - similarity**rows))
+    return 1 if similarity >= 1 else math.ceil(math.log(1 - probability) / math.log(1 - similarity**rows))
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -67,47 +49,63 @@ def _signature(shingles: Column, bands: int) -> Column:
 
 
 def load_templates(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, license, n, shingles): n is the number of shingles, repeats included."""
+    """(template, license, n, class, shingles): n is the number of shingles, repeats included, class the next power of two."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    found = materialize(shingled(rows).withColumn("n", F.size("shingles")), "templates")
-    if not found.where("n = 0").isEmpty():
-        raise ValueError("templates need five words or more")
+    sized = shingled(rows).withColumn("n", F.size("shingles"))
+    found = materialize(sized.withColumn("class", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")), "templates")
+    if not found.where(f"n = 0 or class > {SEGMENT}").isEmpty():
+        raise ValueError(f"templates need five words or more, and {SEGMENT} shingles at most")
     return found
 
 
+def steps(class_: int) -> tuple[int, int]:
+    """Step and width of the windows of a class."""
+    step = max(1, class_ // 4)
+    return step, class_ + step - 1
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, text_hash, license, containment, first_word): the best window of each document and license."""
     spark = docs.sparkSession
     known = load_templates(spark, templates)
-    total = known.agg(F.sum("n")).first()[0]
-    sizes = [r["n"] for r in known.select("n").distinct().orderBy("n").collect()]  # lengths of the given templates
+    # The templates are given by the caller; their shingles are a set in the plan, by class.
+    values: dict[int, set[int]] = {}
+    least: dict[int, float] = {}
+    for row in known.select("class", "shingles").collect():
+        own = set(row["shingles"])
+        values.setdefault(row["class"], set()).update(own)
+        similarity = containment * len(own) / (steps(row["class"])[1] + (1 - containment) * len(own))
+        least[row["class"]] = min(1.0, similarity, least.get(row["class"], 1.0))
+    bands = {c: bands_for(s) for c, s in least.items()}
+    widest = max(steps(c)[1] for c in values)
+
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    rows = shingled(rows)
-    if total <= LITERALS:
-        values = sorted({x for r in known.select("shingles").collect() for x in r["shingles"]})
-        rows = fence(rows, met=F.array_intersect("shingles", F.array(*map(F.lit, values)))).where(F.size("met") > 0)
-        places = F.filter(F.transform("shingles", lambda x, i: F.when(F.array_contains("met", x), i)), lambda i: i.isNotNull())
-    else:
-        places = F.sequence(F.lit(0), F.size("shingles") - 1)
-    rows = fence(rows, places=places)
-    steps = {n: max(1, n // 4) for n in sizes}
-    bands = bands_for(containment / (1.25 + 1 - containment))
-
-    def windows_of(n: int) -> Column:
-        step = steps[n]
-        width = n + step - 1
+    every = sorted(set().union(*values.values()))
+    rows = shingled(rows).where(F.exists("shingles", lambda x: x.isin(every)))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / SEGMENT).cast("int")), lambda s: F.slice("shingles", s * SEGMENT + 1, F.lit(SEGMENT + widest)))
+    rows = rows.select("doc_id", "text_hash", F.posexplode(cut).alias("segment", "shingles"))
+
+    def windows_of(class_: int) -> Column:
+        step, width = steps(class_)
+        places = F.filter(F.transform("shingles", lambda x, i: F.when(x.isin(sorted(values[class_])), i)), lambda i: i.isNotNull())
         first = lambda p: F.greatest(F.lit(0), F.ceil((p - width + 1) / step)).cast("int")
-        own = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
-        return F.transform(own, lambda j: F.struct(F.lit(n).alias("n"), (j * step).alias("at"), F.array_distinct(F.slice("shingles", j * step + 1, width)).alias("window")))
+        own = F.flatten(F.transform(places, lambda p: F.sequence(first(p), F.floor(p / step).cast("int"))))
+        own = F.filter(F.array_distinct(own), lambda j: j * step < SEGMENT)
+        return F.transform(own, lambda j: F.struct(F.lit(class_).alias("class"), (F.col("segment") * SEGMENT + j * step).alias("at"), F.array_distinct(F.slice("shingles", j * step + 1, width)).alias("window")))
+
+    held = rows.select("doc_id", "text_hash", F.explode(F.concat(*map(windows_of, sorted(values)))).alias("w")).select("doc_id", "text_hash", "w.*")
+    held = held.repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "at")  # few bytes, much work
+
+    def keys_of(shingles: str) -> Column:
+        out = F.lit(None).cast("array<long>")
+        for class_, n in bands.items():
+            out = F.when(F.col("class") == class_, _signature(F.col(shingles), n)).otherwise(out)
+        return out
 
-    cut = rows.select("doc_id", "text_hash", F.explode(F.concat(*map(windows_of, sizes))).alias("w")).select("doc_id", "text_hash", "w.*").distinct()
-    cut = cut.repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "at")  # few bytes, much work
-    cut = fence(cut, keys=_signature(F.col("window"), bands))
-    own = known.select("template", "n", F.explode(_signature(F.col("shingles"), bands)).alias("key"))
+    held = fence(held, keys=keys_of("window"))
+    own = known.select("template", "class", F.explode(keys_of("shingles")).alias("key"))
     exact = known.select("template", "license", F.array_distinct("shingles").alias("shingles"))
-    if total <= BROADCAST:
-        own, exact = F.broadcast(own), F.broadcast(exact)
-    met = cut.select("doc_id", "text_hash", "n", "at", "window", F.explode("keys").alias("key")).join(own, ["n", "key"])
+    met = held.select("doc_id", "text_hash", "class", "at", "window", F.explode("keys").alias("key")).join(own, ["class", "key"])
     met = met.join(exact, "template").withColumn("containment", F.size(F.array_intersect("window", "shingles")) / F.size("shingles")).where(F.col("containment") >= containment)
     best = F.max(F.struct("containment", (-F.col("at")).alias("back"))).alias("best")
     return met.groupBy("doc_id", "text_hash", "license").agg(best).select("doc_id", "text_hash", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("first_word"))
@@ -126,13 +124,14 @@ OP1_SQL = f"""
 WITH t AS (SELECT * FROM (VALUES {_values()}) v(template, license, text)),
 tw AS (SELECT template, license, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
 ts AS (SELECT template, license, len(w) - 4 AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s FROM tw),
-tn AS (SELECT template, any_value(license) AS license, any_value(n) AS n, greatest(1, any_value(n) // 4) AS step, count(DISTINCT s) AS distinct_n FROM ts GROUP BY template),
+tc AS (SELECT template, any_value(license) AS license, CAST(pow(2, ceil(log2(any_value(n)))) AS BIGINT) AS class, count(DISTINCT s) AS distinct_n FROM ts GROUP BY template),
+tn AS (SELECT *, greatest(1, class // 4) AS step, class + greatest(1, class // 4) - 1 AS width FROM tc),
 d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 dw AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM d),
 ds AS (SELECT doc_id, text, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s FROM dw WHERE len(w) > 4),
 h AS (SELECT DISTINCT ds.doc_id, ds.text, ds.p, ts.template, ds.s FROM ds JOIN ts ON ds.s = ts.s),
 w AS (
-  SELECT h.doc_id, h.text, h.template, h.s, unnest(range(greatest(0, CAST(ceil((p - (n + step - 1) + 1) / step) AS BIGINT)), p // step + 1)) * step AS place
+  SELECT h.doc_id, h.text, h.template, h.s, unnest(range(greatest(0, CAST(ceil((p - width + 1) / step) AS BIGINT)), p // step + 1)) * step AS place
   FROM h JOIN tn USING (template)),
 c AS (
   SELECT w.doc_id, w.text, license, place, count(DISTINCT s) / any_value(distinct_n) AS containment
