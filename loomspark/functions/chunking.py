@@ -17,17 +17,26 @@ CAPACITY = 1024
 BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 HEADING = re.compile(r"\n(?=#{1,6} )")
 
-#: What begins a symbol, per language family: (kind, pattern after the indent, with the name as its group) (fixed values).
-SYMBOLS = {
-    "python": (("class", "class\\s+(\\w+)"), ("def", "(?:async\\s+)?def\\s+(\\w+)")),
-    "rust": (("fn", "(?:pub\\s+)?(?:async\\s+)?fn\\s+(\\w+)"), ("struct", "(?:pub\\s+)?struct\\s+(\\w+)"), ("enum", "(?:pub\\s+)?enum\\s+(\\w+)"), ("trait", "(?:pub\\s+)?trait\\s+(\\w+)"), ("impl", "impl(?:<[^>]*>)?\\s+(\\w+(?:\\s+for\\s+\\w+)?)"), ("mod", "(?:pub\\s+)?mod\\s+(\\w+)")),
-    "typescript": (("class", "(?:export\\s+)?(?:default\\s+)?class\\s+(\\w+)"), ("interface", "(?:export\\s+)?interface\\s+(\\w+)"), ("type", "(?:export\\s+)?type\\s+(\\w+)"), ("fn", "(?:export\\s+)?(?:async\\s+)?function\\s+(\\w+)"), ("fn", "(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(?:async\\s+)?\\(")),
-    "go": (("fn", "func\\s+(?:\\([^)]+\\)\\s+)?(\\w+)"), ("struct", "type\\s+(\\w+)\\s+struct"), ("interface", "type\\s+(\\w+)\\s+interface"), ("type", "type\\s+(\\w+)")),
-    "ruby": (("class", "class\\s+(\\w+)"), ("module", "module\\s+(\\w+)"), ("def", "def\\s+(\\w+)")),
-    "java": (("class", "(?:public|private|protected)?\\s*(?:static\\s+)?class\\s+(\\w+)"), ("interface", "(?:public|private|protected)?\\s*(?:static\\s+)?interface\\s+(\\w+)"), ("method", "(?:public|private|protected)?\\s*(?:static\\s+)?(?:[\\w<>\\[\\]]+\\s+)(\\w+)\\s*\\(")),
-    "c": (("fn", "(?:static\\s+)?(?:inline\\s+)?(?:\\w+\\s+)+\\*?(\\w+)\\s*\\("), ("struct", "(?:typedef\\s+)?struct\\s+(\\w+)"), ("enum", "(?:typedef\\s+)?enum\\s+(\\w+)")),
+#: Words that open a declaration, per language; the declared name follows.
+OPENERS = {
+    "c": "enum struct union",
+    "cpp": "class enum namespace struct union",
+    "go": "func type",
+    "java": "class enum interface record",
+    "javascript": "class function",
+    "python": "class def",
+    "ruby": "class def module",
+    "rust": "enum fn impl macro_rules mod struct trait union",
+    "typescript": "class enum function interface namespace type",
 }
-FAMILY = {"tsx": "typescript", "javascript": "typescript", "cpp": "c"}
+#: Words that may stand before an opener or a signature.
+MODIFIERS = "abstract async const constexpr default export extern final inline override private protected pub public sealed static typedef unsafe virtual"
+#: Openers that are called otherwise as kinds, languages that follow another's rules, and those whose functions have no opener.
+CALLED = {"func": "fn", "function": "fn"}
+SAME_AS = {"tsx": "typescript"}
+BY_SIGNATURE = {"c": "fn", "cpp": "fn", "java": "method"}
+#: Words that begin statements, which look like signatures otherwise.
+STATEMENTS = "case delete else goto if new return switch throw while for"
 
 
 def split_text(text: str, capacity: int = CAPACITY, headings: bool = False) -> list[str]:
@@ -56,32 +65,50 @@ def chunk_text(docs: DataFrame, capacity: int = CAPACITY, headings: bool = False
     return docs.select("doc_id", "body").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chunk_no long, body string")
 
 
+def symbol_of(line: str | Column, language: str) -> Column:
+    """struct(kind, name) of the declaration that a line begins, null if it begins none."""
+    rules = SAME_AS.get(language, language)
+    lead = f"^\\s*(?:(?:{'|'.join(MODIFIERS.split())})(?:\\([^)]*\\))?\\s+){{0,6}}"
+    opened = f"{lead}({'|'.join(OPENERS[rules].split())})\\b!?(?:<[^>]*>)?\\s+(?:\\([^)]*\\)\\s*)?(?:self[.])?(\\w+(?:\\s+for\\s+\\w+)?)"
+    word = F.regexp_extract(line, opened, 1)
+    table = F.create_map(*[F.lit(x) for pair in CALLED.items() for x in pair])
+    kind = F.coalesce(F.try_element_at(table, word), word)
+    if rules == "go":  # the kind of a named type stands after its name
+        kind = F.coalesce(F.nullif(F.regexp_extract(line, "^\\s*type\\s+\\w+\\s+(struct|interface)\\b", 1), F.lit("")), kind)
+    found = F.when(word != "", F.struct(kind.alias("kind"), F.regexp_extract(line, opened, 2).alias("name")))
+    other = None
+    if rules in ("javascript", "typescript"):
+        other = "fn", F.regexp_extract(line, f"{lead}(?:let|var)?\\s*(\\w+)\\s*=\\s*(?:async\\s*)?(?:function\\b|\\([^=]*=>|\\w+\\s*=>|\\([^)]*$)", 1)
+    elif rules in BY_SIGNATURE:
+        signed = F.regexp_extract(line, "^\\s*(?:[A-Za-z_][\\w<>\\[\\],.:]*[\\s*&]+){1,6}([A-Za-z_][\\w:~]*)\\s*\\([^;]*$", 1)
+        other = BY_SIGNATURE[rules], F.when(F.regexp_extract(line, "^\\s*(\\w+)", 1).isin(*STATEMENTS.split()), "").otherwise(signed)
+    return found if other is None else F.coalesce(found, F.when(other[1] != "", F.struct(F.lit(other[0]).alias("kind"), other[1].alias("name"))))
+
+
 def outline(files: DataFrame) -> DataFrame:
     """(path, line_no, depth, kind, name, text) of every line that begins a symbol; files has (path, body)."""
     lines = files.select("path", language_of("path").alias("language"), F.posexplode(F.split("body", "\r?\n")).alias("at", "text"))
     indent = F.regexp_extract("text", "^(\\s*)", 1)
     depth = F.when(F.contains(indent, F.lit("\t")), F.length(F.regexp_replace(indent, "[^\t]", ""))).otherwise(F.floor(F.length(indent) / 4))
     found = F.lit(None).cast("struct<kind:string,name:string>")
-    for language in sorted({*SYMBOLS, *FAMILY}):
-        rules = SYMBOLS[FAMILY.get(language, language)] + ((("class", "class\\s+(\\w+)"), ("namespace", "namespace\\s+(\\w+)")) if language == "cpp" else ())
-        hit = F.lit(None).cast("struct<kind:string,name:string>")
-        for kind, pattern in reversed(rules):
-            name = F.regexp_extract("text", f"^\\s*{pattern}", 1)
-            hit = F.when(name != "", F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(hit)
-        found = F.when(F.col("language") == language, hit).otherwise(found)
+    for language in sorted({*OPENERS, *SAME_AS}):
+        found = F.when(F.col("language") == language, symbol_of("text", language)).otherwise(found)
     rows = lines.withColumn("s", found).where("s is not null")
     return rows.select("path", (F.col("at") + 1).cast("long").alias("line_no"), depth.cast("long").alias("depth"), F.col("s.kind").alias("kind"), F.col("s.name").alias("name"), "text")
 
 
 def symbol_chunks(files: DataFrame) -> DataFrame:
-    """(path, line_no, end_line, header, body): a chunk per symbol, to the line before the next of depth no greater."""
+    """(path, line_no, end_line, header, body): a chunk per symbol, to the line before the next of depth no greater.
+
+    A symbol closes those of its own and greater depths: one row for each such depth of its file, so that the next row
+    of a symbol's own depth is the one that closes it."""
     symbols = outline(files)
-    after = W.partitionBy("path").orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
-    nexts = F.collect_list(F.struct("depth", "line_no")).over(after)
+    depths = F.collect_set("depth").over(W.partitionBy("path"))
+    rows = symbols.withColumn("depths", depths).select(symbols["*"], F.explode(F.filter("depths", lambda d: d >= F.col("depth"))).alias("closed"))
+    rows = rows.withColumn("next", F.lead("line_no").over(W.partitionBy("path", "closed").orderBy("line_no"))).where("closed = depth")
     body = files.select("path", F.split("body", "\r?\n").alias("lines"))
-    rows = symbols.withColumn("nexts", nexts).join(body, "path")
-    closing = F.get(F.filter("nexts", lambda s: s["depth"] <= F.col("depth")), F.lit(0))["line_no"] - 1
-    rows = rows.withColumn("end_line", F.coalesce(closing, F.size("lines").cast("long")))
+    rows = rows.join(body, "path")
+    rows = rows.withColumn("end_line", F.coalesce(F.col("next") - 1, F.size("lines").cast("long")))
     text = F.array_join(F.slice("lines", F.col("line_no").cast("int"), (F.col("end_line") - F.col("line_no") + 1).cast("int")), "\n")
     name = F.regexp_extract("path", "([^/]+)$", 1)
     header = F.concat(F.lit("# "), "kind", F.lit(" "), "name", F.lit(" ("), name, F.lit(":"), F.col("line_no").cast("string"), F.lit(")"))

@@ -13,10 +13,19 @@ MAX_TERM = 64
 #: Months as they are written in texts (fixed values).
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 SIGMA_DAYS = 15.0
-#: Words that cut off what a query excludes (fixed values).
-EXCLUDING = "besides?|other than|excluding|except(\\s+for)?|not\\s+(about|related to|including|using)?|without|but not|(isn|aren|wasn|weren)['’]t\\s*(about|related to|using)?\\s*"
-NEGATION = f"(?i)\\b({EXCLUDING})\\s+(.+)"
-SPECIFIC = "(?<![\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(-[A-Za-z0-9]+)*(?![\\p{L}\\p{N}_])"
+#: What a query may put before the things it doesn't want: phrases as they are, and these verbs with or without a relation.
+CUES = ("apart from", "aside from", "besides", "but not", "except", "except for", "excluding", "leaving out", "other than", "without")
+DENIED, RELATIONS = ("isn't", "aren't", "wasn't", "weren't"), ("about", "including", "related to", "using")
+
+
+def _cue_pattern() -> str:
+    phrases = [*CUES, *DENIED, *[f"{verb} {relation}" for verb in ("not", *DENIED) for relation in RELATIONS]]
+    spelled = [p.replace("'", "['’]").replace(" ", "\\s+") for p in sorted(phrases, key=len, reverse=True)]
+    return f"(?i)\\b(?:{'|'.join(spelled)})\\s+(.+)"
+
+
+EXCLUSION = _cue_pattern()
+SPECIFIC = "(?<![\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(?:-[A-Za-z0-9]++)*+(?![\\p{L}\\p{N}_])"
 #: File extensions and their languages (fixed values).
 LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "rb": "ruby"}
 #: English function words that feedback terms leave out.
@@ -110,12 +119,13 @@ def proximity(days: str | Column, ranges: str | Column, sigma: float = SIGMA_DAY
 
 def negation(text: str | Column) -> Column:
     """struct(clean, excluded): the query before its exclusion and the excluded terms, lower-cased."""
-    hit = F.regexp_extract(text, NEGATION, 0)
+    hit = F.regexp_extract(text, EXCLUSION, 0)
     whole = text if isinstance(text, Column) else F.col(text)
     before = F.trim(F.when(hit != "", F.substr(whole, F.lit(1), F.position(hit, whole) - 1)).otherwise(F.lit("")))
-    excluded = F.split(F.trim(F.regexp_extract(text, NEGATION, 6)), "(?i)\\s+and\\s+|\\s+or\\s+|,\\s*")
-    excluded = F.filter(F.transform(excluded, lambda t: F.lower(F.trim(t))), lambda t: t != "")
-    return F.struct(F.when((hit != "") & (before != ""), before).otherwise(whole).alias("clean"), F.when(hit != "", excluded).otherwise(F.array().cast("array<string>")).alias("excluded"))
+    listed = F.split(F.trim(F.regexp_extract(text, EXCLUSION, 1)), "(?i)\\s+(?:and|or)\\s+|,\\s*")
+    listed = F.filter(F.transform(listed, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    clean = F.when((hit != "") & (before != ""), before).otherwise(whole)
+    return F.struct(clean.alias("clean"), F.when(hit != "", listed).otherwise(F.array().cast("array<string>")).alias("excluded"))
 
 
 def negation_penalty(body: str | Column, excluded: str | Column) -> Column:
@@ -142,11 +152,19 @@ def without_images(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"\\({data}\\)", "[IMG]"), data, "[IMG]")
 
 
+#: Hosts and first parts of addresses that must not be fetched: this host, private, shared, link-local, benchmark,
+#: multicast and reserved ranges of IPv4; unspecified, loopback, unique-local, link-local and multicast ones of IPv6.
+LOCAL_NAMES = ("", "localhost", "metadata.google.internal")
+LOCAL_V4 = ("0", "10", "127", "100[.](?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])", "169[.]254", "172[.](?:1[6-9]|2[0-9]|3[01])", "192[.]0[.]0", "192[.]168", "198[.]1[89]", "2(?:2[4-9]|[34][0-9]|5[0-5])")
+LOCAL_V6 = ("::1?$", "f[cd][0-9a-f]{2}:", "fe[89ab][0-9a-f]:", "ff[0-9a-f]{2}:")
+
+
 def blocked_url(url: str | Column) -> Column:
-    """Hosts that must not be fetched: local names, metadata services, private, loopback and link-local addresses."""
-    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    named = host.isin("localhost", "metadata.google.internal", "")
-    return named | host.rlike("^(127|10|0)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]")
+    """Hosts that must not be fetched, by name or as IPv4, IPv6 or IPv4-mapped address."""
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\\[[^\\]]*\\]|[^/:?#]+)", 1))
+    bare = F.regexp_replace(F.regexp_replace(host, "^\\[|\\]$", ""), "[.]$", "")
+    v4 = F.regexp_replace(bare, "^::ffff:(?=[0-9]+[.])", "")
+    return bare.isin(*LOCAL_NAMES) | v4.rlike(f"^(?:{'|'.join(LOCAL_V4)})[.]") | (host.startswith("[") & bare.rlike(f"^(?:{'|'.join(LOCAL_V6)})"))
 
 
 def sign_tokens(vec: str | Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.functions.chunking import chunk_files, chunk_text, semantic_chunks, split_text, symbol_chunks
+from loomspark.functions.chunking import chunk_files, chunk_text, outline, semantic_chunks, split_text, symbol_chunks
 from loomspark.functions.stemming import stem
 
 
@@ -31,6 +31,20 @@ def test_negation(spark, text, clean, excluded):
     assert (got["clean"], got["excluded"]) == (clean, excluded)
 
 
+@pytest.mark.parametrize("cue", ["apart from", "except", "except  for", "isn't", "weren’t about", "not related to", "NOT using", "without", "aren't including"])
+def test_cues(spark, cue):
+    assert value(spark, f"big caches {cue} tests, docs", T.negation)["excluded"] == ["tests", "docs"]
+
+
+def test_words_that_only_look_like_cues(spark):
+    for text in ("not now", "exceptional speed wins", "withoutx y"):
+        assert value(spark, text, T.negation)["excluded"] == []
+
+
+def test_specific_terms_of_any_length(spark):
+    assert value(spark, "Abc" + "-x" * 50_000 + " Def stays here", T.should_expand) is False
+
+
 def test_penalty_and_expansion(spark):
     assert value(spark, "uses OAuth and sso", lambda c: T.negation_penalty(c, F.array(F.lit("oauth"), F.lit("sso"), F.lit("x")))) == pytest.approx(0.01)
     assert value(spark, "two words", T.should_expand) is True
@@ -56,7 +70,7 @@ def test_decay(spark):
 
 
 def test_blocked(spark):
-    for url, blocked in [("http://localhost/x", True), ("https://user@10.1.2.3:8080/", True), ("http://172.20.0.1", True), ("http://172.40.0.1", False), ("https://example.org/a", False)]:
+    for url, blocked in [("http://localhost/x", True), ("https://user@10.1.2.3:8080/", True), ("http://172.20.0.1", True), ("http://172.40.0.1", False), ("https://example.org/a", False), ("http://[::1]/", True), ("http://u@[fe80::1]:80/", True), ("http://[2001:db8::1]/", False), ("http://[::ffff:127.0.0.1]/", True), ("http://100.100.1.1", True), ("http://100.128.1.1", False), ("http://224.0.0.1/", True), ("http://10.example.org/", True)]:
         assert value(spark, url, T.blocked_url) is blocked
 
 
@@ -87,6 +101,32 @@ def test_symbols(spark):
     assert got == [(2, 5, "# class A (a.py:2)"), (3, 5, "# def f (a.py:3)"), (6, 7, "# def g (a.py:6)")]
 
 
+SOURCES = {
+    "m.rs": ["pub(crate) async fn run(x: u8) {", "impl<T> Store for Disk {", "    let fn_ = 1;", "struct Point;", "macro_rules! hash {"],
+    "m.ts": ["export default class App {", "export const go = async (x) => {", "function plain() {", "interface Shape {", "const n = 5;", "let f = x => x"],
+    "m.go": ["func (s *Store) Get(k string) string {", "type Store struct {", "type Reader interface {", "type Name string", "var x = 1"],
+    "m.java": ["public static void main(String[] args) {", "  return go(1);", "public final class A {", "protected List<String> names() {", "    call(x);"],
+    "m.cpp": ["namespace net {", "static inline int add(int a, int b) {", "int declared(int a);", "else if (x) {", "class Socket : Base {"],
+    "m.rb": ["module Net", "  def self.open(x)", "class Conn", "x = 1"],
+}
+FOUND = {
+    "m.rs": [("fn", "run"), ("impl", "Store for Disk"), ("struct", "Point"), ("macro_rules", "hash")],
+    "m.ts": [("class", "App"), ("fn", "go"), ("fn", "plain"), ("interface", "Shape"), ("fn", "f")],
+    "m.go": [("fn", "Get"), ("struct", "Store"), ("interface", "Reader"), ("type", "Name")],
+    "m.java": [("method", "main"), ("class", "A"), ("method", "names")],
+    "m.cpp": [("namespace", "net"), ("fn", "add"), ("class", "Socket")],
+    "m.rb": [("module", "Net"), ("def", "open"), ("class", "Conn")],
+}
+
+
+def test_outlines_of_all_languages(spark):
+    files = spark.createDataFrame([(p, "\n".join(lines)) for p, lines in SOURCES.items()], "path string, body string")
+    got = {}
+    for r in outline(files).orderBy("path", "line_no").collect():
+        got.setdefault(r["path"], []).append((r["kind"], r["name"]))
+    assert got == FOUND
+
+
 def test_semantic_chunks(spark):
     rows = [(1, 0, "a", [1.0, 0.0]), (1, 1, "b", [1.0, 0.1]), (1, 2, "c", [0.0, 1.0])]
     got = semantic_chunks(spark.createDataFrame(rows, "doc_id long, pos int, body string, vec array<double>")).orderBy("chunk_no").collect()
