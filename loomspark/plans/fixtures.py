@@ -40,19 +40,16 @@ VECTORS = "vectors AS (SELECT vec_id AS doc_id, 'label:' || label AS corpus, lis
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark item as a query: its first three distinct terms, and the vector of the same number."""
-    text = F.array_join(F.slice(F.array_distinct(T.terms("text")), 1, 3), " ")
-    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), text.alias("text"))
-    return items.join(vectors(spark, sf).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+    """Every benchmark item as a query: its whole text, and the vector of the same number (null if there is none)."""
+    items = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return items.join(vectors(spark, sf).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec")), "qid", "left")
 
 
 def sql_terms(column: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({column}, '{RE}'), lambda t: lower(t)), lambda t: length(t) <= 64)"
 
 
-QUERIES = f"""{VECTORS}, queries AS (
-  SELECT item_id AS qid, array_to_string(list_filter({sql_terms('text')}, lambda t, i: list_position({sql_terms('text')}, t) = i)[1:3], ' ') AS text, v.vec AS qvec
-  FROM benchmark JOIN vectors v ON v.doc_id = item_id)"""
+QUERIES = f"{VECTORS}, queries AS (SELECT item_id AS qid, text, v.vec AS qvec FROM benchmark LEFT JOIN vectors v ON v.doc_id = item_id)"
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -124,7 +124,7 @@ def decay_rerank(spark, sf):
 
 def negation_rerank(spark, sf):
     """Fusion with each query's last term excluded."""
-    excluded = X.queries(spark, sf).select("qid", F.array(F.element_at(F.split("text", " "), -1)).alias("excluded"))
+    excluded = X.queries(spark, sf).select("qid", F.slice(T.terms("text"), F.lit(-1), F.lit(1)).alias("excluded"))
     hits = U.negation_rerank(_hits(spark, sf), X.docs(spark, sf), excluded)
     return U.best(hits, PARAMS).select("qid", "doc_id", R6("rrf"), "rank")
 
@@ -141,7 +141,7 @@ def date_rerank(spark, sf):
 
 def hybrid_search(spark, sf):
     tokens = tokenised(X.docs(spark, sf))
-    asked = X.queries(spark, sf).withColumn("text", F.concat("text", F.lit(" besides "), F.element_at(F.split("text", " "), -1)))
+    asked = X.queries(spark, sf).withColumn("text", F.concat("text", F.lit(" besides "), F.element_at(T.terms("text"), -1)))
     found = U.hybrid_search(X.docs(spark, sf), tokens, X.vectors(spark, sf), asked, X.doc_access(spark, sf), "1", _now(spark, sf), PARAMS)
     return found.select("qid", "doc_id", R6("rrf"), R6("embedding"), R6("bm25"), "rank")
 
@@ -174,7 +174,7 @@ def sql_bm25(name: str, wanted: str, k: int, where: str = "true") -> str:
 def sql_cos(name: str, queries: str, k: int, where: str = "true") -> str:
     return f"""{name} AS (SELECT * FROM (
   SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) - 1 AS rank FROM (
-    SELECT qid, doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM vectors, {queries} WHERE {where})) WHERE rank < {k})"""
+    SELECT qid, doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM vectors, {queries} WHERE qvec IS NOT NULL AND {where})) WHERE rank < {k})"""
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -196,7 +196,8 @@ def sql_best(source: str, columns: str) -> str:
     return f"SELECT {columns}, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM {source} WHERE rrf >= 0.005 AND bm25 >= 0 AND embedding >= 0) WHERE rank <= 10"
 
 
-NOT_LAST = "pen AS (SELECT h.* REPLACE (rrf * CASE WHEN contains(lower(body), string_split(q.text, ' ')[-1]) THEN 0.1 ELSE 1 END AS rrf) FROM {hits} h LEFT JOIN docs USING (doc_id) LEFT JOIN queries q USING (qid))"
+LAST = f"({X.sql_terms('q.text')})[-1]"
+NOT_LAST = "pen AS (SELECT h.* REPLACE (rrf * CASE WHEN contains(lower(body), {last}) THEN 0.1 ELSE 1 END AS rrf) FROM {hits} h LEFT JOIN docs USING (doc_id) LEFT JOIN queries q USING (qid))"
 OUT = "qid, doc_id, round(rrf, 6) AS rrf"
 FULL_OUT = f"{OUT}, round(embedding, 6) AS embedding, round(bm25, 6) AS bm25"
 ASKED = f"WITH {X.VECTORS}, asked AS (SELECT doc_id AS qid, vec AS qvec FROM vectors WHERE doc_id % 100 = 0)"
@@ -231,14 +232,14 @@ extra AS (SELECT qid, doc_id FROM l ANTI JOIN ranked USING (qid, doc_id)), last
 SELECT qid, doc_id, rank FROM ranked UNION ALL SELECT e.qid, e.doc_id, coalesce(last, -1) + row_number() OVER (PARTITION BY e.qid ORDER BY e.doc_id) FROM extra e LEFT JOIN last USING (qid)""",
     ),
     "decay_rerank": (decay_rerank, f"{ALL}, {USED} {sql_best('used', OUT)}"),
-    "negation_rerank": (negation_rerank, f"{ALL}, {NOT_LAST.format(hits='hits')} {sql_best('pen', OUT)}"),
+    "negation_rerank": (negation_rerank, f"{ALL}, {NOT_LAST.format(hits='hits', last=LAST)} {sql_best('pen', OUT)}"),
     "date_rerank": (
         date_rerank,
         f"""WITH {X.DATES}, q AS (SELECT DISTINCT year(days[1]) * 100 + month(days[1]) AS qid, date_trunc('month', days[1]) AS m FROM dates),
 b AS (SELECT year(days[2]) * 100 + month(days[2]) AS qid, doc_id, days FROM dates), j AS (SELECT b.qid, doc_id, unnest(days) AS d, CAST(m AS DATE) AS a, last_day(m) AS z FROM b JOIN q USING (qid)),
 s AS (SELECT qid, doc_id, 0.1 + 1.5 * max(exp(-pow(greatest(0, a - d, d - z), 2) / 450)) AS rrf, 0 AS embedding, 0 AS bm25 FROM j GROUP BY ALL) {sql_best('s', OUT)}""",
     ),
-    "hybrid_search": (hybrid_search, f"{ALL}, {USED}, {NOT_LAST.format(hits='used')} {sql_best('pen', FULL_OUT)}"),
+    "hybrid_search": (hybrid_search, f"{ALL}, {USED}, {NOT_LAST.format(hits='used', last=LAST)} {sql_best('pen', FULL_OUT)}"),
     "recall_metrics": (
         recall_metrics,
         f"""{BASE}, {sql_bm25('b1', 'wanted', 3)}, sz AS (SELECT qid, count(*) AS n FROM wanted GROUP BY qid), rel AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS held FROM tf JOIN wanted USING (term) GROUP BY ALL) JOIN sz USING (qid) WHERE held = n),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_address
+
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -64,9 +66,12 @@ def query_periods(spark, sf):
 
 
 def negation_parse(spark, sf):
-    """Queries built from every benchmark item and the conversation turn of its number."""
-    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.get(T.terms("text"), F.lit(0)), F.lit(" besides "), F.array_join(F.slice(T.terms("text"), 2, 2), " and ")).alias("q"))
-    rows = fence(rows, n=T.negation("q"))
+    """Every conversation turn as a query: its first half, besides the terms of its second."""
+    t = T.terms("text")
+    rows = fence(read_table(spark, sf, "conversations"), t=t)
+    half = F.expr("cast(size(t) div 2 as int)")
+    q = F.concat(F.array_join(F.slice("t", F.lit(1), half), " "), F.lit(" besides "), F.array_join(F.slice("t", half + 1, F.size("t")), ", "))
+    rows = fence(rows.select("conv_id", "turn", q.alias("q")), n=T.negation("q"))
     return rows.select("conv_id", "turn", F.col("n.clean").alias("clean"), F.array_join("n.excluded", "|").alias("excluded"))
 
 
@@ -85,8 +90,17 @@ def clean_base64(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.md5(F.encode(T.without_images(html), "UTF-8")).alias("digest"), F.length(T.without_images(html)).cast("long").alias("length"))
 
 
+#: Addresses of the kinds that pages' own hosts don't have, with and without blocked ones.
+HOSTS = ("10.0.0.{n}", "172.{n}.1.1:80", "100.{n}.0.9", "192.168.{n}.1", "169.254.{n}.{n}", "198.{n}.2.3", "{n}.8.8.8", "127.{n}.0.1", "me@0.0.0.{n}", "localhost:{n}")
+V6 = (("[::1]", True), ("[::]:8080", True), ("[fd00::{n}]", True), ("[fe80::{n}]", True), ("[2001:db8::{n}]", False), ("[::ffff:10.0.0.{n}]", True), ("[::ffff:8.8.8.{n}]", False), ("metadata.google.internal", True))
+RESERVED = (("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("224.0.0.0", "255.255.255.255"))
+
+
 def blocked_url(spark, sf):
-    pages = read_table(spark, sf, "pages").select("page_id", F.explode(F.array("url", F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 256).cast("string"), F.lit("/x")), F.concat(F.lit("http://172."), (F.col("page_id") % 64).cast("string"), F.lit(".1.1:80/")))).alias("url"))
+    """Every page's address, and addresses of all kinds with a number from the page."""
+    n = (F.col("page_id") % 256).cast("string")
+    made = lambda host: F.concat(F.lit("http://"), F.replace(F.lit(host), F.lit("{n}"), n), F.lit("/x"))
+    pages = read_table(spark, sf, "pages").select("page_id", F.explode(F.array("url", *[made(h) for h in HOSTS], *[made(h) for h, _ in V6])).alias("url"))
     return pages.select("page_id", "url", T.blocked_url("url").alias("blocked"))
 
 
@@ -98,9 +112,9 @@ def doc_language(spark, sf):
 
 Q3 = "[{'s': make_date(year(days[1]), 7, 1), 'e': make_date(year(days[1]), 9, 30)}]"
 PERIODS = "list_distinct(flatten(list_transform(days, lambda d: ['month:' || strftime(d, '%Y-%m'), 'quarter:' || strftime(d, '%Y') || '-Q' || quarter(d), 'year:' || strftime(d, '%Y')])))"
-NEG = T.NEGATION.replace("'", "''").replace("(?i)", "")
 DATA = "data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
-BLOCKED = "'^(127|10|0)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]'"
+#: Blocked IPv4 ranges by their first and last address as numbers.
+RANGES = ", ".join(f"({int(ip_address(a))}, {int(ip_address(b))})" for a, b in RESERVED)
 
 QUERIES = {
     "tokenize_terms": (tokenize_terms, f"WITH {X.DOCS}, t AS (SELECT doc_id, unnest({X.sql_terms('body')}) AS term FROM docs) SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM t GROUP BY term"),
@@ -131,7 +145,8 @@ SELECT DISTINCT doc_id, unnest(['month:' || strftime(day, '%Y-%m'), 'quarter:' |
     ),
     "negation_parse": (
         negation_parse,
-        f"WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), q AS (SELECT *, t[1] || ' besides ' || array_to_string(t[2:3], ' and ') AS q FROM t) SELECT conv_id, turn, CASE WHEN len(t) > 1 THEN t[1] ELSE q END AS clean, CASE WHEN q IS NOT NULL THEN array_to_string(t[2:3], '|') END AS excluded FROM q",
+        f"""WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), h AS (SELECT *, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t), q AS (SELECT *, array_to_string(a, ' ') || ' besides ' || array_to_string(b, ', ') AS q FROM h)
+SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN array_to_string(a, ' ') ELSE q END AS clean, array_to_string(b, '|') AS excluded FROM q""",
     ),
     "negation_penalty": (negation_penalty, "SELECT doc_id, round(pow(0.1, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'que') AS INTEGER)), 6) AS penalty FROM documents"),
     "should_expand": (
@@ -145,7 +160,14 @@ SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambd
     ),
     "blocked_url": (
         blocked_url,
-        f"WITH u AS (SELECT page_id, unnest([url, 'http://10.0.0.' || (page_id % 256) || '/x', 'http://172.' || (page_id % 64) || '.1.1:80/']) AS url FROM pages), h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM u) SELECT page_id, url, host IN ('localhost', 'metadata.google.internal', '') OR regexp_matches(host, {BLOCKED}) AS blocked FROM h",
+        f"""WITH n AS (SELECT page_id, url, CAST(page_id % 256 AS VARCHAR) AS n FROM pages),
+u AS (SELECT page_id, url, NULL AS known FROM n
+  UNION ALL SELECT page_id, 'http://' || replace(h, '{{n}}', n) || '/x', NULL FROM n, (VALUES {", ".join(f"('{h}')" for h in HOSTS)}) v(h)
+  UNION ALL SELECT page_id, 'http://' || replace(h, '{{n}}', n) || '/x', known FROM n, (VALUES {", ".join(f"('{h}', {k})" for h, k in V6)}) v(h, known)),
+h AS (SELECT *, split_part(split_part(list_last(string_split(split_part(substr(url, strpos(url, '://') + 3), '/', 1), '@')), ':', 1), '?', 1) AS host FROM u),
+o AS (SELECT *, list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS BIGINT)) AS parts FROM h),
+a AS (SELECT *, CASE WHEN len(parts) = 4 THEN ((parts[1] * 256 + parts[2]) * 256 + parts[3]) * 256 + parts[4] END AS address FROM o)
+SELECT page_id, url, coalesce(known, lower(host) = 'localhost' OR EXISTS (SELECT 1 FROM (VALUES {RANGES}) r(low, high) WHERE address BETWEEN low AND high)) AS blocked FROM a""",
     ),
     "doc_language": (doc_language, "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'tsx' WHEN 4 THEN 'c' END AS language FROM pages"),
 }
