@@ -1,11 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are lower-cased runs of word characters. A document meets the benchmark items with which it shares a seed, a run
-of MIN_MATCH tokens found by a Karp-Rabin hash; hits on one diagonal join up to maximal matches, and the longest match
-whose tokens are all unmarked is marked again and again until none of MIN_MATCH tokens is left. An item's coverage is
-the share of its tokens that tiles mark, in any order, so that reordered passages count; from THRESHOLD on the
-document is contaminated. The items are broadcast in chunks of at most about CHUNK_BYTES, one pass over the documents
-for each, so that what is broadcast stays bounded.
+Tokens are lower-cased runs of word characters, known by a 64-bit hash. A seed is the Karp-Rabin hash of a run of
+MIN_MATCH tokens. One pass over the documents keeps the seeds that a Bloom filter of the benchmark's seeds may hold
+(of bounded size; what it lets through in vain only costs); a join on the seed finds the items that share enough of
+their places with a text, each distinct text and item once. Each such pair is tiled: the longest match of unmarked
+tokens is marked again and again until none of MIN_MATCH tokens is left. An item's coverage is the share of its tokens
+that tiles mark, in any order, so that reordered passages count; from THRESHOLD on the document is contaminated.
 
 Defined results: a null text or item has no tokens and matches nothing; items shorter than MIN_MATCH tokens match as a
 whole; repeated items and repeated rows each get their rows; null ids are kept; extra columns are ignored by
@@ -15,35 +15,53 @@ contaminated() and kept by clean(). An empty benchmark contaminates nothing.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from loomspark.llm.tokens import Kept, hold
+from loomspark.session import materialize
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
-CHUNK_BYTES = 16 << 20
 GROUP_TOKENS = 1 << 18
 CACHE = 150_000
+#: Of the Bloom filter: probes of a seed, bits for each, and the base-2 logarithm of its least and most bits (16 MB).
+PROBES, BITS_EACH, LEAST_BITS, MOST_BITS = 4, 64, 15, 27
+BITMAP = 1 << 15
+#: A text meets so many items in a row of the comparison; a pair with more seed hits is tiled row by row.
+ITEMS_EACH, HITS = 256, 1 << 18
 WORD = re.compile(r"\w+")
-_BASE = 0x9E3779B97F4A7C15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def _hashed(piece: str) -> bytes:
+    return np.array([xxhash.xxh64_intdigest(w) for w in tokens(piece)], np.uint64).tobytes()
+
+
+_known = Kept(_hashed, CACHE)
+
+
+def token_ids(text: str | None) -> np.ndarray:
+    return np.frombuffer(b"".join(map(_known.__getitem__, (text or "").split())), np.uint64)
+
+
 def rolled(ids: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of n ids."""
     size = max(0, len(ids) - n + 1)
-    out = np.zeros(size, np.uint64)
+    out = np.full(size, n, np.uint64)
     for j in range(n):
-        out = out * np.uint64(_BASE) + ids[j : j + size].astype(np.uint64)
+        out = out * _BASE + ids[j : j + size]
     return out
 
 
@@ -68,125 +86,203 @@ def tile(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndar
     return tiles
 
 
-class Benchmark:
-    """Seeds of a bounded number of items."""
-
-    def __init__(self, items: list[tuple], min_match: int = MIN_MATCH):
-        self.vocabulary: dict[str, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.items = [(i, np.array([number(w) for w in tokens(t)], np.int64)) for i, t in items]
-        self.n = min_match
-        seeds: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, ids) in enumerate(self.items):
-            for place, h in enumerate(rolled(ids, n := min(min_match, len(ids))).tolist() if len(ids) else ()):
-                seeds[n][h].append((k, place))
-        self.seeds = {n: (np.array(sorted(s), np.uint64), dict(s)) for n, s in seeds.items()}
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
-
-    def ids(self, text: str) -> np.ndarray:
-        """Token ids of a text, 0 for tokens that no item has."""
-        if "cache" not in self.__dict__:
-            self.cache = Kept(lambda piece: np.array([self.vocabulary.get(w, 0) for w in tokens(piece)], np.int32).tobytes(), CACHE)
-            hold(self.cache)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, text.split())), np.int32).astype(np.int64)
-
-    def _hits(self, docs: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
-        """(document, item) -> seed hits (length, place in document, place in item)."""
-        found: dict[tuple[int, int], list] = defaultdict(list)
-        gap = np.zeros(self.n, np.int64)
-        flat = np.concatenate([x for d in docs for x in (d, gap)])
-        starts = np.cumsum([0, *[len(d) + self.n for d in docs]])
-        for n, (hashes, places) in self.seeds.items():
-            full = flat[: len(flat) - n + 1] > 0
-            for j in range(1, n):
-                full &= flat[j : j + len(full)] > 0
-            at = np.flatnonzero(full)
-            if not len(at):
-                continue
-            h = np.zeros(len(at), np.uint64)
-            for j in range(n):
-                h = h * np.uint64(_BASE) + flat[at + j].astype(np.uint64)
-            hit = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-            own = np.searchsorted(starts, at[hit], side="right") - 1
-            for d, p, x in zip(own.tolist(), (at[hit] - starts[own]).tolist(), h[hit].tolist()):
-                for k, place in places[x]:
-                    found[d, k].append((n, p, place))
-        return found
-
-    def matches(self, texts: list[str | None], threshold: float) -> list[list[tuple]]:
-        """Per text (item id, coverage, tiles) of the items whose coverage reaches threshold."""
-        out: list[list[tuple]] = [[] for _ in texts]
-        docs, rows, held = [], [], 0
-
-        def flush() -> None:
-            for (d, k), hits in sorted(self._hits(docs).items()) if docs else ():
-                item_id, item = self.items[k]
-                n, at_doc, at_item = hits[0][0], *np.array([h[1:] for h in hits]).T
-                if len(np.unique(at_item)) * n < threshold * len(item):  # tiles can't cover enough
-                    continue
-                tiles = tile(docs[d], item, at_doc, at_item, n)
-                coverage = sum(t[2] for t in tiles) / len(item)
-                if coverage >= threshold:
-                    out[rows[d]].append((item_id, coverage, len(tiles)))
-            docs.clear()
-            rows.clear()
-
-        for i, text in enumerate(texts):
-            if text:
-                docs.append(self.ids(text))
-                rows.append(i)
-                held += len(docs[-1])
-                if held > GROUP_TOKENS:
-                    flush()
-                    held = 0
-        flush()
-        return out
-
-
-def chunks(benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
-    """The items in chunks of about chunk_bytes."""
-    rows = benchmark.select("item_id", "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // chunk_bytes + 1
-    for i in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else rows
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]  # about chunk_bytes
+def tile_by_rows(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """The same tiles in memory of the document's size: for each place of the item in turn, the lengths of the matches
+    that end there and at each place of the document."""
+    open_doc, open_item, tiles = np.ones(len(doc), bool), np.ones(len(item), bool), []
+    while True:
+        best, run = (0, 0, 0), np.zeros(len(doc) + 1, np.int32)
+        for q, token in enumerate(item):
+            run[1:] = np.where((doc == token) & open_doc, run[:-1] + 1, 0) if open_item[q] else 0
+            at = int(run.argmax())
+            if run[at] > best[0]:
+                best = int(run[at]), at - int(run[at]), q + 1 - int(run[at])
+        size, at, in_item = best
+        if size < n:
+            return tiles
+        tiles.append((at, in_item, size))
+        open_doc[at : at + size] = open_item[in_item : in_item + size] = False
+
+
+def tiles_of(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH, most_hits: int = HITS) -> list[tuple[int, int, int]]:
+    """Greedy tiles of a pair; matches have min_match tokens or more, or all of a shorter item."""
+    n = min(min_match, len(item))
+    if not n:
+        return []
+    of_doc, of_item = rolled(doc, n), rolled(item, n)
+    order = np.argsort(of_item, kind="stable")
+    low, high = (np.searchsorted(of_item[order], of_doc, side) for side in ("left", "right"))
+    counts = high - low
+    met = np.flatnonzero(counts)
+    total = int(counts[met].sum())
+    if not total:
+        return []
+    if total <= most_hits:
+        at_doc = np.repeat(met, counts[met])
+        nth = np.arange(total) - np.repeat(np.cumsum(counts[met]) - counts[met], counts[met])
+        return tile(doc, item, at_doc, order[np.repeat(low[met], counts[met]) + nth], n)
+    inside = np.zeros(len(doc) + 1, np.int64)  # only runs of places that some seed covers can match
+    np.add.at(inside, met, 1)
+    np.add.at(inside, met + n, -1)
+    kept = np.flatnonzero(np.cumsum(inside[:-1]))
+    breaks = np.flatnonzero(np.diff(kept) > 1) + 1
+    none = np.setdiff1d(np.arange(len(item) + 1, dtype=np.uint64), item)[:1]  # a token that the item lacks
+    where = np.insert(kept, breaks, -1)
+    packed = np.insert(doc[kept], breaks, none)
+    return [(int(where[p]), q, size) for p, q, size in tile_by_rows(packed, item, n)]
+
+
+def coverage(text: str | None, item: str | None, min_match: int = MIN_MATCH) -> tuple[float, int]:
+    """(share of the item's tokens that tiles of the text mark, number of tiles)."""
+    doc, own = token_ids(text), token_ids(item)
+    tiles = tiles_of(doc, own, min_match)
+    return (sum(t[2] for t in tiles) / len(own) if len(own) else 0.0), len(tiles)
+
+
+def _text_key(text: str) -> list[Column]:
+    """A text by 128 bits."""
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
+
+
+def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """(ia, ib, text, n, size, seeds) of each distinct item text with tokens: its seeds of n tokens by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_known)
+        for batch in batches:
+            ids = [token_ids(t) for t in batch.column("text").to_pylist()]
+            lengths = [min(MIN_MATCH, len(i)) for i in ids]
+            seeds = [rolled(i, n).view(np.int64) if n else np.zeros(0, np.int64) for i, n in zip(ids, lengths)]
+            made = [pa.array(lengths, pa.int32()), pa.array([len(i) for i in ids], pa.int64()), pa.array(seeds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["ia", "ib", "text", "n", "size", "seeds"])
+
+    rows = benchmark.where("text is not null").select(*[c.alias(f"i{name}") for c, name in zip(_text_key("text"), "ab")], "text").dropDuplicates(["ia", "ib"])
+    return rows.mapInArrow(run, "ia long, ib long, text string, n int, size long, seeds array<long>").where("n > 0")
+
+
+def bloom(seeds: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of seeds (seed): at most 2^MOST_BITS bits reach the driver, whatever the number of seeds."""
+    n = seeds.count()
+    mask = (1 << min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))) - 1
+    step = F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(1))
+    at = seeds.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: (F.col("seed").bitwiseAND(F.lit(mask)) + i * step).bitwiseAND(F.lit(mask)))).alias("at"))
+    parts = at.groupBy(F.expr(f"at div {BITMAP}").alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP))).alias("bits"))
+    out = np.zeros((mask + 1) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"] * BITMAP // 8 :][: BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _may_hold(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Places of seeds that the filter may hold."""
+    mask, found = np.uint64(len(bits) * 8 - 1), np.arange(len(seeds))
+    for i in range(PROBES):
+        own = seeds[found]
+        at = ((own & mask) + np.uint64(i) * ((own >> np.uint64(32)) & mask | np.uint64(1))) & mask
+        found = found[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    return found
+
+
+def seeded(docs: DataFrame, lengths: list[int], bits: np.ndarray, every: bool) -> DataFrame:
+    """docs with __seeds, the distinct seeds of a text that the filter may hold; only rows that have some, or every row."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)  # 16 MB at most
+    names = docs.columns
+
+    def found_in(texts: list[np.ndarray]) -> list[np.ndarray]:
+        sizes = np.array([len(t) for t in texts])
+        flat, ends = np.concatenate(texts), np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        left = ends[owner] - np.arange(len(flat)) if len(flat) else np.zeros(0, np.int64)
+        rows, seeds = [], []
+        for n in lengths:
+            hashes = rolled(flat, n)
+            at = _may_hold(held.value, hashes)
+            at = at[left[at] >= n]
+            rows.append(owner[at])
+            seeds.append(hashes[at])
+        rows, seeds = np.concatenate(rows), np.concatenate(seeds)
+        cuts = np.searchsorted(rows[order := np.argsort(rows, kind="stable")], np.arange(1, len(texts)))
+        return [np.unique(s).view(np.int64) for s in np.split(seeds[order], cuts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(_known)
+        for batch in batches:
+            out: list[np.ndarray] = []
+            group: list[np.ndarray] = []
+            size = 0
+            for text in batch.column("text"):
+                group.append(token_ids(text.as_py()))
+                size += len(group[-1])
+                if size > GROUP_TOKENS:
+                    out += found_in(group)
+                    group, size = [], 0
+            out += found_in(group) if group else []
+            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*names, "__seeds"])
+            yield made if every else made.filter(pa.array([len(s) > 0 for s in out], pa.bool_()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__seeds", ArrayType(LongType())))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coverage of the items of each row by its text."""
+    hold(_known)
+    for batch in batches:
+        rows = []
+        for a, b, text, items in zip(*(batch.column(c) for c in ("a", "b", "text", "items"))):
+            doc = token_ids(text.as_py())
+            for item in items.as_py():
+                own = token_ids(item["text"])
+                tiles = tiles_of(doc, own)
+                rows.append((a.as_py(), b.as_py(), item["ia"], item["ib"], sum(t[2] for t in tiles) / len(own), len(tiles)))
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "ia", "ib", "coverage", "n_tiles"])
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, every: bool) -> tuple[DataFrame, DataFrame] | None:
+    """(docs with a, b and __seeds, found): found (a, b, ia, ib, coverage, n_tiles) of texts and items; None if the
+    benchmark has no tokens."""
+    items = materialize(item_seeds(benchmark), "items")
+    lengths = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # MIN_MATCH numbers at most
+    if not lengths:
+        return None
+    own = items.select("ia", "ib", "n", "size", F.explode("seeds").alias("seed"))
+    bits = bloom(own.select("seed").distinct())
+    marked = seeded(docs, lengths, bits, every).select("*", *[c.alias(f"__{name}") for c, name in zip(_text_key("text"), "ab")])
+    marked = materialize(marked, "seeded")
+    texts = marked.where(F.size("__seeds") > 0).select(F.col("__a").alias("a"), F.col("__b").alias("b"), "text", F.col("__seeds").alias("seeds")).dropDuplicates(["a", "b"])
+    texts = materialize(texts, "seeded-texts")
+    met = texts.select("a", "b", F.explode("seeds").alias("seed")).join(own, "seed")
+    pairs = met.groupBy("a", "b", "ia", "ib").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("size").alias("size"))
+    pairs = pairs.where(F.col("places") * F.col("n") >= threshold * F.col("size"))  # tiles can't cover more
+    part = F.pmod(F.xxhash64("ia", "ib"), F.ceil(F.count("*").over(W.partitionBy("a", "b")) / ITEMS_EACH))
+    asked = pairs.withColumn("part", part).join(items.select("ia", "ib", F.col("text").alias("item")), ["ia", "ib"])
+    asked = asked.groupBy("a", "b", "part").agg(F.collect_list(F.struct("ia", "ib", F.col("item").alias("text"))).alias("items"))
+    rows = asked.join(texts.select("a", "b", "text"), ["a", "b"]).select("a", "b", "text", "items")
+    found = rows.mapInArrow(_compared, "a long, b long, ia long, ib long, coverage double, n_tiles int").where(F.col("coverage") >= threshold)
+    return marked, materialize(found, "found")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles) of every document and item with coverage of threshold or more."""
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, n_tiles int"
-    out = None
-    for items in chunks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = held.value.matches(batch.column("text").to_pylist(), threshold)
-                at = [i for i, f in enumerate(found) for _ in f]
-                flat = [x for f in found for x in f]
-                columns = [[x[k] for x in flat] for k in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, kinds)
-        out = part if out is None else out.union(part)
-    return out
+    searched = _search(docs.select("doc_id", "text"), benchmark, threshold, False)
+    if searched is None:
+        kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, coverage double, n_tiles int"
+        return docs.sparkSession.createDataFrame([], kinds)
+    marked, found = searched
+    items = benchmark.select("item_id", *[c.alias(f"i{name}") for c, name in zip(_text_key("text"), "ab")])
+    rows = marked.select("doc_id", F.col("__a").alias("a"), F.col("__b").alias("b")).join(found, ["a", "b"])
+    return rows.join(items, ["ia", "ib"]).select("doc_id", "item_id", "coverage", "n_tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that no item contaminates."""
-    for items in chunks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = held.value.matches(batch.column("text").to_pylist(), threshold)
-                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """Rows of docs that no item contaminates. Only rows that share a seed are shuffled."""
+    searched = _search(docs, benchmark, threshold, True)
+    if searched is None:
+        return docs
+    marked, found = searched
+    gone = found.select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct()
+    untouched = marked.where(F.size("__seeds") == 0)
+    return untouched.unionByName(marked.where(F.size("__seeds") > 0).join(gone, ["__a", "__b"], "left_anti").select(*marked.columns)).select(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
