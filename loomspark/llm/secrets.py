@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomspark.session import fence, materialize
 
 SCOPE = 300
+BLOCK = 256
 
 
 def either_case(word: str) -> str:
@@ -28,7 +29,8 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 LOGIN = f"({'|'.join(map(either_case, ('username', 'user', 'login', 'client_?id', 'account_?id')))})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@-]+)"
 OPAQUE = "[A-Za-z0-9+/]+"
-ENDPOINT = "https?://[A-Za-z0-9.-]+(:[0-9]+)?|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(:[0-9]+)?|([a-z0-9-]+[.])+amazonaws[.]com"
+#: Host names are at most 253 characters long; a bounded class, unlike a repeated group, needs no stack in the JVM.
+ENDPOINT = "https?://[A-Za-z0-9.-]+(:[0-9]+)?|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(:[0-9]+)?|[a-z0-9-][a-z0-9.-]{0,252}[.]amazonaws[.]com"
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
@@ -42,14 +44,20 @@ def _spans(text: str, pattern: str, ord_: int, keep) -> Column:
         F.arrays_zip(found.alias("m"), inner.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")),
         lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), keep(x["m"], x["v"]).alias("ok")),
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    # Spans are gathered in blocks of BLOCK, so that a text with very many is not copied again for each.
+    empty = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"), empty.alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         one = F.array(F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + x["n"]).alias("end")))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        full = x["ok"] & (F.size(acc["open"]) >= BLOCK)
+        blocks = F.when(full, F.concat(acc["blocks"], F.array(acc["open"]))).otherwise(acc["blocks"])
+        open_ = F.when(full, one).when(x["ok"], F.concat(acc["open"], one)).otherwise(acc["open"])
+        return F.struct((start + x["n"]).alias("at"), blocks.alias("blocks"), open_.alias("open"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    found = F.aggregate(parts, zero, step, lambda a: F.flatten(F.concat(a["blocks"], F.array(a["open"]))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
 
 
 def _rendered(spans: Column) -> Column:
