@@ -17,6 +17,7 @@ CAPACITY = 1024
 BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 HEADING = re.compile(r"\n(?=#{1,6} )")
 
+NAME = "[\\p{L}\\p{N}_]+"
 #: Words that open a declaration, per language; the declared name follows.
 OPENERS = {
     "c": "enum struct union",
@@ -69,7 +70,7 @@ def symbol_of(line: str | Column, language: str) -> Column:
     """struct(kind, name) of the declaration that a line begins, null if it begins none."""
     rules = SAME_AS.get(language, language)
     lead = f"^\\s*(?:(?:{'|'.join(MODIFIERS.split())})(?:\\([^)]*\\))?\\s+){{0,6}}"
-    opened = f"{lead}({'|'.join(OPENERS[rules].split())})\\b!?(?:<[^>]*>)?\\s+(?:\\([^)]*\\)\\s*)?(?:self[.])?(\\w+(?:\\s+for\\s+\\w+)?)"
+    opened = f"{lead}({'|'.join(OPENERS[rules].split())})\\b!?(?:<[^>]*>)?\\s+(?:\\([^)]*\\)\\s*)?(?:self[.])?({NAME}(?:\\s+for\\s+{NAME})?)"
     word = F.regexp_extract(line, opened, 1)
     table = F.create_map(*[F.lit(x) for pair in CALLED.items() for x in pair])
     kind = F.coalesce(F.try_element_at(table, word), word)

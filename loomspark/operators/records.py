@@ -75,6 +75,17 @@ def list_documents(docs: DataFrame, corpus: str | None = None) -> DataFrame:
     return latest(rows.withColumn("chars", F.length("body").cast("long")), ["doc_id"], F.desc("chars"), F.asc("source_id")).select("doc_id", "source_id", "chars")
 
 
+def clusters(members: DataFrame, most: int = 8, newest: int = 3) -> DataFrame:
+    """(cluster_id, size, recent) of members (cluster_id, doc_id): the largest clusters with their newest members, and the
+    members of all others, if there are any, as one row without an id."""
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("doc_id")))
+    recent = members.withColumn("place", place).where(F.col("place") <= newest).groupBy("cluster_id").agg(F.reverse(F.array_sort(F.collect_list("doc_id"))).alias("recent"))
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    best = sizes.where("cluster_id is not null").orderBy(F.desc("size"), "cluster_id").limit(most).join(recent, "cluster_id")
+    rest = sizes.join(best.select("cluster_id"), "cluster_id", "left_anti").agg(F.sum("size").alias("size")).where("size is not null")
+    return best.select("cluster_id", "size", "recent").unionByName(rest, allowMissingColumns=True)
+
+
 def upsert_documents(old: DataFrame, fresh: DataFrame) -> DataFrame:
     """Documents by doc_id, fresh ones in place of old ones; of repeated fresh ids the largest body counts."""
     once = fresh.groupBy("doc_id").agg(F.max_by(F.struct(*fresh.columns), "body").alias("row")).select("row.*")

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
 from loomspark.operators import analytics as A
 from loomspark.operators import graph as G
+from loomspark.operators import records as R
 from loomspark.operators.components import connected_components
-from loomspark.operators.vector import vector_topk
+from loomspark.operators.vector import hash_embed, vector_topk
 from loomspark.plans import fixtures as X
-from loomspark.session import materialize, read_table
+from loomspark.session import fence, materialize, read_table
 
 AS_OF = "2024-06-01 00:00:00"
-PATH_DEPTH = 6  # of the SQL; the query takes the operator's depth of 10, and has more rows where paths are longer
-ROUNDS = 5
+PATH_DEPTH = 10
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
@@ -44,7 +45,7 @@ def predecessors_topk(spark, sf):
 
 
 def all_edges(spark, sf):
-    return G.all_edges(X.edges(spark, sf)).groupBy("node", "direction").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return G.all_edges(X.edges(spark, sf))
 
 
 def temporal_neighbors(spark, sf):
@@ -59,8 +60,11 @@ def edges_by_type(spark, sf):
     return G.current(X.edges(spark, sf), ("derives_from",)).select("from_id", "to_id", "weight")
 
 
+EDGE_COLUMNS = ("from_id", "to_id", "edge_type", "weight", "invalid_at is null as is_current")
+
+
 def edges_as_of(spark, sf):
-    return G.edges_as_of(X.edges(spark, sf), F.to_timestamp(F.lit("2024-01-03 00:00:00"))).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return G.edges_as_of(X.edges(spark, sf), F.to_timestamp(F.lit("2024-01-03 00:00:00"))).select("from_id", "to_id", "edge_type", "weight")
 
 
 def edge_upsert(spark, sf):
@@ -68,7 +72,7 @@ def edge_upsert(spark, sf):
     base = _edges(spark, sf)
     again = base.where("edge_type = 'related_to'").withColumn("invalid_at", F.lit(None).cast("timestamp"))
     written = again.withColumn("weight", F.lit(0.1)).withColumn("seq", F.lit(1).cast("long")).unionByName(again.withColumn("weight", F.lit(0.2)).withColumn("seq", F.lit(2).cast("long")))
-    return G.upsert(base, written).groupBy("edge_type", F.col("invalid_at").isNull().alias("is_current")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return G.upsert(base, written).selectExpr(*EDGE_COLUMNS)
 
 
 def _old(spark, sf):
@@ -76,25 +80,23 @@ def _old(spark, sf):
 
 
 def invalidate_node(spark, sf):
-    rows = G.invalidate(X.edges(spark, sf), _old(spark, sf), _now())
-    return rows.groupBy("edge_type", F.col("invalid_at").isNull().alias("is_current")).agg(F.count("*").alias("n"))
+    return G.invalidate(X.edges(spark, sf), _old(spark, sf), _now()).selectExpr(*EDGE_COLUMNS)
 
 
 def delete_node(spark, sf):
-    return G.delete(X.edges(spark, sf), _old(spark, sf)).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return G.delete(X.edges(spark, sf), _old(spark, sf)).selectExpr(*EDGE_COLUMNS)
 
 
 def compact_cluster(spark, sf):
     """Each label's vectors under a summary of the label."""
     members = X.vectors(spark, sf).select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("node"), F.concat(F.lit("summary:"), "corpus").alias("summary"))
-    rows = G.compact_clusters(_edges(spark, sf), members, _now())
-    return rows.groupBy("edge_type", F.col("invalid_at").isNull().alias("is_current")).agg(F.count("*").alias("n"))
+    return G.compact_clusters(_edges(spark, sf), members, _now()).selectExpr(*EDGE_COLUMNS)
 
 
 def list_clusters(spark, sf):
-    """Labels as clusters: size, first members and the share of vectors; the largest first."""
-    v = X.vectors(spark, sf)
-    return v.groupBy(F.col("corpus").alias("cluster_id")).agg(F.count("*").alias("size"), F.min("doc_id").alias("first_member"))
+    """The eight largest labels as clusters with their three newest members; the rest as one row without a cluster."""
+    v = X.vectors(spark, sf).select(F.col("corpus").alias("cluster_id"), "doc_id")
+    return R.clusters(v).select("cluster_id", "size", F.array_join(F.transform("recent", lambda i: i.cast("string")), ",").alias("recent"))
 
 
 def store_counts(spark, sf):
@@ -146,7 +148,7 @@ def multi_angle_merge(spark, sf):
     v = X.vectors(spark, sf).select(F.col("doc_id").alias("n"), F.col("vec").alias("qvec"))
     angles = s.select("qid", "node", "score", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("angle")).join(v, F.col("n") == F.col("qid") + F.col("angle"))
     asked = angles.select((F.col("qid") * 10 + F.col("angle")).alias("qid"), "node", "score", "qvec")
-    hits = G.beam_search(_edges(spark, sf), _vectors(spark, sf), asked, hops=1)
+    hits = G.beam_search(_edges(spark, sf), _vectors(spark, sf), asked)
     return G.merge_angles(hits.withColumn("qid", F.expr("qid div 10"))).select("qid", "node", R6("score"))
 
 
@@ -166,8 +168,8 @@ def _path_pairs(spark, sf):
 
 
 def shortest_path(spark, sf):
-    paths = G.shortest_paths(_edges(spark, sf), _path_pairs(spark, sf), types=A.DEFAULT_TYPES)
-    return paths.groupBy("pid").agg(F.max("step").alias("length"), F.count("*").alias("nodes"))
+    """Nodes along the path of each pair, with the type of the edge that leads to each."""
+    return G.shortest_paths(_edges(spark, sf), _path_pairs(spark, sf), PATH_DEPTH, A.DEFAULT_TYPES).select("pid", "step", "node", "via")
 
 
 def annotated_edges(spark, sf):
@@ -176,18 +178,18 @@ def annotated_edges(spark, sf):
 
 
 def pagerank_k(spark, sf):
-    return A.pagerank(X.edges(spark, sf), rounds=ROUNDS, tol=0).select("node", F.round("rank", 9).alias("rank"))
+    return A.pagerank(X.edges(spark, sf)).select("node", F.round("rank", 9).alias("rank"))
 
 
 def surprisal_k(spark, sf):
-    return A.surprisal(X.vectors(spark, sf), rounds=ROUNDS, tol=0).select("doc_id", R6("surprisal"), R6("normalized"))
+    return A.surprisal(X.vectors(spark, sf)).select("doc_id", R6("surprisal"), R6("normalized"))
 
 
 def surprisal_incremental(spark, sf):
     """The tenth of the newer half of the vectors that surprises most."""
     v = X.vectors(spark, sf)
     half = v.agg(F.expr("max(doc_id) div 2")).first()[0]
-    return A.incremental_surprisal(v, v.where(F.col("doc_id") > half), 0.1, rounds=ROUNDS, tol=0).select("doc_id", R6("surprisal"))
+    return A.incremental_surprisal(v, v.where(F.col("doc_id") > half), 0.1).select("doc_id", R6("surprisal"))
 
 
 def local_entropy(spark, sf):
@@ -223,7 +225,9 @@ def fiedler(spark, sf):
 
 
 def rmt_novel(spark, sf):
-    return A.rmt_anomalies(X.vectors(spark, sf)).select("doc_id", R6("score"))
+    """Documents under the hashing embedder by their share in its directions beyond chance."""
+    docs = fence(X.docs(spark, sf).select("doc_id", "body"), tokens=T.terms("body"))
+    return A.rmt_anomalies(materialize(docs.select("doc_id", hash_embed("tokens").alias("vec")), "hashed")).select("doc_id", R6("score"))
 
 
 def full_analysis(spark, sf):
@@ -261,37 +265,51 @@ def sql_seen(names: list[str]) -> str:
 
 ASKED = f"{X.VECTORS}, asked AS (SELECT doc_id AS qid, vec AS qvec FROM vectors WHERE doc_id % 100 = 0)"
 KNN = f"knn AS (SELECT * FROM (SELECT a.doc_id AS qid, b.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY round({X.SQL_COS.format(a='a.vec', b='b.vec')}, 9) DESC, b.doc_id) AS rank FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id) WHERE rank <= 5)"
-WALK = ", ".join(
-    f"q{r} AS (SELECT v.doc_id, coalesce(f.flow, 0) AS raw FROM vectors v LEFT JOIN (SELECT k.doc_id, sum(p) / 5 AS flow FROM knn k JOIN p{r - 1} p ON p.doc_id = k.qid GROUP BY k.doc_id) f USING (doc_id)), p{r} AS (SELECT doc_id, raw / sum(raw) OVER () AS p FROM q{r})" for r in range(1, ROUNDS + 1)
-)
-SURPRISE = f"WITH {X.VECTORS}, {KNN}, p0 AS (SELECT doc_id, 1.0 / count(*) OVER () AS p FROM vectors), {WALK}, s AS (SELECT doc_id, -ln(p + 1e-15) AS surprisal FROM p{ROUNDS})"
-RANKS = ", ".join(
-    f"q{r} AS (SELECT n.node, 0.85 * coalesce(f.flow, 0) + 0.15 / (SELECT count(*) FROM nodes) AS raw FROM nodes n LEFT JOIN (SELECT to_id, sum(share * rank) AS flow FROM links JOIN r{r - 1} ON node = from_id GROUP BY to_id) f ON f.to_id = n.node), r{r} AS (SELECT node, raw / sum(raw) OVER () AS rank FROM q{r})" for r in range(1, ROUNDS + 1)
-)
+
+
+def sql_walk(links: str, nodes: str, damping: float, rounds: int, tol: float) -> str:
+    """walk (node, rank, it): rounds of the walk over links (from_id, to_id, share) until the change is below tol; last_ is the last of them."""
+    raw = f"{damping} * coalesce(f.flow, 0) + {round(1 - damping, 9)} / (SELECT count(*) FROM {nodes})"
+    return f"""walk AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM {nodes}) AS rank, 0 AS it, 1.0::DOUBLE AS change FROM {nodes}
+  UNION ALL SELECT node, raw / total, it + 1, sum(abs(raw / total - old)) OVER () FROM (
+    SELECT o.node, o.rank AS old, o.it, {raw} AS raw, sum({raw}) OVER () AS total
+    FROM walk o LEFT JOIN (SELECT to_id, sum(share * rank) AS flow FROM {links} JOIN walk ON node = from_id GROUP BY to_id) f ON f.to_id = o.node WHERE o.it < {rounds} AND o.change >= {tol})),
+last_ AS (SELECT node, rank FROM walk WHERE it = (SELECT max(it) FROM walk))"""
+
+
+SURPRISE = f"""WITH RECURSIVE {X.VECTORS}, {KNN}, links AS MATERIALIZED (SELECT qid AS from_id, doc_id AS to_id, 0.2::DOUBLE AS share FROM knn), nodes AS (SELECT doc_id AS node FROM vectors),
+{sql_walk("links", "nodes", 1.0, 200, 1e-10)}, s AS (SELECT node AS doc_id, -ln(rank + 1e-15) AS surprisal FROM last_)"""
+EDGE_ROW = "from_id, to_id, edge_type, weight"
+ONCE = "d AS (SELECT DISTINCT ON (from_id, to_id, edge_type) * FROM edges ORDER BY from_id, to_id, edge_type, valid_at DESC)"
 
 QUERIES = {
     "neighbors_topk": (neighbors_topk, f"{E}, {sql_near('o', 'from_id', 'to_id', 5)} SELECT node, other, edge_type, weight, rank FROM o"),
     "predecessors_topk": (predecessors_topk, f"{E}, {sql_near('o', 'to_id', 'from_id', 5)} SELECT node, other, edge_type, weight, rank FROM o"),
-    "all_edges": (all_edges, f"{E}, {BOTH} SELECT node, direction, count(*) AS n, round(sum(weight), 6) AS weight FROM both_ GROUP BY ALL"),
+    "all_edges": (all_edges, f"{E}, {BOTH} SELECT node, other, edge_type, weight, direction FROM both_"),
     "temporal_neighbors": (
         temporal_neighbors,
         f"{E}, c AS (SELECT to_id AS node, count(*) AS n FROM cur WHERE edge_type = 'contradicts' GROUP BY to_id) SELECT from_id, to_id, edge_type, round(weight * pow(0.98, greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(valid_at)) / 86400000000.0))) * pow(0.98, coalesce(n, 0)), 6) AS score FROM cur LEFT JOIN c ON node = to_id",
     ),
     "contradiction_count": (contradiction_count, f"{E} SELECT to_id AS node, count(*) AS n FROM cur WHERE edge_type = 'contradicts' GROUP BY to_id"),
     "edges_by_type": (edges_by_type, f"{E} SELECT from_id, to_id, weight FROM cur WHERE edge_type = 'derives_from'"),
-    "edges_as_of": (edges_as_of, f"{E} SELECT edge_type, count(*) AS n FROM edges WHERE valid_at <= TIMESTAMP '2024-01-03' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-03') GROUP BY edge_type"),
-    "edge_upsert": (edge_upsert, f"{E}, d AS (SELECT DISTINCT ON (from_id, to_id, edge_type) * FROM edges ORDER BY from_id, to_id, edge_type, valid_at DESC) SELECT edge_type, edge_type = 'related_to' OR invalid_at IS NULL AS is_current, count(*) AS n, round(sum(CASE WHEN edge_type = 'related_to' THEN 0.2 ELSE weight END), 6) AS weight FROM d GROUP BY ALL"),
-    "invalidate_node": (invalidate_node, f"{E} SELECT edge_type, invalid_at IS NULL AND from_id NOT IN (SELECT 'v' || vec_id FROM embeddings WHERE label = 0) AS is_current, count(*) AS n FROM edges GROUP BY ALL"),
-    "delete_node": (delete_node, f"{E}, g AS (SELECT 'v' || vec_id AS node FROM embeddings WHERE label = 0) SELECT edge_type, count(*) AS n FROM edges WHERE from_id NOT IN (SELECT node FROM g) AND to_id NOT IN (SELECT node FROM g) GROUP BY edge_type"),
+    "edges_as_of": (edges_as_of, f"{E} SELECT {EDGE_ROW} FROM edges WHERE valid_at <= TIMESTAMP '2024-01-03' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-03')"),
+    "edge_upsert": (edge_upsert, f"{E}, {ONCE} SELECT from_id, to_id, edge_type, CASE WHEN edge_type = 'related_to' THEN 0.2::DOUBLE ELSE weight END AS weight, edge_type = 'related_to' OR invalid_at IS NULL AS is_current FROM d"),
+    "invalidate_node": (invalidate_node, f"{E} SELECT {EDGE_ROW}, invalid_at IS NULL AND from_id NOT IN (SELECT 'v' || vec_id FROM embeddings WHERE label = 0) AS is_current FROM edges"),
+    "delete_node": (delete_node, f"{E}, g AS (SELECT 'v' || vec_id AS node FROM embeddings WHERE label = 0) SELECT {EDGE_ROW}, invalid_at IS NULL AS is_current FROM edges WHERE from_id NOT IN (SELECT node FROM g) AND to_id NOT IN (SELECT node FROM g)"),
     "compact_cluster": (
         compact_cluster,
-        f"{E}, m AS (SELECT 'v' || vec_id AS node FROM embeddings), d AS (SELECT DISTINCT ON (from_id, to_id, edge_type) * FROM edges ORDER BY from_id, to_id, edge_type, valid_at DESC), x AS (SELECT edge_type, invalid_at IS NULL AND from_id NOT IN (SELECT node FROM m) AND to_id NOT IN (SELECT node FROM m) AS is_current FROM d UNION ALL SELECT 'derives_from', true FROM m) SELECT edge_type, is_current, count(*) AS n FROM x GROUP BY ALL",
+        f"{E}, m AS (SELECT 'v' || vec_id AS node, 'summary:label:' || label AS summary FROM embeddings), {ONCE} SELECT {EDGE_ROW}, invalid_at IS NULL AND from_id NOT IN (SELECT node FROM m) AND to_id NOT IN (SELECT node FROM m) AS is_current FROM d UNION ALL SELECT summary, node, 'derives_from', 1.0::DOUBLE, true FROM m",
+    ),
+    "list_clusters": (
+        list_clusters,
+        """WITH c AS (SELECT 'label:' || label AS cluster_id, count(*) AS size, array_to_string(list(vec_id ORDER BY vec_id DESC)[1:3], ',') AS recent FROM embeddings GROUP BY label), t AS (SELECT * FROM c ORDER BY size DESC, cluster_id LIMIT 8)
+SELECT * FROM t UNION ALL SELECT NULL, CAST((SELECT count(*) FROM embeddings) - sum(size) AS BIGINT), NULL FROM t HAVING (SELECT count(*) FROM embeddings) > sum(size)""",
     ),
-    "list_clusters": (list_clusters, "SELECT 'label:' || label AS cluster_id, count(*) AS size, min(vec_id) AS first_member FROM embeddings GROUP BY label"),
     "store_counts": (store_counts, f"{E} SELECT corpus, count(*) AS edge_count, count(*) FILTER (invalid_at IS NULL) AS current_count, count(DISTINCT edge_type) AS types FROM edges GROUP BY corpus"),
     "common_neighbors": (
         common_neighbors,
-        f"{E}, {BOTH}, nb AS (SELECT DISTINCT node, other FROM both_), p AS (SELECT DISTINCT from_id AS a, to_id AS b FROM cur WHERE edge_type = 'related_to' AND from_id < to_id) SELECT a || '|' || b AS gid, x.other AS node FROM p JOIN nb x ON x.node = a JOIN nb y ON y.node = b AND y.other = x.other",
+        f"""{E}, {BOTH}, nb AS MATERIALIZED (SELECT DISTINCT node, other FROM both_), p AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM cur WHERE edge_type = 'related_to' AND from_id < to_id), x AS MATERIALIZED (SELECT a, b, other FROM p JOIN nb ON node = a)
+SELECT a || '|' || b AS gid, x.other AS node FROM x JOIN nb y ON y.node = x.b AND y.other = x.other""",
     ),
     "source_edges": (source_edges, "SELECT vec_id AS from_id, unnest([vec_id // 2, vec_id // 3]) AS to_id, CASE WHEN vec_id % 7 = 0 THEN 'contradicts' ELSE 'derives_from' END AS edge_type, CAST(CASE WHEN vec_id % 7 = 0 THEN 0.85 ELSE 0.9 END AS DOUBLE) AS weight FROM embeddings"),
     "same_tag_edges": (same_tag_edges, "WITH c AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), e AS (SELECT p AS from_id, doc_id AS to_id FROM c WHERE p IS NOT NULL) SELECT *, 'same_tag' AS edge_type, CAST(0.6 AS DOUBLE) AS weight FROM (SELECT * FROM e UNION ALL SELECT to_id, from_id FROM e)"),
@@ -304,7 +322,7 @@ QUERIES = {
     "beam_search_mmr": (beam_search_mmr, None),
     "multi_angle_merge": (
         multi_angle_merge,
-        f"{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec FROM embeddings e, (SELECT unnest(range(3)) AS a) JOIN embeddings q ON q.vec_id = e.vec_id + a WHERE e.vec_id % 100 = 0), {sql_hop(1, S0)} SELECT qid // 10 AS qid, node, round(max(score), 6) AS score FROM f1 GROUP BY ALL",
+        f"{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec FROM embeddings e, (SELECT unnest(range(3)) AS a) JOIN embeddings q ON q.vec_id = e.vec_id + a WHERE e.vec_id % 100 = 0), {sql_hop(1, S0)}, {sql_hop(2, S1)} SELECT qid // 10 AS qid, node, round(max(score), 6) AS score FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) GROUP BY ALL",
     ),
     "graph_expand": (
         graph_expand,
@@ -318,15 +336,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC,
     ),
     "shortest_path": (
         shortest_path,
-        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS (SELECT from_id AS node, to_id AS other FROM cur UNION SELECT to_id, from_id FROM cur),
+        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT node, other, min(edge_type) AS via FROM (SELECT from_id AS node, to_id AS other, edge_type FROM cur UNION ALL SELECT to_id, from_id, edge_type FROM cur) GROUP BY ALL),
 p AS (SELECT vec_id AS pid, 'v' || vec_id AS a, 'v' || (vec_id - 100) AS b FROM embeddings WHERE vec_id % 100 = 0 AND vec_id > 0),
-bfs AS (SELECT pid, a AS node, 0 AS d FROM p UNION SELECT pid, other, d + 1 FROM bfs JOIN adj USING (node) WHERE d < {PATH_DEPTH})
-SELECT p.pid, CAST(min(d) AS BIGINT) AS length, CAST(min(d) + 1 AS BIGINT) AS nodes FROM p JOIN bfs ON bfs.pid = p.pid AND bfs.node = p.b GROUP BY p.pid""",
+bfs AS (SELECT pid, a AS node, 0 AS d FROM p UNION SELECT pid, other, d + 1 FROM bfs JOIN adj USING (node) WHERE d < {PATH_DEPTH}),
+dist AS MATERIALIZED (SELECT pid, node, min(d) AS d FROM bfs GROUP BY ALL),
+up AS MATERIALIZED (SELECT c.pid, c.node, c.d, min(CASE WHEN q.node IS NOT NULL THEN {{'node': q.node, 'via': a.via}} END) AS p FROM dist c LEFT JOIN adj a ON a.other = c.node LEFT JOIN dist q ON q.pid = c.pid AND q.node = a.node AND q.d = c.d - 1 GROUP BY c.pid, c.node, c.d),
+path AS (SELECT u.* FROM up u JOIN p ON u.pid = p.pid AND u.node = p.b UNION ALL SELECT u.* FROM path x JOIN up u ON u.pid = x.pid AND u.node = x.p.node)
+SELECT pid, CAST(d AS BIGINT) AS step, node, p.via AS via FROM path""",
     ),
     "annotated_edges": (annotated_edges, f"{E}, {sql_near('o', 'from_id', 'to_id', 3)}, {SEEDS}, a AS (SELECT node, string_agg(edge_type || ':' || other, ',' ORDER BY rank) AS edges FROM o GROUP BY node) SELECT qid, node, edges FROM f0 LEFT JOIN a USING (node)"),
     "pagerank_k": (
         pagerank_k,
-        f"{E}, w AS (SELECT from_id, to_id, sum(weight) AS w FROM cur WHERE edge_type <> 'occurred_in' GROUP BY ALL), links AS (SELECT from_id, to_id, w / sum(w) OVER (PARTITION BY from_id) AS share FROM w), nodes AS (SELECT from_id AS node FROM links UNION SELECT to_id FROM links), r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes), {RANKS} SELECT node, round(rank, 9) AS rank FROM r{ROUNDS}",
+        f"""{E.replace('WITH', 'WITH RECURSIVE', 1)}, w AS (SELECT from_id, to_id, sum(weight) AS w FROM cur WHERE edge_type <> 'occurred_in' GROUP BY ALL), links AS MATERIALIZED (SELECT from_id, to_id, w / sum(w) OVER (PARTITION BY from_id) AS share FROM w), nodes AS MATERIALIZED (SELECT from_id AS node FROM links UNION SELECT to_id FROM links),
+{sql_walk("links", "nodes", 0.85, 100, 1e-6)} SELECT node, round(rank, 9) AS rank FROM last_""",
     ),
     "surprisal_k": (surprisal_k, f"{SURPRISE} SELECT doc_id, round(surprisal, 6) AS surprisal, round((surprisal - min(surprisal) OVER ()) / (max(surprisal) OVER () - min(surprisal) OVER ()), 6) AS normalized FROM s"),
     "surprisal_incremental": (surprisal_incremental, f"{SURPRISE}, h AS (SELECT max(doc_id) // 2 AS half FROM vectors), n AS (SELECT s.*, row_number() OVER (ORDER BY round(surprisal, 9) DESC, doc_id) AS k, count(*) OVER () AS c FROM s, h WHERE doc_id > half) SELECT doc_id, round(surprisal, 6) AS surprisal FROM n WHERE k <= greatest(1, floor(c * 0.1))"),
@@ -338,7 +360,14 @@ x AS (SELECT e.node, d.degree AS a, greatest(0, d.degree - e.own) AS b, sum(d.de
 SELECT node, round(abs(sum(CASE WHEN a > 0 THEN -(a / ta) * log2(a / ta) ELSE 0 END) - sum(CASE WHEN b > 0 THEN -(b / tb) * log2(b / tb) ELSE 0 END)), 6) AS production FROM x GROUP BY node""",
     ),
     "degree_stats": (degree_stats, f"{E}, {BOTH} SELECT node, count(*) AS degree, count(DISTINCT other) AS neighbors, round(sum(weight), 6) AS weight FROM both_ GROUP BY node"),
-    "components": (components, None),
+    "components": (
+        components,
+        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur),
+r AS (SELECT a AS node, a AS root, 0 AS it, 1::HUGEINT AS moved FROM (SELECT DISTINCT a FROM adj)
+  UNION ALL SELECT node, fresh, it + 1, sum(CAST(fresh <> root AS INTEGER)) OVER () FROM (
+    SELECT o.node, o.root, o.it, least(o.root, m.root) AS fresh FROM r o JOIN (SELECT b AS node, min(root) AS root FROM adj JOIN r ON node = a GROUP BY b) m USING (node) WHERE o.moved > 0))
+SELECT node, root FROM r WHERE it = (SELECT max(it) FROM r)""",
+    ),
     "session_components": (
         session_components,
         f"WITH RECURSIVE {X.EDGES}, cur AS (SELECT from_id, to_id FROM edges WHERE invalid_at IS NULL AND edge_type = 'co_session'), adj AS (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur), r AS (SELECT a AS node, a AS reach FROM adj UNION SELECT r.node, b FROM r JOIN adj ON a = reach), m AS (SELECT node, min(reach) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM m GROUP BY root",

@@ -83,15 +83,15 @@ def upsert_documents(spark, sf):
 
 
 def text_chunks(spark, sf):
-    rows = C.chunk_text(X.docs(spark, sf))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("body")).cast("long").alias("longest"), F.sum(F.length(F.regexp_replace("body", "\\s", ""))).alias("letters"))
+    return C.chunk_text(X.docs(spark, sf)).select("doc_id", "chunk_no", F.md5(F.encode("body", "UTF-8")).alias("digest"), F.length("body").cast("long").alias("chars"))
 
 
 def code_symbols(spark, sf):
-    """Every page's address as a Python file: a class and two functions named after the page."""
-    n = F.col("page_id").cast("string")
-    body = F.concat(F.lit("class Page"), n, F.lit(":\n    def title"), n, F.lit("(self):\n        return 1\n\nasync def fetch"), n, F.lit("():\n    pass\n"))
-    return C.symbol_chunks(read_table(spark, sf, "pages").select(F.concat("url", F.lit("/page.py")).alias("path"), body.alias("body"), "page_id").select("path", "body").distinct()).select("path", "line_no", "end_line", "header")
+    """Every document's terms as the names of a Python file's classes, each with two functions."""
+    line = lambda t, i: F.when(i % 3 == 0, F.concat(F.lit("class "), t, F.lit(":"))).otherwise(F.concat(F.lit("    def "), t, F.lit("(self):")))
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    files = fence(X.docs(spark, sf).select(path.alias("path"), "body"), t=T.terms("body")).select("path", F.array_join(F.transform("t", line), "\n").alias("body"))
+    return C.symbol_chunks(files).select("path", "line_no", "end_line", "header")
 
 
 def semantic_chunks(spark, sf):
@@ -99,11 +99,11 @@ def semantic_chunks(spark, sf):
     rows = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(C.sentences("text")).alias("pos", "body"))
     rows = fence(rows, tokens=T.terms("body"))
     rows = fence(rows, vec=hash_embed("tokens"))
-    return C.semantic_chunks(rows.select("doc_id", "pos", "body", "vec"), 0.1).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return C.semantic_chunks(rows.select("doc_id", "pos", "body", "vec"), 0.1).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.encode("body", "UTF-8")).alias("digest"))
 
 
 def stemmed_terms(spark, sf):
-    rows = X.docs(spark, sf).where("corpus = 'lang:en'").select(F.explode(stems(T.terms("body"))).alias("stem"))
+    rows = X.docs(spark, sf).select(F.explode(stems(T.terms("body"))).alias("stem"))
     return rows.groupBy("stem").agg(F.count("*").alias("n"))
 
 
@@ -153,7 +153,8 @@ QUERIES = {
     "text_chunks": (text_chunks, None),
     "code_symbols": (
         code_symbols,
-        "WITH p AS (SELECT DISTINCT url || '/page.py' AS path, page_id FROM pages) SELECT path, unnest([1, 2, 5])::BIGINT AS line_no, unnest([4, 4, 7])::BIGINT AS end_line, unnest(['# class Page' || page_id || ' (page.py:1)', '# def title' || page_id || ' (page.py:2)', '# def fetch' || page_id || ' (page.py:5)']) AS header FROM p",
+        f"""WITH {X.DOCS}, t AS (SELECT doc_id, {X.sql_terms('body')} AS t FROM docs), r AS (SELECT doc_id, len(t) AS n, unnest(t) AS name, unnest(range(1, len(t) + 1)) AS line_no FROM t)
+SELECT 'docs/' || doc_id || '.py' AS path, line_no, CASE WHEN line_no % 3 = 1 THEN least(line_no + 2, n) ELSE line_no END AS end_line, '# ' || CASE WHEN line_no % 3 = 1 THEN 'class ' ELSE 'def ' END || name || ' (' || doc_id || '.py:' || line_no || ')' AS header FROM r""",
     ),
     "semantic_chunks": (semantic_chunks, None),
     "stemmed_terms": (stemmed_terms, None),

@@ -213,7 +213,12 @@ QUERIES = {
     "find_similar": (find_similar, f"{ASKED}, {sql_cos('cos', 'asked', 5, 'qid <> doc_id')} SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM cos WHERE sim >= 0.2"),
     "max_similarity": (max_similarity, f"{ASKED}, {sql_cos('cos', 'asked', 1, 'qid <> doc_id')} SELECT qid, round(sim, 6) AS max_sim FROM cos"),
     "dedup_exact": (dedup_exact, f"{DOUBLED} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT b FROM near)"),
-    "dedup_greedy": (dedup_greedy, None),
+    "dedup_greedy": (
+        dedup_greedy,
+        f"""{DOUBLED.replace('WITH', 'WITH RECURSIVE', 1)}, o AS MATERIALIZED (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) AS i, coalesce(x.others, []) AS others FROM d LEFT JOIN (SELECT b, list(a) AS others FROM near GROUP BY b) x ON x.b = d.doc_id),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1)
+SELECT unnest(kept) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)""",
+    ),
     "bulk_edges": (bulk_edges, f"{PAIRS} SELECT a AS from_id, b AS to_id, round(sim, 4) AS weight FROM pairs UNION ALL SELECT b, a, round(sim, 4) FROM pairs"),
     "similarity_classes": (similarity_classes, f"{PAIRS}, ends AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY c) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM cls LEFT JOIN ends ON c = class_id"),
     "prf_terms": (prf_terms, f"{BASE}, {sql_cos('cos', 'queries', 40)}, {PRF} SELECT qid, expansion FROM expansion"),
