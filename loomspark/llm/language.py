@@ -29,6 +29,7 @@ EMBED = 8
 PER_LANGUAGE = 400
 TRAIN_DOCS = 25_600
 WINDOWS_EACH = 3
+SPARE = 4
 EPOCHS = 6
 BATCH = 64
 FOLDS, HELD_OUT = 4, 2
@@ -87,24 +88,8 @@ class ByteNetwork:
         for _ in range(epochs):
             order = rng.permutation(len(labels))
             for i in range(0, len(order), BATCH):
-                own, x = labels[order[i : i + BATCH]], cut[order[i : i + BATCH]]
-                found = self.responses(x, self.tables())
-                tops = [y.argmax(1) for y in found]
-                pooled = np.concatenate([y.max(1) for y in found], 1) + self.p["shift"]
-                hidden, probs = np.maximum(pooled, 0), self._softmax(pooled - self.p["shift"])
-                probs[np.arange(len(own)), own] -= 1
-                d = probs * weight[own, None] / len(own)
-                grad = {"out": hidden.T @ d, "bias": d.sum(0), "embed": np.zeros_like(self.p["embed"])}
-                dh = (d @ self.p["out"].T) * (pooled > 0)
-                grad["shift"] = dh.sum(0)
-                for a, w in enumerate(WIDTHS):
-                    part, kernel = dh[:, a * FILTERS : (a + 1) * FILTERS], self.p[f"w{w}"]
-                    grad[f"w{w}"] = np.zeros_like(kernel)
-                    for j in range(w):
-                        seen = x[np.arange(len(x))[:, None], tops[a] + j]
-                        grad[f"w{w}"][j] = np.einsum("bfe,bf->ef", self.p["embed"][seen], part)
-                        np.add.at(grad["embed"], seen, part[:, :, None] * kernel[j].T[None])
-                grad["embed"][0] = 0
+                part = order[i : i + BATCH]
+                grad = self.gradients(cut[part], labels[part], weight[labels[part]])
                 t += 1
                 for n, g in grad.items():
                     m[n] = 0.9 * m[n] + 0.1 * g
@@ -112,6 +97,27 @@ class ByteNetwork:
                     self.p[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.999**t)) + 1e-8)
         self.p["embed"][0] = 0
 
+    def gradients(self, x: np.ndarray, own: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross entropy of windows x with labels own, by parameter."""
+        found = self.responses(x, self.tables())
+        tops = [y.argmax(1) for y in found]
+        pooled = np.concatenate([y.max(1) for y in found], 1) + self.p["shift"]
+        hidden, probs = np.maximum(pooled, 0), self._softmax(pooled - self.p["shift"])
+        probs[np.arange(len(own)), own] -= 1
+        d = probs * weight[:, None] / len(own)
+        grad = {"out": hidden.T @ d, "bias": d.sum(0), "embed": np.zeros_like(self.p["embed"])}
+        dh = (d @ self.p["out"].T) * (pooled > 0)
+        grad["shift"] = dh.sum(0)
+        for a, w in enumerate(WIDTHS):
+            part, kernel = dh[:, a * FILTERS : (a + 1) * FILTERS], self.p[f"w{w}"]
+            grad[f"w{w}"] = np.zeros_like(kernel)
+            for j in range(w):
+                seen = x[np.arange(len(x))[:, None], tops[a] + j]
+                grad[f"w{w}"][j] = np.einsum("bfe,bf->ef", self.p["embed"][seen], part)
+                np.add.at(grad["embed"], seen, part[:, :, None] * kernel[j].T[None])
+        grad["embed"][0] = 0
+        return grad
+
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -123,18 +129,34 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("lang", pa.string()), ("bytes", pa.binary())]))
 
 
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """(doc_id, own, key) of the documents to learn from, own being the language: of each the smallest hashes key outside
+    the held-out fold, at most TRAIN_DOCS in all or one of each language; None if nothing is labelled."""
+    rows = _known(docs).select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language, as the model has
+    if not sizes:
+        return None
+    per_language = max(1, min(per_language, TRAIN_DOCS // len(sizes)))
+    # About SPARE times as many rows as wanted lie below a language's bound, whatever its size, so that no task sorts it whole.
+    bounds = [(r["lang"], min(1.0, (SPARE * per_language + 64) / r["n"])) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bounds, "own string, bound double")
+    rows = rows.join(F.broadcast(bounds), F.col("lang") == F.col("own")).where(F.col("key").cast("double") / 2.0**64 + 0.5 <= F.col("bound"))
+    chosen = rows.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("place") <= per_language)
+    return chosen.select("doc_id", "own", "key")
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
+    return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork | None:
     """A network for the languages of docs outside the held-out fold; None if nothing is labelled."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
-    number = known.select("lang").distinct().count()
-    per_language = max(1, min(per_language, TRAIN_DOCS // max(number, 1)))
-    rows = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).distinct()
-    chosen = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= per_language)
-    chosen = chosen.select("doc_id", F.col("lang").alias("own"), "key")  # at most TRAIN_DOCS rows, or one of each language
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("lang = own").groupBy("doc_id", "lang", "key").agg(F.min("text").alias("text"))
-    sample = texts.select("text", "lang", "key").mapInArrow(_sample, "key long, lang string, bytes binary").toPandas()
-    if sample.empty:
+    chosen = training_rows(docs, per_language)
+    if chosen is None:
         return None
+    texts = _known(docs).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("lang = own").groupBy("doc_id", "lang", "key").agg(F.min("text").alias("text"))
+    sample = texts.select("text", "lang", "key").mapInArrow(_sample, "key long, lang string, bytes binary").toPandas()
     sample = sample.sort_values(["key", "lang", "bytes"])
     languages = sorted(sample["lang"].unique())
     network = ByteNetwork(languages)
