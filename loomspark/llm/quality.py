@@ -111,8 +111,8 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _train(rows: pd.DataFrame) -> pd.DataFrame:
-    """Weights (at, w) of a model of one group's rows, and a row at -1."""
+def _train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Weights (part, at, w) of a model of one group's rows, and a row at -1."""
     found = []
     for row in rows.sort_values(["key", "doc_id"]).itertuples():
         words = (row.text or "").split()
@@ -125,7 +125,7 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
             model.learn(*row)
     w = model.weights(slice(None))
     at = np.flatnonzero(w)
-    return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], 1.0)})
+    return pd.DataFrame({"part": key[0], "at": np.append(at, -1), "w": np.append(w[at], 1.0)})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
@@ -139,8 +139,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> np.ndarray | None:
     """Weights by hash, the bias last; None without labelled documents."""
     rows = training_rows(docs, labels, most).withColumn("key", F.xxhash64("doc_id"))
-    found = rows.groupBy(F.pmod("key", F.lit(PARTS)).alias("part")).applyInPandas(_train, "at long, w double")  # most / PARTS rows each
-    table = found.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most 2^BITS + 2 rows
+    found = rows.groupBy(F.pmod("key", F.lit(PARTS)).alias("part")).applyInPandas(_train, "part long, at long, w double")  # most / PARTS rows each
+    # PARTS numbers at most are summed for each weight, in the order of their parts, so that reruns agree to the last bit.
+    each = F.transform(F.array_sort(F.collect_list(F.struct("part", "w"))), lambda x: x["w"])
+    table = found.groupBy("at").agg(F.aggregate(each, F.lit(0.0), lambda a, b: a + b).alias("w")).toPandas()  # at most 2^BITS + 2 rows
     models = table.w[table["at"] == -1].sum()
     if not models:
         return None
