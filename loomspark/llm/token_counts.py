@@ -4,6 +4,9 @@ Pre-tokens that a batch of texts does not share with earlier ones become one rag
 round every sequence applies its lowest-ranked pair at all its places at once (the first place only, where the merge
 could bring up a pair of lower rank), until none is left; the surviving symbols are the tokens.
 
+Pieces between white space are split into pre-tokens here where Python and the tokenizers library agree on letters, and by
+the library's own normalizer and pre-tokenizer elsewhere; merges are ours for all. Only byte-level BPE files are taken.
+
 Defined results: a null text counts as empty (0 bytes, 0 tokens); null and repeated doc_ids each get their row; extra
 columns are ignored.
 """
@@ -27,6 +30,8 @@ from loomspark.llm.tokens import byte_letters, tokenizer_path
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 CACHE = 500_000
+#: Longer pieces, such as lines of a script without spaces, are counted anew each time, so that the cache's bytes are bounded.
+KEPT_CHARS = 64
 GROUP_CHARS = 1 << 20
 #: The tokenizer's normalizer and word pattern that the fast path implements (fixed values of the public file).
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -100,19 +105,20 @@ class Counter:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        known = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and pre[0].get("pattern") == {"Regex": WORDS} and model["type"] == "BPE"
-        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if known else None
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        steps = pre.get("pretokenizers") or [pre]
+        if model["type"] != "BPE" or not any(p.get("type") == "ByteLevel" for p in steps) or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback")):
+            raise ValueError(f"{name}: merges need a byte-level BPE file")
+        self.known = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and steps[0].get("pattern") == {"Regex": WORDS}
+        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         special = [re.escape(t["content"]) for t in spec.get("added_tokens") or []]
         self.special = re.compile("|".join(special)) if special else None
         self.words, self.beyond = regex.compile(WORDS), re.compile("[^\0-\u052f]")
         self.odd_space, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+        self.bytes = {letter: byte for byte, letter in byte_letters().items()}
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
-    def library(self, text: str) -> int:
-        return len(self.tok.encode(text, add_special_tokens=False))
-
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Runs of non-space characters after normalization, and how many special strings were taken out."""
         n = 0
@@ -122,22 +128,27 @@ class Counter:
             for part in parts:
                 found += self.pieces(part)[0]
             return found, n
+        if not self.known:
+            return [text], n
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         return ([p for p in self.space.split(text) if p] if self.odd_space.search(text) else text.split()), n
 
-    def learn(self, unknown: set[str]) -> None:
-        plain = [p for p in unknown if not self.beyond.search(p)]
-        split = [self.words.findall(p) for p in plain]
-        words = list({w for s in split for w in s})
-        size = dict(zip(words, self.merges.counts([w.encode() for w in words]).tolist()))
-        self.young.update((p, sum(map(size.__getitem__, s))) for p, s in zip(plain, split))
-        self.young.update((p, self.library(p)) for p in unknown if self.beyond.search(p))
+    def split(self, piece: str) -> list[bytes]:
+        """The piece's pre-tokens."""
+        if self.known and not self.beyond.search(piece):
+            return [w.encode() for w in self.words.findall(piece)]
+        plain = self.tok.normalizer.normalize_str(piece) if self.tok.normalizer else piece
+        return [bytes(map(self.bytes.__getitem__, map(ord, w))) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain)]
+
+    def learn(self, unknown: list[str]) -> None:
+        split = list(map(self.split, unknown))
+        words = list({w for s in split for w in s if w})
+        size = dict(zip(words, self.merges.counts(words).tolist())) if words else {}
+        self.young.update((p, sum(size[w] for w in s if w)) for p, s in zip(unknown, split))
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self.merges is None:
-            return [self.library(t) for t in texts]
         cut = [self.pieces(t) for t in texts]
         needed = set().union(*(p for p, _ in cut))
         if len(self.young) + len(needed) > CACHE:
@@ -145,8 +156,13 @@ class Counter:
         unknown = needed - self.young.keys()
         again = unknown & self.old.keys()
         self.young.update((p, self.old[p]) for p in again)
-        self.learn(unknown - again)
-        return [n + sum(map(self.young.__getitem__, p)) for p, n in cut]
+        fresh = list(unknown - again)
+        self.learn(fresh)
+        found = [n + sum(map(self.young.__getitem__, p)) for p, n in cut]
+        for piece in fresh:
+            if len(piece) > KEPT_CHARS:
+                del self.young[piece]
+        return found
 
 
 _counters: dict[str, Counter] = {}
