@@ -28,9 +28,13 @@ def edges_as_of(edges: DataFrame, ts: Column) -> DataFrame:
 
 def upsert(edges: DataFrame, written: DataFrame) -> DataFrame:
     """The last written row of each (from, to, type): written has the columns of edges and seq; edges count as older."""
-    both = edges.withColumn("seq", F.lit(-1).cast("long")).unionByName(written)
+    return last_written(edges.withColumn("seq", F.lit(-1).cast("long")).unionByName(written)).drop("seq")
+
+
+def last_written(log: DataFrame) -> DataFrame:
+    """Edges from a log of them with seq: the last written row of each (from, to, type)."""
     last = W.partitionBy(*KEY).orderBy(F.desc("seq"), F.desc("valid_at"))
-    return both.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "seq")
+    return log.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
 def neighbors(edges: DataFrame, limit: int = 20, incoming: bool = False, types: tuple | None = None) -> DataFrame:
@@ -182,14 +186,17 @@ def mmr(hits: DataFrame, vectors: DataFrame, trade: float = 0.7) -> DataFrame:
 def graph_expand(hits: DataFrame, edges: DataFrame, vectors: DataFrame, queries: DataFrame, seeds: int = 5, per_node: int = 8, least: float = 0.55, keep: int = 10) -> DataFrame:
     """hits (qid, node, rrf, rank) with the nodes two hops around the best ones whose cosine reaches `least`, placed
     between the smallest and largest rrf of the hits."""
-    near = materialize(neighbors(edges, per_node).unionByName(neighbors(edges, per_node, incoming=True)).select("node", "other").distinct(), "adjacency")
     frontier = hits.where(F.col("rank") <= seeds).select("qid", "node")
     seen = frontier
     for _ in range(2):
+        # Only edges at the frontier's nodes are ranked; Spark broadcasts the nodes as long as they are few.
+        at = frontier.select("node").distinct()
+        out, into = (current(edges).join(at.withColumnRenamed("node", end), end, "left_semi") for end in ("from_id", "to_id"))
+        near = neighbors(out, per_node).unionByName(neighbors(into, per_node, incoming=True)).select("node", "other").distinct()
         frontier = materialize(frontier.join(near, "node").select("qid", F.col("other").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     fresh = seen.join(hits.select("qid", "node"), ["qid", "node"], "left_anti").join(vectors, "node").join(queries.select("qid", "qvec"), "qid")
-    fresh = fresh.withColumn("sim", cosine("qvec", "vec")).where(F.col("sim") >= least)
+    fresh = fresh.groupBy("qid", "node").agg(F.max(cosine("qvec", "vec")).alias("sim")).where(F.col("sim") >= least)
     span = hits.groupBy("qid").agg(F.min("rrf").alias("lo"), F.max("rrf").alias("hi"))
     placed = fresh.join(span, "qid").select("qid", "node", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.greatest(F.lit(0.0), (F.col("sim") - least) / (1 - least))).alias("rrf"))
     order = W.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), "node")

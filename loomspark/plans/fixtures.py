@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,3 +117,46 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 HISTORY = "history AS (SELECT conv_id * 1000 + turn AS id, CAST(conv_id % 4 AS VARCHAR) AS agent_id, CAST(conv_id AS VARCHAR) AS session_id, role, text AS content FROM conversations)"
+
+
+#: Date phrases as they are written into documents and queries of the search flow, from the order of the same number.
+def _dated(rows: DataFrame, spark: SparkSession, sf: str, key: str, text: str, phrase: Column) -> DataFrame:
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias(key), F.to_date("o_orderdate").alias("day"))
+    return rows.join(orders, key, "left").withColumn(text, F.when(F.col("day").isNull(), F.col(text)).otherwise(F.concat(F.col(text), phrase)))
+
+
+def _node(column: str) -> Column:
+    return F.concat(F.lit("v"), F.col(column).cast("string"))
+
+
+def term_vector(terms: Column, dims: int = 64) -> Column:
+    """Embedding of an array of terms by their MD5 digests, in functions that SQL has as well."""
+    hashed = F.transform(terms, F.md5)
+    at = lambda h: F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % dims
+    sign = lambda h: F.when(F.substring(h, 3, 1) < "8", 1.0).otherwise(-1.0)
+    pairs = F.transform(hashed, lambda h: F.struct(at(h).alias("at"), sign(h).alias("sign")))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(pairs, lambda p: p["at"] == d), F.lit(0.0), lambda s, p: s + p["sign"]))
+
+
+def flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs, vectors, edges, queries) of the search flow over common ids: documents that name the day of the order of
+    their number, period edges of orders as those of documents, and benchmark items that ask for a month and exclude
+    their last term."""
+    written = _dated(docs(spark, sf), spark, sf, "doc_id", "body", F.concat(F.lit(" Noted on "), F.col("day").cast("string"), F.lit(".")))
+    found = written.select(_node("doc_id").alias("doc_id"), "corpus", "body", T.dates("body").alias("days"))
+    near = edges(spark, sf).withColumn("from_id", F.regexp_replace("from_id", "^o", "v"))
+    asked = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text", F.element_at(T.terms("text"), -1).alias("last"))
+    asked = _dated(asked, spark, sf, "qid", "text", F.concat(F.lit(" in "), F.date_format("day", "MMMM yyyy")))
+    return found, vectors(spark, sf).select(_node("doc_id").alias("doc_id"), "vec"), near, asked.select("qid", F.concat("text", F.lit(" besides "), "last").alias("text"))
+
+
+def sql_term_vector(terms: str) -> str:
+    at, sign = "CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64", "CASE WHEN substr(h, 3, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+    return f"list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(list_transform({terms}, lambda t: md5(t)), lambda h: {at} = d), lambda h: {sign})), 0::DOUBLE))"
+
+
+FLOW = f"""days_of AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders),
+docs AS (SELECT 'v' || doc_id AS doc_id, 'lang:' || lang AS corpus, text || CASE WHEN day IS NULL THEN '' ELSE ' Noted on ' || CAST(day AS VARCHAR) || '.' END AS body, CASE WHEN day IS NULL THEN [] ELSE [day] END AS days FROM documents LEFT JOIN days_of ON k = doc_id),
+vectors AS (SELECT 'v' || vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+queries AS MATERIALIZED (SELECT qid, text, last, m, {sql_term_vector(sql_terms('text'))} AS qvec FROM (
+  SELECT item_id AS qid, text || CASE WHEN day IS NULL THEN '' ELSE ' in ' || strftime(day, '%B %Y') END AS text, ({sql_terms('text')})[-1] AS last, CAST(date_trunc('month', day) AS DATE) AS m FROM benchmark LEFT JOIN days_of ON k = item_id))"""

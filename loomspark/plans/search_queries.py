@@ -146,16 +146,35 @@ def hybrid_search(spark, sf):
     return found.select("qid", "doc_id", R6("rrf"), R6("embedding"), R6("bm25"), "rank")
 
 
+FLOW_PARAMS = U.SearchParams(num_to_return=10, num_to_score=40, min_rrf=0.005, feedback_sim=0.2)
+FLOW_LEAST = 0.1
+
+
+def _flow(spark, sf):
+    docs, vectors, edges, asked = X.flow(spark, sf)
+    docs, edges = materialize(docs, "flow-docs"), materialize(edges, "flow-edges")
+    access = X.doc_access(spark, sf).withColumn("doc_id", X._node("doc_id"))
+    corpus = U.Corpus(docs, tokenised(docs), vectors, edges, access)
+    return U.search(corpus, asked, X.term_vector, _now(spark, sf), FLOW_PARAMS, "1", least=FLOW_LEAST)
+
+
+def search_flow(spark, sf):
+    """The whole search: exclusion, dates, cosine, feedback, enriched cosine, BM25 twice, periods, fusion, date boost,
+    usage, penalty, minimums and graph expansion."""
+    return _flow(spark, sf).select("qid", "doc_id", R6("rrf"), R6("embedding"), R6("bm25"), "rank")
+
+
 def recall_metrics(spark, sf):
-    """Precision, hit rate, reciprocal rank and NDCG at 3 of BM25, a document being relevant if it holds all terms."""
+    """Precision, hit rate, reciprocal rank and NDCG at 3 of the whole search, a document being relevant if it has half
+    of an item's distinct terms or more, and an item's terms those of its query but the excluded one."""
     from loomspark.operators.metrics import retrieval_metrics
 
-    tokens = tokenised(X.docs(spark, sf))
-    wanted = materialize(query_terms(X.queries(spark, sf)), "wanted")
-    hits = bm25(tokens, wanted, 3).select("qid", "doc_id", "rank")
+    docs, _, _, asked = X.flow(spark, sf)
+    wanted = materialize(query_terms(fence(asked, n=T.negation("text")).select("qid", F.col("n.clean").alias("text"))), "wanted")
+    hits = _flow(spark, sf).select("qid", "doc_id", (F.col("rank") - 1).alias("rank"))
     size = wanted.groupBy("qid").agg(F.count("*").alias("n"))
-    held = tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("held"))
-    relevant = held.join(size, "qid").where("held = n").select("qid", "doc_id")
+    held = docs.select("doc_id", F.explode(F.array_distinct(T.terms("body"))).alias("term")).join(wanted, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("held"))
+    relevant = held.join(size, "qid").where("held * 2 >= n").select("qid", "doc_id")
     return retrieval_metrics(hits, relevant, wanted.select("qid").distinct(), 3)
 
 
@@ -205,6 +224,39 @@ DOUBLED = f"WITH {X.VECTORS}, d AS (SELECT doc_id, vec FROM vectors UNION ALL SE
 PAIRS = f"WITH {X.VECTORS}, cls AS (SELECT doc_id, vec, min(doc_id) OVER (PARTITION BY vec) AS class_id FROM vectors), reps AS (SELECT * FROM cls WHERE doc_id = class_id), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, {X.SQL_COS.format(a='a.vec', b='b.vec')} AS sim FROM reps a JOIN reps b ON a.doc_id < b.doc_id WHERE {X.SQL_COS.format(a='a.vec', b='b.vec')} >= {EDGE})"
 ME = "lambda x: CAST(x AS DOUBLE)"
 
+def sql_fused(cos: str) -> str:
+    part = lambda name, source, weight: f"{name} AS (SELECT qid, doc_id, score, {weight} / (16 + rank) * score / (CASE WHEN max(score) OVER (PARTITION BY qid) < 1e-6 THEN 1 ELSE max(score) OVER (PARTITION BY qid) END) AS part FROM {source})"
+    return f"""{part("s1", "b1", 1.5)}, {part("s2", "b2", 0.75)},
+hits AS (SELECT qid, doc_id, coalesce(2.0 / (16 + c.rank), 0) + coalesce(s1.part, 0) + coalesce(s2.part, 0) AS rrf, coalesce(sim, 0) AS embedding, coalesce(s1.score, s2.score, 0) AS bm25
+  FROM {cos} c FULL JOIN s1 USING (qid, doc_id) FULL JOIN s2 USING (qid, doc_id))"""
+
+
+def sql_near(name: str, a: str, b: str, k: int, where: str = "true") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT {a} AS node, {b} AS other, row_number() OVER (PARTITION BY {a} ORDER BY weight DESC, {b}, edge_type) AS place FROM cur WHERE {where}) WHERE place <= {k})"
+
+
+FLOW_SQL = f"""WITH {X.FLOW}, {X.EDGES.strip()}, cur AS MATERIALIZED (SELECT CASE WHEN edge_type = 'occurred_in' THEN 'v' || substr(from_id, 2) ELSE from_id END AS from_id, to_id, edge_type, weight FROM edges WHERE invalid_at IS NULL), {TOK}, {TF.replace("df AS (", "df AS MATERIALIZED (")}, {WANTED},
+{sql_cos('cos', 'queries', 40)}, {PRF}, {sql_bm25('b1', 'wanted', 40)}, {sql_bm25('b2', 'more', 40)},
+richer AS MATERIALIZED (SELECT qid, {X.sql_term_vector(X.sql_terms("text || ' ' || expansion"))} AS qvec FROM queries JOIN expansion USING (qid)), {sql_cos('cos2', 'richer', 40)},
+merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) - 1 AS rank FROM (SELECT qid, doc_id, max(sim) AS sim FROM (SELECT qid, doc_id, sim FROM cos UNION ALL SELECT qid, doc_id, sim FROM cos2) GROUP BY ALL)),
+{sql_near("of_period", "to_id", "from_id", 50, "edge_type = 'occurred_in'")},
+periods_asked AS (SELECT qid, unnest(['month:' || strftime(m, '%Y-%m'), 'quarter:' || strftime(m, '%Y') || '-Q' || quarter(m)]) AS node FROM queries WHERE m IS NOT NULL),
+added AS (SELECT DISTINCT qid, other AS doc_id FROM periods_asked JOIN of_period USING (node) WHERE (qid, other) NOT IN (SELECT (qid, doc_id) FROM merged)),
+added_sim AS (SELECT a.qid, a.doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim, row_number() OVER (PARTITION BY a.qid ORDER BY a.doc_id) AS n FROM added a JOIN vectors USING (doc_id) JOIN queries q ON q.qid = a.qid),
+near_ AS MATERIALIZED (SELECT qid, doc_id, sim, rank FROM merged UNION ALL SELECT a.qid, a.doc_id, a.sim, coalesce(l.last, -1) + n FROM added_sim a LEFT JOIN (SELECT qid, max(rank) AS last FROM merged GROUP BY qid) l USING (qid)),
+{sql_fused('near_')},
+boosted AS (SELECT h.qid, h.doc_id, h.embedding, h.bm25, rrf + 1.5 * coalesce((SELECT max(exp(-pow(greatest(0, m - d, d - last_day(m)), 2) / 450)) FROM (SELECT unnest(days) AS d)), 0) AS rrf FROM hits h LEFT JOIN docs USING (doc_id) LEFT JOIN queries q USING (qid)),
+{USED.replace("FROM hits h", "FROM boosted h").replace("a.doc_id = h.doc_id", "'v' || a.doc_id = h.doc_id")},
+pen AS (SELECT u.* REPLACE (rrf * CASE WHEN contains(lower(body), last) THEN 0.1 ELSE 1 END AS rrf) FROM used u LEFT JOIN docs USING (doc_id) LEFT JOIN queries USING (qid)),
+best AS MATERIALIZED ({sql_best('pen', 'qid, doc_id, rrf, embedding, bm25')}),
+{sql_near("o", "from_id", "to_id", 8)}, {sql_near("i", "to_id", "from_id", 8)}, adj AS MATERIALIZED (SELECT DISTINCT node, other FROM (SELECT node, other FROM o UNION ALL SELECT node, other FROM i)),
+e0 AS (SELECT qid, doc_id AS node FROM best WHERE rank <= 5), e1 AS MATERIALIZED (SELECT DISTINCT qid, other AS node FROM e0 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0)),
+e2 AS (SELECT DISTINCT qid, other AS node FROM e1 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0 UNION ALL SELECT (qid, node) FROM e1)),
+fresh AS (SELECT e.qid, e.node AS doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) e JOIN vectors v ON v.doc_id = e.node JOIN queries q ON q.qid = e.qid WHERE (e.qid, e.node) NOT IN (SELECT (qid, doc_id) FROM best)),
+span AS (SELECT qid, min(rrf) AS lo, max(rrf) AS hi FROM best GROUP BY qid),
+wide AS (SELECT qid, doc_id, rrf, embedding, bm25 FROM best UNION ALL SELECT qid, doc_id, lo + (hi - lo) * greatest(0.0, (sim - {FLOW_LEAST}) / (1 - {FLOW_LEAST})), NULL, NULL FROM fresh JOIN span USING (qid) WHERE sim >= {FLOW_LEAST}),
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM wide) WHERE rank <= 10)"""
+
 QUERIES = {
     "bm25_topk": (bm25_topk, f"{BASE}, {sql_bm25('b1', 'wanted', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM b1"),
     "bm25_filtered": (bm25_filtered, BASE + ", " + sql_bm25("b1", "wanted", 10, "corpus = 'lang:en'") + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM b1"),
@@ -245,12 +297,13 @@ b AS (SELECT year(days[2]) * 100 + month(days[2]) AS qid, doc_id, days FROM date
 s AS (SELECT qid, doc_id, 0.1 + 1.5 * max(exp(-pow(greatest(0, a - d, d - z), 2) / 450)) AS rrf, 0 AS embedding, 0 AS bm25 FROM j GROUP BY ALL) {sql_best('s', OUT)}""",
     ),
     "hybrid_search": (hybrid_search, f"{ALL}, {USED}, {NOT_LAST.format(hits='used', last=LAST)} {sql_best('pen', FULL_OUT)}"),
+    "search_flow": (search_flow, f"{FLOW_SQL} SELECT {FULL_OUT}, rank FROM found"),
     "recall_metrics": (
         recall_metrics,
-        f"""{BASE}, {sql_bm25('b1', 'wanted', 3)}, sz AS (SELECT qid, count(*) AS n FROM wanted GROUP BY qid), rel AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS held FROM tf JOIN wanted USING (term) GROUP BY ALL) JOIN sz USING (qid) WHERE held = n),
-h AS (SELECT b1.*, (qid, doc_id) IN (SELECT (qid, doc_id) FROM rel) AS hit FROM b1), rc AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+        f"""{FLOW_SQL}, sz AS (SELECT qid, count(*) AS n FROM wanted GROUP BY qid), rel AS MATERIALIZED (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS held FROM tf JOIN wanted USING (term) GROUP BY ALL) JOIN sz USING (qid) WHERE held * 2 >= n),
+h AS (SELECT f.qid, f.doc_id, f.rank - 1 AS rank, (qid, doc_id) IN (SELECT (qid, doc_id) FROM rel) AS hit FROM found f WHERE rank <= 3), rc AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
 m AS (SELECT s.qid, coalesce(sum(CAST(hit AS INTEGER)), 0) / 3.0 AS p, coalesce(max(CAST(hit AS INTEGER)), 0) AS hr, coalesce(max(CASE WHEN hit THEN 1.0 / (rank + 1) END), 0) AS rr, coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 2) END), 0) AS dcg FROM sz s LEFT JOIN h USING (qid) GROUP BY s.qid),
-i AS (SELECT m.*, coalesce(list_sum(list_transform(range(least(3, rc.n)), lambda k: 1 / log2(k + 2))), 0) AS ideal FROM m LEFT JOIN rc USING (qid))
-SELECT count(*) AS queries, round(avg(p), 6) AS precision_at_k, round(avg(hr), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM i""",
+ideals AS (SELECT m.*, coalesce(list_sum(list_transform(range(least(3, rc.n)), lambda k: 1 / log2(k + 2))), 0) AS ideal FROM m LEFT JOIN rc USING (qid))
+SELECT count(*) AS queries, round(avg(p), 6) AS precision_at_k, round(avg(hr), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM ideals""",
     ),
 }

@@ -29,9 +29,3 @@ def documents_from(rows: DataFrame, corpus: str, known: DataFrame | None = None)
     """(doc_id, corpus, body, l0, dates): ids by content, one row each, without those already known (doc_id)."""
     made = rows.where(F.trim("body") != "").select(doc_id("body").alias("doc_id"), F.lit(corpus).alias("corpus"), "body", lead("body").alias("l0"), dates("body").alias("dates")).dropDuplicates(["doc_id"])
     return made if known is None else made.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
-def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Replace the Parquet table at path; the directory is committed as a whole."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)

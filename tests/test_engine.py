@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.plans.engine import Documents, Memory
+from loomspark.plans.engine import Conflict, Documents, Memory, Store
 
 NOTES = [
     ("The gateway was moved to the new region on 2024-03-05. Latency fell.", "infra"),
@@ -17,8 +18,9 @@ def test_memory_round_trip(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}/m", capacity=40)
     rows = spark.createDataFrame(NOTES, "body string, tag string")
     now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
-    assert memory.add(rows, now).count() == 4
-    assert memory.add(rows, now).count() == 0 and memory.list().count() == 4
+    assert {r["status"] for r in memory.add(rows, now).collect()} == {"ingested"}
+    again = memory.add(rows, now).collect()
+    assert len(again) == 4 and {r["status"] for r in again} == {"already_indexed"} and memory.list().count() == 4
     ids = {r["body"]: r["doc_id"] for r in memory._own("documents").collect()}
     gateway, tokens, sso = (ids[NOTES[i][0]] for i in range(3))
 
@@ -48,16 +50,66 @@ def test_memory_round_trip(spark, tmp_path):
     memory.delete(gone)
     assert memory.list().count() == 3 and memory._own("chunks").where(F.col("doc_id") == sso).count() == 0
     assert memory._own("edges").where((F.col("from_id") == sso) | (F.col("to_id") == sso)).count() == 0
-    state = spark.createDataFrame([], "corpus string, last_dream_at timestamp, last_doc_count long")
-    surprising, stale = memory.dream(state, now)
+    surprising, stale = memory.dream(now)
     assert surprising.count() == 1 and stale.count() == 0
+    assert memory.state().first()["last_doc_count"] == 3
+    surprising, _ = memory.dream(F.to_timestamp(F.lit("2024-07-01 00:00:00")))
+    assert surprising.count() == 0 and memory.store.table("state").count() == 1
+    before = sorted(map(str, memory._own("edges").drop("seq").collect()))
+    memory.store.compact()
+    assert all(len(f) == 1 for f in memory.store.folders()[1].values())
+    assert sorted(map(str, memory._own("edges").drop("seq").collect())) == before and memory.list().count() == 3
+
+
+def test_commits_append_and_conflict(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    access = lambda i: spark.createDataFrame([(f"d{i}", "a")], "doc_id string, agent_id string").withColumn("ts", F.current_timestamp())
+    store.commit({"access": access(1)})
+    seq, seen = store.folders()
+    store.commit({"access": access(2)}, after=seq)
+    with pytest.raises(Conflict):
+        store.commit({"access": access(3)}, after=seq)
+    assert len(store.folders()[1]["access"]) == 2 and seen["access"] == store.folders()[1]["access"][:1]
+    assert {r["doc_id"] for r in store.table("access").collect()} == {"d1", "d2"}
+
+
+def test_chunks_like_known_ones_are_left_out(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/m", analyse=None)
+    add = lambda *rows: {r["chunks"] for r in memory.add(spark.createDataFrame(rows, "body string, session_id string, lines long")).collect()}
+    assert add(("alpha beta gamma delta", "s1", 1), ("quite another note", "s1", 2)) == {1}
+    assert add(("Alpha, beta, gamma, delta!", "s1", 3)) == {0}  # the same terms, so the same vector
+    assert add(("one two three four", None, 4), ("One two three four.", None, 5)) == {0, 1}
+    sessions = memory._own("edges").where("edge_type = 'co_session'")
+    assert sessions.select("from_id").distinct().count() == 3 and sessions.join(sessions.selectExpr("to_id as from_id", "from_id as to_id"), ["from_id", "to_id"]).count() == sessions.count()
+    ids = memory.list().select("doc_id").union(spark.createDataFrame([("none",)], "doc_id string"))
+    got = memory.status(ids).collect()
+    assert sum(r["indexed"] for r in got) == 5 and not any(r["has_failures"] for r in got)
+    assert {r["attributes"] for r in memory.list().collect()} == {f'{{"lines":{i}}}' for i in range(1, 6)}
+    assert memory.note(spark.createDataFrame([("a conclusion", []), ("another conclusion", ["x"])], "body string, source_ids array<string>")).count() == 1
+
+
+def test_search_with_neighbours_exclusions_and_clusters(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/m")
+    memory.add(spark.createDataFrame([(b, t) for b, t in NOTES if b.strip()], "body string, tag string"))
+    asked = spark.createDataFrame([(1, "rotating login token")], "qid long, text string")
+    body = {r["doc_id"]: r["body"] for r in memory._own("documents").collect()}
+    best = memory.search(asked).where("rank = 1").first()["doc_id"]
+    assert body[best].startswith("Login tokens")  # stems meet
+    barred = memory.search(asked, excluded=spark.createDataFrame([(1, ["Rotate"])], "qid long, excluded array<string>")).where("rank = 1").first()
+    assert not body[barred["doc_id"]].startswith("Login tokens")
+    merged = memory.merged_search(asked, 3, spark.createDataFrame([(1, "staff sso")], "qid long, text string"))
+    assert merged.count() <= 3 and [r["rank"] for r in merged.orderBy("rank").collect()] == list(range(1, merged.count() + 1))
+    got = [(r["cluster_id"], r["size"]) for r in memory.clusters().collect()]
+    assert got == [("auth", 2), ("infra", 1), (None, 1)]
 
 
 def test_documents_from_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("# Plan\nShip the index.\n\n# Notes\nNone yet.")
+    (tmp_path / "in" / "b.py").write_text("def one():\n    return 1\n\ndef two():\n    return two_things\n")
     docs = Documents(spark, f"file://{tmp_path}/d")
-    assert docs.ingest_files(str(tmp_path / "in")).count() == 1
+    assert docs.ingest_files(str(tmp_path / "in")).count() == 2
+    assert docs._own("chunks").where("body like '# def %(b.py:%'").count() == 2
     hit = docs.search(spark.createDataFrame([(1, "ship index")], "qid long, text string")).first()
     assert hit["rank"] == 1 and hit["l0"].startswith("# Plan")
     assert hit["doc_id"] == spark.createDataFrame([("# Plan\nShip the index.\n\n# Notes\nNone yet.",)], "b string").select(T.doc_id("b")).first()[0]
