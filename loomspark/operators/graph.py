@@ -96,12 +96,15 @@ def common_neighbors(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def attribute_edges(rows: DataFrame, attribute: str, kind: str, weight: float) -> DataFrame:
     """Symmetric edges between rows (doc_id, <attribute>) of equal attribute, as a chain in doc_id order, so that groups
-    of any size stay connected with as many edges as rows."""
-    before = F.lag("doc_id").over(W.partitionBy(attribute).orderBy("doc_id"))
-    chain = rows.withColumn("before", before).where("before is not null")
-    one = chain.select(F.col("before").alias("from_id"), F.col("doc_id").alias("to_id"))
-    both = one.union(chain.select("doc_id", "before"))
-    return both.withColumn("edge_type", F.lit(kind)).withColumn("weight", F.lit(weight))
+    of any size stay connected with as many edges as rows. Rows are dealt by ranges of attribute and doc_id, so that a
+    large group is many tasks' work; the ends of neighbouring ranges are joined afterwards."""
+    dealt = rows.select("doc_id", F.col(attribute).alias("a")).repartitionByRange("a", "doc_id").withColumn("range", F.spark_partition_id())
+    dealt = materialize(dealt, "dealt")
+    inside = dealt.withColumn("before", F.lag("doc_id").over(W.partitionBy("range", "a").orderBy("doc_id"))).where("before is not null").select("before", "doc_id")
+    ends = dealt.groupBy("a", "range").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    across = ends.withColumn("before", F.lag("last").over(W.partitionBy("a").orderBy("range"))).where("before is not null").select("before", "doc_id")
+    one = inside.unionByName(across).select(F.col("before").alias("from_id"), F.col("doc_id").alias("to_id"))
+    return one.union(one.select("to_id", "from_id")).withColumn("edge_type", F.lit(kind)).withColumn("weight", F.lit(weight))
 
 
 def source_edges(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loomspark.session import materialize
 
-GROUP_ROWS = 16_384
+#: Rows of a group at most and, unless there are fewer, at least.
+GROUP_ROWS, LEAST_ROWS = 16_384, 1024
 TINY = 1e-12
 
 
@@ -35,7 +36,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     every group of vectors in slabs of GROUP_ROWS, vectors to every slab; each pair of blocks keeps k per query.
     """
     vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null")
-    groups, slabs = vectors.count() // GROUP_ROWS + _partitions(vectors), queries.count() // GROUP_ROWS + 1
+    n = vectors.count()
+    groups, slabs = max(n // GROUP_ROWS + 1, min(_partitions(vectors), n // LEAST_ROWS + 1)), queries.count() // GROUP_ROWS + 1
     q_kind, v_kind = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["doc_id"]
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:

@@ -52,22 +52,32 @@ def breaker(calls: DataFrame, failures: int = FAILURES, cooldown: float = COOLDO
     """(service, at, ok, met) for calls (service, at, ok), each service's calls in the order of time."""
     schema = "service string, at timestamp, ok boolean, met string"
 
-    def walk(key: tuple, rows: pd.DataFrame, state: tuple[int, float]) -> tuple[pd.DataFrame, tuple[int, float]]:
-        rows = rows.sort_values(["at", "ok"])
+    def walk(rows: pd.DataFrame, state: tuple[int, float]) -> tuple[list[str], tuple[int, float]]:
         met = []
         for at, ok in zip(rows["at"], rows["ok"]):
             state, how = breaker_steps(state, at.timestamp(), bool(ok), failures, cooldown)
             met.append(how)
-        return rows[["at", "ok"]].assign(service=key[0], met=met)[["service", "at", "ok", "met"]], state
+        return met, state
+
+    def sorted_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Services one after another in the order of time; only a service's state is carried from batch to batch."""
+        service, state = None, (0, 0.0)
+        for rows in batches:
+            for name, part in rows.groupby("service", sort=False, dropna=False):
+                if name != service:
+                    service, state = name, (0, 0.0)
+                met, state = walk(part, state)
+                yield part.assign(met=met)[["service", "at", "ok", "met"]]
 
     if not streaming:
-        return calls.groupBy("service").applyInPandas(lambda key, rows: walk(key, rows, (0, 0.0))[0], schema)
+        return calls.select("service", "at", "ok").repartition("service").sortWithinPartitions("service", "at", "ok").mapInPandas(sorted_batches, schema)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (0, 0.0)
-        rows, held = walk(key, pd.concat(list(batches)), (int(held[0]), float(held[1])))
+        rows = pd.concat(list(batches)).sort_values(["at", "ok"])
+        met, held = walk(rows, (int(held[0]), float(held[1])))
         state.update(held)
-        yield rows
+        yield rows.assign(service=key[0], met=met)[["service", "at", "ok", "met"]]
 
     return calls.groupBy("service").applyInPandasWithState(run, schema, "failures long, opened double", "append", "NoTimeout")
 

@@ -88,6 +88,21 @@ def test_betweenness_of_all_sources_and_types(spark, sf, monkeypatch):
     assert all(abs(got[x] - want[x]) < 1e-6 for x in want)
 
 
+def test_rmt_novel_equals_the_dense_projection(spark, sf):
+    from loomspark.functions import text as T
+    from loomspark.operators.vector import hash_embed
+
+    rows = X.docs(spark, sf).select("doc_id", T.terms("body").alias("t")).select("doc_id", hash_embed("t").alias("v")).orderBy("doc_id").collect()
+    m = np.array([r["v"] for r in rows], float)
+    centred = m - m.mean(0)
+    values, comps = np.linalg.eigh(centred.T @ centred / len(m))
+    bound = values.mean() * (1 + (m.shape[1] / len(m)) ** 0.5) ** 2
+    raw = (centred @ comps[:, values > bound]) ** 2 @ (values[values > bound] - bound)
+    want = (raw - raw.min()) / (raw.max() - raw.min())
+    got = {r["doc_id"]: r["score"] for r in Q.rmt_novel(spark, sf).collect()}
+    assert len(got) == len(rows) > 0 and all(abs(got[r["doc_id"]] - w) < 2e-6 for r, w in zip(rows, want))
+
+
 def chain(spark, n):
     return spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "related_to", "main", 1.0 + i / 7) for i in range(n)], "from_id string, to_id string, edge_type string, corpus string, weight double").selectExpr("*", "timestamp'2024-01-01' as valid_at", "cast(null as timestamp) as invalid_at")
 
@@ -95,7 +110,10 @@ def chain(spark, n):
 def test_shortest_path_reaches_ten_steps(spark, monkeypatch):
     monkeypatch.setattr(Q, "_edges", lambda spark, sf: chain(spark, 12))
     monkeypatch.setattr(Q, "_path_pairs", lambda spark, sf: spark.createDataFrame([(1, "n00", "n08"), (2, "n00", "n10"), (3, "n00", "n11")], "pid long, a string, b string"))
-    assert sorted((r["pid"], r["length"]) for r in Q.shortest_path(spark, None).collect()) == [(1, 8), (2, 10)]
+    steps = defaultdict(list)
+    for r in Q.shortest_path(spark, None).collect():
+        steps[r["pid"]].append((r["step"], r["node"]))
+    assert {p: sorted(s) for p, s in steps.items()} == {p: [(i, f"n{i:02d}") for i in range(n + 1)] for p, n in ((1, 8), (2, 10))}
 
 
 def test_full_analysis_has_gap_boundary_and_converged_ranks(spark, monkeypatch):
