@@ -26,7 +26,8 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), body.alias("body"))
 
 
-DATED = "dated AS (SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || ' placed ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' priority ' || o_orderpriority || ', reviewed in ' || strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH, '%B %Y') AS body FROM orders)"
+DATED = """dated AS (SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || ' placed ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' priority ' || o_orderpriority || ', reviewed in ' || strftime(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH, '%B %Y') AS body
+FROM orders)"""
 SQL_ISO = "list_filter(list_transform(regexp_extract_all(body, '\\b\\d{4}-\\d{2}-\\d{2}\\b'), lambda d: TRY_CAST(d AS DATE)), lambda d: d IS NOT NULL)"
 SQL_MONTH = f"list_transform(regexp_extract_all(body, '(?i)\\b({'|'.join(T.MONTHS)})\\s+\\d{{4}}\\b'), lambda m: CAST(strptime('15 ' || m, '%d %B %Y') AS DATE))"
 DATES = f"{DATED}, dates AS (SELECT doc_id, body, list_sort(list_distinct(list_concat({SQL_ISO}, {SQL_MONTH}))) AS days FROM dated)"
@@ -89,7 +90,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_COS = "(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))"
 EDGES = f"""
-named AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, lag(vec_id, 1) OVER w AS prev, lag(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1) OVER w AS pvec, lag(vec_id, 3) OVER w AS third FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+named AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, lag(vec_id, 1) OVER w AS prev, lag(list_transform(embedding,
+lambda x: CAST(x AS DOUBLE)), 1) OVER w AS pvec, lag(vec_id, 3) OVER w AS third FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
 close AS (SELECT vec_id, prev, round(abs({SQL_COS.format(a='vec', b='pvec')}), 6) AS w FROM named WHERE prev IS NOT NULL),
 turns AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
 raw AS (
@@ -100,8 +102,12 @@ raw AS (
   UNION ALL SELECT 'v' || vec_id, 'v' || (vec_id // 2), 'derives_from', 0.9, vec_id FROM embeddings WHERE vec_id > 0
   UNION ALL SELECT 'v' || vec_id, 'v' || (vec_id + 1), 'contradicts', 0.85, vec_id FROM embeddings WHERE vec_id % 7 = 0
   UNION ALL SELECT 'c' || conv_id || ':' || turn, 'c' || conv_id || ':' || nxt, 'co_session', 0.5, conv_id FROM turns WHERE nxt IS NOT NULL
-  UNION ALL SELECT 'o' || o_orderkey, unnest(['month:' || strftime(o_orderdate, '%Y-%m'), 'quarter:' || strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate), 'year:' || strftime(o_orderdate, '%Y')]), 'occurred_in', 1.0, o_orderkey FROM orders),
-edges AS (SELECT from_id, to_id, edge_type, 'main' AS corpus, CAST(weight AS DOUBLE) AS weight, TIMESTAMP '2024-01-01' + to_minutes(number % 500000) AS valid_at, CASE WHEN number % 11 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(number % 500000) + INTERVAL 1 DAY END AS invalid_at FROM raw)"""
+  UNION ALL SELECT 'o' || o_orderkey,
+unnest(['month:' || strftime(o_orderdate, '%Y-%m'), 'quarter:' || strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate), 'year:' || strftime(o_orderdate, '%Y')]), 'occurred_in', 1.0,
+o_orderkey FROM orders),
+edges AS (SELECT from_id, to_id,
+edge_type, 'main' AS corpus, CAST(weight AS DOUBLE) AS weight, TIMESTAMP '2024-01-01' + to_minutes(number % 500000) AS valid_at, CASE WHEN number % 11 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(number % 500000) + INTERVAL 1 DAY END AS invalid_at
+FROM raw)"""
 
 
 def doc_access(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +162,11 @@ def sql_term_vector(terms: str) -> str:
 
 
 FLOW = f"""days_of AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day FROM orders),
-docs AS (SELECT 'v' || doc_id AS doc_id, 'lang:' || lang AS corpus, text || CASE WHEN day IS NULL THEN '' ELSE ' Noted on ' || CAST(day AS VARCHAR) || '.' END AS body, CASE WHEN day IS NULL THEN [] ELSE [day] END AS days FROM documents LEFT JOIN days_of ON k = doc_id),
+docs AS (SELECT 'v' || doc_id AS doc_id, 'lang:' || lang AS corpus,
+text || CASE WHEN day IS NULL THEN '' ELSE ' Noted on ' || CAST(day AS VARCHAR) || '.' END AS body, CASE WHEN day IS NULL THEN [] ELSE [day] END AS days
+FROM documents LEFT JOIN days_of ON k = doc_id),
 vectors AS (SELECT 'v' || vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
 queries AS MATERIALIZED (SELECT qid, text, last, m, {sql_term_vector(sql_terms('text'))} AS qvec FROM (
-  SELECT item_id AS qid, text || CASE WHEN day IS NULL THEN '' ELSE ' in ' || strftime(day, '%B %Y') END AS text, ({sql_terms('text')})[-1] AS last, CAST(date_trunc('month', day) AS DATE) AS m FROM benchmark LEFT JOIN days_of ON k = item_id))"""
+  SELECT item_id AS qid,
+text || CASE WHEN day IS NULL THEN '' ELSE ' in ' || strftime(day, '%B %Y') END AS text, ({sql_terms('text')})[-1] AS last, CAST(date_trunc('month',
+day) AS DATE) AS m FROM benchmark LEFT JOIN days_of ON k = item_id))"""

@@ -248,7 +248,9 @@ TW = "CASE edge_type WHEN 'related_to' THEN weight WHEN 'derives_from' THEN 0.9
 
 
 def sql_hop(h: int, seen: str) -> str:
-    return f"""c{h} AS (SELECT f.qid, a.other, a.node AS parent, edge_type, f.qvec, f.score * pow(0.8, {h}) * (CASE WHEN v.vec IS NULL THEN 0.5 ELSE greatest(0.0, {X.SQL_COS.format(a='f.qvec', b='v.vec')}) END) * {TW} AS cand FROM f{h - 1} f JOIN adj a ON a.node = f.node LEFT JOIN vec v ON v.node = a.other),
+    return f"""c{h} AS (SELECT f.qid, a.other, a.node AS parent, edge_type, f.qvec,
+f.score * pow(0.8, {h}) * (CASE WHEN v.vec IS NULL THEN 0.5 ELSE greatest(0.0, {X.SQL_COS.format(a='f.qvec', b='v.vec')}) END) * {TW} AS cand FROM f{h - 1} f
+JOIN adj a ON a.node = f.node LEFT JOIN vec v ON v.node = a.other),
 t{h} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cand, 9) DESC, other, parent, edge_type) AS n FROM c{h}),
 u{h} AS (SELECT * FROM t{h} WHERE n <= 8 AND (qid, other) NOT IN ({seen})),
 f{h} AS (SELECT qid, other AS node, cand AS score, {h} AS hop, edge_type AS relation, qvec FROM (SELECT *, row_number() OVER (PARTITION BY qid, other ORDER BY n) AS k FROM u{h}) WHERE k = 1)"""
@@ -264,7 +266,9 @@ def sql_seen(names: list[str]) -> str:
 
 
 ASKED = f"{X.VECTORS}, asked AS (SELECT doc_id AS qid, vec AS qvec FROM vectors WHERE doc_id % 100 = 0)"
-KNN = f"knn AS (SELECT * FROM (SELECT a.doc_id AS qid, b.doc_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY round({X.SQL_COS.format(a='a.vec', b='b.vec')}, 9) DESC, b.doc_id) AS rank FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id) WHERE rank <= 5)"
+KNN = f"""knn AS (SELECT * FROM (SELECT a.doc_id AS qid, b.doc_id,
+row_number() OVER (PARTITION BY a.doc_id ORDER BY round({X.SQL_COS.format(a='a.vec', b='b.vec')}, 9) DESC, b.doc_id) AS rank FROM vectors a
+JOIN vectors b ON a.doc_id <> b.doc_id) WHERE rank <= 5)"""
 
 
 def sql_walk(links: str, nodes: str, damping: float, rounds: int, tol: float) -> str:
@@ -288,75 +292,104 @@ QUERIES = {
     "all_edges": (all_edges, f"{E}, {BOTH} SELECT node, other, edge_type, weight, direction FROM both_"),
     "temporal_neighbors": (
         temporal_neighbors,
-        f"{E}, c AS (SELECT to_id AS node, count(*) AS n FROM cur WHERE edge_type = 'contradicts' GROUP BY to_id) SELECT from_id, to_id, edge_type, round(weight * pow(0.98, greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(valid_at)) / 86400000000.0))) * pow(0.98, coalesce(n, 0)), 6) AS score FROM cur LEFT JOIN c ON node = to_id",
+        f"""{E}, c AS (SELECT to_id AS node, count(*) AS n FROM cur WHERE edge_type = 'contradicts' GROUP BY to_id) SELECT from_id, to_id, edge_type,
+round(weight * pow(0.98, greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(valid_at)) / 86400000000.0))) * pow(0.98, coalesce(n, 0)), 6) AS score
+FROM cur LEFT JOIN c ON node = to_id""",
     ),
     "contradiction_count": (contradiction_count, f"{E} SELECT to_id AS node, count(*) AS n FROM cur WHERE edge_type = 'contradicts' GROUP BY to_id"),
     "edges_by_type": (edges_by_type, f"{E} SELECT from_id, to_id, weight FROM cur WHERE edge_type = 'derives_from'"),
     "edges_as_of": (edges_as_of, f"{E} SELECT {EDGE_ROW} FROM edges WHERE valid_at <= TIMESTAMP '2024-01-03' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '2024-01-03')"),
-    "edge_upsert": (edge_upsert, f"{E}, {ONCE} SELECT from_id, to_id, edge_type, CASE WHEN edge_type = 'related_to' THEN 0.2::DOUBLE ELSE weight END AS weight, edge_type = 'related_to' OR invalid_at IS NULL AS is_current FROM d"),
+    "edge_upsert": (edge_upsert, f"""{E}, {ONCE} SELECT from_id, to_id, edge_type, CASE WHEN edge_type = 'related_to' THEN 0.2::DOUBLE ELSE weight END AS weight,
+edge_type = 'related_to' OR invalid_at IS NULL AS is_current FROM d"""),
     "invalidate_node": (invalidate_node, f"{E} SELECT {EDGE_ROW}, invalid_at IS NULL AND from_id NOT IN (SELECT 'v' || vec_id FROM embeddings WHERE label = 0) AS is_current FROM edges"),
-    "delete_node": (delete_node, f"{E}, g AS (SELECT 'v' || vec_id AS node FROM embeddings WHERE label = 0) SELECT {EDGE_ROW}, invalid_at IS NULL AS is_current FROM edges WHERE from_id NOT IN (SELECT node FROM g) AND to_id NOT IN (SELECT node FROM g)"),
+    "delete_node": (delete_node, f"""{E}, g AS (SELECT 'v' || vec_id AS node FROM embeddings WHERE label = 0) SELECT {EDGE_ROW}, invalid_at IS NULL AS is_current FROM edges
+WHERE from_id NOT IN (SELECT node FROM g) AND to_id NOT IN (SELECT node FROM g)"""),
     "compact_cluster": (
         compact_cluster,
-        f"{E}, m AS (SELECT 'v' || vec_id AS node, 'summary:label:' || label AS summary FROM embeddings), {ONCE} SELECT {EDGE_ROW}, invalid_at IS NULL AND from_id NOT IN (SELECT node FROM m) AND to_id NOT IN (SELECT node FROM m) AS is_current FROM d UNION ALL SELECT summary, node, 'derives_from', 1.0::DOUBLE, true FROM m",
+        f"""{E}, m AS (SELECT 'v' || vec_id AS node, 'summary:label:' || label AS summary FROM embeddings), {ONCE} SELECT {EDGE_ROW},
+invalid_at IS NULL AND from_id NOT IN (SELECT node FROM m) AND to_id NOT IN (SELECT node FROM m) AS is_current FROM d UNION ALL SELECT summary,
+node, 'derives_from', 1.0::DOUBLE, true FROM m""",
     ),
     "list_clusters": (
         list_clusters,
-        """WITH c AS (SELECT 'label:' || label AS cluster_id, count(*) AS size, array_to_string(list(vec_id ORDER BY vec_id DESC)[1:3], ',') AS recent FROM embeddings GROUP BY label), t AS (SELECT * FROM c ORDER BY size DESC, cluster_id LIMIT 8)
+        """WITH c AS (SELECT 'label:' || label AS cluster_id, count(*) AS size, array_to_string(list(vec_id ORDER BY vec_id DESC)[1:3], ',') AS recent FROM embeddings
+GROUP BY label), t AS (SELECT * FROM c ORDER BY size DESC, cluster_id LIMIT 8)
 SELECT * FROM t UNION ALL SELECT NULL, CAST((SELECT count(*) FROM embeddings) - sum(size) AS BIGINT), NULL FROM t HAVING (SELECT count(*) FROM embeddings) > sum(size)""",
     ),
     "store_counts": (store_counts, f"{E} SELECT corpus, count(*) AS edge_count, count(*) FILTER (invalid_at IS NULL) AS current_count, count(DISTINCT edge_type) AS types FROM edges GROUP BY corpus"),
     "common_neighbors": (
         common_neighbors,
-        f"""{E}, {BOTH}, nb AS MATERIALIZED (SELECT DISTINCT node, other FROM both_), p AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM cur WHERE edge_type = 'related_to' AND from_id < to_id), x AS MATERIALIZED (SELECT a, b, other FROM p JOIN nb ON node = a)
+        f"""{E}, {BOTH}, nb AS MATERIALIZED (SELECT DISTINCT node, other FROM both_), p AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM cur
+WHERE edge_type = 'related_to' AND from_id < to_id), x AS MATERIALIZED (SELECT a, b, other FROM p JOIN nb ON node = a)
 SELECT a || '|' || b AS gid, x.other AS node FROM x JOIN nb y ON y.node = x.b AND y.other = x.other""",
     ),
-    "source_edges": (source_edges, "SELECT vec_id AS from_id, unnest([vec_id // 2, vec_id // 3]) AS to_id, CASE WHEN vec_id % 7 = 0 THEN 'contradicts' ELSE 'derives_from' END AS edge_type, CAST(CASE WHEN vec_id % 7 = 0 THEN 0.85 ELSE 0.9 END AS DOUBLE) AS weight FROM embeddings"),
-    "same_tag_edges": (same_tag_edges, "WITH c AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), e AS (SELECT p AS from_id, doc_id AS to_id FROM c WHERE p IS NOT NULL) SELECT *, 'same_tag' AS edge_type, CAST(0.6 AS DOUBLE) AS weight FROM (SELECT * FROM e UNION ALL SELECT to_id, from_id FROM e)"),
-    "co_session_edges": (co_session_edges, f"WITH {X.HISTORY}, c AS (SELECT id, lag(id) OVER (PARTITION BY session_id ORDER BY id) AS p FROM history), e AS (SELECT p AS from_id, id AS to_id FROM c WHERE p IS NOT NULL) SELECT *, 'co_session' AS edge_type, CAST(0.5 AS DOUBLE) AS weight FROM (SELECT * FROM e UNION ALL SELECT to_id, from_id FROM e)"),
+    "source_edges": (source_edges, """SELECT vec_id AS from_id, unnest([vec_id // 2,
+vec_id // 3]) AS to_id, CASE WHEN vec_id % 7 = 0 THEN 'contradicts' ELSE 'derives_from' END AS edge_type, CAST(CASE WHEN vec_id % 7 = 0 THEN 0.85 ELSE 0.9 END AS DOUBLE) AS weight
+FROM embeddings"""),
+    "same_tag_edges": (same_tag_edges, """WITH c AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), e AS (SELECT p AS from_id, doc_id AS to_id FROM c
+WHERE p IS NOT NULL) SELECT *, 'same_tag' AS edge_type, CAST(0.6 AS DOUBLE) AS weight FROM (SELECT * FROM e UNION ALL SELECT to_id, from_id FROM e)"""),
+    "co_session_edges": (co_session_edges, f"""WITH {X.HISTORY}, c AS (SELECT id, lag(id) OVER (PARTITION BY session_id ORDER BY id) AS p FROM history), e AS (SELECT p AS from_id, id AS to_id FROM c
+WHERE p IS NOT NULL) SELECT *, 'co_session' AS edge_type, CAST(0.5 AS DOUBLE) AS weight FROM (SELECT * FROM e UNION ALL SELECT to_id, from_id FROM e)"""),
     "related_edges": (
         related_edges,
-        f"WITH {ASKED}, n AS (SELECT * FROM (SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) AS k FROM (SELECT qid, doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM vectors, asked WHERE qid <> doc_id)) WHERE k <= 5 AND sim >= 0.2) SELECT qid AS from_id, doc_id AS to_id, round(sim, 4) AS weight FROM n UNION SELECT doc_id, qid, round(sim, 4) FROM n",
+        f"""WITH {ASKED}, n AS (SELECT * FROM (SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) AS k FROM (SELECT qid,
+doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM vectors, asked WHERE qid <> doc_id)) WHERE k <= 5 AND sim >= 0.2) SELECT qid AS from_id,
+doc_id AS to_id, round(sim, 4) AS weight FROM n UNION SELECT doc_id, qid, round(sim, 4) FROM n""",
     ),
-    "beam_search": (beam_search, f"{E}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)} SELECT qid, node, round(score, 6) AS score, CAST(hop AS BIGINT) AS hop, relation FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2)"),
+    "beam_search": (beam_search, f"""{E}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)} SELECT qid, node, round(score, 6) AS score, CAST(hop AS BIGINT) AS hop, relation FROM (SELECT * FROM f1
+UNION ALL SELECT * FROM f2)"""),
     "beam_search_mmr": (beam_search_mmr, None),
     "multi_angle_merge": (
         multi_angle_merge,
-        f"{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec FROM embeddings e, (SELECT unnest(range(3)) AS a) JOIN embeddings q ON q.vec_id = e.vec_id + a WHERE e.vec_id % 100 = 0), {sql_hop(1, S0)}, {sql_hop(2, S1)} SELECT qid // 10 AS qid, node, round(max(score), 6) AS score FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) GROUP BY ALL",
+        f"""{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec
+FROM embeddings e, (SELECT unnest(range(3)) AS a) JOIN embeddings q ON q.vec_id = e.vec_id + a WHERE e.vec_id % 100 = 0), {sql_hop(1, S0)}, {sql_hop(2, S1)}
+SELECT qid // 10 AS qid, node, round(max(score), 6) AS score FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) GROUP BY ALL""",
     ),
     "graph_expand": (
         graph_expand,
         f"""{E}, {sql_near('o', 'from_id', 'to_id', 8)}, {sql_near('i', 'to_id', 'from_id', 8)}, adj AS (SELECT DISTINCT node, other FROM (SELECT node, other FROM o UNION ALL SELECT node, other FROM i)), {ASKED}, {VEC},
-hits AS (SELECT qid, 'v' || doc_id AS node, 2.0 / (16 + k) AS rrf, k + 1 AS rank FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round({X.SQL_COS.format(a='qvec', b='vec')}, 9) DESC, doc_id) - 1 AS k FROM vectors, asked) WHERE k < 10),
+hits AS (SELECT qid, 'v' || doc_id AS node, 2.0 / (16 + k) AS rrf, k + 1 AS rank FROM (SELECT qid, doc_id,
+row_number() OVER (PARTITION BY qid ORDER BY round({X.SQL_COS.format(a='qvec', b='vec')}, 9) DESC, doc_id) - 1 AS k FROM vectors, asked) WHERE k < 10),
 e0 AS (SELECT qid, node FROM hits WHERE rank <= 5), e1 AS (SELECT DISTINCT qid, other AS node FROM e0 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0)),
 e2 AS (SELECT DISTINCT qid, other AS node FROM e1 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0 UNION ALL SELECT (qid, node) FROM e1)),
-c AS (SELECT qid, node, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) JOIN vec USING (node) JOIN asked USING (qid) WHERE (qid, node) NOT IN (SELECT (qid, node) FROM hits)),
-s AS (SELECT qid, min(rrf) AS lo, max(rrf) AS hi FROM hits GROUP BY qid), x AS (SELECT qid, node, rrf FROM hits UNION ALL SELECT qid, node, lo + (hi - lo) * greatest(0.0, (sim - 0.1) / 0.9) FROM c JOIN s USING (qid) WHERE sim >= 0.1),
+c AS (SELECT qid, node, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) JOIN vec USING (node)
+JOIN asked USING (qid) WHERE (qid, node) NOT IN (SELECT (qid, node) FROM hits)),
+s AS (SELECT qid, min(rrf) AS lo, max(rrf) AS hi FROM hits GROUP BY qid), x AS (SELECT qid, node, rrf FROM hits UNION ALL SELECT qid, node,
+lo + (hi - lo) * greatest(0.0, (sim - 0.1) / 0.9) FROM c JOIN s USING (qid) WHERE sim >= 0.1),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, node) AS rank FROM x) SELECT qid, node, round(rrf, 6) AS rrf, rank FROM r WHERE rank <= 10""",
     ),
     "shortest_path": (
         shortest_path,
-        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT node, other, min(edge_type) AS via FROM (SELECT from_id AS node, to_id AS other, edge_type FROM cur UNION ALL SELECT to_id, from_id, edge_type FROM cur) GROUP BY ALL),
+        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT node, other,
+min(edge_type) AS via FROM (SELECT from_id AS node, to_id AS other, edge_type FROM cur UNION ALL SELECT to_id, from_id, edge_type FROM cur) GROUP BY ALL),
 p AS (SELECT vec_id AS pid, 'v' || vec_id AS a, 'v' || (vec_id - 100) AS b FROM embeddings WHERE vec_id % 100 = 0 AND vec_id > 0),
 bfs AS (SELECT pid, a AS node, 0 AS d FROM p UNION SELECT pid, other, d + 1 FROM bfs JOIN adj USING (node) WHERE d < {PATH_DEPTH}),
 dist AS MATERIALIZED (SELECT pid, node, min(d) AS d FROM bfs GROUP BY ALL),
-up AS MATERIALIZED (SELECT c.pid, c.node, c.d, min(CASE WHEN q.node IS NOT NULL THEN {{'node': q.node, 'via': a.via}} END) AS p FROM dist c LEFT JOIN adj a ON a.other = c.node LEFT JOIN dist q ON q.pid = c.pid AND q.node = a.node AND q.d = c.d - 1 GROUP BY c.pid, c.node, c.d),
+up AS MATERIALIZED (SELECT c.pid, c.node, c.d, min(CASE WHEN q.node IS NOT NULL THEN {{'node': q.node, 'via': a.via}} END) AS p FROM dist c LEFT
+JOIN adj a ON a.other = c.node LEFT JOIN dist q ON q.pid = c.pid AND q.node = a.node AND q.d = c.d - 1 GROUP BY c.pid, c.node, c.d),
 path AS (SELECT u.* FROM up u JOIN p ON u.pid = p.pid AND u.node = p.b UNION ALL SELECT u.* FROM path x JOIN up u ON u.pid = x.pid AND u.node = x.p.node)
 SELECT pid, CAST(d AS BIGINT) AS step, node, p.via AS via FROM path""",
     ),
-    "annotated_edges": (annotated_edges, f"{E}, {sql_near('o', 'from_id', 'to_id', 3)}, {SEEDS}, a AS (SELECT node, string_agg(edge_type || ':' || other, ',' ORDER BY rank) AS edges FROM o GROUP BY node) SELECT qid, node, edges FROM f0 LEFT JOIN a USING (node)"),
+    "annotated_edges": (annotated_edges, f"""{E}, {sql_near('o', 'from_id', 'to_id', 3)}, {SEEDS}, a AS (SELECT node, string_agg(edge_type || ':' || other, ',' ORDER BY rank) AS edges FROM o GROUP BY node)
+SELECT qid, node, edges FROM f0 LEFT JOIN a USING (node)"""),
     "pagerank_k": (
         pagerank_k,
-        f"""{E.replace('WITH', 'WITH RECURSIVE', 1)}, w AS (SELECT from_id, to_id, sum(weight) AS w FROM cur WHERE edge_type <> 'occurred_in' GROUP BY ALL), links AS MATERIALIZED (SELECT from_id, to_id, w / sum(w) OVER (PARTITION BY from_id) AS share FROM w), nodes AS MATERIALIZED (SELECT from_id AS node FROM links UNION SELECT to_id FROM links),
+        f"""{E.replace('WITH', 'WITH RECURSIVE', 1)}, w AS (SELECT from_id, to_id, sum(weight) AS w FROM cur WHERE edge_type <> 'occurred_in' GROUP BY ALL),
+links AS MATERIALIZED (SELECT from_id, to_id, w / sum(w) OVER (PARTITION BY from_id) AS share FROM w), nodes AS MATERIALIZED (SELECT from_id AS node
+FROM links UNION SELECT to_id FROM links),
 {sql_walk("links", "nodes", 0.85, 100, 1e-6)} SELECT node, round(rank, 9) AS rank FROM last_""",
     ),
     "surprisal_k": (surprisal_k, f"{SURPRISE} SELECT doc_id, round(surprisal, 6) AS surprisal, round((surprisal - min(surprisal) OVER ()) / (max(surprisal) OVER () - min(surprisal) OVER ()), 6) AS normalized FROM s"),
-    "surprisal_incremental": (surprisal_incremental, f"{SURPRISE}, h AS (SELECT max(doc_id) // 2 AS half FROM vectors), n AS (SELECT s.*, row_number() OVER (ORDER BY round(surprisal, 9) DESC, doc_id) AS k, count(*) OVER () AS c FROM s, h WHERE doc_id > half) SELECT doc_id, round(surprisal, 6) AS surprisal FROM n WHERE k <= greatest(1, floor(c * 0.1))"),
-    "local_entropy": (local_entropy, f"{E}, {BOTH}, c AS (SELECT node, edge_type, count(*) AS n FROM both_ WHERE edge_type IN {DEF} GROUP BY ALL), t AS (SELECT node, n / sum(n) OVER (PARTITION BY node) AS p FROM c) SELECT node, round(sum(-p * log2(p)), 6) AS entropy FROM t GROUP BY node"),
+    "surprisal_incremental": (surprisal_incremental, f"""{SURPRISE}, h AS (SELECT max(doc_id) // 2 AS half FROM vectors), n AS (SELECT s.*, row_number() OVER (ORDER BY round(surprisal, 9) DESC, doc_id) AS k,
+count(*) OVER () AS c FROM s, h WHERE doc_id > half) SELECT doc_id, round(surprisal, 6) AS surprisal FROM n WHERE k <= greatest(1, floor(c * 0.1))"""),
+    "local_entropy": (local_entropy, f"""{E}, {BOTH}, c AS (SELECT node, edge_type, count(*) AS n FROM both_ WHERE edge_type IN {DEF} GROUP BY ALL), t AS (SELECT node,
+n / sum(n) OVER (PARTITION BY node) AS p FROM c) SELECT node, round(sum(-p * log2(p)), 6) AS entropy FROM t GROUP BY node"""),
     "entropy_production": (
         entropy_production,
-        f"""WITH {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), {BOTH}, ends AS (SELECT node, other, count(*) AS own FROM both_ GROUP BY ALL), deg AS (SELECT node, sum(own) AS degree FROM ends GROUP BY node),
-x AS (SELECT e.node, d.degree AS a, greatest(0, d.degree - e.own) AS b, sum(d.degree) OVER w AS ta, greatest(1, sum(greatest(0, d.degree - e.own)) OVER w) AS tb FROM ends e JOIN deg d ON d.node = e.other WINDOW w AS (PARTITION BY e.node))
+        f"""WITH {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), {BOTH}, ends AS (SELECT node, other, count(*) AS own FROM both_
+GROUP BY ALL), deg AS (SELECT node, sum(own) AS degree FROM ends GROUP BY node),
+x AS (SELECT e.node, d.degree AS a, greatest(0, d.degree - e.own) AS b, sum(d.degree) OVER w AS ta, greatest(1, sum(greatest(0, d.degree - e.own)) OVER w) AS tb
+FROM ends e JOIN deg d ON d.node = e.other WINDOW w AS (PARTITION BY e.node))
 SELECT node, round(abs(sum(CASE WHEN a > 0 THEN -(a / ta) * log2(a / ta) ELSE 0 END) - sum(CASE WHEN b > 0 THEN -(b / tb) * log2(b / tb) ELSE 0 END)), 6) AS production FROM x GROUP BY node""",
     ),
     "degree_stats": (degree_stats, f"{E}, {BOTH} SELECT node, count(*) AS degree, count(DISTINCT other) AS neighbors, round(sum(weight), 6) AS weight FROM both_ GROUP BY node"),
@@ -370,7 +403,9 @@ SELECT node, root FROM r WHERE it = (SELECT max(it) FROM r)""",
     ),
     "session_components": (
         session_components,
-        f"WITH RECURSIVE {X.EDGES}, cur AS (SELECT from_id, to_id FROM edges WHERE invalid_at IS NULL AND edge_type = 'co_session'), adj AS (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur), r AS (SELECT a AS node, a AS reach FROM adj UNION SELECT r.node, b FROM r JOIN adj ON a = reach), m AS (SELECT node, min(reach) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM m GROUP BY root",
+        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT from_id, to_id FROM edges WHERE invalid_at IS NULL AND edge_type = 'co_session'), adj AS (SELECT from_id AS a,
+to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur), r AS (SELECT a AS node, a AS reach FROM adj UNION SELECT r.node, b FROM r JOIN adj ON a = reach),
+m AS (SELECT node, min(reach) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM m GROUP BY root""",
     ),
     "betweenness": (betweenness, None),
     "fiedler": (fiedler, None),

@@ -133,36 +133,52 @@ def period_rollup(spark, sf):
 
 
 START = "epoch(make_timestamp(2024, 1, 1, 0, 0, 0))"
-INS = "ins AS (SELECT vec_id AS doc_id, 'label:' || label AS corpus, TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS inserted_at FROM embeddings), state AS (SELECT 'label:' || label AS corpus, TIMESTAMP '2024-01-01' + to_minutes(min(vec_id) + 30) AS last_dream_at, 30 AS last_doc_count FROM embeddings WHERE label % 2 = 0 GROUP BY label)"
+INS = """ins AS (SELECT vec_id AS doc_id, 'label:' || label AS corpus, TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS inserted_at FROM embeddings),
+state AS (SELECT 'label:' || label AS corpus, TIMESTAMP '2024-01-01' + to_minutes(min(vec_id) + 30) AS last_dream_at, 30 AS last_doc_count FROM embeddings
+WHERE label % 2 = 0 GROUP BY label)"""
 
 QUERIES = {
-    "scratch_latest": (scratch_latest, "SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"),
-    "task_list": (task_list, "SELECT user_id AS task_id, event_type AS title, 'done' AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'purchase'"),
+    "scratch_latest": (scratch_latest, """SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC,
+event_id DESC) AS n FROM events) WHERE n = 1"""),
+    "task_list": (task_list, """SELECT user_id AS task_id, event_type AS title, 'done' AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n
+FROM events) WHERE n = 1 AND event_type = 'purchase'"""),
     "history_list": (history_list, f"WITH {X.HISTORY} SELECT agent_id, id, role, place FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY id DESC) AS place FROM history) WHERE place <= 20"),
-    "history_search": (history_search, f"WITH {X.HISTORY} SELECT agent_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY id DESC) AS place FROM history WHERE contains(lower(content), 'the')) WHERE place <= 20"),
+    "history_search": (history_search, f"""WITH {X.HISTORY} SELECT agent_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY id DESC) AS place FROM history
+WHERE contains(lower(content), 'the')) WHERE place <= 20"""),
     "access_counts": (
         access_counts,
-        "WITH e AS (SELECT event_id % 500 AS doc_id, CAST(user_id % 4 AS VARCHAR) AS agent_id, ts FROM events) SELECT doc_id, agent_id, 0::BIGINT AS level, count(*) AS access_count, epoch_us(max(ts)) AS last_accessed FROM e GROUP BY doc_id, agent_id UNION ALL SELECT doc_id, NULL, 1::BIGINT, count(*), epoch_us(max(ts)) FROM e GROUP BY doc_id",
+        """WITH e AS (SELECT event_id % 500 AS doc_id, CAST(user_id % 4 AS VARCHAR) AS agent_id, ts FROM events) SELECT doc_id, agent_id, 0::BIGINT AS level,
+count(*) AS access_count, epoch_us(max(ts)) AS last_accessed FROM e GROUP BY doc_id, agent_id UNION ALL SELECT doc_id, NULL, 1::BIGINT, count(*),
+epoch_us(max(ts)) FROM e GROUP BY doc_id""",
     ),
     "new_docs_since": (new_docs_since, f"WITH {INS} SELECT doc_id, corpus FROM ins LEFT JOIN state USING (corpus) WHERE last_dream_at IS NULL OR inserted_at > last_dream_at"),
-    "dream_gate": (dream_gate, f"WITH {INS}, c AS (SELECT corpus, count(*) AS docs FROM ins GROUP BY corpus) SELECT corpus, docs, CAST(coalesce(last_doc_count, 0) AS BIGINT) AS last_doc_count, docs >= 20 AND docs - coalesce(last_doc_count, 0) >= 20 AS due FROM c LEFT JOIN state USING (corpus)"),
-    "prune_stale": (prune_stale, f"WITH {X.ACCESS} SELECT o_orderkey AS doc_id FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2') AND DATE '1998-01-01' - CAST(o_orderdate AS DATE) >= 90 AND o_orderkey NOT IN (SELECT doc_id FROM doc_access)"),
+    "dream_gate": (dream_gate, f"""WITH {INS}, c AS (SELECT corpus, count(*) AS docs FROM ins GROUP BY corpus) SELECT corpus, docs, CAST(coalesce(last_doc_count, 0) AS BIGINT) AS last_doc_count,
+docs >= 20 AND docs - coalesce(last_doc_count, 0) >= 20 AS due FROM c LEFT JOIN state USING (corpus)"""),
+    "prune_stale": (prune_stale, f"""WITH {X.ACCESS} SELECT o_orderkey AS doc_id FROM orders
+WHERE left(o_orderpriority, 1) IN ('1', '2') AND DATE '1998-01-01' - CAST(o_orderdate AS DATE) >= 90 AND o_orderkey NOT IN (SELECT doc_id FROM doc_access)"""),
     "doc_reassemble": (doc_reassemble, "SELECT conv_id AS doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id"),
     "rag_list": (rag_list, "SELECT doc_id, source AS source_id, length(text) AS chars FROM documents WHERE lang = 'en'"),
-    "upsert_documents": (upsert_documents, "WITH f AS (SELECT doc_id // 2 AS doc_id, max(text) AS body FROM documents GROUP BY 1) SELECT doc_id, md5(body) AS digest FROM f UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"),
+    "upsert_documents": (upsert_documents, """WITH f AS (SELECT doc_id // 2 AS doc_id, max(text) AS body FROM documents GROUP BY 1) SELECT doc_id, md5(body) AS digest FROM f UNION ALL SELECT doc_id,
+md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"""),
     "text_chunks": (text_chunks, None),
     "code_symbols": (
         code_symbols,
         f"""WITH {X.DOCS}, t AS (SELECT doc_id, {X.sql_terms('body')} AS t FROM docs), r AS (SELECT doc_id, len(t) AS n, unnest(t) AS name, unnest(range(1, len(t) + 1)) AS line_no FROM t)
-SELECT 'docs/' || doc_id || '.py' AS path, line_no, CASE WHEN line_no % 3 = 1 THEN least(line_no + 2, n) ELSE line_no END AS end_line, '# ' || CASE WHEN line_no % 3 = 1 THEN 'class ' ELSE 'def ' END || name || ' (' || doc_id || '.py:' || line_no || ')' AS header FROM r""",
+SELECT 'docs/' || doc_id || '.py' AS path, line_no, CASE WHEN line_no % 3 = 1 THEN least(line_no + 2,
+n) ELSE line_no END AS end_line, '# ' || CASE WHEN line_no % 3 = 1 THEN 'class ' ELSE 'def ' END || name || ' (' || doc_id || '.py:' || line_no || ')' AS header
+FROM r""",
     ),
     "semantic_chunks": (semantic_chunks, None),
     "stemmed_terms": (stemmed_terms, None),
     "tumbling_windows": (tumbling_windows, "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
-    "sliding_windows": (sliding_windows, "WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 43200 AS h FROM events) SELECT unnest([h, h - 43200]) AS start, event_type, count(*) AS n FROM e GROUP BY 1, 2"),
+    "sliding_windows": (sliding_windows, """WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 43200 AS h FROM events) SELECT unnest([h, h - 43200]) AS start, event_type,
+count(*) AS n FROM e GROUP BY 1, 2"""),
     "session_windows": (
         session_windows,
-        "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 21600000000 AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
+        """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS cut
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *,
+sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start,
+epoch_us(max(ts)) + 21600000000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     ),
     "circuit_breaker": (circuit_breaker, None),
     "period_rollup": (period_rollup, "SELECT strftime(o_orderdate, '%Y') AS year, quarter(o_orderdate) AS quarter, strftime(o_orderdate, '%m') AS month, count(*) AS n FROM orders GROUP BY ROLLUP (1, 2, 3)"),

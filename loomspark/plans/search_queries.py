@@ -208,7 +208,9 @@ s1 AS (SELECT qid, doc_id, score, 1.5 / (16 + rank) * score / (CASE WHEN max(sco
 s2 AS (SELECT qid, doc_id, score, 0.75 / (16 + rank) * score / (CASE WHEN max(score) OVER (PARTITION BY qid) < 1e-6 THEN 1 ELSE max(score) OVER (PARTITION BY qid) END) AS part FROM b2),
 hits AS (SELECT qid, doc_id, coalesce(2.0 / (16 + cos.rank), 0) + coalesce(s1.part, 0) + coalesce(s2.part, 0) AS rrf, coalesce(sim, 0) AS embedding, coalesce(s1.score, s2.score, 0) AS bm25
   FROM cos FULL JOIN s1 USING (qid, doc_id) FULL JOIN s2 USING (qid, doc_id))"""
-USED = f"{X.ACCESS}, used AS (SELECT h.qid, h.doc_id, h.embedding, h.bm25, rrf * greatest(0.3, 1 - 0.5 * coalesce(epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_accessed), 365 * 86400000000) / 86400000000.0 / 365) * least(1.3, 1 + 0.02 * coalesce(access_count, 0)) AS rrf FROM hits h LEFT JOIN doc_access a ON a.doc_id = h.doc_id AND a.agent_id = '1')"
+USED = f"""{X.ACCESS}, used AS (SELECT h.qid, h.doc_id, h.embedding, h.bm25, rrf * greatest(0.3, 1 - 0.5 * coalesce(epoch_us((SELECT max(ts)
+FROM events)) - epoch_us(last_accessed), 365 * 86400000000) / 86400000000.0 / 365) * least(1.3, 1 + 0.02 * coalesce(access_count, 0)) AS rrf FROM hits h LEFT
+JOIN doc_access a ON a.doc_id = h.doc_id AND a.agent_id = '1')"""
 
 
 def sql_best(source: str, columns: str) -> str:
@@ -220,12 +222,17 @@ NOT_LAST = "pen AS (SELECT h.* REPLACE (rrf * CASE WHEN contains(lower(body), {l
 OUT = "qid, doc_id, round(rrf, 6) AS rrf"
 FULL_OUT = f"{OUT}, round(embedding, 6) AS embedding, round(bm25, 6) AS bm25"
 ASKED = f"WITH {X.VECTORS}, asked AS (SELECT doc_id AS qid, vec AS qvec FROM vectors WHERE doc_id % 100 = 0)"
-DOUBLED = f"WITH {X.VECTORS}, d AS (SELECT doc_id, vec FROM vectors UNION ALL SELECT doc_id + 1000000, list_concat([vec[1] + 0.01], vec[2:]) FROM vectors), near AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.doc_id < b.doc_id WHERE {X.SQL_COS.format(a='a.vec', b='b.vec')} >= 0.95)"
-PAIRS = f"WITH {X.VECTORS}, cls AS (SELECT doc_id, vec, min(doc_id) OVER (PARTITION BY vec) AS class_id FROM vectors), reps AS (SELECT * FROM cls WHERE doc_id = class_id), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, {X.SQL_COS.format(a='a.vec', b='b.vec')} AS sim FROM reps a JOIN reps b ON a.doc_id < b.doc_id WHERE {X.SQL_COS.format(a='a.vec', b='b.vec')} >= {EDGE})"
+DOUBLED = f"""WITH {X.VECTORS}, d AS (SELECT doc_id, vec FROM vectors UNION ALL SELECT doc_id + 1000000, list_concat([vec[1] + 0.01], vec[2:]) FROM vectors),
+near AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.doc_id < b.doc_id WHERE {X.SQL_COS.format(a='a.vec', b='b.vec')} >= 0.95)"""
+PAIRS = f"""WITH {X.VECTORS}, cls AS (SELECT doc_id, vec, min(doc_id) OVER (PARTITION BY vec) AS class_id FROM vectors), reps AS (SELECT * FROM cls
+WHERE doc_id = class_id), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, {X.SQL_COS.format(a='a.vec', b='b.vec')} AS sim FROM reps a
+JOIN reps b ON a.doc_id < b.doc_id WHERE {X.SQL_COS.format(a='a.vec', b='b.vec')} >= {EDGE})"""
 ME = "lambda x: CAST(x AS DOUBLE)"
 
 def sql_fused(cos: str) -> str:
-    part = lambda name, source, weight: f"{name} AS (SELECT qid, doc_id, score, {weight} / (16 + rank) * score / (CASE WHEN max(score) OVER (PARTITION BY qid) < 1e-6 THEN 1 ELSE max(score) OVER (PARTITION BY qid) END) AS part FROM {source})"
+    part = lambda name, source, weight: f"""{name} AS (SELECT qid, doc_id,
+score, {weight} / (16 + rank) * score / (CASE WHEN max(score) OVER (PARTITION BY qid) < 1e-6 THEN 1 ELSE max(score) OVER (PARTITION BY qid) END) AS part
+FROM {source})"""
     return f"""{part("s1", "b1", 1.5)}, {part("s2", "b2", 0.75)},
 hits AS (SELECT qid, doc_id, coalesce(2.0 / (16 + c.rank), 0) + coalesce(s1.part, 0) + coalesce(s2.part, 0) AS rrf, coalesce(sim, 0) AS embedding, coalesce(s1.score, s2.score, 0) AS bm25
   FROM {cos} c FULL JOIN s1 USING (qid, doc_id) FULL JOIN s2 USING (qid, doc_id))"""
@@ -235,26 +242,32 @@ def sql_near(name: str, a: str, b: str, k: int, where: str = "true") -> str:
     return f"{name} AS (SELECT * FROM (SELECT {a} AS node, {b} AS other, row_number() OVER (PARTITION BY {a} ORDER BY weight DESC, {b}, edge_type) AS place FROM cur WHERE {where}) WHERE place <= {k})"
 
 
-FLOW_SQL = f"""WITH {X.FLOW}, {X.EDGES.strip()}, cur AS MATERIALIZED (SELECT CASE WHEN edge_type = 'occurred_in' THEN 'v' || substr(from_id, 2) ELSE from_id END AS from_id, to_id, edge_type, weight FROM edges WHERE invalid_at IS NULL), {TOK}, {TF.replace("df AS (", "df AS MATERIALIZED (")}, {WANTED},
+FLOW_SQL = f"""WITH {X.FLOW}, {X.EDGES.strip()}, cur AS MATERIALIZED (SELECT CASE WHEN edge_type = 'occurred_in' THEN 'v' || substr(from_id, 2) ELSE from_id END AS from_id,
+to_id, edge_type, weight FROM edges WHERE invalid_at IS NULL), {TOK}, {TF.replace("df AS (", "df AS MATERIALIZED (")}, {WANTED},
 {sql_cos('cos', 'queries', 40)}, {PRF}, {sql_bm25('b1', 'wanted', 40)}, {sql_bm25('b2', 'more', 40)},
 richer AS MATERIALIZED (SELECT qid, {X.sql_term_vector(X.sql_terms("text || ' ' || expansion"))} AS qvec FROM queries JOIN expansion USING (qid)), {sql_cos('cos2', 'richer', 40)},
-merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) - 1 AS rank FROM (SELECT qid, doc_id, max(sim) AS sim FROM (SELECT qid, doc_id, sim FROM cos UNION ALL SELECT qid, doc_id, sim FROM cos2) GROUP BY ALL)),
+merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) - 1 AS rank FROM (SELECT qid, doc_id, max(sim) AS sim
+FROM (SELECT qid, doc_id, sim FROM cos UNION ALL SELECT qid, doc_id, sim FROM cos2) GROUP BY ALL)),
 {sql_near("of_period", "to_id", "from_id", 50, "edge_type = 'occurred_in'")},
 periods_asked AS (SELECT qid, unnest(['month:' || strftime(m, '%Y-%m'), 'quarter:' || strftime(m, '%Y') || '-Q' || quarter(m)]) AS node FROM queries WHERE m IS NOT NULL),
 added AS (SELECT DISTINCT qid, other AS doc_id FROM periods_asked JOIN of_period USING (node) WHERE (qid, other) NOT IN (SELECT (qid, doc_id) FROM merged)),
 added_sim AS (SELECT a.qid, a.doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim, row_number() OVER (PARTITION BY a.qid ORDER BY a.doc_id) AS n FROM added a JOIN vectors USING (doc_id) JOIN queries q ON q.qid = a.qid),
-near_ AS MATERIALIZED (SELECT qid, doc_id, sim, rank FROM merged UNION ALL SELECT a.qid, a.doc_id, a.sim, coalesce(l.last, -1) + n FROM added_sim a LEFT JOIN (SELECT qid, max(rank) AS last FROM merged GROUP BY qid) l USING (qid)),
+near_ AS MATERIALIZED (SELECT qid, doc_id, sim, rank FROM merged UNION ALL SELECT a.qid, a.doc_id, a.sim, coalesce(l.last, -1) + n FROM added_sim a LEFT
+JOIN (SELECT qid, max(rank) AS last FROM merged GROUP BY qid) l USING (qid)),
 {sql_fused('near_')},
-boosted AS (SELECT h.qid, h.doc_id, h.embedding, h.bm25, rrf + 1.5 * coalesce((SELECT max(exp(-pow(greatest(0, m - d, d - last_day(m)), 2) / 450)) FROM (SELECT unnest(days) AS d)), 0) AS rrf FROM hits h LEFT JOIN docs USING (doc_id) LEFT JOIN queries q USING (qid)),
+boosted AS (SELECT h.qid, h.doc_id, h.embedding, h.bm25, rrf + 1.5 * coalesce((SELECT max(exp(-pow(greatest(0, m - d, d - last_day(m)), 2) / 450))
+FROM (SELECT unnest(days) AS d)), 0) AS rrf FROM hits h LEFT JOIN docs USING (doc_id) LEFT JOIN queries q USING (qid)),
 {USED.replace("FROM hits h", "FROM boosted h").replace("a.doc_id = h.doc_id", "'v' || a.doc_id = h.doc_id")},
 pen AS (SELECT u.* REPLACE (rrf * CASE WHEN contains(lower(body), last) THEN 0.1 ELSE 1 END AS rrf) FROM used u LEFT JOIN docs USING (doc_id) LEFT JOIN queries USING (qid)),
 best AS MATERIALIZED ({sql_best('pen', 'qid, doc_id, rrf, embedding, bm25')}),
 {sql_near("o", "from_id", "to_id", 8)}, {sql_near("i", "to_id", "from_id", 8)}, adj AS MATERIALIZED (SELECT DISTINCT node, other FROM (SELECT node, other FROM o UNION ALL SELECT node, other FROM i)),
 e0 AS (SELECT qid, doc_id AS node FROM best WHERE rank <= 5), e1 AS MATERIALIZED (SELECT DISTINCT qid, other AS node FROM e0 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0)),
 e2 AS (SELECT DISTINCT qid, other AS node FROM e1 JOIN adj USING (node) WHERE (qid, other) NOT IN (SELECT (qid, node) FROM e0 UNION ALL SELECT (qid, node) FROM e1)),
-fresh AS (SELECT e.qid, e.node AS doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) e JOIN vectors v ON v.doc_id = e.node JOIN queries q ON q.qid = e.qid WHERE (e.qid, e.node) NOT IN (SELECT (qid, doc_id) FROM best)),
+fresh AS (SELECT e.qid, e.node AS doc_id, {X.SQL_COS.format(a='qvec', b='vec')} AS sim FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2) e
+JOIN vectors v ON v.doc_id = e.node JOIN queries q ON q.qid = e.qid WHERE (e.qid, e.node) NOT IN (SELECT (qid, doc_id) FROM best)),
 span AS (SELECT qid, min(rrf) AS lo, max(rrf) AS hi FROM best GROUP BY qid),
-wide AS (SELECT qid, doc_id, rrf, embedding, bm25 FROM best UNION ALL SELECT qid, doc_id, lo + (hi - lo) * greatest(0.0, (sim - {FLOW_LEAST}) / (1 - {FLOW_LEAST})), NULL, NULL FROM fresh JOIN span USING (qid) WHERE sim >= {FLOW_LEAST}),
+wide AS (SELECT qid, doc_id, rrf, embedding, bm25 FROM best UNION ALL SELECT qid, doc_id,
+lo + (hi - lo) * greatest(0.0, (sim - {FLOW_LEAST}) / (1 - {FLOW_LEAST})), NULL, NULL FROM fresh JOIN span USING (qid) WHERE sim >= {FLOW_LEAST}),
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM wide) WHERE rank <= 10)"""
 
 QUERIES = {
@@ -267,24 +280,29 @@ QUERIES = {
     "dedup_exact": (dedup_exact, f"{DOUBLED} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT b FROM near)"),
     "dedup_greedy": (
         dedup_greedy,
-        f"""{DOUBLED.replace('WITH', 'WITH RECURSIVE', 1)}, o AS MATERIALIZED (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) AS i, coalesce(x.others, []) AS others FROM d LEFT JOIN (SELECT b, list(a) AS others FROM near GROUP BY b) x ON x.b = d.doc_id),
+        f"""{DOUBLED.replace('WITH', 'WITH RECURSIVE', 1)}, o AS MATERIALIZED (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) AS i, coalesce(x.others, []) AS others
+FROM d LEFT JOIN (SELECT b, list(a) AS others FROM near GROUP BY b) x ON x.b = d.doc_id),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1)
 SELECT unnest(kept) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)""",
     ),
     "bulk_edges": (bulk_edges, f"{PAIRS} SELECT a AS from_id, b AS to_id, round(sim, 4) AS weight FROM pairs UNION ALL SELECT b, a, round(sim, 4) FROM pairs"),
-    "similarity_classes": (similarity_classes, f"{PAIRS}, ends AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY c) SELECT doc_id, class_id, coalesce(links, 0) AS links FROM cls LEFT JOIN ends ON c = class_id"),
+    "similarity_classes": (similarity_classes, f"""{PAIRS}, ends AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY c) SELECT doc_id, class_id,
+coalesce(links, 0) AS links FROM cls LEFT JOIN ends ON c = class_id"""),
     "prf_terms": (prf_terms, f"{BASE}, {sql_cos('cos', 'queries', 40)}, {PRF} SELECT qid, expansion FROM expansion"),
     "rrf_fusion": (rrf_fusion, f"{ALL} {sql_best('hits', FULL_OUT)}"),
     "enriched_merge": (
         enriched_merge,
-        f"""WITH {X.QUERIES}, {sql_cos('cos', 'queries', 40)}, moved AS (SELECT q.qid, list_transform(q.qvec, lambda x, i: x + v.vec[i] / 2) AS qvec FROM queries q JOIN cos USING (qid) JOIN vectors v ON v.doc_id = cos.doc_id WHERE cos.rank = 1), {sql_cos('cos2', 'moved', 40)},
+        f"""WITH {X.QUERIES}, {sql_cos('cos', 'queries', 40)}, moved AS (SELECT q.qid, list_transform(q.qvec, lambda x, i: x + v.vec[i] / 2) AS qvec FROM queries q
+JOIN cos USING (qid) JOIN vectors v ON v.doc_id = cos.doc_id WHERE cos.rank = 1), {sql_cos('cos2', 'moved', 40)},
 both_ AS (SELECT qid, doc_id, max(sim) AS sim FROM (SELECT qid, doc_id, sim FROM cos UNION ALL SELECT qid, doc_id, sim FROM cos2) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) - 1 AS rank FROM both_) SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM r WHERE rank < 10""",
     ),
     "temporal_injection": (
         temporal_injection,
-        f"""WITH {X.DATES}, ranked AS (SELECT * FROM (SELECT year(days[1]) * 100 + month(days[1]) AS qid, doc_id, row_number() OVER (PARTITION BY year(days[1]) * 100 + month(days[1]) ORDER BY doc_id) - 1 AS rank FROM dates) WHERE rank < 10),
-l0 AS (SELECT DISTINCT year(d) * 100 + month(d) AS qid, doc_id FROM (SELECT doc_id, unnest(days) AS d FROM dates)), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS n FROM l0) WHERE n <= 50),
+        f"""WITH {X.DATES}, ranked AS (SELECT * FROM (SELECT year(days[1]) * 100 + month(days[1]) AS qid, doc_id,
+row_number() OVER (PARTITION BY year(days[1]) * 100 + month(days[1]) ORDER BY doc_id) - 1 AS rank FROM dates) WHERE rank < 10),
+l0 AS (SELECT DISTINCT year(d) * 100 + month(d) AS qid, doc_id FROM (SELECT doc_id, unnest(days) AS d FROM dates)), l AS (SELECT * FROM (SELECT *,
+row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS n FROM l0) WHERE n <= 50),
 extra AS (SELECT qid, doc_id FROM l ANTI JOIN ranked USING (qid, doc_id)), last AS (SELECT qid, max(rank) AS last FROM ranked GROUP BY qid)
 SELECT qid, doc_id, rank FROM ranked UNION ALL SELECT e.qid, e.doc_id, coalesce(last, -1) + row_number() OVER (PARTITION BY e.qid ORDER BY e.doc_id) FROM extra e LEFT JOIN last USING (qid)""",
     ),
@@ -300,9 +318,12 @@ s AS (SELECT qid, doc_id, 0.1 + 1.5 * max(exp(-pow(greatest(0, a - d, d - z), 2)
     "search_flow": (search_flow, f"{FLOW_SQL} SELECT {FULL_OUT}, rank FROM found"),
     "recall_metrics": (
         recall_metrics,
-        f"""{FLOW_SQL}, sz AS (SELECT qid, count(*) AS n FROM wanted GROUP BY qid), rel AS MATERIALIZED (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS held FROM tf JOIN wanted USING (term) GROUP BY ALL) JOIN sz USING (qid) WHERE held * 2 >= n),
+        f"""{FLOW_SQL}, sz AS (SELECT qid, count(*) AS n FROM wanted GROUP BY qid), rel AS MATERIALIZED (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS held
+FROM tf JOIN wanted USING (term) GROUP BY ALL) JOIN sz USING (qid) WHERE held * 2 >= n),
 h AS (SELECT f.qid, f.doc_id, f.rank - 1 AS rank, (qid, doc_id) IN (SELECT (qid, doc_id) FROM rel) AS hit FROM found f WHERE rank <= 3), rc AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
-m AS (SELECT s.qid, coalesce(sum(CAST(hit AS INTEGER)), 0) / 3.0 AS p, coalesce(max(CAST(hit AS INTEGER)), 0) AS hr, coalesce(max(CASE WHEN hit THEN 1.0 / (rank + 1) END), 0) AS rr, coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 2) END), 0) AS dcg FROM sz s LEFT JOIN h USING (qid) GROUP BY s.qid),
+m AS (SELECT s.qid, coalesce(sum(CAST(hit AS INTEGER)), 0) / 3.0 AS p, coalesce(max(CAST(hit AS INTEGER)), 0) AS hr,
+coalesce(max(CASE WHEN hit THEN 1.0 / (rank + 1) END), 0) AS rr, coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 2) END), 0) AS dcg FROM sz s LEFT
+JOIN h USING (qid) GROUP BY s.qid),
 ideals AS (SELECT m.*, coalesce(list_sum(list_transform(range(least(3, rc.n)), lambda k: 1 / log2(k + 2))), 0) AS ideal FROM m LEFT JOIN rc USING (qid))
 SELECT count(*) AS queries, round(avg(p), 6) AS precision_at_k, round(avg(hr), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg FROM ideals""",
     ),

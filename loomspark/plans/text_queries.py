@@ -117,7 +117,8 @@ DATA = "data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
 RANGES = ", ".join(f"({int(ip_address(a))}, {int(ip_address(b))})" for a, b in RESERVED)
 
 QUERIES = {
-    "tokenize_terms": (tokenize_terms, f"WITH {X.DOCS}, t AS (SELECT doc_id, unnest({X.sql_terms('body')}) AS term FROM docs) SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM t GROUP BY term"),
+    "tokenize_terms": (tokenize_terms, f"""WITH {X.DOCS}, t AS (SELECT doc_id, unnest({X.sql_terms('body')}) AS term FROM docs) SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
+FROM t GROUP BY term"""),
     "content_hash_fnv1a": (
         content_hash_fnv1a,
         """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS HUGEINT)) AS bytes FROM documents)
@@ -130,13 +131,15 @@ SELECT doc_id, CAST(list_reduce(list_concat([14695981039346656037::HUGEINT], byt
 SELECT doc_id, CASE WHEN length(s) > 0 AND length(s) <= 200 THEN s WHEN length(t) <= 200 THEN t ELSE regexp_replace(substr(t, 1, 200), '\\s+\\S*$', '') || '…' END AS l0 FROM f""",
     ),
     "dream_l0": (dream_l0, "WITH w AS (SELECT doc_id, split_part(trim(text, ' '), chr(10), 1) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS l0 FROM w"),
-    "binarize_embedding": (binarize_embedding, "WITH t AS (SELECT unnest(list_transform(embedding, lambda v, i: CASE WHEN v > 0 THEN 'embedding_one_' ELSE 'embedding_zero_' END || (i - 1))) AS token FROM embeddings) SELECT token, count(*) AS n FROM t GROUP BY token"),
+    "binarize_embedding": (binarize_embedding, """WITH t AS (SELECT unnest(list_transform(embedding, lambda v, i: CASE WHEN v > 0 THEN 'embedding_one_' ELSE 'embedding_zero_' END || (i - 1))) AS token
+FROM embeddings) SELECT token, count(*) AS n FROM t GROUP BY token"""),
     "extract_dates": (extract_dates, f"WITH {X.DATES} SELECT doc_id, unnest(days) AS day FROM dates"),
     "dates_to_periods": (dates_to_periods, f"WITH {X.DATES}, p AS (SELECT unnest({PERIODS}) AS period FROM dates) SELECT period, count(*) AS n FROM p GROUP BY period"),
     "period_edges": (period_edges, f"WITH {X.DATES} SELECT doc_id, unnest({PERIODS}) AS period, 'occurred_in' AS edge_type, CAST(1.0 AS DOUBLE) AS weight FROM dates"),
     "temporal_proximity": (
         temporal_proximity,
-        f"WITH {X.DATES}, s AS (SELECT doc_id, unnest(days) AS d, make_date(year(days[1]), 7, 1) AS a, make_date(year(days[1]), 9, 30) AS b FROM dates) SELECT doc_id, round(max(exp(-pow(greatest(0, a - d, d - b), 2) / 450)), 6) AS proximity FROM s GROUP BY doc_id",
+        f"""WITH {X.DATES}, s AS (SELECT doc_id, unnest(days) AS d, make_date(year(days[1]), 7, 1) AS a, make_date(year(days[1]), 9, 30) AS b FROM dates) SELECT doc_id,
+round(max(exp(-pow(greatest(0, a - d, d - b), 2) / 450)), 6) AS proximity FROM s GROUP BY doc_id""",
     ),
     "query_periods": (
         query_periods,
@@ -145,18 +148,24 @@ SELECT DISTINCT doc_id, unnest(['month:' || strftime(day, '%Y-%m'), 'quarter:' |
     ),
     "negation_parse": (
         negation_parse,
-        f"""WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), h AS (SELECT *, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t), q AS (SELECT *, array_to_string(a, ' ') || ' besides ' || array_to_string(b, ', ') AS q FROM h)
+        f"""WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), h AS (SELECT *, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t),
+q AS (SELECT *, array_to_string(a, ' ') || ' besides ' || array_to_string(b, ', ') AS q FROM h)
 SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN array_to_string(a, ' ') ELSE q END AS clean, array_to_string(b, '|') AS excluded FROM q""",
     ),
-    "negation_penalty": (negation_penalty, "SELECT doc_id, round(pow(0.1, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'que') AS INTEGER)), 6) AS penalty FROM documents"),
+    "negation_penalty": (negation_penalty, """SELECT doc_id,
+round(pow(0.1, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'que') AS INTEGER)), 6) AS penalty
+FROM documents"""),
     "should_expand": (
         should_expand,
         """WITH t AS (SELECT *, regexp_replace(text, '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g') AS spaced FROM conversations)
-SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 2 OR len(regexp_extract_all(spaced, '(^|[^\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(-[A-Za-z0-9]+)*($|[^\\p{L}\\p{N}_])')) < 2 AS expand FROM t""",
+SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'),
+lambda w: w <> '')) <= 2 OR len(regexp_extract_all(spaced, '(^|[^\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(-[A-Za-z0-9]+)*($|[^\\p{L}\\p{N}_])')) < 2 AS expand FROM t""",
     ),
     "clean_base64": (
         clean_base64,
-        f"WITH h AS (SELECT page_id, html || ' ![x](data:image/png;base64,iVBORw0KGgo=) data:image/gif;base64,R0lGODlh ' AS h FROM pages), c AS (SELECT page_id, regexp_replace(regexp_replace(h, '\\({DATA}\\)', '[IMG]', 'g'), '{DATA}', '[IMG]', 'g') AS t FROM h) SELECT page_id, md5(t) AS digest, length(t) AS length FROM c",
+        f"""WITH h AS (SELECT page_id, html || ' ![x](data:image/png;base64,iVBORw0KGgo=) data:image/gif;base64,R0lGODlh ' AS h FROM pages), c AS (SELECT page_id,
+regexp_replace(regexp_replace(h, '\\({DATA}\\)', '[IMG]', 'g'), '{DATA}', '[IMG]', 'g') AS t FROM h) SELECT page_id, md5(t) AS digest, length(t) AS length
+FROM c""",
     ),
     "blocked_url": (
         blocked_url,
