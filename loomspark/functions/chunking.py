@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,26 +40,58 @@ BY_SIGNATURE = {"c": "fn", "cpp": "fn", "java": "method"}
 STATEMENTS = "case delete else goto if new return switch throw while for"
 
 
-def split_text(text: str, capacity: int = CAPACITY, headings: bool = False) -> list[str]:
-    """Chunks of at most `capacity` characters, cut at the strongest boundary that fits; a longer word is cut hard."""
+Measure = Callable[[str], int]
+
+
+def token_measure(tokenizer: str) -> Measure:
+    """Lengths in tokens of a public tokenizer's file; each worker loads it once."""
+    loaded: list = []
+
+    def measure(text: str) -> int:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(tokenizer))
+        return len(loaded[0].encode(text, add_special_tokens=False))
+
+    return measure
+
+
+def _fitting(text: str, capacity: int, measure: Measure) -> int:
+    """The longest prefix of text, in characters, whose measure is within capacity (one character at least)."""
+    low, high = 1, min(len(text), max(2, capacity))
+    while high < len(text) and measure(text[:high]) <= capacity:  # so that a long text isn't measured whole
+        low, high = high, min(len(text), 2 * high)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if measure(text[:middle]) <= capacity else (low, middle - 1)
+    return low
+
+
+def split_text(text: str, capacity: int = CAPACITY, headings: bool = False, measure: Measure = len) -> list[str]:
+    """Chunks of at most `capacity` characters, or whatever measure counts, cut at the strongest boundary that fits; a
+    longer word is cut hard."""
     if headings:
-        return [c for part in HEADING.split(text) for c in split_text(part, capacity)]
+        return [c for part in HEADING.split(text) for c in split_text(part, capacity, measure=measure)]
     text = text.strip()
     out = []
-    while len(text) > capacity:
-        window = text[: capacity + 1]
-        at = next((m[-1] for b in BREAKS if (m := [x.start() for x in b.finditer(window) if x.start() > 0])), capacity)
+    while text:
+        fit = _fitting(text, capacity, measure)
+        if fit == len(text):
+            break
+        window = text[: fit + 1]
+        at = next((m[-1] for b in BREAKS if (m := [x.start() for x in b.finditer(window) if x.start() > 0])), fit)
         out.append(text[:at].strip())
         text = text[at:].strip()
     return [*out, text] if text else out
 
 
-def chunk_text(docs: DataFrame, capacity: int = CAPACITY, headings: bool = False) -> DataFrame:
+def chunk_text(docs: DataFrame, capacity: int = CAPACITY, headings: bool = False, measure: Measure = len) -> DataFrame:
     """(doc_id, chunk_no, body) of docs (doc_id, body); null or blank bodies have no chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [split_text(b or "", capacity, headings) for b in pdf.body]
+            parts = [split_text(b or "", capacity, headings, measure) for b in pdf.body]
             n = [len(p) for p in parts]
             yield pd.DataFrame({"doc_id": pdf.doc_id.repeat(n).to_numpy(), "chunk_no": pd.Series([i for k in n for i in range(k)], dtype="int64"), "body": pd.Series([c for p in parts for c in p], dtype=object)})
 
@@ -116,12 +148,18 @@ def symbol_chunks(files: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", "end_line", header.alias("header"), text.alias("body"))
 
 
-def semantic_chunks(sentences: DataFrame, threshold: float = 0.5, joiner: str = " ") -> DataFrame:
-    """(doc_id, chunk_no, body) of sentences (doc_id, pos, body, vec): a chunk ends where neighbours' cosine falls below
-    threshold."""
+def semantic_chunks(sentences: DataFrame, threshold: float = 0.5, joiner: str = " ", window: int = 3, size: int = 2048) -> DataFrame:
+    """(doc_id, chunk_no, body) of sentences (doc_id, pos, body, vec): a chunk ends where a sentence's cosine to the mean of
+    up to `window` before it falls below threshold, and where it would pass another multiple of `size` characters."""
     order = W.partitionBy("doc_id").orderBy("pos")
-    cut = F.when(F.lag("vec").over(order).isNull(), 0).when(cosine("vec", F.lag("vec").over(order)) < threshold, 1).otherwise(0)
-    rows = sentences.withColumn("cut", cut).withColumn("chunk_no", F.sum("cut").over(order))
+    before = F.collect_list("vec").over(order.rowsBetween(-window, -1))
+    mean = F.aggregate(F.slice("before", 2, window), F.get("before", F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    rows = sentences.withColumn("before", before).withColumn("mean", F.when(F.size("before") > 0, mean))
+    rows = rows.withColumn("cut", F.when(F.col("mean").isNotNull() & (cosine("vec", "mean") < threshold), 1).otherwise(0))
+    rows = rows.withColumn("topic", F.sum("cut").over(order))
+    within = W.partitionBy("doc_id", "topic").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("part", F.floor(F.coalesce(F.sum(F.length("body") + len(joiner)).over(within), F.lit(0)) / size))
+    rows = rows.withColumn("chunk_no", F.dense_rank().over(W.partitionBy("doc_id").orderBy("topic", "part")) - 1)
     return rows.groupBy("doc_id", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda s: s["body"]), joiner).alias("body"))
 
 

@@ -152,12 +152,31 @@ def multi_angle_merge(spark, sf):
     return G.merge_angles(hits.withColumn("qid", F.expr("qid div 10"))).select("qid", "node", R6("score"))
 
 
+def _hits(spark, sf, asked):
+    """Ten nearest vectors of each query as hits with the scores of a single ranked list."""
+    found = vector_topk(X.vectors(spark, sf), asked, 10)
+    node = F.concat(F.lit("v"), F.col("doc_id").cast("string"))
+    return materialize(found.select("qid", node.alias("node"), (2.0 / (16 + F.col("rank"))).alias("rrf"), (F.col("rank") + 1).alias("rank")), "hits")
+
+
+def neighbor_merge(spark, sf):
+    """Hits by cosine with what the graph finds around each query's vector, at half its score."""
+    hits = _hits(spark, sf, X.vectors(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec")))
+    return G.merge_neighbors(hits, G.beam_search(_edges(spark, sf), _vectors(spark, sf), _seeds(spark, sf))).select("qid", "node", R6("rrf"))
+
+
+def use_case_rerank(spark, sf):
+    """Nodes around each query's vector by their closeness to the next vector as the use case."""
+    cases = X.vectors(spark, sf).where("doc_id % 100 = 1").select((F.col("doc_id") - 1).alias("qid"), F.col("vec").alias("uvec"))
+    found = G.beam_search(_edges(spark, sf), _vectors(spark, sf), _seeds(spark, sf))
+    return G.use_case_rerank(found, _vectors(spark, sf), cases).select("qid", "node", R6("score"))
+
+
 def graph_expand(spark, sf):
     """Hits by cosine, extended through the graph by nodes of at least 0.1."""
     v = X.vectors(spark, sf)
     asked = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
-    found = vector_topk(v, asked, 10)
-    hits = materialize(found.select("qid", F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("node"), (2.0 / (16 + F.col("rank"))).alias("rrf"), (F.col("rank") + 1).alias("rank")), "hits")
+    hits = _hits(spark, sf, asked)
     return G.graph_expand(hits, _edges(spark, sf), _vectors(spark, sf), asked, least=0.1).select("qid", "node", R6("rrf"), "rank")
 
 
@@ -344,6 +363,19 @@ UNION ALL SELECT * FROM f2)"""),
         f"""{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec
 FROM embeddings e, (SELECT unnest(range(3)) AS a) JOIN embeddings q ON q.vec_id = e.vec_id + a WHERE e.vec_id % 100 = 0), {sql_hop(1, S0)}, {sql_hop(2, S1)}
 SELECT qid // 10 AS qid, node, round(max(score), 6) AS score FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) GROUP BY ALL""",
+    ),
+    "neighbor_merge": (
+        neighbor_merge,
+        f"""{E}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)}, {ASKED},
+hits AS MATERIALIZED (SELECT qid, 'v' || doc_id AS node, 2.0 / (16 + k) AS rrf FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round({X.SQL_COS.format(a='qvec', b='vec')}, 9) DESC, doc_id) - 1 AS k FROM vectors, asked) WHERE k < 10)
+SELECT qid, node, round(rrf, 6) AS rrf FROM hits
+UNION ALL SELECT qid, node, round(0.5 * max(score), 6) FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) WHERE (qid, node) NOT IN (SELECT (qid, node) FROM hits) GROUP BY qid, node""",
+    ),
+    "use_case_rerank": (
+        use_case_rerank,
+        f"""{E}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)}, cases AS (SELECT vec_id - 1 AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS uvec FROM embeddings WHERE vec_id % 100 = 1)
+SELECT qid, node, round(score * (0.5 + 0.5 * CASE WHEN v.vec IS NULL THEN 0 ELSE greatest(0.0, {X.SQL_COS.format(a='uvec', b='v.vec')}) END), 6) AS score
+FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) JOIN cases USING (qid) LEFT JOIN vec v USING (node)""",
     ),
     "graph_expand": (
         graph_expand,

@@ -1,10 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.functions.chunking import chunk_files, chunk_text, outline, semantic_chunks, split_text, symbol_chunks
+from loomspark.functions.chunking import chunk_files, chunk_text, outline, semantic_chunks, split_text, symbol_chunks, token_measure
 from loomspark.functions.stemming import stem
 
 
@@ -87,6 +88,18 @@ def test_split_text():
     assert split_text("# A\nbody\n## B\nmore", 100, headings=True) == ["# A\nbody", "## B\nmore"]
 
 
+def test_split_by_tokens():
+    text = "One two three. Four five six seven.\n\nEight nine. " * 20
+    words = lambda t: len(t.split())
+    parts = split_text(text, 7, measure=words)
+    assert max(map(words, parts)) <= 7 and " ".join(parts).split() == text.split() and parts[0] == "One two three. Four five six seven."
+    import public_tokenizers
+
+    measure = token_measure(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = split_text(text, 16, measure=measure)
+    assert max(map(measure, parts)) <= 16 and " ".join(parts).split() == text.split()
+
+
 def test_chunks_keep_all_text(spark):
     docs = spark.createDataFrame([(1, "word " * 1000), (2, None), (3, "")], "doc_id long, body string")
     got = chunk_text(docs, 64).collect()
@@ -131,6 +144,12 @@ def test_semantic_chunks(spark):
     rows = [(1, 0, "a", [1.0, 0.0]), (1, 1, "b", [1.0, 0.1]), (1, 2, "c", [0.0, 1.0])]
     got = semantic_chunks(spark.createDataFrame(rows, "doc_id long, pos int, body string, vec array<double>")).orderBy("chunk_no").collect()
     assert [r["body"] for r in got] == ["a b", "c"]
+    long = [(1, i, "word" * 5, [1.0, 0.0]) for i in range(10)] + [(1, 10, "end", [0.0, 1.0])]
+    got = semantic_chunks(spark.createDataFrame(long, "doc_id long, pos int, body string, vec array<double>"), size=63).orderBy("chunk_no").collect()
+    assert [len(r["body"].split()) for r in got] == [3, 3, 3, 1, 1] and got[-1]["body"] == "end"
+    slow = [(1, i, str(i), [np.cos(i / 2), np.sin(i / 2)]) for i in range(4)]  # each is near the one before, the last far from the mean
+    got = semantic_chunks(spark.createDataFrame([(a, b, c, [float(x) for x in v]) for a, b, c, v in slow], "doc_id long, pos int, body string, vec array<double>"), 0.6).orderBy("chunk_no").collect()
+    assert [r["body"] for r in got] == ["0 1 2", "3"]
 
 
 def test_files_are_chunked_by_kind(spark):
