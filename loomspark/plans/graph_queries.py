@@ -357,7 +357,16 @@ doc_id AS to_id, round(sim, 4) AS weight FROM n UNION SELECT doc_id, qid, round(
     ),
     "beam_search": (beam_search, f"""{E}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)} SELECT qid, node, round(score, 6) AS score, CAST(hop AS BIGINT) AS hop, relation FROM (SELECT * FROM f1
 UNION ALL SELECT * FROM f2)"""),
-    "beam_search_mmr": (beam_search_mmr, None),
+    "beam_search_mmr": (
+        beam_search_mmr,
+        f"""{E.replace('WITH', 'WITH RECURSIVE', 1)}, {ADJ}, {SEEDS}, {sql_hop(1, S0)}, {sql_hop(2, S1)}, h AS MATERIALIZED (SELECT qid, node, score, vec FROM (SELECT qid, node, score FROM f1 UNION ALL SELECT qid, node, score FROM f2) JOIN vec USING (node)),
+near AS MATERIALIZED (SELECT a.qid, a.node, b.node AS other, {X.SQL_COS.format(a='a.vec', b='b.vec')} AS sim FROM h a JOIN h b ON a.qid = b.qid),
+r AS (SELECT DISTINCT qid, 0::BIGINT AS place, NULL::VARCHAR AS node, []::VARCHAR[] AS chosen FROM h
+  UNION ALL SELECT qid, place + 1, node, list_append(chosen, node) FROM (
+    SELECT r.qid, r.place, r.chosen, h.node, row_number() OVER (PARTITION BY r.qid ORDER BY round(0.7 * h.score - 0.3 * coalesce((SELECT max(sim) FROM near n WHERE n.qid = h.qid AND n.node = h.node AND list_contains(r.chosen, n.other)), 0), 12) DESC, h.score DESC, h.node) AS k
+    FROM r JOIN h ON h.qid = r.qid WHERE NOT list_contains(r.chosen, h.node)) WHERE k = 1)
+SELECT qid, node, place FROM r WHERE place > 0""",
+    ),
     "multi_angle_merge": (
         multi_angle_merge,
         f"""{E}, {ADJ}, f0 AS (SELECT e.vec_id * 10 + a AS qid, 'v' || e.vec_id AS node, 1.0 AS score, list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)) AS qvec
@@ -439,7 +448,18 @@ SELECT node, root FROM r WHERE it = (SELECT max(it) FROM r)""",
 to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur), r AS (SELECT a AS node, a AS reach FROM adj UNION SELECT r.node, b FROM r JOIN adj ON a = reach),
 m AS (SELECT node, min(reach) AS root FROM r GROUP BY node) SELECT root, count(*) AS size FROM m GROUP BY root""",
     ),
-    "betweenness": (betweenness, None),
+    "betweenness": (
+        betweenness,
+        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF} AND from_id <> to_id), adj AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur), nodes AS MATERIALIZED (SELECT DISTINCT a AS node FROM adj),
+ahead AS (SELECT node AS s, node, 0 AS d, 1.0::DOUBLE AS sigma, true AS front FROM nodes
+  UNION ALL (WITH fresh AS (SELECT f.s, adj.b AS node, max(f.d) + 1 AS d, sum(f.sigma) AS sigma FROM ahead f JOIN adj ON adj.a = f.node WHERE f.front AND (f.s, adj.b) NOT IN (SELECT (s, node) FROM ahead) GROUP BY f.s, adj.b)
+    SELECT s, node, d, sigma, true FROM fresh UNION ALL SELECT s, node, d, sigma, false FROM ahead WHERE front AND EXISTS (SELECT 1 FROM fresh))),
+levels AS MATERIALIZED (SELECT s, node, d, sigma FROM ahead WHERE front),
+back AS (SELECT s, node, d, sigma, 0.0::DOUBLE AS delta FROM levels WHERE d = (SELECT max(d) FROM levels)
+  UNION ALL SELECT l.s, l.node, l.d, l.sigma, coalesce(l.sigma * x.x, 0) FROM (SELECT max(d) - 1 AS d FROM back) u JOIN levels l ON l.d = u.d
+    LEFT JOIN (SELECT w.s, adj.b AS node, sum((1 + w.delta) / w.sigma) AS x FROM back w JOIN adj ON adj.a = w.node GROUP BY w.s, adj.b) x ON x.s = l.s AND x.node = l.node)
+SELECT nodes.node, round(coalesce(sum(delta), 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS betweenness FROM nodes LEFT JOIN back ON back.node = nodes.node AND back.s <> back.node GROUP BY nodes.node""",
+    ),
     "fiedler": (fiedler, None),
     "rmt_novel": (rmt_novel, None),
     "full_analysis": (full_analysis, None),

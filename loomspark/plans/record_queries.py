@@ -8,7 +8,6 @@ from loomspark.functions import chunking as C
 from loomspark.functions import text as T
 from loomspark.functions.stemming import stems
 from loomspark.operators import records as R
-from loomspark.operators.vector import hash_embed
 from loomspark.plans import fixtures as X
 from loomspark.session import fence, read_table
 from loomspark.streaming import access as S
@@ -95,10 +94,10 @@ def code_symbols(spark, sf):
 
 
 def semantic_chunks(spark, sf):
-    """Conversations as sentences under the hashing embedder, cut where neighbours share little."""
+    """Conversations as sentences, cut where one shares little with the three before it, and at 2048 characters."""
     rows = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(C.sentences("text")).alias("pos", "body"))
     rows = fence(rows, tokens=T.terms("body"))
-    rows = fence(rows, vec=hash_embed("tokens"))
+    rows = fence(rows, vec=X.term_vector(F.col("tokens")))
     return C.semantic_chunks(rows.select("doc_id", "pos", "body", "vec"), 0.1).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.encode("body", "UTF-8")).alias("digest"))
 
 
@@ -120,9 +119,9 @@ def session_windows(spark, sf):
 
 
 def circuit_breaker(spark, sf):
-    """Each user's events as calls that fail unless they are purchases or views."""
+    """Each user's events as calls that fail unless they are purchases or views, and what each call met."""
     calls = _events(spark, sf).select(F.col("user_id").cast("string").alias("service"), F.col("ts").alias("at"), F.col("event_type").isin("purchase", "view").alias("ok"))
-    return S.breaker(calls, streaming=False).groupBy("service", "met").agg(F.count("*").alias("n"))
+    return S.breaker(calls, streaming=False).select("service", F.unix_micros("at").alias("at"), "ok", "met")
 
 
 def period_rollup(spark, sf):
@@ -168,7 +167,19 @@ SELECT 'docs/' || doc_id || '.py' AS path, line_no, CASE WHEN line_no % 3 = 1 TH
 n) ELSE line_no END AS end_line, '# ' || CASE WHEN line_no % 3 = 1 THEN 'class ' ELSE 'def ' END || name || ' (' || doc_id || '.py:' || line_no || ')' AS header
 FROM r""",
     ),
-    "semantic_chunks": (semantic_chunks, None),
+    "semantic_chunks": (
+        semantic_chunks,
+        f"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '') AS s FROM conversations),
+s AS (SELECT doc_id, unnest(s) AS body, unnest(range(len(s))) AS pos FROM t),
+v AS MATERIALIZED (SELECT doc_id, pos, body, {X.sql_term_vector(X.sql_terms('body'))} AS vec FROM s),
+w AS (SELECT *, list(vec) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM v),
+m AS (SELECT *, list_transform(range(1, 65), lambda i: coalesce(list_sum(list_transform(before, lambda b: b[i])), 0)) AS mean FROM w),
+c AS (SELECT *, CASE WHEN pos > 0 AND coalesce(list_inner_product(vec, mean) / nullif(sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(mean, mean)), 0), 0) < 0.1 THEN 1 ELSE 0 END AS cut FROM m),
+topics AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY pos) AS topic FROM c),
+parts AS (SELECT *, floor(coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id, topic ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2048) AS part FROM topics),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY topic, part) - 1 AS chunk_no FROM parts)
+SELECT doc_id, chunk_no, md5(string_agg(body, ' ' ORDER BY pos)) AS digest FROM numbered GROUP BY doc_id, chunk_no""",
+    ),
     "stemmed_terms": (stemmed_terms, None),
     "tumbling_windows": (tumbling_windows, "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "sliding_windows": (sliding_windows, """WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 43200 AS h FROM events) SELECT unnest([h, h - 43200]) AS start, event_type,
@@ -180,6 +191,14 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SEL
 sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start,
 epoch_us(max(ts)) + 21600000000 AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     ),
-    "circuit_breaker": (circuit_breaker, None),
+    "circuit_breaker": (
+        circuit_breaker,
+        """WITH RECURSIVE calls AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS service, epoch_us(ts) AS moment, event_type IN ('purchase', 'view') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type IN ('purchase', 'view')) AS n FROM events),
+r AS (SELECT DISTINCT service, 0::BIGINT AS n, 0 AS failures, NULL::BIGINT AS opened, NULL::BIGINT AS moment, NULL::BOOLEAN AS ok, NULL::VARCHAR AS met FROM calls
+  UNION ALL SELECT service, n, CASE WHEN refused THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN refused THEN opened WHEN NOT ok AND (opened IS NOT NULL OR failures >= 2) THEN moment END, moment, ok,
+    CASE WHEN refused THEN 'open' WHEN opened IS NOT NULL THEN 'half_open' ELSE 'closed' END
+  FROM (SELECT c.service, c.n, c.moment, c.ok, r.failures, r.opened, coalesce(c.moment - r.opened < 60000000, false) AS refused FROM r JOIN calls c ON c.service = r.service AND c.n = r.n + 1))
+SELECT service, moment AS "at", ok, met FROM r WHERE n > 0""",
+    ),
     "period_rollup": (period_rollup, "SELECT strftime(o_orderdate, '%Y') AS year, quarter(o_orderdate) AS quarter, strftime(o_orderdate, '%m') AS month, count(*) AS n FROM orders GROUP BY ROLLUP (1, 2, 3)"),
 }
