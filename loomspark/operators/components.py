@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.session import materialize
 
+#: Edges that one task takes; more are contracted in rounds of joins.
+FEW = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, root) of few edges: one task joins them one after another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.a.tolist(), batch.b.tolist()):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+        if up:
+            yield pd.DataFrame({"node": list(up), "root": [top(x) for x in up]})
+
+    kind = dict(edges.dtypes)["a"]
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
+
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the component's smallest node.
 
-    Each round a node points to its smallest neighbour if that is smaller; pointers are followed to their roots, and
+    Up to `few` edges are one task's work, with the same result. Beyond, each round a node points to its smallest neighbour if that is smaller; pointers are followed to their roots, and
     edges are contracted to the roots. Rounds grow with the logarithm of the number of nodes. Nothing is gathered on
     the driver but whether edges are left.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() <= few:
+        return materialize(_in_one_task(edges), "roots")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root"))
     live = edges
     while not live.isEmpty():

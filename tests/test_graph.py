@@ -21,11 +21,14 @@ def as_dict(df, key, value):
     return {r[key]: r[value] for r in df.collect()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
-    got = as_dict(connected_components(edges), "node", "root")
+    got = as_dict(connected_components(edges, few), "node", "root")
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
-    assert connected_components(edges.limit(0)).count() == 0
+    assert connected_components(edges.limit(0), few).count() == 0
+    names = connected_components(edges.selectExpr("concat('n', a) as a", "concat('n', b) as b"), few)
+    assert as_dict(names, "node", "root") == {f"n{i}": "n0" for i in range(41)} | {f"n{i}": "n100" for i in (100, 101, 102)}
 
 
 def test_betweenness_closed_forms(spark):
