@@ -4,7 +4,8 @@ import corpus_pipeline
 from loomspark.llm import decontaminate, quality
 from loomspark.session import materialize
 
-from test_operators import brute_components, brute_coverage, brute_fingerprint, expected_tokens
+from test_near_copies import brute_kept
+from test_operators import DOCS, ODD, brute_coverage, expected_tokens
 
 
 def test_stages(spark, sf):
@@ -18,8 +19,7 @@ def test_stages(spark, sf):
 
     unique = materialize(stages["near_duplicates"](spark, good, sf), "unique")
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    groups = brute_components([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows])
-    assert sorted(r["doc_id"] for r in unique.collect()) == sorted(set(groups.values())) and unique.columns == columns
+    assert {r["doc_id"] for r in unique.collect()} == brute_kept(rows) and unique.columns == columns
 
     clean = materialize(stages["decontaminate"](spark, unique, sf), "clean")
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -44,3 +44,30 @@ def test_stages(spark, sf):
     assert [r["doc_id"] for r in ordered] == sorted(r["doc_id"] for r in ordered)
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ordered, ordered[1:]))
     docs.unpersist()
+
+
+def test_odd_rows_in_chain(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows and ids, an extra column with a clashing name."""
+    sf = str(tmp_path)
+    columns = DOCS + ", size string"
+    spark.createDataFrame([(*r, "clash") for r in ODD], columns).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "Same words again and again."), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        fresh = materialize(stage(spark, docs, sf), name)
+        kept[name] = [r["doc_id"] for r in fresh.collect()]
+        assert name == "token_files" or fresh.columns == docs.columns
+        docs = fresh
+    by_id = lambda ids: sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert by_id(kept["quality"]) == by_id(r[0] for r in ODD)  # without labels nothing is rejected
+    assert by_id(kept["near_duplicates"]) == [None, 1, 3, 5]  # texts without words are copies of each other
+    assert by_id(kept["decontaminate"]) == [None, 1, 5]
+    assert set(kept["mixture"]) <= {None, 5} and set(kept["token_files"]) == set(kept["mixture"])
+
+
+def test_empty_tables_in_chain(spark, tmp_path):
+    sf = str(tmp_path)
+    for name, kind in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{sf}/{name}.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
