@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from loomspark.llm.tokens import Kept, hold
+from loomspark.llm.tokens import Kept, hold, released
 from loomspark.session import materialize
 
 MIN_MATCH = 5
@@ -204,6 +204,7 @@ def seeded(docs: DataFrame, lengths: list[int], bits: np.ndarray, every: bool) -
         cuts = np.searchsorted(rows[order := np.argsort(rows, kind="stable")], np.arange(1, len(texts)))
         return [np.unique(s).view(np.int64) for s in np.split(seeds[order], cuts)]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(_known)
         for batch in batches:
@@ -223,6 +224,7 @@ def seeded(docs: DataFrame, lengths: list[int], bits: np.ndarray, every: bool) -
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__seeds", ArrayType(LongType())))
 
 
+@released
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Coverage of the items of each row by its text."""
     hold(_known)

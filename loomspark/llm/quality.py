@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.tokens import Kept, hold
+from loomspark.llm.tokens import Kept, hold, released
 
 BITS = 18
 MAX_TRAIN = 8000
@@ -157,6 +157,7 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(np.zeros((1 << BITS) + 1) if weights is None else weights)  # of fixed size
     names = docs.columns
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(np.float32)
         bias = float(held.value[-1])

@@ -13,12 +13,14 @@ hash of their text; extra columns are ignored; an empty table gives no shards an
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ END_ID = 0
 SEQ_LEN = 1024
 ROWS = 1024
 CACHE = 400_000
+KEPT_CHARS = 64
 #: The public pattern by which byte-level BPE splits text into words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -49,7 +52,8 @@ _caches: list[Kept] = []
 
 
 class Kept(dict):
-    """Bounded cache in two generations: what is asked for again survives when the younger one is full."""
+    """Bounded cache in two generations: what is asked for again survives when the younger one is full. Keys longer than
+    KEPT_CHARS, such as lines of a script without spaces, are made anew each time, so that its bytes are bounded too."""
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
@@ -60,6 +64,8 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > KEPT_CHARS:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -76,6 +82,19 @@ def hold(*caches: Kept) -> None:
     _caches[:] = caches
 
 
+def released(run: Callable) -> Callable:
+    """run, a function of batches, so that at its end a worker that may then wait gives back the memory it has freed."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def byte_letters() -> dict[int, int]:
     """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -227,6 +246,7 @@ class TokenFile:
 
 
 def _writer(directory: str, name: str, end_id: int, seq_len: int):
+    @released
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
