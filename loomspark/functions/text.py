@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from ipaddress import ip_network
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,19 +14,23 @@ MAX_TERM = 64
 #: Months as they are written in texts (fixed values).
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 SIGMA_DAYS = 15.0
-#: What a query may put before the things it doesn't want: phrases as they are, and these verbs with or without a relation.
-CUES = ("apart from", "aside from", "besides", "but not", "except", "except for", "excluding", "leaving out", "other than", "without")
-DENIED, RELATIONS = ("isn't", "aren't", "wasn't", "weren't"), ("about", "including", "related to", "using")
+#: What a query may put before the things it doesn't want (fixed values): phrases, and verbs with the relations that may
+#: follow them. "not" alone counts only before two spaces.
+CUES = ("beside", "besides", "but not", "except", "except for", "excluding", "other than", "without")
+NOT_RELATIONS = ("about", "including", "related to", "using")
+DENIED, DENIED_RELATIONS = ("isn't", "aren't", "wasn't", "weren't"), ("about", "related to", "using")
 
 
 def _cue_pattern() -> str:
-    phrases = [*CUES, *DENIED, *[f"{verb} {relation}" for verb in ("not", *DENIED) for relation in RELATIONS]]
+    phrases = [*CUES, "not ", *[f"not {r}" for r in NOT_RELATIONS], *DENIED, *[f"{d} {r}" for d in DENIED for r in DENIED_RELATIONS]]
     spelled = [p.replace("'", "['’]").replace(" ", "\\s+") for p in sorted(phrases, key=len, reverse=True)]
-    return f"(?i)\\b(?:{'|'.join(spelled)})\\s+(.+)"
+    return f"(?i)(?<![\\p{{L}}\\p{{N}}_])(?:{'|'.join(spelled)})\\s+(.+)"
 
 
 EXCLUSION = _cue_pattern()
-SPECIFIC = "(?<![\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(?:-[A-Za-z0-9]++)*+(?![\\p{L}\\p{N}_])"
+#: Capitalised terms, with whole parts after hyphens. What gives nothing back needs no stack on long terms; each part is
+#: held against the border by itself, so the same terms are found as by backtracking.
+SPECIFIC = "(?<![\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}+(?![\\p{L}\\p{N}_])(?:-[A-Za-z0-9]++(?![\\p{L}\\p{N}_]))*+"
 #: File extensions and their languages (fixed values).
 LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "rb": "ruby"}
 #: English function words that feedback terms leave out.
@@ -152,19 +157,60 @@ def without_images(text: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"\\({data}\\)", "[IMG]"), data, "[IMG]")
 
 
-#: Hosts and first parts of addresses that must not be fetched: this host, private, shared, link-local, benchmark,
-#: multicast and reserved ranges of IPv4; unspecified, loopback, unique-local, link-local and multicast ones of IPv6.
-LOCAL_NAMES = ("", "localhost", "metadata.google.internal")
-LOCAL_V4 = ("0", "10", "127", "100[.](?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])", "169[.]254", "172[.](?:1[6-9]|2[0-9]|3[01])", "192[.]0[.]0", "192[.]168", "198[.]1[89]", "2(?:2[4-9]|[34][0-9]|5[0-5])")
-LOCAL_V6 = ("::1?$", "f[cd][0-9a-f]{2}:", "fe[89ab][0-9a-f]:", "ff[0-9a-f]{2}:")
+#: Hosts that must not be fetched: names, and the networks that are private, of this host or link-local (fixed values),
+#: with the parts of them that are public after all.
+LOCAL_NAMES = ("localhost", "metadata.google.internal")
+LOCAL_V4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+LOCAL_V6 = ("::/127", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+MAPPED = "::ffff:0:0/96"
+
+
+def _words(address: Column) -> Column:
+    """The eight 16-bit words of an IPv6 address, null if it is none; a dotted end counts as two words."""
+    octet = lambda i: F.regexp_extract(address, ":([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})$", i).try_cast("int")
+    pair = lambda i: F.lower(F.hex(octet(i) * 256 + octet(i + 1)))
+    dotted = F.concat(F.regexp_extract(address, "^(.*:)[^:]*$", 1), pair(1), F.lit(":"), pair(3))
+    plain = F.when(F.greatest(*[octet(i) for i in (1, 2, 3, 4)]) <= 255, dotted).otherwise(address)
+    sides = F.split(plain, "::", -1)
+    of = lambda side: F.filter(F.split(side, ":", -1), lambda w: (side != "") | (w != ""))
+    left, right = of(sides[0]), of(F.element_at(sides, -1))
+    gap = 8 - F.size(left) - F.size(right)
+    words = F.when((F.size(sides) == 2) & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)).when((F.size(sides) == 1) & (F.size(left) == 8), left)
+    return F.when(F.forall(words, lambda w: w.rlike("^[0-9a-f]{1,4}$")), F.transform(words, lambda w: F.conv(w, 16, 10).cast("int")))
+
+
+def _inside(words: Column, networks: tuple[str, ...], width: int) -> Column:
+    """Whether an address, as numbers of `width` bits each, lies in one of the networks."""
+    found = F.lit(False)
+    for network in map(ip_network, networks):
+        start, hit = int(network.network_address), F.lit(True)
+        for i in range(-(-network.prefixlen // width)):
+            kept = min(width, network.prefixlen - i * width)
+            word = start >> (network.max_prefixlen - (i + 1) * width) & (1 << width) - 1
+            hit = hit & (F.shiftright(F.get(words, F.lit(i)), width - kept) == word >> (width - kept))
+        found = found | hit
+    return found
 
 
 def blocked_url(url: str | Column) -> Column:
-    """Hosts that must not be fetched, by name or as IPv4, IPv6 or IPv4-mapped address."""
-    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?(\\[[^\\]]*\\]|[^/:?#]+)", 1))
-    bare = F.regexp_replace(F.regexp_replace(host, "^\\[|\\]$", ""), "[.]$", "")
-    v4 = F.regexp_replace(bare, "^::ffff:(?=[0-9]+[.])", "")
-    return bare.isin(*LOCAL_NAMES) | v4.rlike(f"^(?:{'|'.join(LOCAL_V4)})[.]") | (host.startswith("[") & bare.rlike(f"^(?:{'|'.join(LOCAL_V6)})"))
+    """Hosts that must not be fetched, by name or as an IPv4, IPv6 or IPv4-mapped address. A dot at a name's end is left
+    out, as resolvers do."""
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]]*\\]|[^/:?#]+)", 1))
+    bare = F.regexp_replace(F.regexp_replace(host, "^\\[|\\]$|%[^\\]]*", ""), "[.]$", "")
+    octets = F.when(bare.rlike("^(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[.](?!$)|$)){4}$"), F.transform(F.split(bare, "[.]"), lambda o: o.cast("int")))
+    made = F.struct(octets.alias("v4"), F.when(host.startswith("["), _words(bare)).alias("v6"))
+
+    def judged(a: Column) -> Column:
+        last = lambda i: F.get(a["v6"], F.lit(i))
+        low = F.when(_inside(a["v6"], (MAPPED,), 16), F.array(F.shiftright(last(6), 8), last(6) % 256, F.shiftright(last(7), 8), last(7) % 256))
+        v4 = F.coalesce(a["v4"], low)
+        by_v4 = _inside(v4, LOCAL_V4, 8) & ~_inside(v4, PUBLIC_V4, 8)
+        by_v6 = _inside(a["v6"], LOCAL_V6, 16) & ~_inside(a["v6"], PUBLIC_V6, 16)
+        return F.coalesce(by_v4, by_v6, host.startswith("["))  # brackets around what is no address
+
+    return bare.isin(*LOCAL_NAMES) | F.element_at(F.transform(F.array(made), judged), 1)
 
 
 def sign_tokens(vec: str | Column) -> Column:

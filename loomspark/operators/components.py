@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from loomspark.session import materialize
 
-#: Edges that one task takes; more are contracted in rounds of joins.
-FEW = 200_000
-
-
 def _in_one_task(edges: DataFrame) -> DataFrame:
     """(node, root) of few edges: one task joins them one after another."""
 
@@ -39,15 +35,16 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, f"node {kind}, root {kind}")
 
 
-def connected_components(edges: DataFrame, few: int = FEW) -> DataFrame:
+def connected_components(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the component's smallest node.
 
-    Up to `few` edges are one task's work, with the same result. Beyond, each round a node points to its smallest neighbour if that is smaller; pointers are followed to their roots, and
+    Each round a node points to its smallest neighbour if that is smaller; pointers are followed to their roots, and
     edges are contracted to the roots. Rounds grow with the logarithm of the number of nodes. Nothing is gathered on
-    the driver but whether edges are left.
+    the driver but whether edges are left. A caller that knows its edges to be few may let one task join up to `few` of
+    them, with the same result.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.count() <= few:
+    if few and edges.count() <= few:
         return materialize(_in_one_task(edges), "roots")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root"))
     live = edges

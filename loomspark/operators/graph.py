@@ -118,20 +118,30 @@ def type_weight() -> Column:
     return F.when(F.col("edge_type") == "related_to", F.col("weight")).otherwise(F.coalesce(F.try_element_at(table, F.col("edge_type")), F.lit(OTHER_WEIGHT)))
 
 
+def heaviest(edges: DataFrame, at: DataFrame, per_node: int) -> DataFrame:
+    """(node, other, edge_type, weight): the heaviest current edges of the nodes of `at` (node), per_node out and per_node
+    in. Only these nodes' edges are ranked; Spark broadcasts the nodes as long as they are few."""
+    nodes = at.select("node").distinct()
+    out, into = (current(edges).join(nodes.withColumnRenamed("node", end), end, "left_semi") for end in ("from_id", "to_id"))
+    return neighbors(out, per_node).unionByName(neighbors(into, per_node, incoming=True)).select("node", "other", "edge_type", "weight")
+
+
 def beam_search(edges: DataFrame, vectors: DataFrame, seeds: DataFrame, hops: int = 2, beam: int = 8, per_node: int = 20) -> DataFrame:
     """(qid, node, score, hop, relation) around seeds (qid, node, score, qvec), a beam of edges per query and hop.
 
     A candidate row is an edge: parent score x HOP_DECAY^hop x max(0, cosine) x type weight. The best `beam` rows of a
-    query count, already seen ends are skipped, and of rows to one end the best is kept.
+    query count, already seen ends are skipped, and of rows to one end the best is kept. Of several vectors of a node
+    (its chunks) the nearest counts.
     """
     hops = min(3, max(1, hops))
-    near = neighbors(edges, per_node).unionByName(neighbors(edges, per_node, incoming=True).withColumnRenamed("rank", "rank")).select("node", "other", "edge_type", "weight")
-    near = materialize(near, "adjacency")
     frontier = seeds.select("qid", "node", "score", "qvec")
     seen, out = seeds.select("qid", "node"), None
     for hop in range(1, hops + 1):
-        rows = frontier.join(near, "node").join(vectors.select(F.col("node").alias("other"), "vec"), "other", "left")
-        sim = F.when(F.col("vec").isNull(), NO_VECTOR).otherwise(F.greatest(F.lit(0.0), cosine("qvec", "vec")))
+        rows = frontier.join(heaviest(edges, frontier, per_node), "node")
+        ends = materialize(rows.select("qid", "other", "qvec").dropDuplicates(["qid", "other"]), "beam-ends")
+        sims = ends.join(vectors.where("vec is not null").select(F.col("node").alias("other"), "vec"), "other").groupBy("qid", "other").agg(F.max(cosine("qvec", "vec")).alias("sim"))
+        rows = rows.join(sims, ["qid", "other"], "left")
+        sim = F.when(F.col("sim").isNull(), NO_VECTOR).otherwise(F.greatest(F.lit(0.0), F.col("sim")))
         rows = rows.withColumn("cand", F.col("score") * HOP_DECAY**hop * sim * type_weight())
         order = W.partitionBy("qid").orderBy(F.desc(F.round("cand", 9)), "other", "node", "edge_type")
         top = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= beam)
@@ -154,7 +164,7 @@ def use_case_rerank(hits: DataFrame, vectors: DataFrame, use_case: DataFrame) ->
     """Scores of hits (qid, node, score) x (0.5 + 0.5 x max(0, cosine)) to the query's use case (qid, uvec)."""
     rows = hits.join(vectors.select("node", "vec"), "node", "left").join(use_case.select("qid", "uvec"), "qid")
     near = F.when(F.col("vec").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), cosine("uvec", "vec")))
-    return rows.select("qid", "node", (F.col("score") * (0.5 + 0.5 * near)).alias("score"))
+    return rows.groupBy("qid", "node").agg(F.max(F.col("score") * (0.5 + 0.5 * near)).alias("score"))
 
 
 def merge_neighbors(hits: DataFrame, neighbors_: DataFrame, share: float = 0.5) -> DataFrame:
@@ -192,10 +202,7 @@ def graph_expand(hits: DataFrame, edges: DataFrame, vectors: DataFrame, queries:
     frontier = hits.where(F.col("rank") <= seeds).select("qid", "node")
     seen = frontier
     for _ in range(2):
-        # Only edges at the frontier's nodes are ranked; Spark broadcasts the nodes as long as they are few.
-        at = frontier.select("node").distinct()
-        out, into = (current(edges).join(at.withColumnRenamed("node", end), end, "left_semi") for end in ("from_id", "to_id"))
-        near = neighbors(out, per_node).unionByName(neighbors(into, per_node, incoming=True)).select("node", "other").distinct()
+        near = heaviest(edges, frontier, per_node).select("node", "other").distinct()
         frontier = materialize(frontier.join(near, "node").select("qid", F.col("other").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     fresh = seen.join(hits.select("qid", "node"), ["qid", "node"], "left_anti").join(vectors, "node").join(queries.select("qid", "qvec"), "qid")

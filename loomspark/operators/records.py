@@ -76,9 +76,9 @@ def list_documents(docs: DataFrame, corpus: str | None = None) -> DataFrame:
 
 
 def clusters(members: DataFrame, most: int = 8, newest: int = 3, newest_by: str = "doc_id") -> DataFrame:
-    """(cluster_id, size, recent) of members (cluster_id, doc_id): the largest clusters with their newest members, and the
-    members of all others, if there are any, as one row without an id."""
-    place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("doc_id")))
+    """(cluster_id, size, recent) of members (cluster_id, doc_id, <newest_by>): the largest clusters with their newest
+    members, newest first and ties by the larger doc_id, and all others' members as one row without an id."""
+    place = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc(newest_by), F.desc("doc_id")))
     recent = members.withColumn("place", place).where(F.col("place") <= newest).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda x: x["doc_id"]).alias("recent"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     best = sizes.where("cluster_id is not null").orderBy(F.desc("size"), "cluster_id").limit(most).join(recent, "cluster_id")

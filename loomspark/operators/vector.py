@@ -18,7 +18,7 @@ GROUP_ROWS, LEAST_ROWS = 16_384, 1024
 TINY = 1e-12
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, np.float64) for v in vectors])
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.where(norm > TINY, m / np.maximum(norm, TINY), 0.0)
@@ -28,6 +28,36 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def first(scored: DataFrame, k: int | None, column: str) -> DataFrame:
+    """The k highest rows of each qid (all if None) with rank from 0, ties to the smaller doc_id. The limit is on row_number()
+    itself, so that Spark keeps k rows of each qid before it shuffles."""
+    order = W.partitionBy("qid").orderBy(F.desc(F.round(column, 9)), "doc_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).withColumn("rank", F.col("rank").cast("long") - 1)
+
+
+def best_of(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None, skip_self: bool) -> pd.DataFrame:
+    """(qid, doc_id, sim) of the k nearest of a block of vectors for each of a block of queries; a document's best vector counts."""
+    out = [pd.DataFrame({"qid": q["qid"][:0] if "qid" in q else [], "doc_id": v["doc_id"][:0] if "doc_id" in v else [], "sim": np.zeros(0)})]
+    if len(q) and len(v):
+        v = v.sort_values("doc_id")
+        ids, m, qm = v.doc_id.to_numpy(), unit(v.vec), unit(q.qvec)
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids = ids[first]
+        for i in range(0, len(q), 512):
+            sims = np.maximum.reduceat(qm[i : i + 512] @ m.T, first, axis=1)
+            order = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, : k + skip_self]
+            best = np.take_along_axis(sims, order, 1)
+            own = q.qid.to_numpy()[i : i + 512]
+            keep = np.abs(qm[i : i + 512]).any(1)[:, None] & np.ones_like(order, bool)
+            if skip_self:
+                keep &= ids[order] != own[:, None]
+            if threshold is not None:
+                keep &= best >= threshold
+            out.append(pd.DataFrame({"qid": np.repeat(own, keep.sum(1)), "doc_id": ids[order][keep], "sim": best[keep]}))
+    return pd.concat(out)
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
     """(qid, doc_id, sim, rank) of each query's k most similar vectors, rank from 0; ties go to the smaller doc_id.
 
@@ -41,31 +71,21 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     q_kind, v_kind = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["doc_id"]
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": q["qid"][:0] if "qid" in q else [], "doc_id": v["doc_id"][:0] if "doc_id" in v else [], "sim": np.zeros(0)})]
-        if len(q) and len(v):
-            v = v.sort_values("doc_id")
-            ids, m, qm = v.doc_id.to_numpy(), _unit(v.vec), _unit(q.qvec)
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            ids = ids[first]
-            for i in range(0, len(q), 512):
-                sims = np.maximum.reduceat(qm[i : i + 512] @ m.T, first, axis=1)
-                order = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, : k + skip_self]
-                best = np.take_along_axis(sims, order, 1)
-                own = q.qid.to_numpy()[i : i + 512]
-                keep = np.abs(qm[i : i + 512]).any(1)[:, None] & np.ones_like(order, bool)
-                if skip_self:
-                    keep &= ids[order] != own[:, None]
-                if threshold is not None:
-                    keep &= best >= threshold
-                out.append(pd.DataFrame({"qid": np.repeat(own, keep.sum(1)), "doc_id": ids[order][keep], "sim": best[keep]}))
-        return pd.concat(out)
+        return best_of(q, v, k, threshold, skip_self)
 
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.select("qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(slabs)).alias("slab"), every(groups).alias("group"))
     right = vectors.select("doc_id", "vec", every(slabs).alias("slab"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"))
     found = left.groupBy("group", "slab").cogroup(right.groupBy("group", "slab")).applyInPandas(search, f"qid {q_kind}, doc_id {v_kind}, sim double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "doc_id")).cast("long") - 1)
-    return ranked.where(F.col("rank") < k)
+    return first(found, k, "sim")
+
+
+def mean_vectors(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, vec): the mean of each key's vectors, those of a document's chunks, as doubles; nulls take no part."""
+    rows = vectors.where("vec is not null").groupBy(key).agg(F.collect_list(F.transform("vec", lambda x: x.cast("double"))).alias("all"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), add)
+    return rows.select(key, F.transform(total, lambda x: x / F.size("all")).alias("vec"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -81,10 +101,10 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Data
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})]
         if len(a) and len(b):
-            ia, ib, mb = a.class_id.to_numpy(), b.b_id.to_numpy(), _unit(b.b_vec)
+            ia, ib, mb = a.class_id.to_numpy(), b.b_id.to_numpy(), unit(b.b_vec)
             same = a.i.iloc[0] == a.j.iloc[0]
             for s in range(0, len(a), 512):
-                sims = _unit(a.vec.iloc[s : s + 512]) @ mb.T
+                sims = unit(a.vec.iloc[s : s + 512]) @ mb.T
                 x, y = np.nonzero(sims >= threshold)
                 p, q = ia[s : s + 512][x], ib[y]
                 keep = p < q if same else p != q

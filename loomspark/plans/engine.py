@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as T
 from loomspark.functions.chunking import CAPACITY, chunk_files, chunk_text
 from loomspark.operators import analytics, fusion, graph, records
-from loomspark.operators.bm25 import Analyser, stemmed, tokenised
-from loomspark.operators.vector import hash_embed, similar_pairs, vector_topk
+from loomspark.operators.bm25 import BLOCKS, ROWS, Analyser, Postings, postings, stemmed
+from loomspark.operators.vector import hash_embed, mean_vectors, vector_topk, without_near_greedy
 from loomspark.session import materialize
 from loomspark.sources.files import documents_from, read_files
 
@@ -29,7 +29,8 @@ EDGES = "from_id string, to_id string, edge_type string, corpus string, weight d
 SCHEMAS = {
     "documents": "doc_id string, corpus string, title string, tag string, level string, session_id string, source_ids array<string>, attributes string, body string, l0 string, dates array<date>, content_hash string, chunks long, failed_chunks long, inserted_at timestamp",
     "chunks": "doc_id string, corpus string, chunk_no long, body string",
-    "tokens": "doc_id string, corpus string, tokens array<string>, raw array<string>, dl int",
+    "blocks": BLOCKS,
+    "rows": ROWS.format(kind="string"),
     "vectors": "doc_id string, corpus string, chunk_no long, vec array<float>",
     "edges": f"{EDGES}, seq long",
     "access": "doc_id string, agent_id string, ts timestamp",
@@ -37,6 +38,8 @@ SCHEMAS = {
 }
 EXTRA = {"title": "string", "tag": "string", "level": "string", "session_id": "string", "source_ids": "array<string>"}
 DUPLICATE = 0.95
+#: Bits of a chunk's number in a key that orders chunks; the others number documents of one call.
+CHUNK_BITS = 24
 
 
 class Conflict(RuntimeError):
@@ -133,41 +136,56 @@ class Memory:
         (doc_id, status, chunks): status `ingested`, or `already_indexed` for known content."""
         seq, seen = self.store.folders()
         now = F.current_timestamp() if as_of is None else as_of
-        other = [c for c in rows.columns if c not in EXTRA and c != "body"]
+        other = [c for c in rows.columns if c not in EXTRA and c != "body"]  # before columns of our own
         rows = rows.withColumn("attributes", F.to_json(F.struct(*other)) if other else F.lit(None).cast("string"))
         for name, kind in EXTRA.items():
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
         known = self._own("documents", seen)
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
         made = documents_from(rows.select("body"), self.corpus, known)
+        arrival = self._arrival(rows)
         kept = [*EXTRA, "attributes"]
         meta = rows.select(T.doc_id("body").alias("doc_id"), *kept).groupBy("doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept])
         docs = materialize(made.join(meta, "doc_id").withColumn("inserted_at", now), "documents")
         cut = chunk_text(docs, self.capacity) if chunks is None else chunks.withColumnRenamed("body_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
         parts = materialize(cut.withColumn("corpus", F.lit(self.corpus)), "chunks")
         vectors = materialize(parts.select("doc_id", "corpus", "chunk_no", self.embed(T.terms("body")).alias("vec")), "vectors")
-        vectors, dropped = self._without_known(vectors, self._own("vectors", seen))
+        vectors, dropped = self._without_known(vectors, self._own("vectors", seen), arrival)
         parts = materialize(parts.join(dropped, ["doc_id", "chunk_no"], "left_anti"), "chunks")
         counts = parts.join(vectors.select("doc_id", "chunk_no", F.col("vec").isNull().alias("failed")), ["doc_id", "chunk_no"]).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("failed").alias("failed_chunks"))
-        docs = docs.join(counts, "doc_id", "left").fillna(0, ["chunks", "failed_chunks"]).withColumn("content_hash", T.fnv1a("body"))
+        docs = docs.join(counts, "doc_id", "left").fillna(0, ["chunks", "failed_chunks"]).withColumn("content_hash", F.hex(F.xxhash64("body")))
         docs = materialize(docs, "documents")
         edges = self._edges(docs, known, vectors, self._own("vectors", seen), now, similar).withColumn("seq", F.lit(seq + 1))
-        tokens = tokenised(docs, self.analyse)
-        self.store.commit({"documents": docs, "chunks": parts, "tokens": tokens, "vectors": vectors, "edges": edges}, after=seq)
+        self.store.commit({"documents": docs, "chunks": parts, **self._indexed(parts, seq + 1), "vectors": vectors, "edges": edges}, after=seq)
         asked = rows.where(F.trim("body") != "").select(T.doc_id("body").alias("doc_id")).distinct()
         fresh = docs.select("doc_id", F.lit("ingested").alias("status"), "chunks")
         return asked.join(fresh, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("already_indexed")).alias("status"), "chunks")
 
-    def _without_known(self, fresh: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """fresh vectors without those that are copies, and the (doc_id, chunk_no) of the latter."""
-        keyed = materialize(fresh.withColumn("key", F.xxhash64("doc_id", "chunk_no")), "keyed")
-        asked = keyed.where("vec is not null").select(F.col("key").alias("qid"), F.col("vec").alias("qvec"))
-        near = vector_topk(known, asked, 1, DUPLICATE).select(F.col("qid").alias("key"))
-        members, pairs = similar_pairs(keyed.select(F.col("key").alias("doc_id"), "vec"), DUPLICATE)
-        inside = members.where("doc_id <> class_id").select(F.col("doc_id").alias("key")).union(pairs.select("b"))
-        gone = materialize(keyed.join(near.union(inside).distinct(), "key", "left_semi").select("doc_id", "chunk_no"), "copies")
+    def _indexed(self, chunks: DataFrame, segment: int) -> dict[str, DataFrame]:
+        """Tables of the index of chunks, dealt by ranges of terms."""
+        made = postings(chunks, self.analyse, segment)
+        return {"blocks": made.blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), "rows": made.rows}
+
+    def _without_known(self, fresh: DataFrame, known: DataFrame, arrival: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """fresh vectors without those that are copies, and the (doc_id, chunk_no) of the latter. As if chunks came one
+        after another, by arrival (doc_id, arrival) and number: each goes if one that is there or has stayed is near it.
+        Zero vectors are near nothing."""
+        key = F.shiftleft("arrival", CHUNK_BITS) + F.col("chunk_no")
+        keyed = materialize(fresh.where("vec is not null").where(F.exists("vec", lambda x: x != 0)).join(arrival, "doc_id").withColumn("key", key), "keyed")
+        near = vector_topk(known, keyed.select(F.col("key").alias("qid"), F.col("vec").alias("qvec")), 1, DUPLICATE).select(F.col("qid").alias("key"))
+        unknown = materialize(keyed.join(near, "key", "left_anti"), "unknown")
+        stay = without_near_greedy(unknown.select(F.col("key").alias("doc_id"), "vec"), DUPLICATE).select(F.col("doc_id").alias("key"))
+        gone = materialize(keyed.join(stay, "key", "left_anti").select("doc_id", "chunk_no"), "copies")
         return materialize(fresh.join(gone, ["doc_id", "chunk_no"], "left_anti"), "vectors"), gone
 
+    def _arrival(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, arrival): places of documents in the order of rows, without the gaps between partitions."""
+        first = rows.groupBy(T.doc_id("body").alias("doc_id")).agg(F.min("__row").alias("row")).withColumn("part", F.shiftright("row", 33))
+        sizes = rows.groupBy(F.shiftright("__row", 33).alias("part")).agg((F.max("__row") % (1 << 33) + 1).alias("n"))  # a row per partition
+        starts = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start"))
+        return materialize(first.join(starts, "part").select("doc_id", (F.col("start") + F.col("row") % (1 << 33)).alias("arrival")), "arrival")
+
     def _edges(self, docs: DataFrame, known: DataFrame, vectors: DataFrame, old: DataFrame, now: Column, similar: float) -> DataFrame:
         """Edges of new documents, in the columns of EDGES."""
         every = old.unionByName(vectors)
@@ -204,17 +222,18 @@ class Memory:
     def _asked(self, queries: DataFrame) -> DataFrame:
         return queries.select("qid", "text", self.embed(T.terms("text")).alias("qvec"))
 
-    def search(self, queries: DataFrame, agent: str = "default", as_of: Column | None = None, tags: list[str] | None = None, expansion: DataFrame | None = None, excluded: DataFrame | None = None, expand_graph: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, agent: str = "default", as_of: Column | None = None, tags: list[str] | None = None, expansion: DataFrame | None = None, excluded: DataFrame | None = None, expand_graph: bool = False, sources: list[str] | None = None) -> DataFrame:
         """(qid, doc_id, rrf, embedding, bm25, rank, l0, tag) for queries (qid, text); expansion (qid, expansion) and
         excluded (qid, excluded) may come from a language model. With expand_graph, near documents two hops around the
-        best hits join them."""
+        best hits join them. sources leaves only documents that name one of them."""
         docs, vectors = self._own("documents"), self._own("vectors")
         access = records.access_counts(self.store.table("access")).where("level = 0")
-        corpus = fusion.Corpus(docs.select("doc_id", "body", F.col("dates").alias("days")), self._own("tokens"), vectors, self._own("edges"), access)
+        corpus = fusion.Corpus(docs.select("doc_id", "body", F.col("dates").alias("days")), Postings(self.store.table("blocks"), self.store.table("rows")), vectors, self._own("edges"), access, self.corpus)
+        only = None if sources is None else docs.where(F.arrays_overlap("source_ids", F.array(*[F.lit(s) for s in sources]))).select("doc_id")
         named = docs.select("doc_id", "l0", "tag")
         keep = lambda hits: hits.join(named if tags is None else named.where(F.col("tag").isin(*tags)), "doc_id", "left_semi")
         now = F.current_timestamp() if as_of is None else as_of
-        best = fusion.search(corpus, queries, self.embed, now, self.params, agent, self.analyse, expansion, excluded, keep, expand_graph)
+        best = fusion.search(corpus, queries, self.embed, now, self.params, agent, self.analyse, expansion, excluded, keep, only, expand_graph)
         return best.join(named, "doc_id")
 
     def touch(self, docs: DataFrame, agent: str = "default", as_of: Column | None = None) -> None:
@@ -238,7 +257,7 @@ class Memory:
         re-ranks both by their cosine to it."""
         hits = self.search(queries, **options).where(F.col("rank") <= limit).select("qid", F.col("doc_id").alias("node"), "rrf")
         hits = materialize(hits, "hits")
-        vectors = self._own("vectors").where("chunk_no = 0").select(F.col("doc_id").alias("node"), "vec")
+        vectors = self._own("vectors").select(F.col("doc_id").alias("node"), "vec")
         seeds = hits.select("qid", "node", F.col("rrf").alias("score")).join(self._asked(queries).select("qid", "qvec"), "qid")
         rows = graph.merge_neighbors(hits, graph.beam_search(self._own("edges"), vectors, seeds, 1))
         if use_case is not None:
@@ -250,9 +269,9 @@ class Memory:
     def graph_search(self, queries: DataFrame, hops: int = 2, diverse: bool = False) -> DataFrame:
         """(qid, node, score, hop, relation) around each query's five best hits; MMR order (qid, node, place) if diverse."""
         seeds = self.search(queries).where("rank <= 5").select("qid", F.col("doc_id").alias("node"), F.col("rrf").alias("score"))
-        vectors = self._own("vectors").where("chunk_no = 0").select(F.col("doc_id").alias("node"), "vec")
+        vectors = self._own("vectors").select(F.col("doc_id").alias("node"), "vec")
         found = graph.beam_search(self._own("edges"), vectors, seeds.join(self._asked(queries).select("qid", "qvec"), "qid"), hops)
-        return graph.mmr(found, vectors) if diverse else found
+        return graph.mmr(found, mean_vectors(vectors, "node")) if diverse else found
 
     def path(self, pairs: DataFrame) -> DataFrame:
         """Shortest paths of pairs (pid, a, b), with the first sentence of each document."""
@@ -265,7 +284,7 @@ class Memory:
         return found.join(self._own("documents").select(F.col("doc_id").alias("node"), "l0"), "node")
 
     def analyze(self, top: int = 10) -> DataFrame:
-        return analytics.full_analysis(self._own("edges"), self._own("vectors").where("chunk_no = 0"), top)
+        return analytics.full_analysis(self._own("edges"), mean_vectors(self._own("vectors")), top)
 
     def invalidate(self, ids: DataFrame, as_of: Column | None = None) -> None:
         """End the current edges that go out from ids (doc_id); nothing is removed."""
@@ -276,10 +295,11 @@ class Memory:
         self.store.commit({"edges": ended.withColumn("invalid_at", now).withColumn("seq", F.lit(seq + 1))}, after=seq)
 
     def delete(self, ids: DataFrame) -> None:
-        """Remove ids (doc_id) with their chunks, tokens, vectors, accesses and edges: these tables start anew."""
+        """Remove ids (doc_id) with their chunks, postings, vectors, accesses and edges: these tables start anew."""
         seq, seen = self.store.folders()
-        names = ("documents", "chunks", "tokens", "vectors", "access")
+        names = ("documents", "chunks", "vectors", "access")
         kept = records.delete_documents({n: self.store.table(n, seen) for n in names}, ids)
+        kept |= self._indexed(kept["chunks"], seq + 1)
         edges = graph.delete(graph.last_written(self.store.table("edges", seen)), ids.select(F.col("doc_id").alias("node")))
         self.store.commit({}, {**kept, "edges": edges}, seq)
 
@@ -290,11 +310,13 @@ class Memory:
 
     def dream(self, as_of: Column, share: float = 0.15, prune: bool = True) -> tuple[DataFrame, DataFrame]:
         """One cycle: (surprising, stale), the documents new since the last mark that surprise most, and those that were
-        never used and are old. The latter are removed, and the mark is saved."""
-        vectors = self._own("vectors").where("chunk_no = 0").select("doc_id", "vec")
+        never used and are old. share is one of the whole corpus, so of the new documents share x all / new of them, all at
+        most. The stale ones are removed, and the mark is saved. A document's vector is the mean of its chunks'."""
+        vectors = materialize(mean_vectors(self._own("vectors")), "mean-vectors")
         docs = self._own("documents")
-        fresh = records.new_since(docs.select("doc_id", "corpus", "inserted_at"), self.state())
-        surprising = materialize(analytics.incremental_surprisal(vectors, fresh, share), "surprising")
+        fresh = materialize(records.new_since(docs.select("doc_id", "corpus", "inserted_at"), self.state()).join(vectors, "doc_id", "left_semi"), "fresh")
+        part = min(1.0, share * vectors.count() / max(1, fresh.count()))
+        surprising = materialize(analytics.incremental_surprisal(vectors, fresh, part), "surprising")
         old = docs.select("doc_id", "level", F.to_date("inserted_at").alias("created_at"))
         stale = materialize(records.stale(old, self.store.table("access"), F.to_date(as_of)), "stale")
         if prune and not stale.isEmpty():

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import cells
 from loomspark.operators import fusion as U
-from loomspark.operators.bm25 import bm25, query_terms, tokenised
+from loomspark.operators.bm25 import bm25, bm25_rows, query_terms, scratch_index, stemmed
+from loomspark.operators.cells import cell_index
 from loomspark.operators.vector import similar_pairs, vector_topk, without_near, without_near_greedy
 from loomspark.plans import fixtures as X
 from loomspark.session import fence, materialize, read_table
@@ -16,25 +18,81 @@ EDGE = 0.35
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
+_made: dict = {}
+
+
+def _once(spark, sf, name, make):
+    """What make() returns, made once for a table folder in an application: an index is built before queries come and
+    serves them all. index_build is the query that builds one each time."""
+    key = (spark.conf.get("spark.app.id", ""), spark.conf.get("spark.checkpoint.dir", ""), sf, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _index(spark, sf):
+    return _once(spark, sf, "docs", lambda: scratch_index(X.docs(spark, sf)))
+
+
+def index_build(spark, sf):
+    """The index's heads, built anew: what each term's blocks hold in all."""
+    made = scratch_index(X.docs(spark, sf)).blocks
+    return made.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").cast("long").alias("max_tf"), F.min("min_dl").cast("long").alias("min_dl"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["tf"])).alias("occurrences"))
+
+
 def bm25_topk(spark, sf):
-    return bm25(tokenised(X.docs(spark, sf)), query_terms(X.queries(spark, sf)), 10).select("qid", "doc_id", R6("score"), "rank")
+    return bm25(_index(spark, sf), query_terms(X.queries(spark, sf)), 10).select("qid", "doc_id", R6("score"), "rank")
 
 
 def bm25_filtered(spark, sf):
-    return bm25(tokenised(X.docs(spark, sf)), query_terms(X.queries(spark, sf)), 10, "lang:en").select("qid", "doc_id", R6("score"), "rank")
+    return bm25(_index(spark, sf), query_terms(X.queries(spark, sf)), 10, "lang:en").select("qid", "doc_id", R6("score"), "rank")
+
+
+#: Sources that bm25_sources asks for.
+SOURCES = ("src0", "src3")
+
+
+def bm25_sources(spark, sf):
+    """Documents of some sources only; counts and lengths stay those of all."""
+    only = X.docs(spark, sf).where(F.col("source_id").isin(*SOURCES)).select("doc_id")
+    return bm25(_index(spark, sf), query_terms(X.queries(spark, sf)), 10, only=only).select("qid", "doc_id", R6("score"), "rank")
 
 
 def bm25_expanded(spark, sf):
-    tokens = tokenised(X.docs(spark, sf))
     cos = materialize(vector_topk(X.vectors(spark, sf), X.queries(spark, sf), 40), "cosine")
-    more = query_terms(U.feedback_terms(cos, tokens, PARAMS), "expansion")
-    return bm25(tokens, more, 10).select("qid", "doc_id", R6("score"), "rank")
+    more = query_terms(U.feedback_terms(cos, X.docs(spark, sf), PARAMS), "expansion")
+    return bm25(_index(spark, sf), more, 10).select("qid", "doc_id", R6("score"), "rank")
+
+
+def _lines(spark, sf):
+    return X.docs(spark, sf).select("doc_id", "corpus", F.posexplode(F.split("body", "\n")).alias("chunk_no", "body")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+def bm25_chunks(spark, sf):
+    """The best lines of documents, each a row of the index, for every item."""
+    index = _once(spark, sf, "lines", lambda: scratch_index(_lines(spark, sf)))
+    return bm25_rows(index, query_terms(X.queries(spark, sf)), 10)[0].select("qid", "doc_id", "chunk_no", R6("score"), "rank")
 
 
 def cosine_topk(spark, sf):
     return vector_topk(X.vectors(spark, sf), X.queries(spark, sf), 10).select("qid", "doc_id", R6("sim"), "rank")
 
 
+def _cells(spark, sf):
+    return _once(spark, sf, "cells", lambda: cell_index(X.vectors(spark, sf)))
+
+
+def cell_topk(spark, sf):
+    """cosine_topk by the cell index."""
+    return cells.cell_topk(_cells(spark, sf), X.queries(spark, sf), 10)[0].select("qid", "doc_id", R6("sim"), "rank")
+
+
+def cell_knn(spark, sf):
+    """The five nearest others of every vector, by the cell index."""
+    asked = X.vectors(spark, sf).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    return cells.cell_topk(_cells(spark, sf), asked, 5, skip_self=True)[0].select("qid", "doc_id", R6("sim"), "rank")
+
+
 def find_similar(spark, sf):
     """Five nearest others of at least 0.2 for every vector whose number divides by 100."""
     v = X.vectors(spark, sf)
@@ -77,13 +135,11 @@ def similarity_classes(spark, sf):
 
 
 def prf_terms(spark, sf):
-    tokens = tokenised(X.docs(spark, sf))
-    return U.feedback_terms(vector_topk(X.vectors(spark, sf), X.queries(spark, sf), 40), tokens, PARAMS)
+    return U.feedback_terms(vector_topk(X.vectors(spark, sf), X.queries(spark, sf), 40), X.docs(spark, sf), PARAMS)
 
 
 def rrf_fusion(spark, sf):
-    tokens = tokenised(X.docs(spark, sf))
-    hits = U.rrf(*U.signals(tokens, X.vectors(spark, sf), X.queries(spark, sf), PARAMS))
+    hits = U.rrf(*U.signals(X.docs(spark, sf), _index(spark, sf), X.vectors(spark, sf), X.queries(spark, sf), PARAMS))
     return U.best(hits, PARAMS).select("qid", "doc_id", R6("rrf"), R6("embedding"), R6("bm25"), "rank")
 
 
@@ -108,8 +164,7 @@ def temporal_injection(spark, sf):
 
 
 def _hits(spark, sf):
-    tokens = tokenised(X.docs(spark, sf))
-    return U.rrf(*U.signals(tokens, X.vectors(spark, sf), X.queries(spark, sf), PARAMS))
+    return U.rrf(*U.signals(X.docs(spark, sf), _index(spark, sf), X.vectors(spark, sf), X.queries(spark, sf), PARAMS))
 
 
 def _now(spark, sf):
@@ -140,9 +195,8 @@ def date_rerank(spark, sf):
 
 
 def hybrid_search(spark, sf):
-    tokens = tokenised(X.docs(spark, sf))
     asked = X.queries(spark, sf).withColumn("text", F.concat("text", F.lit(" besides "), F.element_at(T.terms("text"), -1)))
-    found = U.hybrid_search(X.docs(spark, sf), tokens, X.vectors(spark, sf), asked, X.doc_access(spark, sf), "1", _now(spark, sf), PARAMS)
+    found = U.hybrid_search(X.docs(spark, sf), _index(spark, sf), X.vectors(spark, sf), asked, X.doc_access(spark, sf), "1", _now(spark, sf), PARAMS)
     return found.select("qid", "doc_id", R6("rrf"), R6("embedding"), R6("bm25"), "rank")
 
 
@@ -153,8 +207,9 @@ FLOW_LEAST = 0.1
 def _flow(spark, sf):
     docs, vectors, edges, asked = X.flow(spark, sf)
     docs, edges = materialize(docs, "flow-docs"), materialize(edges, "flow-edges")
+    index = _once(spark, sf, "flow", lambda: scratch_index(docs))
     access = X.doc_access(spark, sf).withColumn("doc_id", X._node("doc_id"))
-    corpus = U.Corpus(docs, tokenised(docs), vectors, edges, access)
+    corpus = U.Corpus(docs, index, vectors, edges, access)
     return U.search(corpus, asked, X.term_vector, _now(spark, sf), FLOW_PARAMS, "1", least=FLOW_LEAST)
 
 
@@ -271,10 +326,22 @@ lo + (hi - lo) * greatest(0.0, (sim - {FLOW_LEAST}) / (1 - {FLOW_LEAST})), NULL,
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM wide) WHERE rank <= 10)"""
 
 QUERIES = {
+    "index_build": (index_build, f"WITH {X.DOCS}, {TOK}, {TF} SELECT term, count(*) AS df, max(tf) AS max_tf, min(dl) AS min_dl, sum(tf)::BIGINT AS occurrences FROM tf GROUP BY term"),
     "bm25_topk": (bm25_topk, f"{BASE}, {sql_bm25('b1', 'wanted', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM b1"),
+    "bm25_chunks": (
+        bm25_chunks,
+        f"""WITH {X.DOCS}, {X.QUERIES}, lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS body, unnest(range(len(string_split(body, chr(10))))) AS chunk_no FROM docs),
+tok AS (SELECT doc_id, chunk_no, {X.sql_terms('body')} AS tokens FROM lines), stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM tok),
+tf AS (SELECT term, doc_id, chunk_no, dl, count(*) AS tf FROM (SELECT doc_id, chunk_no, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), {WANTED},
+s AS (SELECT qid, doc_id, chunk_no, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM tf JOIN df USING (term) JOIN wanted USING (term), stats GROUP BY ALL)
+SELECT qid, doc_id, chunk_no, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, chunk_no) - 1 AS rank FROM s) WHERE rank < 10""",
+    ),
     "bm25_filtered": (bm25_filtered, BASE + ", " + sql_bm25("b1", "wanted", 10, "corpus = 'lang:en'") + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM b1"),
+    "bm25_sources": (bm25_sources, BASE + ", " + sql_bm25("b1", "wanted", 10, f"doc_id IN (SELECT doc_id FROM docs WHERE source_id IN {SOURCES})") + " SELECT qid, doc_id, round(score, 6) AS score, rank FROM b1"),
     "bm25_expanded": (bm25_expanded, f"{BASE}, {sql_cos('cos', 'queries', 40)}, {PRF}, {sql_bm25('b2', 'more', 10)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM b2"),
     "cosine_topk": (cosine_topk, f"WITH {X.QUERIES}, {sql_cos('cos', 'queries', 10)} SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM cos"),
+    "cell_topk": (cell_topk, f"WITH {X.QUERIES}, {sql_cos('cos', 'queries', 10)} SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM cos"),
+    "cell_knn": (cell_knn, f"WITH {X.VECTORS}, asked AS (SELECT doc_id AS qid, vec AS qvec FROM vectors), {sql_cos('cos', 'asked', 5, 'qid <> doc_id')} SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM cos"),
     "find_similar": (find_similar, f"{ASKED}, {sql_cos('cos', 'asked', 5, 'qid <> doc_id')} SELECT qid, doc_id, round(sim, 6) AS sim, rank FROM cos WHERE sim >= 0.2"),
     "max_similarity": (max_similarity, f"{ASKED}, {sql_cos('cos', 'asked', 1, 'qid <> doc_id')} SELECT qid, round(sim, 6) AS max_sim FROM cos"),
     "dedup_exact": (dedup_exact, f"{DOUBLED} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT b FROM near)"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ipaddress import ip_address
+from ipaddress import ip_address, ip_network
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -65,12 +66,18 @@ def query_periods(spark, sf):
     return rows.select("doc_id", F.explode(T.range_periods("ranges")).alias("period"))
 
 
+#: Every way to exclude, and two that are none.
+CUES = ("beside", "besides", "but not", "except", "EXCEPT  for", "excluding", "other than", "Without", "not about", "not including", "not related to", "not using", "not ", "isn't", "aren’t about", "wasn't related to", "weren't using")
+NO_CUES = ("apart from", "not")
+
+
 def negation_parse(spark, sf):
-    """Every conversation turn as a query: its first half, besides the terms of its second."""
-    t = T.terms("text")
-    rows = fence(read_table(spark, sf, "conversations"), t=t)
+    """Every conversation turn as a query: its first half, a cue (each in turn), and the terms of its second."""
+    rows = fence(read_table(spark, sf, "conversations"), t=T.terms("text"))
+    cues = [*CUES, *NO_CUES]
+    cue = F.element_at(F.array(*[F.lit(c) for c in cues]), (F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(len(cues))) + 1).cast("int"))
     half = F.expr("cast(size(t) div 2 as int)")
-    q = F.concat(F.array_join(F.slice("t", F.lit(1), half), " "), F.lit(" besides "), F.array_join(F.slice("t", half + 1, F.size("t")), ", "))
+    q = F.concat(F.array_join(F.slice("t", F.lit(1), half), " "), F.lit(" "), cue, F.lit(" "), F.array_join(F.slice("t", half + 1, F.size("t")), ", "))
     rows = fence(rows.select("conv_id", "turn", q.alias("q")), n=T.negation("q"))
     return rows.select("conv_id", "turn", F.col("n.clean").alias("clean"), F.array_join("n.excluded", "|").alias("excluded"))
 
@@ -81,8 +88,15 @@ def negation_penalty(spark, sf):
     return X.docs(spark, sf).select("doc_id", F.round(T.negation_penalty("body", excluded), 6).alias("penalty"))
 
 
+#: What follows a turn's first word: specific terms, some of them with parts that end in no border.
+TAILS = ("", " Redis-Kx_ here", " Abc-def_ and Redis-Kx_ do", " aBc Ab Redis-2-", " Xyz_ Éabc Okta")
+
+
 def should_expand(spark, sf):
-    return read_table(spark, sf, "conversations").select("conv_id", "turn", T.should_expand("text").alias("expand"))
+    """Every turn, and its first word with terms that do or don't count as specific."""
+    made = F.array("text", *[F.concat(F.substring_index("text", " ", 1), F.lit(t)) for t in TAILS])
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(made).alias("form", "q"))
+    return rows.select("conv_id", "turn", F.col("form").cast("long").alias("form"), T.should_expand("q").alias("expand"))
 
 
 def clean_base64(spark, sf):
@@ -90,18 +104,29 @@ def clean_base64(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", F.md5(F.encode(T.without_images(html), "UTF-8")).alias("digest"), F.length(T.without_images(html)).cast("long").alias("length"))
 
 
-#: Addresses of the kinds that pages' own hosts don't have, with and without blocked ones.
-HOSTS = ("10.0.0.{n}", "172.{n}.1.1:80", "100.{n}.0.9", "192.168.{n}.1", "169.254.{n}.{n}", "198.{n}.2.3", "{n}.8.8.8", "127.{n}.0.1", "me@0.0.0.{n}", "localhost:{n}")
-V6 = (("[::1]", True), ("[::]:8080", True), ("[fd00::{n}]", True), ("[fe80::{n}]", True), ("[2001:db8::{n}]", False), ("[::ffff:10.0.0.{n}]", True), ("[::ffff:8.8.8.{n}]", False), ("metadata.google.internal", True))
-RESERVED = (("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("224.0.0.0", "255.255.255.255"))
+#: Hosts whose addresses follow from no page: all kinds of IPv6 addresses and names.
+HOSTS = ("[::1]", "[::]:8080", "[fd00::7]", "[fe80::7]", "[2001:db8::1]", "[2001:0db8:0000::1]", "[2001:4860:4860::8888]", "[2001:3::1]", "[64:ff9b:1::1]", "[ff02::1]", "[::ffff:10.0.0.1]", "[::ffff:a00:1]", "[::ffff:8.8.8.8]", "me@0.0.0.7", "localhost:7", "metadata.google.internal", "10.example.org", "127.0.0.1.example.org")
+#: First and last addresses of networks, whose neighbours lie outside.
+EDGES_V4 = tuple(str(a) for n in map(ip_network, (*T.LOCAL_V4, *T.PUBLIC_V4, "100.64.0.0/10", "224.0.0.0/4")) for a in (max(int(n[0]) - 1, 0), int(n[0]), int(n[-1]), min(int(n[-1]) + 1, (1 << 32) - 1)))
+
+
+def _known(host: str) -> bool:
+    """What the standard library says of a host."""
+    name = urlsplit(f"http://{host}").hostname or ""
+    try:
+        address = ip_address(name)
+    except ValueError:
+        return name in T.LOCAL_NAMES
+    return address.is_private or address.is_loopback or address.is_link_local
 
 
 def blocked_url(spark, sf):
-    """Every page's address, and addresses of all kinds with a number from the page."""
-    n = (F.col("page_id") % 256).cast("string")
-    made = lambda host: F.concat(F.lit("http://"), F.replace(F.lit(host), F.lit("{n}"), n), F.lit("/x"))
-    pages = read_table(spark, sf, "pages").select("page_id", F.explode(F.array("url", *[made(h) for h in HOSTS], *[made(h) for h, _ in V6])).alias("url"))
-    return pages.select("page_id", "url", T.blocked_url("url").alias("blocked"))
+    """Every page's address, addresses at the ends of networks moved by nothing, and one drawn from the page's number."""
+    dotted = lambda n: F.concat_ws(".", *[F.expr(f"cast(shiftright({n}, {s}) & 255 as string)") for s in (24, 16, 8, 0)])
+    pages = read_table(spark, sf, "pages").withColumn("drawn", F.expr("page_id * 2654435761 % 4294967296"))
+    fixed = [F.lit(f"http://{host}/x") for host in (*HOSTS, *[str(ip_address(int(a))) for a in EDGES_V4])]
+    rows = pages.select("page_id", F.explode(F.array("url", F.concat(F.lit("http://u@"), dotted("drawn"), F.lit(":80?q")), *fixed)).alias("url"))
+    return rows.select("page_id", "url", T.blocked_url("url").alias("blocked"))
 
 
 def doc_language(spark, sf):
@@ -113,8 +138,8 @@ def doc_language(spark, sf):
 Q3 = "[{'s': make_date(year(days[1]), 7, 1), 'e': make_date(year(days[1]), 9, 30)}]"
 PERIODS = "list_distinct(flatten(list_transform(days, lambda d: ['month:' || strftime(d, '%Y-%m'), 'quarter:' || strftime(d, '%Y') || '-Q' || quarter(d), 'year:' || strftime(d, '%Y')])))"
 DATA = "data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
-#: Blocked IPv4 ranges by their first and last address as numbers.
-RANGES = ", ".join(f"({int(ip_address(a))}, {int(ip_address(b))})" for a, b in RESERVED)
+V4_RANGES = lambda nets: ", ".join(f"({int(n[0])}, {int(n[-1])})" for n in map(ip_network, nets))
+KNOWN = ", ".join(f"('http://{h}/x', {_known(h)})" for h in (*HOSTS, *[str(ip_address(int(a))) for a in EDGES_V4]))
 
 QUERIES = {
     "tokenize_terms": (tokenize_terms, f"""WITH {X.DOCS}, t AS (SELECT doc_id, unnest({X.sql_terms('body')}) AS term FROM docs) SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents
@@ -148,18 +173,21 @@ SELECT DISTINCT doc_id, unnest(['month:' || strftime(day, '%Y-%m'), 'quarter:' |
     ),
     "negation_parse": (
         negation_parse,
-        f"""WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), h AS (SELECT *, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t),
-q AS (SELECT *, array_to_string(a, ' ') || ' besides ' || array_to_string(b, ', ') AS q FROM h)
-SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN array_to_string(a, ' ') ELSE q END AS clean, array_to_string(b, '|') AS excluded FROM q""",
+        f"""WITH t AS (SELECT conv_id, turn, {X.sql_terms('text')} AS t FROM conversations), h AS (SELECT *, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b,
+([{", ".join("'" + c.replace("'", "''") + "'" for c in (*CUES, *NO_CUES))}])[(conv_id * 5 + turn) % {len(CUES) + len(NO_CUES)} + 1] AS cue, (conv_id * 5 + turn) % {len(CUES) + len(NO_CUES)} < {len(CUES)} AS real FROM t),
+q AS (SELECT *, array_to_string(a, ' ') || ' ' || cue || ' ' || array_to_string(b, ', ') AS q FROM h)
+SELECT conv_id, turn, CASE WHEN real AND len(a) > 0 AND len(b) > 0 THEN array_to_string(a, ' ') ELSE q END AS clean, CASE WHEN real THEN array_to_string(b, '|') ELSE '' END AS excluded FROM q""",
     ),
     "negation_penalty": (negation_penalty, """SELECT doc_id,
 round(pow(0.1, CAST(contains(lower(text), 'the') AS INTEGER) + CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'que') AS INTEGER)), 6) AS penalty
 FROM documents"""),
     "should_expand": (
         should_expand,
-        """WITH t AS (SELECT *, regexp_replace(text, '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g') AS spaced FROM conversations)
-SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'),
-lambda w: w <> '')) <= 2 OR len(regexp_extract_all(spaced, '(^|[^\\p{L}\\p{N}_])[A-Z][A-Za-z0-9]{2,}(-[A-Za-z0-9]+)*($|[^\\p{L}\\p{N}_])')) < 2 AS expand FROM t""",
+        f"""WITH f AS (SELECT conv_id, turn, text, split_part(text, ' ', 1) AS w FROM conversations),
+q AS (SELECT conv_id, turn, 0 AS form, text AS q FROM f UNION ALL SELECT conv_id, turn, i, w || t FROM f, (VALUES {", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(TAILS))}) v(i, t)),
+t AS (SELECT *, regexp_replace(q, '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g') AS spaced FROM q)
+SELECT conv_id, turn, form::BIGINT AS form, len(list_filter(regexp_split_to_array(q, '\\s+'),
+lambda w: w <> '')) <= 2 OR len(regexp_extract_all(spaced, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][A-Za-z0-9]{{2,}}(-[A-Za-z0-9]+)*($|[^\\p{{L}}\\p{{N}}_])')) < 2 AS expand FROM t""",
     ),
     "clean_base64": (
         clean_base64,
@@ -169,14 +197,11 @@ FROM c""",
     ),
     "blocked_url": (
         blocked_url,
-        f"""WITH n AS (SELECT page_id, url, CAST(page_id % 256 AS VARCHAR) AS n FROM pages),
-u AS (SELECT page_id, url, NULL AS known FROM n
-  UNION ALL SELECT page_id, 'http://' || replace(h, '{{n}}', n) || '/x', NULL FROM n, (VALUES {", ".join(f"('{h}')" for h in HOSTS)}) v(h)
-  UNION ALL SELECT page_id, 'http://' || replace(h, '{{n}}', n) || '/x', known FROM n, (VALUES {", ".join(f"('{h}', {k})" for h, k in V6)}) v(h, known)),
-h AS (SELECT *, split_part(split_part(list_last(string_split(split_part(substr(url, strpos(url, '://') + 3), '/', 1), '@')), ':', 1), '?', 1) AS host FROM u),
-o AS (SELECT *, list_transform(string_split(host, '.'), lambda x: TRY_CAST(x AS BIGINT)) AS parts FROM h),
-a AS (SELECT *, CASE WHEN len(parts) = 4 THEN ((parts[1] * 256 + parts[2]) * 256 + parts[3]) * 256 + parts[4] END AS address FROM o)
-SELECT page_id, url, coalesce(known, lower(host) = 'localhost' OR EXISTS (SELECT 1 FROM (VALUES {RANGES}) r(low, high) WHERE address BETWEEN low AND high)) AS blocked FROM a""",
+        f"""WITH d AS (SELECT page_id, page_id * 2654435761 % 4294967296 AS n FROM pages), dotted AS (SELECT *, (n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255) AS a FROM d)
+SELECT page_id, url, false AS blocked FROM pages
+UNION ALL SELECT page_id, 'http://u@' || a || ':80?q', EXISTS (SELECT 1 FROM (VALUES {V4_RANGES(T.LOCAL_V4)}) r(low, high) WHERE n BETWEEN low AND high)
+  AND NOT EXISTS (SELECT 1 FROM (VALUES {V4_RANGES(T.PUBLIC_V4)}) r(low, high) WHERE n BETWEEN low AND high) FROM dotted
+UNION ALL SELECT page_id, u, known FROM pages, (VALUES {KNOWN}) v(u, known)""",
     ),
     "doc_language": (doc_language, "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'tsx' WHEN 4 THEN 'c' END AS language FROM pages"),
 }
