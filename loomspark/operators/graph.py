@@ -14,6 +14,8 @@ TYPE_WEIGHTS = {"derives_from": 0.9, "contradicts": 0.85, "same_tag": 0.6, "co_s
 OTHER_WEIGHT, HOP_DECAY, NO_VECTOR = 0.5, 0.8, 0.5
 CODE_TYPES = ("calls", "implements", "depends_on", "defines", "references", "contains")
 KEY = ["from_id", "to_id", "edge_type"]
+#: Edges out and in that a path search follows from a node (fixed value).
+FAN_OUT = 100
 
 
 def current(edges: DataFrame, types: tuple | None = None) -> DataFrame:
@@ -118,11 +120,11 @@ def type_weight() -> Column:
     return F.when(F.col("edge_type") == "related_to", F.col("weight")).otherwise(F.coalesce(F.try_element_at(table, F.col("edge_type")), F.lit(OTHER_WEIGHT)))
 
 
-def heaviest(edges: DataFrame, at: DataFrame, per_node: int) -> DataFrame:
+def heaviest(edges: DataFrame, at: DataFrame, per_node: int, types: tuple | None = None) -> DataFrame:
     """(node, other, edge_type, weight): the heaviest current edges of the nodes of `at` (node), per_node out and per_node
     in. Only these nodes' edges are ranked; Spark broadcasts the nodes as long as they are few."""
     nodes = at.select("node").distinct()
-    out, into = (current(edges).join(nodes.withColumnRenamed("node", end), end, "left_semi") for end in ("from_id", "to_id"))
+    out, into = (current(edges, types).join(nodes.withColumnRenamed("node", end), end, "left_semi") for end in ("from_id", "to_id"))
     return neighbors(out, per_node).unionByName(neighbors(into, per_node, incoming=True)).select("node", "other", "edge_type", "weight")
 
 
@@ -213,34 +215,81 @@ def graph_expand(hits: DataFrame, edges: DataFrame, vectors: DataFrame, queries:
     return hits.select("qid", "node", "rrf").unionByName(placed).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, types: tuple | None = None) -> DataFrame:
-    """(pid, step, node, via) along one shortest undirected path of each pair (pid, a, b): of several, through the
-    smallest parent and edge type. Pairs without a path within max_depth have no rows."""
-    near = materialize(all_edges(edges, types).groupBy("node", "other").agg(F.min("edge_type").alias("via")), "adjacency")
-    target = pairs.select("pid", F.col("b").alias("node"))
-    reached = materialize(pairs.select("pid", F.col("a").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), F.lit(0).cast("long").alias("depth")), "reached")
-    frontier, levels = reached, [reached]
-    done = target.join(reached.select("pid", "node"), ["pid", "node"], "left_semi").select("pid")
-    for depth in range(1, max_depth + 1):
-        open_ = frontier.join(done, "pid", "left_anti")
-        step = open_.select("pid", "node").join(near, "node").groupBy("pid", "other").agg(F.min(F.struct("node", "via")).alias("p"))
-        known = levels[0].select("pid", "node")
+def two_sided(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, types: tuple | None = None, per_node: int = FAN_OUT) -> tuple[DataFrame, DataFrame]:
+    """(paths, reached): paths as shortest_paths; reached (pid, side, node, depth), all that was visited on the way.
+
+    Each round expands one level of every open pair, on the side whose frontier is smaller, along the per_node heaviest
+    edges out and in of each frontier node. A pair ends when a new node was visited from the other side, or when a frontier
+    is empty. Paths are then traced: levels beyond the meeting nodes by the links of the side of b, those before by parents.
+    """
+    other = F.when(F.col("side") == "a", "b").otherwise("a")
+    ends = pairs.select("pid", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("node")), F.struct(F.lit("b").alias("side"), F.col("b").alias("node")))).alias("e"))
+    start = materialize(ends.select("pid", "e.side", "e.node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), F.lit(0).cast("long").alias("depth")), "reached")
+    frontier, levels, links = start, [start], []
+    met = materialize(pairs.where("a = b").select("pid", F.col("a").alias("node"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("g")), "met")
+    meetings = [met]
+
+    def visited() -> DataFrame:
+        rows = levels[0]
         for level in levels[1:]:
-            known = known.unionByName(level.select("pid", "node"))
-        fresh = step.select("pid", F.col("other").alias("node"), F.col("p.node").alias("parent"), F.col("p.via").alias("via"), F.lit(depth).cast("long").alias("depth"))
-        frontier = materialize(fresh.join(known, ["pid", "node"], "left_anti"), "reached")
-        if frontier.isEmpty():
+            rows = rows.unionByName(level)
+        return rows
+
+    for _ in range(max_depth):
+        open_ = frontier.join(met.select("pid").distinct(), "pid", "left_anti")
+        sides = open_.groupBy("pid").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
+        turn = sides.where("na > 0 and nb > 0").select("pid", F.when(F.col("na") <= F.col("nb"), "a").otherwise("b").alias("turn"))
+        dealt = materialize(open_.join(turn, "pid").select("pid", "side", "node", "depth", (F.col("side") == F.col("turn")).alias("now")), "frontier")
+        growing = dealt.where("now")
+        if growing.isEmpty():
             break
-        levels.append(frontier)
-        done = materialize(done.unionByName(target.join(frontier.select("pid", "node"), ["pid", "node"], "left_semi").select("pid")), "done")
-    path = target.select("pid", "node")
+        near = heaviest(edges, growing, per_node, types).groupBy("node", "other").agg(F.min("edge_type").alias("via"))
+        steps = growing.join(near, "node").select("pid", "side", F.col("other").alias("node"), F.col("node").alias("parent"), "via", (F.col("depth") + 1).alias("depth"))
+        fresh_links = materialize(steps.join(visited().select("pid", "side", "node"), ["pid", "side", "node"], "left_anti"), "links")
+        links.append(fresh_links.where("side = 'b'"))
+        first = fresh_links.groupBy("pid", "side", "node").agg(F.min(F.struct("parent", "via")).alias("p"), F.max("depth").alias("depth"))
+        fresh = materialize(first.select("pid", "side", "node", "p.parent", "p.via", "depth"), "reached")
+        levels.append(fresh)
+        far = visited().select("pid", F.col("side").alias("side2"), "node", F.col("depth").alias("depth2"))
+        both = fresh.withColumn("side2", other).join(far, ["pid", "side2", "node"])
+        both = both.select("pid", "node", F.when(F.col("side") == "a", F.col("depth")).otherwise(F.col("depth2")).alias("f"), F.when(F.col("side") == "b", F.col("depth")).otherwise(F.col("depth2")).alias("g"))
+        best = W.partitionBy("pid")
+        meetings.append(materialize(both.withColumn("best", F.min(F.col("f") + F.col("g")).over(best)).where("f + g = best").drop("best"), "met"))
+        met = met.unionByName(meetings[-1])
+        frontier = dealt.where("not now").drop("now").unionByName(fresh.select("pid", "side", "node", "depth"))
+    # From the meeting nodes on to b, level by level, all links of shortest paths; then back from b by the smallest.
+    met = materialize(met, "met")
+    deepest = met.agg(F.max("g"), F.max(F.col("f") + F.col("g"))).first()
+    good, onward = met.select("pid", "node", "f", "g"), []
+    if deepest[0]:
+        all_links = links[0].select("pid", "node", F.col("parent").alias("next"), "via", F.col("depth").alias("g"))
+        for part in links[1:]:
+            all_links = all_links.unionByName(part.select("pid", "node", F.col("parent").alias("next"), "via", F.col("depth").alias("g")))
+        for _ in range(deepest[0]):
+            hop = materialize(good.where("g > 0").join(all_links, ["pid", "node", "g"]), "onward")
+            onward.append(hop.select("pid", F.col("next").alias("node"), F.col("node").alias("parent"), "via", (F.col("f") + 1).alias("step")))
+            good = hop.select("pid", F.col("next").alias("node"), (F.col("f") + 1).alias("f"), (F.col("g") - 1).alias("g")).distinct()
+    parents = visited().where("side = 'a'").select("pid", "node", "parent", "via", F.col("depth").alias("step"))
+    beyond = met.select("pid", "f").distinct()
+    parents = parents.join(beyond, "pid").where("step <= f").drop("f")
+    for part in onward:
+        parents = parents.unionByName(part)
+    parents = materialize(parents.groupBy("pid", "node", "step").agg(F.min(F.struct("parent", "via")).alias("p")).select("pid", "node", "step", "p.parent", "p.via"), "parents")
+    at = pairs.join(met.groupBy("pid").agg(F.max(F.col("f") + F.col("g")).alias("step")), "pid").select("pid", F.col("b").alias("node"), "step")
     out = None
-    for level in reversed(levels):
-        at = materialize(path.join(level, ["pid", "node"]), "path")
-        rows = at.select("pid", F.col("depth").alias("step"), "node", "via")
+    for _ in range((deepest[1] or 0) + 1):
+        found = materialize(at.join(parents, ["pid", "node", "step"]), "path")
+        rows = found.select("pid", "step", "node", "via")
         out = rows if out is None else out.unionByName(rows)
-        path = path.join(at.select("pid", "node"), ["pid", "node"], "left_anti").unionByName(at.where("parent is not null").select("pid", F.col("parent").alias("node")))
-    return out
+        at = found.where("step > 0").select("pid", F.col("parent").alias("node"), (F.col("step") - 1).alias("step"))
+    return out, visited().select("pid", "side", "node", "depth")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, types: tuple | None = None, per_node: int = FAN_OUT) -> DataFrame:
+    """(pid, step, node, via) along one shortest undirected path of each pair (pid, a, b), a search from both ends: of
+    several paths, back from b through the smallest parent and edge type. Pairs without a path of max_depth steps have no
+    rows."""
+    return two_sided(edges, pairs, max_depth, types, per_node)[0]
 
 
 def annotate(hits: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:

@@ -274,7 +274,8 @@ class Memory:
         return graph.mmr(found, mean_vectors(vectors, "node")) if diverse else found
 
     def path(self, pairs: DataFrame) -> DataFrame:
-        """Shortest paths of pairs (pid, a, b), with the first sentence of each document."""
+        """Shortest paths of pairs (pid, a, b) along up to graph.FAN_OUT edges of a node each way, with the first sentence
+        of each document."""
         return graph.shortest_paths(self._own("edges"), pairs).join(self._own("documents").select(F.col("doc_id").alias("node"), "l0"), "node", "left")
 
     def common(self, groups: DataFrame) -> DataFrame:

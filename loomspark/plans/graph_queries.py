@@ -402,7 +402,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC,
     "shortest_path": (
         shortest_path,
         f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT node, other,
-min(edge_type) AS via FROM (SELECT from_id AS node, to_id AS other, edge_type FROM cur UNION ALL SELECT to_id, from_id, edge_type FROM cur) GROUP BY ALL),
+min(edge_type) AS via FROM (SELECT *, row_number() OVER (PARTITION BY node, d ORDER BY weight DESC, other, edge_type) AS place
+FROM (SELECT 1 AS d, from_id AS node, to_id AS other, edge_type, weight FROM cur UNION ALL SELECT 2, to_id, from_id, edge_type, weight FROM cur)) WHERE place <= 100 GROUP BY ALL),
 p AS (SELECT vec_id AS pid, 'v' || vec_id AS a, 'v' || (vec_id - 100) AS b FROM embeddings WHERE vec_id % 100 = 0 AND vec_id > 0),
 bfs AS (SELECT pid, a AS node, 0 AS d FROM p UNION SELECT pid, other, d + 1 FROM bfs JOIN adj USING (node) WHERE d < {PATH_DEPTH}),
 dist AS MATERIALIZED (SELECT pid, node, min(d) AS d FROM bfs GROUP BY ALL),

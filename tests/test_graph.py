@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,61 @@ def test_shortest_path(spark):
     assert got == {1: [("a", None), ("x", "related_to"), ("d", "related_to")], 2: [("a", None)]}
 
 
+def plain_search(links, a, b, most, rounds=10):
+    """Length of the path that a search from both ends finds, links being (from, to, weight)."""
+    out, into = defaultdict(list), defaultdict(list)
+    for x, y, w in links:
+        out[x].append((-w, y))
+        into[y].append((-w, x))
+    near = lambda n: {y for _, y in sorted(out[n])[:most]} | {y for _, y in sorted(into[n])[:most]}
+    seen, front, depth = ({a: 0}, {b: 0}), [{a}, {b}], [0, 0]
+    if a == b:
+        return 0
+    for _ in range(rounds):
+        if not front[0] or not front[1]:
+            return None
+        side = 0 if len(front[0]) <= len(front[1]) else 1
+        depth[side] += 1
+        front[side] = {y for n in front[side] for y in near(n)} - set(seen[side])
+        seen[side].update(dict.fromkeys(front[side], depth[side]))
+        met = [depth[side] + seen[1 - side][n] for n in front[side] if n in seen[1 - side]]
+        if met:
+            return min(met)
+    return None
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_paths_from_both_ends(spark, most):
+    """Random graphs with hubs: lengths as by a plain search, steps that are edges, fewer rows than from one end."""
+    rng = random.Random(most)
+    links = {(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(420)} | {("hub", f"n{i}") for i in range(0, 300, 9)}
+    links = [(a, b, 1 + i / 1000) for i, (a, b) in enumerate(sorted(links)) if a != b]
+    edges = spark.createDataFrame([(a, b, "related_to", "main", w) for a, b, w in links], "from_id string, to_id string, edge_type string, corpus string, weight double").selectExpr("*", "timestamp'2024-01-01' as valid_at", "cast(null as timestamp) as invalid_at")
+    ends = [(i, f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for i in range(40)] + [(90, "n1", "nowhere")]
+    paths, reached = G.two_sided(edges, spark.createDataFrame(ends, "pid long, a string, b string"), per_node=most)
+    got = defaultdict(list)
+    for r in paths.collect():
+        got[r["pid"]].append((r["step"], r["node"]))
+    joined = {(a, b) for a, b, _ in links} | {(b, a) for a, b, _ in links}
+    for pid, a, b in ends:
+        length = plain_search(links, a, b, most)
+        nodes = [n for _, n in sorted(got[pid])]
+        assert (len(nodes) - 1 if nodes else None) == length
+        assert not nodes or (nodes[0], nodes[-1]) == (a, b) and all(p in joined for p in zip(nodes, nodes[1:]))
+    if most == 100:  # a search from a alone visits all nodes nearer than b
+        near = defaultdict(set)
+        for a, b in joined:
+            near[a].add(b)
+        one = 0
+        for pid, a, b in ends:
+            seen, front = {a}, {a}
+            while front and b not in seen:
+                front = {y for n in front for y in near[n]} - seen
+                seen |= front
+            one += len(seen)
+        assert reached.count() < one / 2
+
+
 def test_upsert_keeps_the_last_written(spark):
     old = graph(spark, [("a", "b")]).withColumn("invalid_at", F.col("valid_at"))
     fresh = graph(spark, [("a", "b")]).withColumn("weight", F.lit(0.3)).withColumn("seq", F.lit(7).cast("long"))
