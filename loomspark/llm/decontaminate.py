@@ -2,14 +2,16 @@
 
 Tokens are lower-cased runs of word characters, known by a 64-bit hash. A seed is the Karp-Rabin hash of a run of
 MIN_MATCH tokens. One pass over the documents keeps the seeds that a Bloom filter of the benchmark's seeds may hold
-(of bounded size; what it lets through in vain only costs); a join on the seed finds the items that share enough of
-their places with a text, each distinct text and item once. Each such pair is tiled: the longest match of unmarked
+(of bounded size; what it lets through in vain only costs); a join on each item's rarest seeds, as many as
+decide, finds the items that may share enough of their places with a text, each distinct text and item once, and counts
+them. Each such pair is tiled: the longest match of unmarked
 tokens is marked again and again until none of MIN_MATCH tokens is left. An item's coverage is the share of its tokens
 that tiles mark, in any order, so that reordered passages count; from THRESHOLD on the document is contaminated.
 
 Defined results: a null text or item has no tokens and matches nothing; items shorter than MIN_MATCH tokens match as a
 whole; repeated items and repeated rows each get their rows; null ids are kept; extra columns are ignored by
-contaminated() and kept by clean(). An empty benchmark contaminates nothing.
+contaminated() and kept by clean(). An empty benchmark contaminates nothing, an empty table gives no rows. Texts of any
+length are tiled whole.
 """
 
 from __future__ import annotations
@@ -240,6 +242,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "ia", "ib", "coverage", "n_tiles"])
 
 
+def rarest(own: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(ia, ib, seed): of each item's seed places (ia, ib, n, size, seed) the rarest in texts (a, b, seed), so many that a text
+    without any of them lacks too many places to cover the item. Seeds that many items share thus meet no text, unless an
+    item has no other."""
+    common = placed.groupBy("seed").agg(F.count("*").alias("texts"))
+    needed = F.ceil(threshold * F.col("size") / F.col("n") - 1e-9)  # places that a text must share
+    by_item = W.partitionBy("ia", "ib")
+    ranked = own.join(common, "seed", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    ranked = ranked.withColumn("place", F.row_number().over(by_item.orderBy("texts", "seed"))).withColumn("places", F.count("*").over(by_item))
+    return ranked.where((F.col("place") <= F.col("places") - needed + 1) & (F.col("texts") > 0)).select("ia", "ib", "seed").distinct()
+
+
 def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, every: bool) -> tuple[DataFrame, DataFrame] | None:
     """(docs with a, b and __seeds, found): found (a, b, ia, ib, coverage, n_tiles) of texts and items; None if the
     benchmark has no tokens."""
@@ -253,8 +267,9 @@ def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, every: bool
     marked = materialize(marked, "seeded")
     texts = marked.where(F.size("__seeds") > 0).select(F.col("__a").alias("a"), F.col("__b").alias("b"), "text", F.col("__seeds").alias("seeds")).dropDuplicates(["a", "b"])
     texts = materialize(texts, "seeded-texts")
-    met = texts.select("a", "b", F.explode("seeds").alias("seed")).join(own, "seed")
-    pairs = met.groupBy("a", "b", "ia", "ib").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("size").alias("size"))
+    placed = texts.select("a", "b", F.explode(F.array_distinct("seeds")).alias("seed"))
+    candidates = materialize(placed.join(rarest(own, placed, threshold), "seed").select("a", "b", "ia", "ib").distinct(), "candidates")
+    pairs = candidates.join(own, ["ia", "ib"]).join(placed, ["a", "b", "seed"]).groupBy("a", "b", "ia", "ib").agg(F.count("*").alias("places"), F.first("n").alias("n"), F.first("size").alias("size"))
     pairs = pairs.where(F.col("places") * F.col("n") >= threshold * F.col("size"))  # tiles can't cover more
     part = F.pmod(F.xxhash64("ia", "ib"), F.ceil(F.count("*").over(W.partitionBy("a", "b")) / ITEMS_EACH))
     asked = pairs.withColumn("part", part).join(items.select("ia", "ib", F.col("text").alias("item")), ["ia", "ib"])

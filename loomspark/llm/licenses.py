@@ -26,7 +26,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 ROWS = 1
 COLLISION = 0.999
-#: Shingles of a segment, and of the longest class: a power of two, so that windows of all classes start alike in each segment.
+#: Shingles of a segment, or as many as the longest class has: a power of two, so that windows of all classes start alike
+#: in each segment.
 SEGMENT = 4096
 
 
@@ -53,8 +54,8 @@ def load_templates(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
     sized = shingled(rows).withColumn("n", F.size("shingles"))
     found = materialize(sized.withColumn("class", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")), "templates")
-    if not found.where(f"n = 0 or class > {SEGMENT}").isEmpty():
-        raise ValueError(f"templates need five words or more, and {SEGMENT} shingles at most")
+    if not found.where("n = 0").isEmpty():
+        raise ValueError("templates need five words or more")
     return found
 
 
@@ -78,11 +79,12 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONT
         least[row["class"]] = min(1.0, similarity, least.get(row["class"], 1.0))
     bands = {c: bands_for(s) for c, s in least.items()}
     widest = max(steps(c)[1] for c in values)
+    segment = max(SEGMENT, *values)
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     every = sorted(set().union(*values.values()))
     rows = shingled(rows).where(F.exists("shingles", lambda x: x.isin(every)))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / SEGMENT).cast("int")), lambda s: F.slice("shingles", s * SEGMENT + 1, F.lit(SEGMENT + widest)))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / segment).cast("int")), lambda s: F.slice("shingles", s * segment + 1, F.lit(segment + widest)))
     rows = rows.select("doc_id", "text_hash", F.posexplode(cut).alias("segment", "shingles"))
 
     def windows_of(class_: int) -> Column:
@@ -90,8 +92,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONT
         places = F.filter(F.transform("shingles", lambda x, i: F.when(x.isin(sorted(values[class_])), i)), lambda i: i.isNotNull())
         first = lambda p: F.greatest(F.lit(0), F.ceil((p - width + 1) / step)).cast("int")
         own = F.flatten(F.transform(places, lambda p: F.sequence(first(p), F.floor(p / step).cast("int"))))
-        own = F.filter(F.array_distinct(own), lambda j: j * step < SEGMENT)
-        return F.transform(own, lambda j: F.struct(F.lit(class_).alias("class"), (F.col("segment") * SEGMENT + j * step).alias("at"), F.array_distinct(F.slice("shingles", j * step + 1, width)).alias("window")))
+        own = F.filter(F.array_distinct(own), lambda j: j * step < segment)
+        return F.transform(own, lambda j: F.struct(F.lit(class_).alias("class"), (F.col("segment") * segment + j * step).alias("at"), F.array_distinct(F.slice("shingles", j * step + 1, width)).alias("window")))
 
     held = rows.select("doc_id", "text_hash", F.explode(F.concat(*map(windows_of, sorted(values)))).alias("w")).select("doc_id", "text_hash", "w.*")
     held = held.repartition(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "at")  # few bytes, much work

@@ -64,6 +64,18 @@ def test_whole_texts_in_long_documents(spark, odd):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(odd.limit(0)).count() == 0
 
 
+def test_a_template_longer_than_a_segment(spark):
+    """A text as long as the longest common license, whole, changed in places, across segments, and a half of it."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(900)}" for _ in range(5644)]
+    changed = " ".join("x" if i % 40 == 39 else w for i, w in enumerate(words))
+    fill = lambda n: " ".join(f"f{i}" for i in range(n))
+    rows = [(1, f"{fill(7000)} {' '.join(words)} {fill(100)}"), (2, changed), (3, " ".join(words[:2800])), (4, f"{fill(9)} Released under the MIT License.")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), (*NOTICES, ("LONG", " ".join(words)))).collect()}
+    assert {i: r["license"] for i, r in got.items()} == {1: "LONG", 2: "LONG", 4: "MIT"}
+    assert got[1]["containment"] == 1.0 and 0.8 <= got[2]["containment"] < 1
+
+
 def test_very_repetitive_license_text(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License. " * 200_000)], "doc_id long, text string")
     assert [(r["license"], r["first_word"]) for r in licenses.license_scan(docs).collect()] == [("MIT", 0)]
@@ -452,6 +464,17 @@ def shares_run(text, item):
     return bool(runs(a) & runs(b))
 
 
+def test_a_seed_that_thousands_of_items_share(spark, monkeypatch):
+    """5,000 items begin with the same five words: texts meet those whose other words they have, not all."""
+    items = [(i, "which of the following is " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(5000)]
+    docs = [(i, f"intro words which of the following is true here and {items[i * 7][1] if i % 3 == 0 else 'nothing more'}") for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes, kept = [], decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, label: (made := kept(df, label), label == "candidates" and sizes.append(made.count()))[0])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect())
+    assert got == [(i, i * 7) for i in range(0, 300, 3)] and sizes == [100]
+
+
 def test_one_document_holds_all_items(spark):
     """A leaked benchmark in one text, items and documents repeated."""
     items = [(i % 90, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(100)]
