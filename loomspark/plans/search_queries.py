@@ -9,6 +9,7 @@ from loomspark.operators import cells
 from loomspark.operators import fusion as U
 from loomspark.operators.bm25 import bm25, bm25_rows, query_terms, scratch_index, stemmed
 from loomspark.operators.cells import cell_index
+from loomspark.operators.hyperplanes import near_groups
 from loomspark.operators.vector import similar_pairs, vector_topk, without_near, without_near_greedy
 from loomspark.plans import fixtures as X
 from loomspark.session import fence, materialize, read_table
@@ -120,6 +121,11 @@ def dedup_greedy(spark, sf):
     return without_near_greedy(_doubled(spark, sf)).select("doc_id")
 
 
+def similarity_forest(spark, sf):
+    """The group of every vector and moved copy by links of hyperplane tables: all that are joined by cosines of 0.95."""
+    return near_groups(_doubled(spark, sf), 0.95, recall=0.999).select("doc_id", "class_id", "root")
+
+
 def bulk_edges(spark, sf):
     """Symmetric links between classes of equal vectors, weight rounded."""
     _, pairs = similar_pairs(X.vectors(spark, sf), EDGE)
@@ -351,6 +357,12 @@ SELECT qid, doc_id, chunk_no, round(score, 6) AS score, rank FROM (SELECT *, row
 FROM d LEFT JOIN (SELECT b, list(a) AS others FROM near GROUP BY b) x ON x.b = d.doc_id),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1)
 SELECT unnest(kept) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)""",
+    ),
+    "similarity_forest": (
+        similarity_forest,
+        f"""{DOUBLED.replace('WITH', 'WITH RECURSIVE', 1)}, both_ AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT b, root FROM reach JOIN both_ ON a = node)
+SELECT node AS doc_id, (SELECT min(o.doc_id) FROM d o JOIN d m ON o.vec = m.vec WHERE m.doc_id = node) AS class_id, min(root) AS root FROM reach GROUP BY node""",
     ),
     "bulk_edges": (bulk_edges, f"{PAIRS} SELECT a AS from_id, b AS to_id, round(sim, 4) AS weight FROM pairs UNION ALL SELECT b, a, round(sim, 4) FROM pairs"),
     "similarity_classes": (similarity_classes, f"""{PAIRS}, ends AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY c) SELECT doc_id, class_id,
