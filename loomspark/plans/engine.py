@@ -78,11 +78,16 @@ class Store:
         folders = (self.folders()[1] if seen is None else seen).get(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def commit(self, add: dict[str, DataFrame], anew: dict[str, DataFrame] | None = None, after: int | None = None) -> None:
-        """Append to tables and start others anew, as the commit that follows number `after` (the last one read)."""
+    def last_batch(self, name: str) -> int:
+        """The number of the last batch of a stream that a commit carries, -1 if none does."""
+        return max((change["batch"][1] for _, change in self.log() if change.get("batch", [None])[0] == name), default=-1)
+
+    def commit(self, add: dict[str, DataFrame], anew: dict[str, DataFrame] | None = None, after: int | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Append to tables and start others anew, as the commit that follows number `after` (the last one read). batch is
+        the stream and the number that the commit stands for."""
         anew = anew or {}
         after = self.folders()[0] if after is None else after
-        change = {"add": {}, "anew": sorted(anew)}
+        change = {"add": {}, "anew": sorted(anew)} | ({"batch": list(batch)} if batch else {})
         for name, df in {**add, **anew}.items():
             folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
             fields = self.spark.createDataFrame([], SCHEMAS[name]).schema
@@ -128,13 +133,16 @@ class Memory:
         rows = self.store.table(name, seen).where(F.col("corpus") == self.corpus)
         return graph.last_written(rows) if name == "edges" else rows
 
-    def add(self, rows: DataFrame, as_of: Column | None = None, similar: float = 0.8, chunks: DataFrame | None = None) -> DataFrame:
+    def add(self, rows: DataFrame, as_of: Column | None = None, similar: float = 0.8, chunks: DataFrame | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
         """Ingest rows (body, and title, tag, level, session_id, source_ids if there): documents new by content with their
         chunks, vectors and edges to sources, periods, alike documents and documents of the same tag and session. Other
         columns become JSON attributes. chunks (body_id, chunk_no, body) may come from the caller, body_id being the
         document's id. Of chunks with a cosine of DUPLICATE to one that is there or to each other, one stays. Returns
-        (doc_id, status, chunks): status `ingested`, or `already_indexed` for known content."""
+        (doc_id, status, chunks): status `ingested`, or `already_indexed` for known content. A batch (stream, number) that
+        was committed before adds nothing."""
         seq, seen = self.store.folders()
+        if batch and self.store.last_batch(batch[0]) >= batch[1]:
+            return rows.where(F.trim("body") != "").select(T.doc_id("body").alias("doc_id"), F.lit("already_indexed").alias("status"), F.lit(None).cast("long").alias("chunks")).distinct()
         now = F.current_timestamp() if as_of is None else as_of
         other = [c for c in rows.columns if c not in EXTRA and c != "body"]  # before columns of our own
         rows = rows.withColumn("attributes", F.to_json(F.struct(*other)) if other else F.lit(None).cast("string"))
@@ -157,7 +165,7 @@ class Memory:
         docs = docs.join(counts, "doc_id", "left").fillna(0, ["chunks", "failed_chunks"]).withColumn("content_hash", F.hex(F.xxhash64("body")))
         docs = materialize(docs, "documents")
         edges = self._edges(docs, known, vectors, self._own("vectors", seen), now, similar).withColumn("seq", F.lit(seq + 1))
-        self.store.commit({"documents": docs, "chunks": parts, **self._indexed(parts, seq + 1), "vectors": vectors, "edges": edges}, after=seq)
+        self.store.commit({"documents": docs, "chunks": parts, **self._indexed(parts, seq + 1), "vectors": vectors, "edges": edges}, after=seq, batch=batch)
         asked = rows.where(F.trim("body") != "").select(T.doc_id("body").alias("doc_id")).distinct()
         fresh = docs.select("doc_id", F.lit("ingested").alias("status"), "chunks")
         return asked.join(fresh, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("already_indexed")).alias("status"), "chunks")

@@ -1,9 +1,13 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomspark.operators import records as R
+from loomspark.plans.engine import Memory
 from loomspark.sources.files import allowed, documents_from, read_files
 from loomspark.streaming import access as S
+from loomspark.streaming import ingest as I
 
 
 def stream(spark, sf):
@@ -36,6 +40,54 @@ def test_breaker(spark, tmp_path):
     assert [r["met"] for r in got.orderBy("at").collect()] == met
 
 
+def test_ingest_counts_each_batch_once(spark, tmp_path):
+    """A writer that dies after its commit, and the same batch once more after the restart."""
+    memory = Memory(spark, f"file://{tmp_path}/m", analyse=None)
+    texts = lambda a, b: [(f"note number {i} about topic {i} alone t{i}x{i}", f"tag{i % 2}") for i in range(a, b)]
+    write = lambda a, b: spark.createDataFrame(texts(a, b), "body string, tag string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write(0, 4)
+    live = spark.readStream.schema("body string, tag string").parquet(str(tmp_path / "in"))
+    run = lambda m: I.ingest(m, live, str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    add = memory.add
+
+    def dies(rows, **options):
+        add(rows, **options)
+        raise RuntimeError("lost after the commit")
+
+    memory.add = dies
+    with pytest.raises(Exception, match="lost after the commit"):
+        run(memory)
+    assert memory.list().count() == 4 and memory.store.last_batch("ingest") == 0
+    again = Memory(spark, f"file://{tmp_path}/m", analyse=None)
+    commits = again.store.folders()[0]
+    run(again)
+    assert again.list().count() == 4 and again.store.folders()[0] == commits
+    write(4, 6)
+    run(again)
+    assert again.list().count() == 6 and again.store.last_batch("ingest") == 1 and again.store.folders()[0] == commits + 1
+    assert again._own("chunks").groupBy("doc_id", "chunk_no").count().where("count > 1").count() == 0
+
+
+def test_gate_equals_the_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{i % 4}", i) for i in range(150) if i % 4 != 3 or i < 60], "corpus string, doc_id long")
+    rows.where("doc_id < 70").write.parquet(str(tmp_path / "docs"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "docs"))
+
+    def fired():
+        """What a run of all that is there adds; the second one goes on from the first one's state."""
+        I.due_corpora(live, 15).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return {(r["corpus"], r["docs"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    state = spark.createDataFrame([], "corpus string, last_dream_at timestamp, last_doc_count long")
+    first = R.dream_gate(rows.where("doc_id < 70"), state, 15).where("due").collect()
+    before = {(r["corpus"], r["docs"]) for r in first}
+    assert fired() == before and len(first) == 4
+    rows.where("doc_id >= 70").write.mode("append").parquet(str(tmp_path / "docs"))
+    marks = spark.createDataFrame([(r["corpus"], None, r["docs"]) for r in first], state.schema)
+    then = {(r["corpus"], r["docs"]) for r in R.dream_gate(rows, marks, 15).where("due").collect()}
+    assert fired() == before | then and 0 < len(then) < 4
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("Plan of 2024-03-01. More.")
     (tmp_path / "empty.txt").write_text("")
