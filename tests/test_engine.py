@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import analytics
 from loomspark.plans.engine import Conflict, Documents, Memory, Store
 
 NOTES = [
@@ -113,3 +114,50 @@ def test_documents_from_files(spark, tmp_path):
     hit = docs.search(spark.createDataFrame([(1, "ship index")], "qid long, text string")).first()
     assert hit["rank"] == 1 and hit["l0"].startswith("# Plan")
     assert hit["doc_id"] == spark.createDataFrame([("# Plan\nShip the index.\n\n# Notes\nNone yet.",)], "b string").select(T.doc_id("b")).first()[0]
+
+
+def numbers(terms):
+    """An embedding that reads a vector from its text."""
+    return F.transform(terms, lambda t: t.cast("float"))
+
+
+@pytest.mark.parametrize("order, stay", [("abc", "ac"), ("bac", "b"), ("cab", "ca"), ("cba", "ca")])
+def test_chunks_are_compared_in_the_order_of_arrival(spark, tmp_path, order, stay):
+    """a ~ b ~ c, but a and c are apart: what stays is what a walk in that order keeps."""
+    text = {"a": "100 0", "b": "96 28", "c": "84 54"}
+    memory = Memory(spark, f"file://{tmp_path}/m", embed=numbers, analyse=None)
+    rows = spark.createDataFrame([(text[x],) for x in order], "body string").repartition(1)
+    chunks = {r["doc_id"]: r["chunks"] for r in memory.add(rows).collect()}
+    bodies = {r["body"]: r["doc_id"] for r in memory._own("documents").collect()}
+    assert {x for x in order if chunks[bodies[text[x]]] == 1} == set(stay)
+    assert memory._own("rows").count() == len(stay)
+
+
+def test_newest_members_of_clusters(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}/m", analyse=None)
+    for day, names in ((1, "pq"), (9, "r"), (5, "st")):
+        memory.add(spark.createDataFrame([(f"note {x} {x * 5}", "tag") for x in names], "body string, tag string"), F.to_timestamp(F.lit(f"2024-01-0{day} 00:00:00")))
+    recent = memory.clusters().where("cluster_id = 'tag'").first()["recent"]
+    body = {r["doc_id"]: r["body"] for r in memory._own("documents").collect()}
+    assert [body[d][5] for d in recent][0] == "r" and {body[d][5] for d in recent} == {"r", "s", "t"}
+
+
+def test_dreams_take_a_share_of_the_corpus_and_all_chunks(spark, tmp_path, monkeypatch):
+    memory = Memory(spark, f"file://{tmp_path}/m", embed=numbers, analyse=None)
+    asked = []
+
+    def scored(vectors, fresh, share):
+        asked.append((vectors.count(), fresh.count(), round(share, 6), {tuple(r["vec"]) for r in vectors.collect()}))
+        return fresh.select("doc_id").limit(0)
+
+    monkeypatch.setattr(analytics, "incremental_surprisal", scored)
+    at = lambda d: F.to_timestamp(F.lit(f"2024-01-{d:02d} 00:00:00"))
+    axis = lambda i: " ".join("1" if k == i else "0" for k in range(12))
+    memory.add(spark.createDataFrame([(axis(i),) for i in range(8)], "body string"), at(1))
+    memory.dream(at(2))
+    rows = spark.createDataFrame([("two parts", 0, axis(8)), ("two parts", 1, axis(9)), (axis(10), 0, axis(10))], "body string, chunk_no long, part string")
+    chunks = rows.select(T.doc_id("body").alias("body_id"), "chunk_no", F.col("part").alias("body"))
+    memory.add(rows.select("body").distinct(), at(3), chunks=chunks)
+    memory.dream(at(4))
+    assert asked[0][:3] == (8, 8, 0.15) and asked[1][:3] == (10, 2, 0.75)
+    assert tuple(0.5 if k in (8, 9) else 0.0 for k in range(12)) in asked[1][3]  # the mean of both chunks
