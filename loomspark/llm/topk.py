@@ -35,7 +35,7 @@ SLAB_ROWS = 65_536
 CHUNK = 2048
 #: Clusters at most, rows for each, and the sample that their centroids are fitted on (rows and components at most).
 CLUSTERS, CLUSTER_ROWS, SAMPLE_ROWS, SAMPLE_VALUES = 256, 256, 4096, 1 << 21
-EXACT = 1 << 53
+EXACT, ROUNDING = 1 << 53, 1e-9
 NONE = np.iinfo(np.int64).min
 
 
@@ -121,8 +121,11 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.nd
     high, low = np.array([m.max(0) for _, m in blocks]), np.array([m.min(0) for _, m in blocks])
     sizes = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))), 1) for m in (np.concatenate([high, low]), queries)]
     kind = np.float64 if sizes[0] * sizes[1] * max(queries.shape[1], 1) < EXACT else np.int64  # float products are exact below 2^53, and fast
-    q = queries.astype(kind)
-    bounds = np.maximum(q, 0) @ high.T.astype(kind) + np.minimum(q, 0) @ low.T.astype(kind)
+    q, wide = queries.astype(kind), queries.astype(np.float64)
+    tops, bottoms = high.T.astype(np.float64), low.T.astype(np.float64)
+    bounds = np.maximum(wide, 0) @ tops + np.minimum(wide, 0) @ bottoms
+    if kind is np.int64:  # a bound may pass the range of longs where no product does: as a float, rounded up
+        bounds += np.abs(wide) @ np.maximum(np.abs(tops), np.abs(bottoms)) * ROUNDING
     order = np.argsort(-bounds, axis=1, kind="stable")
     forward = [m.T.astype(kind) for _, m in blocks]
     scores, ids = np.full((len(q), k), NONE), np.full((len(q), k), -1, np.int64)

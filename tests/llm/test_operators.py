@@ -306,6 +306,14 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(few, few, 5).count() == 6 and topk.top_k(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_bounds_beyond_the_range_of_longs():
+    """Products fit, but the bound of the second block doesn't."""
+    big = 1 << 31
+    blocks = [(np.array([1]), np.array([[1, 0]])), (np.array([2, 3]), np.array([[big, 5 - big], [5 - big, big]]))]
+    scores, ids, _ = topk.best_of(np.array([9]), np.array([[big, big]]), blocks, 1)
+    assert (scores[0, 0], ids[0, 0]) == (5 * big, 2)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_bounds_prune_clustered_vectors(spark, monkeypatch, small):
     """Tight clusters, one of a third of all rows; also with several groups and slabs."""
