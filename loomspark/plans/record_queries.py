@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import chunking as C
 from loomspark.functions import text as T
+from loomspark.functions.markdown import chunk_markdown
 from loomspark.functions.stemming import stems
 from loomspark.operators import records as R
 from loomspark.plans import fixtures as X
@@ -85,6 +86,20 @@ def text_chunks(spark, sf):
     return C.chunk_text(X.docs(spark, sf)).select("doc_id", "chunk_no", F.md5(F.encode("body", "UTF-8")).alias("digest"), F.length("body").cast("long").alias("chars"))
 
 
+def markdown_docs(spark, sf):
+    """Documents as Markdown: a title, a section of text, code, a list and a table of their own words."""
+    body = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n## Text\n\n"), "body", F.lit("\n\n## Parts\n\n```\n# no heading\n\n"), F.substring("body", 1, 300), F.lit("\n```\n\n- one\n\n  more\n- two\n\n| a | b |\n|-|-|\n| 1 | 2 |\n"))
+    return X.docs(spark, sf).select("doc_id", body.alias("body"))
+
+
+def markdown_chunks(spark, sf):
+    """Chunks of every document as Markdown, of 64 tokens or one whole block."""
+    import public_tokenizers
+
+    rows = chunk_markdown(markdown_docs(spark, sf), 64, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "chunk_no", "path", "first", "last", "tokens", F.md5(F.encode("body", "UTF-8")).alias("digest"))
+
+
 def code_symbols(spark, sf):
     """Every document's terms as the names of a Python file's classes, each with two functions."""
     line = lambda t, i: F.when(i % 3 == 0, F.concat(F.lit("class "), t, F.lit(":"))).otherwise(F.concat(F.lit("    def "), t, F.lit("(self):")))
@@ -160,6 +175,7 @@ WHERE left(o_orderpriority, 1) IN ('1', '2') AND DATE '1998-01-01' - CAST(o_orde
     "upsert_documents": (upsert_documents, """WITH f AS (SELECT doc_id // 2 AS doc_id, max(text) AS body FROM documents GROUP BY 1) SELECT doc_id, md5(body) AS digest FROM f UNION ALL SELECT doc_id,
 md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f)"""),
     "text_chunks": (text_chunks, None),
+    "markdown_chunks": (markdown_chunks, None),
     "code_symbols": (
         code_symbols,
         f"""WITH {X.DOCS}, t AS (SELECT doc_id, {X.sql_terms('body')} AS t FROM docs), r AS (SELECT doc_id, len(t) AS n, unnest(t) AS name, unnest(range(1, len(t) + 1)) AS line_no FROM t)

@@ -18,8 +18,8 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    """fiedler, full_analysis and rmt_novel: test_whole_graph.py; the others below."""
-    assert set(catalogue.queries()) - set(SQL) == {"fiedler", "full_analysis", "rmt_novel", "text_chunks", "stemmed_terms"}
+    """fiedler, full_analysis and rmt_novel: test_whole_graph.py; markdown_chunks: test_markdown.py; the others below."""
+    assert set(catalogue.queries()) - set(SQL) == {"fiedler", "full_analysis", "rmt_novel", "text_chunks", "stemmed_terms", "markdown_chunks"}
 
 
 def test_text_chunks_equal_plain_splitting(spark, sf):
