@@ -80,3 +80,11 @@ def test_a_cell_of_many_parts(spark, monkeypatch):
     assert index.vectors.select("part").distinct().count() > 3 and GROUP_ROWS > 50
     asked = vectors[:40]
     assert got(cell_topk(index, spark.createDataFrame(asked, V).toDF("qid", "qvec"), 6)[0]) == plain(vectors, asked, 6)
+
+
+def test_the_limit_comes_before_the_shuffle(spark):
+    """Plans keep k rows of each query before they sort all."""
+    from loomspark.operators.vector import vector_topk
+
+    rows = spark.createDataFrame(clustered(50), V)
+    assert "WindowGroupLimit" in vector_topk(rows, rows.toDF("qid", "qvec"), 3)._jdf.queryExecution().toString()
