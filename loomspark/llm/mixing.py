@@ -9,7 +9,8 @@ Permutations are swap-or-not shuffles, exact bijections of any range.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source, last in order; repeated rows
 are packed one by one; a null doc_id is a key like others; extra columns are kept by mixed_documents() and ignored
-otherwise; an empty table gives an empty result.
+otherwise; an empty table gives an empty result. Of rows equal in doc_id, source and text that differ in extra columns
+mixed_documents() keeps any one's.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ on all 64 bits. Copies share a fingerprint and meet only as one. A half that mor
 is compared in blocks of BLOCK, each task returning a spanning forest of its links instead of all pairs.
 
 Defined results: a null text has no words, hence fingerprint zero, linked like any other; a null doc_id gets its
-group's smallest doc_id (null if the group has none); repeated rows each get their row; extra columns are ignored.
+group's smallest doc_id (null if the group has none); repeated rows each get their row; extra columns are ignored; an
+empty table gives no rows; texts of any length are hashed whole. keep_one() keeps extra columns; of rows equal in doc_id
+and text that differ in them it keeps any one.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Pieces between white space are split into pre-tokens here where Python and the t
 the library's own normalizer and pre-tokenizer elsewhere; merges are ours for all. Only byte-level BPE files are taken.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); null and repeated doc_ids each get their row; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows; texts of any length are counted whole.
 """
 
 from __future__ import annotations
