@@ -211,6 +211,14 @@ def surprisal_incremental(spark, sf):
     return A.incremental_surprisal(v, v.where(F.col("doc_id") > half), 0.1).select("doc_id", R6("surprisal"))
 
 
+def knn_maintained(spark, sf):
+    """The five nearest others of every vector: kept edges of the older half, then the newer half added."""
+    v = X.vectors(spark, sf).select("doc_id", "vec")
+    half = v.agg(F.expr("max(doc_id) div 2")).first()[0]
+    old, fresh = v.where(F.col("doc_id") <= half), v.where(F.col("doc_id") > half)
+    return A.knn_delta(A.knn_edges(old), old, fresh).select("qid", "doc_id", R6("sim"))
+
+
 def local_entropy(spark, sf):
     return A.local_entropy(X.edges(spark, sf)).select("node", R6("entropy"))
 
@@ -420,6 +428,11 @@ SELECT qid, node, edges FROM f0 LEFT JOIN a USING (node)"""),
 links AS MATERIALIZED (SELECT from_id, to_id, w / sum(w) OVER (PARTITION BY from_id) AS share FROM w), nodes AS MATERIALIZED (SELECT from_id AS node
 FROM links UNION SELECT to_id FROM links),
 {sql_walk("links", "nodes", 0.85, 100, 1e-6)} SELECT node, round(rank, 9) AS rank FROM last_""",
+    ),
+    "knn_maintained": (
+        knn_maintained,
+        f"""WITH {X.VECTORS}, s AS (SELECT a.doc_id AS qid, b.doc_id, {X.SQL_COS.format(a='a.vec', b='b.vec')} AS sim FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id)
+SELECT qid, doc_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, doc_id) AS n FROM s) WHERE n <= 5""",
     ),
     "surprisal_k": (surprisal_k, f"{SURPRISE} SELECT doc_id, round(surprisal, 6) AS surprisal, round((surprisal - min(surprisal) OVER ()) / (max(surprisal) OVER () - min(surprisal) OVER ()), 6) AS normalized FROM s"),
     "surprisal_incremental": (surprisal_incremental, f"""{SURPRISE}, h AS (SELECT max(doc_id) // 2 AS half FROM vectors), n AS (SELECT s.*, row_number() OVER (ORDER BY round(surprisal, 9) DESC, doc_id) AS k,

@@ -134,3 +134,21 @@ def test_full_analysis_has_gap_boundary_and_converged_ranks(spark, monkeypatch):
     assert dict(got["structure"]) == {"components": 1.0, "spectral_gap": pytest.approx(gap, abs=1e-6)}
     assert len(got["boundary"]) == 5 and {x for x, _ in got["boundary"][:2]} == {"c", "x"}
     assert calls == {"starts": 6} and A.SOURCES == 200
+
+
+def test_kept_neighbours_take_in_fresh_vectors(spark, monkeypatch):
+    """In three steps, with fewer than k at first; the number of compared pairs is that of fresh vectors with all."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(90)]
+    df = lambda a, b: spark.createDataFrame(rows[a:b], "doc_id long, vec array<double>")
+    compared, search = [], A.vector_topk
+    monkeypatch.setattr(A, "vector_topk", lambda v, q, k, **options: compared.append(v.count() * q.count()) or search(v, q, k, **options))
+    kept = A.knn_edges(df(0, 4), 5)
+    kept = A.knn_delta(kept, df(0, 4), df(4, 60), 5)
+    compared.clear()
+    kept = A.knn_delta(kept, df(0, 60), df(60, 90), 5)
+    assert sum(compared) == 30 * 90 + 30 * 60
+    pairs = lambda edges: {(r["qid"], r["doc_id"]) for r in edges.collect()}
+    assert pairs(kept) == pairs(A.knn_edges(df(0, 90), 5)) and kept.count() == 450
+    score = lambda **options: {r["doc_id"]: round(r["surprisal"], 9) for r in A.surprisal(df(0, 90), 5, rounds=3, **options).collect()}
+    assert score(knn=kept) == score()
