@@ -1,4 +1,6 @@
 import datetime as dt
+import ipaddress
+import random
 
 import numpy as np
 import pytest
