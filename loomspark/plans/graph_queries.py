@@ -9,6 +9,7 @@ from loomspark.operators import analytics as A
 from loomspark.operators import graph as G
 from loomspark.operators import records as R
 from loomspark.operators.components import connected_components
+from loomspark.operators.spectrum import ZERO, Laplacian, smallest_pairs, spectrum_checks
 from loomspark.operators.vector import hash_embed, vector_topk
 from loomspark.plans import fixtures as X
 from loomspark.session import fence, materialize, read_table
@@ -251,6 +252,13 @@ def fiedler(spark, sf):
     return A.fiedler(_edges(spark, sf), types=A.DEFAULT_TYPES).select("node", R6("value"))
 
 
+def laplacian_spectrum(spark, sf):
+    """The six smallest eigenpairs of the largest component: which values are zero, residuals, lengths and overlaps."""
+    graph = Laplacian(_edges(spark, sf), A.DEFAULT_TYPES)
+    checks = spectrum_checks(graph, smallest_pairs(graph, 6))
+    return checks.select("pair", (F.col("eigenvalue") < ZERO).alias("is_zero"), R6("residual"), R6("length"), R6("overlap"))
+
+
 def rmt_novel(spark, sf):
     """Documents under the hashing embedder by their share in its directions beyond chance."""
     docs = fence(X.docs(spark, sf).select("doc_id", "body"), tokens=T.terms("body"))
@@ -313,6 +321,11 @@ SURPRISE = f"""WITH RECURSIVE {X.VECTORS}, {KNN}, links AS MATERIALIZED (SELECT
 EDGE_ROW = "from_id, to_id, edge_type, weight"
 ONCE = "d AS (SELECT DISTINCT ON (from_id, to_id, edge_type) * FROM edges ORDER BY from_id, to_id, edge_type, valid_at DESC)"
 
+ROOTS = f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur),
+r AS (SELECT a AS node, a AS root, 0 AS it, 1::HUGEINT AS moved FROM (SELECT DISTINCT a FROM adj)
+  UNION ALL SELECT node, fresh, it + 1, sum(CAST(fresh <> root AS INTEGER)) OVER () FROM (
+    SELECT o.node, o.root, o.it, least(o.root, m.root) AS fresh FROM r o JOIN (SELECT b AS node, min(root) AS root FROM adj JOIN r ON node = a GROUP BY b) m USING (node) WHERE o.moved > 0))"""
+
 QUERIES = {
     "neighbors_topk": (neighbors_topk, f"{E}, {sql_near('o', 'from_id', 'to_id', 5)} SELECT node, other, edge_type, weight, rank FROM o"),
     "predecessors_topk": (predecessors_topk, f"{E}, {sql_near('o', 'to_id', 'from_id', 5)} SELECT node, other, edge_type, weight, rank FROM o"),
@@ -450,11 +463,7 @@ SELECT node, round(abs(sum(CASE WHEN a > 0 THEN -(a / ta) * log2(a / ta) ELSE 0
     "degree_stats": (degree_stats, f"{E}, {BOTH} SELECT node, count(*) AS degree, count(DISTINCT other) AS neighbors, round(sum(weight), 6) AS weight FROM both_ GROUP BY node"),
     "components": (
         components,
-        f"""WITH RECURSIVE {X.EDGES}, cur AS (SELECT * FROM edges WHERE invalid_at IS NULL AND edge_type IN {DEF}), adj AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM cur UNION SELECT to_id, from_id FROM cur),
-r AS (SELECT a AS node, a AS root, 0 AS it, 1::HUGEINT AS moved FROM (SELECT DISTINCT a FROM adj)
-  UNION ALL SELECT node, fresh, it + 1, sum(CAST(fresh <> root AS INTEGER)) OVER () FROM (
-    SELECT o.node, o.root, o.it, least(o.root, m.root) AS fresh FROM r o JOIN (SELECT b AS node, min(root) AS root FROM adj JOIN r ON node = a GROUP BY b) m USING (node) WHERE o.moved > 0))
-SELECT node, root FROM r WHERE it = (SELECT max(it) FROM r)""",
+        f"""{ROOTS} SELECT node, root FROM r WHERE it = (SELECT max(it) FROM r)""",
     ),
     "session_components": (
         session_components,
@@ -473,6 +482,11 @@ back AS (SELECT s, node, d, sigma, 0.0::DOUBLE AS delta FROM levels WHERE d = (S
   UNION ALL SELECT l.s, l.node, l.d, l.sigma, coalesce(l.sigma * x.x, 0) FROM (SELECT max(d) - 1 AS d FROM back) u JOIN levels l ON l.d = u.d
     LEFT JOIN (SELECT w.s, adj.b AS node, sum((1 + w.delta) / w.sigma) AS x FROM back w JOIN adj ON adj.a = w.node GROUP BY w.s, adj.b) x ON x.s = l.s AND x.node = l.node)
 SELECT nodes.node, round(coalesce(sum(delta), 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS betweenness FROM nodes LEFT JOIN back ON back.node = nodes.node AND back.s <> back.node GROUP BY nodes.node""",
+    ),
+    "laplacian_spectrum": (
+        laplacian_spectrum,
+        f"""{ROOTS}, big AS (SELECT count(*) AS n FROM r WHERE it = (SELECT max(it) FROM r) GROUP BY root ORDER BY n DESC LIMIT 1)
+SELECT i AS pair, i = 0 AS is_zero, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, 0.0::DOUBLE AS overlap FROM (SELECT unnest(range(least(6, n))) AS i FROM big)""",
     ),
     "fiedler": (fiedler, None),
     "rmt_novel": (rmt_novel, None),
