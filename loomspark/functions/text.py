@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from ipaddress import ip_network
 
 import pandas as pd
@@ -167,18 +167,27 @@ PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",
 MAPPED = "::ffff:0:0/96"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _words(address: Column) -> Column:
     """The eight 16-bit words of an IPv6 address, null if it is none; a dotted end counts as two words."""
-    octet = lambda i: F.regexp_extract(address, ":([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})$", i).try_cast("int")
-    pair = lambda i: F.lower(F.hex(octet(i) * 256 + octet(i + 1)))
-    dotted = F.concat(F.regexp_extract(address, "^(.*:)[^:]*$", 1), pair(1), F.lit(":"), pair(3))
-    plain = F.when(F.greatest(*[octet(i) for i in (1, 2, 3, 4)]) <= 255, dotted).otherwise(address)
-    sides = F.split(plain, "::", -1)
-    of = lambda side: F.filter(F.split(side, ":", -1), lambda w: (side != "") | (w != ""))
-    left, right = of(sides[0]), of(F.element_at(sides, -1))
-    gap = 8 - F.size(left) - F.size(right)
-    words = F.when((F.size(sides) == 2) & (gap > 0), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)).when((F.size(sides) == 1) & (F.size(left) == 8), left)
-    return F.when(F.forall(words, lambda w: w.rlike("^[0-9a-f]{1,4}$")), F.transform(words, lambda w: F.conv(w, 16, 10).cast("int")))
+    tail = F.regexp_extract(address, ":([0-9]{1,3}(?:[.][0-9]{1,3}){3})$", 1)
+    octets = let(tail, lambda t: F.when(t != "", F.transform(F.split(t, "[.]"), lambda o: o.cast("int"))))
+    pair = lambda o, i: F.lower(F.hex(F.get(o, F.lit(i)) * 256 + F.get(o, F.lit(i + 1))))
+    dotted = lambda o: F.concat(F.regexp_extract(address, "^(.*:)[^:]*$", 1), pair(o, 0), F.lit(":"), pair(o, 2))
+    plain = let(octets, lambda o: F.when(F.array_max(o) <= 255, dotted(o)).otherwise(address))
+    of = lambda side: let(side, lambda s: F.filter(F.split(s, ":", -1), lambda w: (s != "") | (w != "")))
+
+    def filled(p: Column) -> Column:
+        gap = 8 - F.size(p["left"]) - F.size(p["right"])
+        whole = F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), p["right"])
+        return F.when((p["n"] == 2) & (gap > 0), whole).when((p["n"] == 1) & (F.size(p["left"]) == 8), p["left"])
+
+    parts = let(F.split(plain, "::", -1), lambda s: F.struct(F.size(s).alias("n"), of(F.get(s, F.lit(0))).alias("left"), of(F.element_at(s, -1)).alias("right")))
+    return let(let(parts, filled), lambda ws: F.when(F.forall(ws, lambda w: w.rlike("^[0-9a-f]{1,4}$")), F.transform(ws, lambda w: F.conv(w, 16, 10).cast("int"))))
 
 
 def _inside(words: Column, networks: tuple[str, ...], width: int) -> Column:
@@ -198,19 +207,23 @@ def blocked_url(url: str | Column) -> Column:
     """Hosts that must not be fetched, by name or as an IPv4, IPv6 or IPv4-mapped address. A dot at a name's end is left
     out, as resolvers do."""
     host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]]*\\]|[^/:?#]+)", 1))
-    bare = F.regexp_replace(F.regexp_replace(host, "^\\[|\\]$|%[^\\]]*", ""), "[.]$", "")
-    octets = F.when(bare.rlike("^(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[.](?!$)|$)){4}$"), F.transform(F.split(bare, "[.]"), lambda o: o.cast("int")))
-    made = F.struct(octets.alias("v4"), F.when(host.startswith("["), _words(bare)).alias("v6"))
+    name = lambda h: F.regexp_replace(F.regexp_replace(h, "^\\[|\\]$|%[^\\]]*", ""), "[.]$", "")
+    dotted = "^(?:(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:[.](?!$)|$)){4}$"
 
     def judged(a: Column) -> Column:
+        """a: host, bare (its name), v4 and v6 (the numbers of its address)."""
         last = lambda i: F.get(a["v6"], F.lit(i))
         low = F.when(_inside(a["v6"], (MAPPED,), 16), F.array(F.shiftright(last(6), 8), last(6) % 256, F.shiftright(last(7), 8), last(7) % 256))
-        v4 = F.coalesce(a["v4"], low)
-        by_v4 = _inside(v4, LOCAL_V4, 8) & ~_inside(v4, PUBLIC_V4, 8)
+        by_v4 = let(F.coalesce(a["v4"], low), lambda v4: _inside(v4, LOCAL_V4, 8) & ~_inside(v4, PUBLIC_V4, 8))
         by_v6 = _inside(a["v6"], LOCAL_V6, 16) & ~_inside(a["v6"], PUBLIC_V6, 16)
-        return F.coalesce(by_v4, by_v6, host.startswith("["))  # brackets around what is no address
+        # Brackets around what is no address are blocked.
+        return a["bare"].isin(*LOCAL_NAMES) | F.coalesce(by_v4, by_v6, a["host"].startswith("["))
+
+    def parsed(h: Column, bare: Column) -> Column:
+        v4 = F.when(bare.rlike(dotted), F.transform(F.split(bare, "[.]"), lambda o: o.cast("int")))
+        return F.struct(h.alias("host"), bare.alias("bare"), v4.alias("v4"), F.when(h.startswith("["), _words(bare)).alias("v6"))
 
-    return bare.isin(*LOCAL_NAMES) | F.element_at(F.transform(F.array(made), judged), 1)
+    return let(let(host, lambda h: let(name(h), lambda bare: parsed(h, bare))), judged)
 
 
 def sign_tokens(vec: str | Column) -> Column:

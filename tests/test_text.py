@@ -92,6 +92,12 @@ def test_blocked(spark):
     assert value(spark, None, T.blocked_url) is None
 
 
+def test_blocked_reads_an_address_once(spark):
+    """The expression names the address a bounded number of times: it was over a thousand."""
+    plan = spark.createDataFrame([("http://[::1]/",)], "u string").select(T.blocked_url("u"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(u") <= 2 and len(plan) < 60_000
+
+
 @pytest.mark.parametrize("word, want", [("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("agreed", "agre"), ("sky", "sky"), ("happy", "happi"), ("generalizations", "gener"), ("adjustment", "adjust"), ("controlling", "control"), ("filing", "file")])
 def test_stem(word, want):
     assert stem(word) == want
