@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,28 +46,87 @@ STATEMENTS = "case delete else goto if new return switch throw while for"
 Measure = Callable[[str], int]
 
 
-def token_measure(tokenizer: str) -> Measure:
-    """Lengths in tokens of a public tokenizer's file; each worker loads it once."""
-    loaded: list = []
+#: A text up to the end of a word that ASCII white space follows: byte-level pre-tokens never reach over such a place.
+PIECE = re.compile(r"\s*\S+(?:(?![ \t\r\n])\s+\S+)*|\s+")
+PLAIN_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")  # the same of ASCII
+#: Pieces of at most SHORT characters are counted once; a worker keeps KEPT of them.
+SHORT, KEPT = 48, 200_000
+
+
+def _by_pieces(tokenizer: str) -> bool:
+    """Whether a tokenizer's file says that tokens don't depend on the text beyond a piece."""
+    spec = json.loads(Path(tokenizer).read_text(encoding="utf-8"))
+    split = spec.get("pre_tokenizer") or {}
+    whole = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    added = [t for t in spec.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
+    return bool(whole and not added and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
+
+
+class TokenMeasure:
+    """Lengths in tokens of a public tokenizer's file; each worker loads it once. Where tokens don't reach over the
+    white space between words, a text's length is the sum of its pieces', and pieces come again and again."""
 
-    def measure(text: str) -> int:
-        if not loaded:
+    def __init__(self, tokenizer: str):
+        self.path, self.loaded, self.pieces = tokenizer, None, False
+        self.known: dict[str, int] = {}
+
+    def __getstate__(self):
+        return {"path": self.path, "loaded": None, "pieces": False, "known": {}}
+
+    def counted(self, piece: str) -> int:
+        n = len(self.loaded.encode(piece, add_special_tokens=False))
+        if len(piece) <= SHORT:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[piece] = n
+        return n
+
+    def __call__(self, text: str) -> int:
+        if self.loaded is None:
             from tokenizers import Tokenizer
 
-            loaded.append(Tokenizer.from_file(tokenizer))
-        return len(loaded[0].encode(text, add_special_tokens=False))
+            self.loaded, self.pieces = Tokenizer.from_file(self.path), _by_pieces(self.path)
+        if not self.pieces:
+            return len(self.loaded.encode(text, add_special_tokens=False))
+        known, total = self.known, 0
+        for piece in (PLAIN_PIECE if text.isascii() else PIECE).findall(text):
+            n = known.get(piece)
+            total += self.counted(piece) if n is None else n
+        return total
+
+    def prefixes(self, text: str) -> Callable[[int], int]:
+        """The length of a text's first n characters as a function of n, which counts each piece of the text once."""
+        self("")
+        if not self.pieces:
+            return lambda n: self(text[:n])
+        ends, sums = [0], [0]
+        counted = lambda piece: self.counted(piece) if (n := self.known.get(piece)) is None else n
+        rest = (PLAIN_PIECE if text.isascii() else PIECE).finditer(text)
+
+        def first(n: int) -> int:
+            while ends[-1] < n:
+                piece = next(rest)
+                ends.append(piece.end())
+                sums.append(sums[-1] + counted(piece[0]))
+            i = bisect_right(ends, n) - 1
+            return sums[i] + (counted(text[ends[i] : n]) if ends[i] < n else 0)
+
+        return first
 
-    return measure
+
+def token_measure(tokenizer: str) -> Measure:
+    return TokenMeasure(tokenizer)
 
 
 def _fitting(text: str, capacity: int, measure: Measure) -> int:
     """The longest prefix of text, in characters, whose measure is within capacity (one character at least)."""
+    first = measure.prefixes(text) if isinstance(measure, TokenMeasure) else lambda n: measure(text[:n])
     low, high = 1, min(len(text), max(2, capacity))
-    while high < len(text) and measure(text[:high]) <= capacity:  # so that a long text isn't measured whole
+    while high < len(text) and first(high) <= capacity:  # so that a long text isn't measured whole
         low, high = high, min(len(text), 2 * high)
     while low < high:
         middle = (low + high + 1) // 2
-        low, high = (middle, high) if measure(text[:middle]) <= capacity else (low, middle - 1)
+        low, high = (middle, high) if first(middle) <= capacity else (low, middle - 1)
     return low
 
 

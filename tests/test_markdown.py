@@ -94,3 +94,25 @@ def test_as_sql_and_odd_rows(spark):
     rows = spark.sql("SELECT d.doc_id, c.chunk_no, c.path, c.body FROM md d, LATERAL chunks(d.body, 256) c").collect()
     assert sorted((r["doc_id"] or 0, r["chunk_no"], r["path"], r["body"]) for r in rows) == [(0, 0, "", "x"), (0, 0, "", "x"), (1, 0, "T", "# T\n\na b")]
     assert chunk_markdown(docs).columns == ["doc_id", "other", "chunk_no", "path", "first", "last", "tokens", "body"] and chunk_markdown(docs.limit(0)).count() == 0
+
+
+def test_token_lengths_by_pieces():
+    """Lengths equal the library's on odd white space and for all prefixes, which need few calls of it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomspark.functions.chunking import split_text, token_measure
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, measure = Tokenizer.from_file(path), token_measure(path)
+    plain = lambda t: len(library.encode(t, add_special_tokens=False))
+    rng, parts = random.Random(1), ["a", "B", "\u00e9", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "'s", "1", "22", ".", "<|endoftext|>", "\u6f22", "the", "-"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        first = measure.prefixes(text)
+        assert measure(text) == plain(text) and [first(n) for n in range(len(text) + 1)] == [plain(text[:n]) for n in range(len(text) + 1)]
+    words = " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(4000))
+    calls, counted = [], measure.counted
+    measure.counted = lambda piece: calls.append(len(piece)) or counted(piece)
+    assert split_text(words, 64, measure=measure) == split_text(words, 64, measure=plain)
+    assert sum(calls) < len(words) / 4
