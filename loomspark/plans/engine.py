@@ -173,7 +173,7 @@ class Memory:
     def _indexed(self, chunks: DataFrame, segment: int) -> dict[str, DataFrame]:
         """Tables of the index of chunks, dealt by ranges of terms."""
         made = postings(chunks, self.analyse, segment)
-        return {"blocks": made.blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), "rows": made.rows}
+        return {"blocks": made.blocks.repartitionByRange(made.tasks, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block"), "rows": made.rows}
 
     def _without_known(self, fresh: DataFrame, known: DataFrame, arrival: DataFrame) -> tuple[DataFrame, DataFrame]:
         """fresh vectors without those that are copies, and the (doc_id, chunk_no) of the latter. As if chunks came one
