@@ -36,6 +36,26 @@ def first(scored: DataFrame, k: int | None, column: str) -> DataFrame:
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).withColumn("rank", F.col("rank").cast("long") - 1)
 
 
+#: Columns of which only the largest is looked at first, and what rounding to nine places may move.
+STRIPE, ROUNDED = 64, 1e-8
+
+
+def nearest_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k highest entries, rounded to nine places, ties to the smaller column; -inf is none. Only
+    entries that reach the kth highest of the stripes' largest are sorted: the kth highest of all is no lower."""
+    stripes = sims.shape[1] // STRIPE
+    if stripes >= max(4, k):
+        tops = sims[:, : stripes * STRIPE].reshape(len(sims), stripes, STRIPE).max(2)
+        i, j = np.nonzero(sims >= np.maximum(np.partition(tops, -k, axis=1)[:, -k] - ROUNDED, -2.0)[:, None])
+    else:
+        i, j = np.nonzero(sims > -np.inf)
+    order = np.lexsort((j, -np.round(sims[i, j], 9), i))
+    i, j = i[order], j[order]
+    start = np.searchsorted(i, np.arange(len(sims)))
+    keep = np.arange(len(i)) - start[i] < k
+    return i[keep], j[keep]
+
+
 def best_of(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None, skip_self: bool) -> pd.DataFrame:
     """(qid, doc_id, sim) of the k nearest of a block of vectors for each of a block of queries; a document's best vector counts."""
     out = [pd.DataFrame({"qid": q["qid"][:0] if "qid" in q else [], "doc_id": v["doc_id"][:0] if "doc_id" in v else [], "sim": np.zeros(0)})]
@@ -44,17 +64,17 @@ def best_of(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None, s
         ids, m, qm = v.doc_id.to_numpy(), unit(v.vec), unit(q.qvec)
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         ids = ids[first]
-        for i in range(0, len(q), 512):
-            sims = np.maximum.reduceat(qm[i : i + 512] @ m.T, first, axis=1)
-            order = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, : k + skip_self]
-            best = np.take_along_axis(sims, order, 1)
-            own = q.qid.to_numpy()[i : i + 512]
-            keep = np.abs(qm[i : i + 512]).any(1)[:, None] & np.ones_like(order, bool)
+        for at in range(0, len(q), 512):
+            sims = qm[at : at + 512] @ m.T
+            sims = sims if len(first) == len(m) else np.maximum.reduceat(sims, first, axis=1)
+            own = q.qid.to_numpy()[at : at + 512]
+            i, j = nearest_columns(sims, k + skip_self)
+            best, keep = sims[i, j], np.abs(qm[at : at + 512]).any(1)[i]
             if skip_self:
-                keep &= ids[order] != own[:, None]
+                keep &= ids[j] != own[i]
             if threshold is not None:
                 keep &= best >= threshold
-            out.append(pd.DataFrame({"qid": np.repeat(own, keep.sum(1)), "doc_id": ids[order][keep], "sim": best[keep]}))
+            out.append(pd.DataFrame({"qid": own[i][keep], "doc_id": ids[j][keep], "sim": best[keep]}))
     return pd.concat(out)
 
 
