@@ -11,7 +11,7 @@ from loomspark.llm.decontaminate import clean
 from loomspark.llm.mixing import mixed_documents
 from loomspark.llm.near_copies import near_groups
 from loomspark.llm.quality import keep_good
-from loomspark.llm.simhash import keep_one
+from loomspark.llm.simhash import joined_groups, keep_one, simhash_groups
 from loomspark.llm.tokens import token_documents
 from loomspark.session import materialize, read_table
 
@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles at a Jaccard similarity of 0.8 or more."""
-    return keep_one(docs, near_groups)
+    """One document of each group of near copies: those that SimHash links, and those whose five-word shingles have a Jaccard
+    similarity of 0.8 or more, directly or through others of either kind."""
+    return keep_one(docs, joined_groups(simhash_groups, near_groups))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

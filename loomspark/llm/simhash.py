@@ -122,6 +122,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped.join(smallest, "root").select("doc_id", "fp", "component_id")
 
 
+def joined_groups(*methods: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Groups that the links of all methods form together. Each method gives (doc_id, text_hash, root) of every row, equal texts
+    under one root."""
+
+    def groups(docs: DataFrame) -> DataFrame:
+        found = [materialize(method(docs).select("doc_id", "text_hash", "root"), "groups") for method in methods]
+        own = lambda table, i: table.select("text_hash", F.concat(F.lit(f"{i}:"), F.col("root").cast("string")).alias(f"root{i}")).distinct()
+        texts = own(found[0], 0)
+        for i, table in enumerate(found[1:], 1):
+            texts = texts.join(own(table, i), "text_hash")
+        texts = materialize(texts, "texts")
+        edges = texts.select(F.explode(F.array(*[F.struct(F.col("root0").alias("a"), F.col(f"root{i}").alias("b")) for i in range(1, len(found))])).alias("e")).select("e.a", "e.b")
+        tops = connected_components(edges).select(F.col("node").alias("root0"), "root")
+        return found[0].select("doc_id", "text_hash").join(texts.select("text_hash", "root0").join(tops, "root0"), "text_hash").select("doc_id", "text_hash", "root")
+
+    return groups
+
+
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
     """Rows of docs, one of each group: the smallest doc_id (nulls last), of its rows the smallest text hash."""
     grouped = groups(docs)

@@ -58,3 +58,22 @@ def test_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
 def test_stage_equals_brute_force_on_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     assert kept(spark, rows) == sorted(brute_kept(rows))
+
+
+def test_links_of_both_methods_make_groups_together(spark):
+    """SimHash is a method of the stage: a text that it alone links joins the group, also through a MinHash link."""
+    from loomspark.llm.near_copies import near_groups
+    from loomspark.llm.simhash import joined_groups, keep_one, simhash_groups
+
+    base = WORDS * 3
+    spread = [w if i % 20 else f"x{i}" for i, w in enumerate(base)]  # half of its five-word shingles are others
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-2])), (3, "some other text"), (4, None), (5, " ".join(spread))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = {r["doc_id"]: r["root"] for r in joined_groups(simhash_groups, near_groups)(docs).collect()}
+    alone = [{r["doc_id"]: r["root"] for r in method(docs).collect()} for method in (simhash_groups, near_groups)]
+    for one in alone:
+        assert all(both[a] == both[b] for a in one for b in one if one[a] == one[b])
+    pairs = spark.createDataFrame([(1, 10, 7), (2, 20, 7), (3, 30, 9)], "doc_id long, text_hash long, root long")
+    others = spark.createDataFrame([(1, 10, 7), (2, 20, 8), (3, 30, 8)], "doc_id long, text_hash long, root long")
+    assert len({r["root"] for r in joined_groups(lambda d: pairs, lambda d: others)(docs).collect()}) == 1
+    assert sorted(r["doc_id"] for r in keep_one(docs, joined_groups(simhash_groups, near_groups)).collect())[:1] == [1]
