@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import cosine, language_of
+from loomspark.session import fence
 
 CAPACITY = 1024
 #: Boundaries at which text may be cut, the strongest first.
@@ -165,12 +166,16 @@ def symbol_of(line: str | Column, language: str) -> Column:
     rules = SAME_AS.get(language, language)
     lead = f"^\\s*(?:(?:{'|'.join(MODIFIERS.split())})(?:\\([^)]*\\))?\\s+){{0,6}}"
     opened = f"{lead}({'|'.join(OPENERS[rules].split())})\\b!?(?:<[^>]*>)?\\s+(?:\\([^)]*\\)\\s*)?(?:self[.])?({NAME}(?:\\s+for\\s+{NAME})?)"
-    word = F.regexp_extract(line, opened, 1)
     table = F.create_map(*[F.lit(x) for pair in CALLED.items() for x in pair])
-    kind = F.coalesce(F.try_element_at(table, word), word)
-    if rules == "go":  # the kind of a named type stands after its name
-        kind = F.coalesce(F.nullif(F.regexp_extract(line, "^\\s*type\\s+\\w+\\s+(struct|interface)\\b", 1), F.lit("")), kind)
-    found = F.when(word != "", F.struct(kind.alias("kind"), F.regexp_extract(line, opened, 2).alias("name")))
+
+    def opening(word: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(table, word), word)
+        if rules == "go":  # the kind of a named type stands after its name
+            kind = F.coalesce(F.nullif(F.regexp_extract(line, "^\\s*type\\s+\\w+\\s+(struct|interface)\\b", 1), F.lit("")), kind)
+        return F.when(word != "", F.struct(kind.alias("kind"), F.regexp_extract(line, opened, 2).alias("name")))
+
+    # The word is looked for once and used by name.
+    found = F.get(F.transform(F.array(F.regexp_extract(line, opened, 1)), opening), F.lit(0))
     other = None
     if rules in ("javascript", "typescript"):
         other = "fn", F.regexp_extract(line, f"{lead}(?:let|var)?\\s*(\\w+)\\s*=\\s*(?:async\\s*)?(?:function\\b|\\([^=]*=>|\\w+\\s*=>|\\([^)]*$)", 1)
@@ -180,34 +185,53 @@ def symbol_of(line: str | Column, language: str) -> Column:
     return found if other is None else F.coalesce(found, F.when(other[1] != "", F.struct(F.lit(other[0]).alias("kind"), other[1].alias("name"))))
 
 
+def _symbols(files: DataFrame) -> DataFrame:
+    """(path, lines, symbols) of files in a known language: symbols is an array of struct(line_no, depth, s, text), a line that
+    begins a symbol each. A file's lines stay in its row: no line is shuffled."""
+    known = fence(files.select("path", "body"), language=language_of("path")).where("language is not null and body is not null")
+    known = fence(known.select("path", "language", "body"), lines=F.split("body", "\r?\n")).select("path", "language", "lines")
+
+    def symbol(text: Column, at: Column) -> Column:
+        found = F.lit(None).cast("struct<kind:string,name:string>")
+        for language in sorted({*OPENERS, *SAME_AS}):
+            found = F.when(F.col("language") == language, symbol_of(text, language)).otherwise(found)
+        return F.struct((at + 1).cast("long").alias("line_no"), found.alias("s"), text.alias("text"))
+
+    def placed(x: Column) -> Column:
+        indent = F.regexp_extract(x["text"], "^(\\s*)", 1)
+        tabs, width = F.length(F.regexp_replace(indent, "[^\t]", "")), F.floor(F.length(indent) / 4)
+        depth = F.when(F.contains(indent, F.lit("\t")), tabs).otherwise(width).cast("long")
+        return F.struct(x["line_no"].alias("line_no"), depth.alias("depth"), x["s"].alias("s"), x["text"].alias("text"))
+
+    symbols = F.transform(F.filter(F.transform("lines", symbol), lambda x: x["s"].isNotNull()), placed)
+    return fence(known, symbols=symbols).select("path", "lines", "symbols")
+
+
 def outline(files: DataFrame) -> DataFrame:
     """(path, line_no, depth, kind, name, text) of every line that begins a symbol; files has (path, body)."""
-    lines = files.select("path", language_of("path").alias("language"), F.posexplode(F.split("body", "\r?\n")).alias("at", "text"))
-    indent = F.regexp_extract("text", "^(\\s*)", 1)
-    depth = F.when(F.contains(indent, F.lit("\t")), F.length(F.regexp_replace(indent, "[^\t]", ""))).otherwise(F.floor(F.length(indent) / 4))
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for language in sorted({*OPENERS, *SAME_AS}):
-        found = F.when(F.col("language") == language, symbol_of("text", language)).otherwise(found)
-    rows = lines.withColumn("s", found).where("s is not null")
-    return rows.select("path", (F.col("at") + 1).cast("long").alias("line_no"), depth.cast("long").alias("depth"), F.col("s.kind").alias("kind"), F.col("s.name").alias("name"), "text")
+    return _symbols(files).select("path", F.inline("symbols")).select("path", "line_no", "depth", "s.kind", "s.name", "text")
 
 
 def symbol_chunks(files: DataFrame) -> DataFrame:
     """(path, line_no, end_line, header, body): a chunk per symbol, to the line before the next of depth no greater.
 
-    A symbol closes those of its own and greater depths: one row for each such depth of its file, so that the next row
-    of a symbol's own depth is the one that closes it."""
-    symbols = outline(files)
-    depths = F.collect_set("depth").over(W.partitionBy("path"))
-    rows = symbols.withColumn("depths", depths).select(symbols["*"], F.explode(F.filter("depths", lambda d: d >= F.col("depth"))).alias("closed"))
-    rows = rows.withColumn("next", F.lead("line_no").over(W.partitionBy("path", "closed").orderBy("line_no"))).where("closed = depth")
-    body = files.select("path", F.split("body", "\r?\n").alias("lines"))
-    rows = rows.join(body, "path")
-    rows = rows.withColumn("end_line", F.coalesce(F.col("next") - 1, F.size("lines").cast("long")))
-    text = F.array_join(F.slice("lines", F.col("line_no").cast("int"), (F.col("end_line") - F.col("line_no") + 1).cast("int")), "\n")
+    For each depth of a file, the symbols of at most that depth in order: the next of these closes one of just that depth."""
     name = F.regexp_extract("path", "([^/]+)$", 1)
-    header = F.concat(F.lit("# "), "kind", F.lit(" "), "name", F.lit(" ("), name, F.lit(":"), F.col("line_no").cast("string"), F.lit(")"))
-    return rows.select("path", "line_no", "end_line", header.alias("header"), text.alias("body"))
+    rows = fence(_symbols(files), name=name, depths=F.array_distinct(F.transform("symbols", lambda x: x["depth"])))
+
+    def chunk(x: Column, after: Column) -> Column:
+        end = F.coalesce(after["line_no"] - 1, F.size("lines").cast("long"))
+        header = F.concat(F.lit("# "), x["s"]["kind"], F.lit(" "), x["s"]["name"], F.lit(" ("), "name", F.lit(":"), x["line_no"].cast("string"), F.lit(")"))
+        # By places: slice() in a lambda copies the whole array for each symbol.
+        body = F.array_join(F.transform(F.sequence(x["line_no"], end), lambda i: F.get("lines", (i - 1).cast("int"))), "\n")
+        return F.struct(x["line_no"].alias("line_no"), end.alias("end_line"), header.alias("header"), body.alias("body"))
+
+    def closed(depth: Column) -> Column:
+        upper = F.filter("symbols", lambda x: x["depth"] <= depth)
+        pairs = lambda u: F.filter(F.transform(u, lambda x, i: F.struct(x.alias("x"), F.get(u, i + 1).alias("after"))), lambda p: p["x"]["depth"] == depth)
+        return F.transform(F.get(F.transform(F.array(upper), pairs), F.lit(0)), lambda p: chunk(p["x"], p["after"]))
+
+    return rows.select("path", F.inline(F.flatten(F.transform("depths", closed))))
 
 
 def semantic_chunks(sentences: DataFrame, threshold: float = 0.5, joiner: str = " ", window: int = 3, size: int = 2048) -> DataFrame:

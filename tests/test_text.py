@@ -137,6 +137,15 @@ def test_symbols(spark):
     assert got == [(2, 5, "# class A (a.py:2)"), (3, 5, "# def f (a.py:3)"), (6, 7, "# def g (a.py:6)")]
 
 
+def test_symbols_stay_in_their_file(spark):
+    code = "class A:\n    def f():\n        class B:\n            x\n        def g():\n            y\n    z\n\tdef t():\ndef h():\n    w"
+    files = spark.createDataFrame([("a.py", code), ("b.py", "x = 1"), ("c.py", None)], "path string, body string")
+    chunks = symbol_chunks(files)
+    got = [(r["line_no"], r["end_line"], r["body"].count("\n")) for r in chunks.orderBy("line_no").collect()]
+    assert got == [(1, 8, 7), (2, 7, 5), (3, 4, 1), (5, 7, 2), (8, 8, 0), (9, 10, 1)]
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()  # no line is shuffled or joined with its file's text
+
+
 SOURCES = {
     "m.rs": ["pub(crate) async fn run(x: u8) {", "impl<T> Store for Disk {", "    let fn_ = 1;", "struct Point;", "macro_rules! hash {"],
     "m.ts": ["export default class App {", "export const go = async (x) => {", "function plain() {", "interface Shape {", "const n = 5;", "let f = x => x"],
