@@ -21,8 +21,8 @@ from loomspark.operators.components import connected_components
 from loomspark.operators.vector import unit
 from loomspark.session import materialize
 
-#: Vectors of a block; most tables; vectors that a bucket has on average.
-BLOCK, MOST_TABLES, BUCKET = 1024, 64, 64
+#: Vectors of a block; most tables; vectors that a bucket has on average; vectors of a batch of buckets.
+BLOCK, MOST_TABLES, BUCKET, BATCH = 1024, 64, 64, 8192
 SEED = 11
 
 
@@ -93,30 +93,40 @@ def near_links(vectors: DataFrame, threshold: float, recall: float = 0.99, bits:
     else:
         bits = bits or bits_for(n, threshold, recall)
         keyed = materialize(_keys(classes, bits, tables_for(threshold, bits, recall), dims), "keys")
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed.join(sizes, ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("class_id"), "blocks").cast("int")).join(classes.select("class_id", "vec"), "class_id")
-    left = rows.select("table", "key", "class_id", "vec", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = rows.select(F.col("table").alias("b_table"), F.col("key").alias("b_key"), F.col("class_id").alias("b_id"), F.col("vec").alias("b_vec"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        if not len(a) or not len(b):
-            return none
-        same = a.i.iloc[0] == a.j.iloc[0]
-        if same:  # one order on both sides
-            a, b = a.sort_values("class_id"), b.sort_values("b_id")
-        ia, ib = a.class_id.to_numpy(), b.b_id.to_numpy()
-        sims = unit(a.vec) @ unit(b.b_vec).T
-        near = sims >= threshold
-        if same:
-            np.fill_diagonal(near, False)
-        found = np.argwhere(np.triu(near) if same else near).tolist() if every else forest(near, same)
-        if not found:
-            return none
-        x, y = np.array(found).T
-        return pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y]), "sim": sims[x, y]})
-
-    met = left.groupBy("table", "key", "i", "j").cogroup(right.groupBy("b_table", "b_key", "i", "j")).applyInPandas(meet, "a long, b long, sim double")
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "bucket-sizes")
+    batches = (sizes.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // BATCH + 1
+    rows = keyed.join(sizes.drop("n"), ["table", "key"]).withColumn("own", F.pmod(F.xxhash64("class_id"), "blocks").cast("int")).join(classes.select("class_id", "vec"), "class_id")
+    # A vector meets a pair of blocks once: buckets of one block share batches, the others have a group for each pair of blocks.
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    single = F.col("blocks") == 1
+    dealt = [F.when(single, -1).otherwise(F.col("table")).alias("of"), F.when(single, F.pmod(F.xxhash64("table", "key"), F.lit(batches))).otherwise(F.col("key")).alias("at")]
+    rows = rows.select("table", "key", "class_id", "vec", "own", *dealt, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["table", "key", "class_id"])
+        ids, m, own = group.class_id.to_numpy(), unit(group.vec), group.own.to_numpy()
+        i, j = group.i.iloc[0], group.j.iloc[0]
+        if i == j:
+            table, key = group.table.to_numpy(), group.key.to_numpy()
+            starts = np.flatnonzero(np.append(True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
+            sides = [(slice(x, y),) * 2 for x, y in zip(starts, np.append(starts[1:], len(ids)))]
+        else:
+            sides = [(np.flatnonzero(own == i), np.flatnonzero(own == j))]
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+        for left, right in sides:
+            sims = m[left] @ m[right].T
+            near = sims >= threshold
+            if i == j:
+                np.fill_diagonal(near, False)
+            if near.any():
+                found = np.argwhere(np.triu(near) if i == j else near).tolist() if every else forest(near, i == j)
+                x, y = np.array(found).T
+                a, b = ids[left][x], ids[right][y]
+                out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sims[x, y]}))
+        return pd.concat(out)
+
+    met = rows.groupBy("of", "at", "i", "j").applyInPandas(meet, "a long, b long, sim double")
     return own, materialize(met.groupBy("a", "b").agg(F.max("sim").alias("sim")), "near-links")
 
 

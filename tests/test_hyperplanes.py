@@ -83,3 +83,20 @@ def test_tables():
 def test_empty(spark):
     members, links = H.near_links(spark.createDataFrame([], V), 0.5)
     assert members.count() == links.count() == 0
+
+
+def test_a_vector_enters_a_bucket_once(spark, monkeypatch):
+    """No bucket has two sides that hold the same vectors, and small buckets share a task's call."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.group import GroupedData
+
+    def refused(*_):
+        raise AssertionError("two sides")
+
+    kept, wide = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "cogroup", refused)
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, kind: kept.append(self) or wide(self, f, kind))
+    rows = spark.createDataFrame(some(900), V)
+    _, links = H.near_links(rows, 0.9, every=True, bits=4)
+    assert isinstance(links, DataFrame) and links.count() > 0
+    assert kept[0].count().count() < 20  # groups, of some hundred buckets
