@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators.vector import GROUP_ROWS, best_of, first, unit
+from loomspark.operators.vector import GROUP_ROWS, LEAST_ROWS, best_of, first, nearest_columns, unit
 from loomspark.session import materialize
 
 #: Vectors of the sample that centroids are fitted to, rounds of fitting, cells at most, and bytes of their centroids at most.
@@ -74,9 +74,23 @@ def cell_index(vectors: DataFrame, cells: int | None = None) -> Cells:
     return Cells(centroids, radii, sizes, placed.select("doc_id", "vec", "cell", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part")))
 
 
-def _asked(index: Cells, queries: DataFrame, choose) -> DataFrame:
-    """(qid, qvec, cell, part): queries with every part of the cells that choose(bounds, order, row) picks; bounds are the
-    largest cosines that members of cells can have, order the cells by them."""
+def _groups(sizes: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each cell's first part: parts of large cells have one each, small cells share groups of about `rows` vectors."""
+    parts, out, at, held = np.maximum(1, -(-sizes // GROUP_ROWS)), np.zeros(len(sizes), np.int64), 0, 0
+    for cell, size in enumerate(sizes):
+        if held and (held + size > rows or parts[cell] > 1):
+            at, held = at + 1, 0
+        out[cell] = at
+        if parts[cell] > 1:
+            at += parts[cell]
+        else:
+            held += size
+    return out
+
+
+def _asked(index: Cells, queries: DataFrame, groups: np.ndarray, choose) -> DataFrame:
+    """(qid, qvec, group, cells): queries with every group that has parts of the cells that choose(bounds, order, row) picks, and
+    which cells these are; bounds are the largest cosines that members of cells can have, order the cells by them."""
     centroids, radii, sizes = index.centroids, index.radii, index.sizes
     parts = np.maximum(1, -(-sizes // GROUP_ROWS))
     kinds = dict(queries.dtypes)
@@ -89,19 +103,61 @@ def _asked(index: Cells, queries: DataFrame, choose) -> DataFrame:
                 bounds = np.cos(np.maximum(0.0, np.arccos(np.clip(q @ centroids.T, -1, 1)) - radii[None, :]))
                 bounds[:, sizes == 0] = -np.inf
                 order = np.argsort(-bounds, axis=1, kind="stable")
-                picked = [(i, c, p) for i in range(len(rows)) if q[i].any() for c in choose(bounds[i], order[i], rows.iloc[i]) for p in range(parts[c])]
-                if picked:
-                    i, c, p = zip(*picked)
-                    taken = rows.iloc[list(i)]
-                    yield pd.DataFrame({"qid": taken.qid.to_numpy(), "qvec": taken.qvec.to_numpy(), "cell": np.array(c, np.int32), "part": np.array(p, np.int32)})
-
-    return queries.mapInPandas(deal, f"qid {kinds['qid']}, qvec {kinds['qvec']}, cell int, part int")
+                who, group, cells = [], [], []
+                for i in range(len(rows)):
+                    picked = np.sort(np.asarray(choose(bounds[i], order[i], rows.iloc[i]) if q[i].any() else [], np.int32))
+                    for own in np.split(picked, np.flatnonzero(np.diff(groups[picked])) + 1) if len(picked) else []:
+                        for p in range(parts[own[0]]):
+                            who.append(i)
+                            group.append(groups[own[0]] + p)
+                            cells.append(own)
+                if who:
+                    taken = rows.iloc[who]
+                    yield pd.DataFrame({"qid": taken.qid.to_numpy(), "qvec": taken.qvec.to_numpy(), "group": np.array(group, np.int64), "cells": pd.Series(cells, dtype=object)})
+
+    return queries.mapInPandas(deal, f"qid {kinds['qid']}, qvec {kinds['qvec']}, group long, cells array<int>")
+
+
+def _nearest_of(q: pd.DataFrame, v: pd.DataFrame, k: int, threshold: float | None, skip_self: bool) -> pd.DataFrame:
+    """(qid, doc_id, sim) of the k nearest for each query (qid, qvec, cells) among vectors (doc_id, vec, cell) of its cells.
+    Queries that ask for alike cells are multiplied with all of these at once; what one of them didn't ask for is left out."""
+    if not len(q) or not len(v):
+        return best_of(q, v, k, threshold, skip_self)
+    v = v.sort_values("doc_id")
+    names, own = np.unique(v.cell.to_numpy(), return_inverse=True)
+    asked = np.zeros((len(q), len(names)), bool)
+    flat, counts = np.concatenate(q.cells.to_numpy()), q.cells.map(len).to_numpy()
+    place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    held = names[place] == flat  # a part of a cell may hold none
+    asked[np.repeat(np.arange(len(q)), counts)[held], place[held]] = True
+    ids, qids, m, qm = v.doc_id.to_numpy(), q.qid.to_numpy(), unit(v.vec), unit(q.qvec)
+    out, order = [best_of(q[:0], v, k, threshold, skip_self)], np.lexsort(asked.T)
+    for at in range(0, len(q), 512):
+        rows = order[at : at + 512]
+        cells = asked[rows].any(0)
+        cols = np.flatnonzero(cells[own])
+        if not len(cols):
+            continue
+        sims = qm[rows] @ (m if len(cols) == len(m) else m[cols]).T
+        if not asked[rows][:, cells].all():
+            sims[~asked[rows][:, own[cols]]] = -np.inf
+        found = ids[cols]
+        heads = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        if len(heads) < len(found):
+            found, sims = found[heads], np.maximum.reduceat(sims, heads, axis=1)
+        i, j = nearest_columns(sims, k + skip_self)
+        best, who = sims[i, j], qids[rows][i]
+        keep = best >= (-2.0 if threshold is None else threshold)
+        if skip_self:
+            keep &= found[j] != who
+        out.append(pd.DataFrame({"qid": who[keep], "doc_id": found[j][keep], "sim": best[keep]}))
+    return pd.concat(out)
 
 
 def cell_topk(index: Cells, queries: DataFrame, k: int, threshold: float | None = None, skip_self: bool = False, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, met). hits: (qid, doc_id, sim, rank), as vector_topk of the indexed vectors, for queries (qid, qvec). met:
     (qid, cell), the pairs that were compared. With probes, each query meets that many cells and no more, which is faster and
-    may miss some."""
+    may miss some. A query is written once for each group of cells and not for each cell; queries come to a group in slabs."""
     queries = queries.where("qvec is not null").select("qid", "qvec")
     sizes, need = index.sizes, k + skip_self
     q_kind, v_kind = dict(queries.dtypes)["qid"], dict(index.vectors.dtypes)["doc_id"]
@@ -111,19 +167,27 @@ def cell_topk(index: Cells, queries: DataFrame, k: int, threshold: float | None
         held = np.cumsum(sizes[order])
         return order[: min(int(np.searchsorted(held, need)) + 1, int((sizes > 0).sum()))] if probes is None else order[: min(probes, int((sizes > 0).sum()))]
 
+    if not len(index.centroids):
+        none = queries.select("qid", F.lit(None).cast(v_kind).alias("doc_id"), F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("rank")).limit(0)
+        return none, none.select("qid", F.lit(0).alias("cell"))
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = _groups(sizes, int(min(GROUP_ROWS, max(LEAST_ROWS, sizes.sum() // spread))))
+    slabs = queries.count() // GROUP_ROWS + 1
+    base = F.element_at(F.array(*[F.lit(int(g)) for g in groups]), F.col("cell") + 1)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))).alias("slab")
+    vectors = index.vectors.select("doc_id", "vec", "cell", (base + F.col("part")).cast("long").alias("group"), every)
+
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return best_of(q, v, k, threshold, skip_self)
+        return _nearest_of(q, v, k, threshold, skip_self)
 
     def compared(asked: DataFrame) -> DataFrame:
-        pairs = asked.groupBy("cell", "part").cogroup(index.vectors.groupBy("cell", "part"))
-        return pairs.applyInPandas(search, f"qid {q_kind}, doc_id {v_kind}, sim double")
+        dealt = asked.withColumn("slab", F.pmod(F.xxhash64("qid"), F.lit(slabs)))
+        return dealt.groupBy("group", "slab").cogroup(vectors.groupBy("group", "slab")).applyInPandas(search, f"qid {q_kind}, doc_id {v_kind}, sim double")
 
-    if not len(index.centroids):
-        none = queries.select("qid", F.lit(None).cast(v_kind).alias("doc_id"), F.lit(0.0).alias("sim"), F.lit(0).cast("long").alias("rank")).limit(0)
-        return none, none.select("qid", F.lit(0).alias("cell"))
-    start = materialize(_asked(index, queries, nearest), "cells-first")
+    cells_of = lambda asked: asked.select("qid", F.explode("cells").alias("cell")).distinct()
+    start = materialize(_asked(index, queries, groups, nearest), "cells-first")
     near = materialize(compared(start), "cells-near")
-    met = start.select("qid", "cell").distinct()
+    met = cells_of(start)
     if probes is not None:
         return first(near, k, "sim"), met
     floor = first(near, k, "sim").where(F.col("rank") == k - 1).select("qid", (F.col("sim") - SLACK).alias("floor"))
@@ -131,8 +195,9 @@ def cell_topk(index: Cells, queries: DataFrame, k: int, threshold: float | None
     open_ = queries.join(floor, "qid", "left").select("qid", "qvec", F.greatest(F.coalesce("floor", F.lit(-2.0)), F.lit(least)).alias("floor"))
 
     def reachable(bounds, order, row):
-        done = set(nearest(bounds, order, row).tolist())
-        return [c for c in order[: int((bounds >= row.floor).sum())].tolist() if c not in done and sizes[c]]
+        done = nearest(bounds, order, row)
+        fresh = order[: int((bounds >= row.floor).sum())]
+        return fresh[(sizes[fresh] > 0) & ~np.isin(fresh, done)]
 
-    rest = materialize(_asked(index, open_, reachable), "cells-rest")
-    return first(near.unionByName(compared(rest)), k, "sim"), met.unionByName(rest.select("qid", "cell").distinct())
+    rest = _asked(index, open_, groups, reachable)
+    return first(near.unionByName(compared(rest)), k, "sim"), met.unionByName(cells_of(rest))

@@ -88,3 +88,18 @@ def test_the_limit_comes_before_the_shuffle(spark):
 
     rows = spark.createDataFrame(clustered(50), V)
     assert "WindowGroupLimit" in vector_topk(rows, rows.toDF("qid", "qvec"), 3)._jdf.queryExecution().toString()
+
+
+def test_a_query_is_written_once_for_a_group_of_cells(spark):
+    from loomspark.operators import cells
+
+    rng = np.random.default_rng(5)
+    vectors = [(i, np.float32(rng.normal(size=16)).tolist()) for i in range(400)]
+    rows = spark.createDataFrame(vectors, V)
+    index = cell_index(rows, 20)
+    groups = cells._groups(index.sizes, 100)
+    held = np.bincount(groups, weights=index.sizes)
+    assert held.sum() == 400 and held.max() <= 100 and len(held) < 10
+    assert cells._groups(np.array([10, cells.GROUP_ROWS * 2 + 1, 10, 0, 10]), 25).tolist() == [0, 1, 4, 4, 4]
+    asked = cells._asked(index, rows.toDF("qid", "qvec"), groups, lambda bounds, order, row: order).collect()
+    assert len(asked) == 400 * len(held) and sum(len(r["cells"]) for r in asked) == 400 * 20
