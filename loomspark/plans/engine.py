@@ -293,7 +293,7 @@ class Memory:
         return found.join(self._own("documents").select(F.col("doc_id").alias("node"), "l0"), "node")
 
     def analyze(self, top: int = 10) -> DataFrame:
-        return analytics.full_analysis(self._own("edges"), mean_vectors(self._own("vectors")), top)
+        return analytics.full_analysis(materialize(self._own("edges"), "edges"), materialize(mean_vectors(self._own("vectors")), "vectors"), top)
 
     def invalidate(self, ids: DataFrame, as_of: Column | None = None) -> None:
         """End the current edges that go out from ids (doc_id); nothing is removed."""

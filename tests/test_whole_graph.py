@@ -152,3 +152,12 @@ def test_kept_neighbours_take_in_fresh_vectors(spark, monkeypatch):
     assert pairs(kept) == pairs(A.knn_edges(df(0, 90), 5)) and kept.count() == 450
     score = lambda **options: {r["doc_id"]: round(r["surprisal"], 9) for r in A.surprisal(df(0, 90), 5, rounds=3, **options).collect()}
     assert score(knn=kept) == score()
+
+
+def test_full_analysis_gives_the_ranks_of_pages_as_scores(spark):
+    pairs = [("a", "c"), ("b", "c"), ("c", "d"), ("d", "a")]
+    edges = spark.createDataFrame([(*p, "related_to", "main", 1.0) for p in pairs], "from_id string, to_id string, edge_type string, corpus string, weight double").selectExpr("*", "timestamp'2024-01-01' as valid_at", "cast(null as timestamp) as invalid_at")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, vec array<double>")
+    got = [(r["id"], r["score"]) for r in A.full_analysis(edges, vectors).where("section = 'foundational'").orderBy("rank").collect()]
+    want = sorted(((r["node"], round(r["rank"], 6)) for r in A.pagerank(edges).collect()), key=lambda x: (-x[1], x[0]))
+    assert got == want and sum(x for _, x in got) == pytest.approx(1, abs=1e-5)
