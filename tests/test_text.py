@@ -190,3 +190,8 @@ def test_files_are_chunked_by_kind(spark):
     for r in chunk_files(spark.createDataFrame(files, "path string, body string"), 30).orderBy("path", "chunk_no").collect():
         got.setdefault(r["path"], []).append(r["body"].split("\n")[0])
     assert got == {"a.py": ["# def f (a.py:1)", "# def g (a.py:4)"], "b.py": ["x = 1", "x = 1"], "c.md": ["# A", "# B"], "d.txt": ["just text"]}
+
+
+def test_periods_of_a_day_are_those_of_an_array_of_it(spark):
+    days = spark.sql("select cast(d as date) as d from values ('1995-01-01'), ('2001-08-31'), ('2000-02-29'), ('0999-12-31'), ('0001-01-01'), ('9999-10-10'), (null) as t(d)")
+    assert days.where(~T.day_periods("d").eqNullSafe(T.periods(F.array("d")))).count() == 0
